@@ -48,7 +48,7 @@ JS = "language IN ('javascript', 'typescript')"
 PY = "language = 'python'"
 RX = "regexp_extract"
 
-part("files", "", inputs.FILES_SQL)
+part("files", "", inputs.CORPUS_SQL)
 part("java_files", "", inputs.JAVA_SQL)
 part("kept", "files", selected("files", "enhanced"))
 part("kept_fast", "files", selected("files", "fast"))

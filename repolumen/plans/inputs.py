@@ -51,6 +51,38 @@ FROM documents
 WHERE text IS NOT NULL
 """
 
+# Files that the first text lacks: pages and components without routes, and named services.
+MORE_FILES_SQL = """
+SELECT doc_id + 1000000000 AS file_id,
+  'repo' || CAST(CAST(floor(doc_id / 5) AS BIGINT) % 20 AS VARCHAR(20)) AS repo,
+  CASE doc_id % 3 WHEN 0 THEN 'web/components/C' WHEN 1 THEN 'web/pages/P' ELSE 'ui/w' END
+    || CAST(doc_id AS VARCHAR(20)) || '.jsx' AS file_path,
+  'import Chart from "chart.js/auto";' || chr(10) || 'import { a } from "@scope/pkg";' || chr(10)
+    || 'import next from "next/link";' || chr(10) || '/* view ' || CAST(doc_id AS VARCHAR(20)) || ' */' || chr(10)
+    || 'export const View' || CAST(doc_id AS VARCHAR(20)) || ' = (props, size = 2) => {' || chr(10)
+    || '  return <Card/>;' || chr(10) || '};' || chr(10)
+    || 'function help' || CAST(doc_id AS VARCHAR(20)) || '(a, b) { return a; }' || chr(10)
+    || '// ' || replace(text, chr(10), chr(10) || '// ') AS content
+FROM documents
+WHERE text IS NOT NULL AND doc_id % 5 = 1
+UNION ALL
+SELECT doc_id + 2000000000 AS file_id,
+  'repo' || CAST(CAST(floor(doc_id / 9) AS BIGINT) % 15 AS VARCHAR(20)) AS repo,
+  'services/' || CASE doc_id % 4 WHEN 0 THEN 'chat_' WHEN 1 THEN 'auth_' WHEN 2 THEN 'video_' ELSE 'document_' END
+    || CAST(doc_id AS VARCHAR(20)) || '.py' AS file_path,
+  'from flask import Flask' || chr(10) || 'import groq' || chr(10)
+    || CASE WHEN doc_id % 2 = 0 THEN 'import tensorflow' ELSE 'from google import maps' END || chr(10) || chr(10)
+    || '@app.route("/s' || CAST(doc_id % 7 AS VARCHAR(20)) || '")' || chr(10)
+    || 'def serve_' || CAST(doc_id AS VARCHAR(20)) || '():' || chr(10) || '    pass' || chr(10) || chr(10)
+    || 'def help_' || CAST(doc_id AS VARCHAR(20)) || '(request, n: int = 1):' || chr(10)
+    || '    ' || repeat(chr(34), 3) || 'Help' || chr(10) || '    more' || chr(10) || '    ' || repeat(chr(34), 3) || chr(10)
+    || '    return n' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') AS content
+FROM documents
+WHERE text IS NOT NULL AND doc_id % 9 = 4
+"""
+
+CORPUS_SQL = FILES_SQL + "UNION ALL" + MORE_FILES_SQL
+
 JAVA_SQL = """
 SELECT doc_id AS file_id,
   'repo' || CAST(doc_id % 20 AS VARCHAR(20)) AS repo,
@@ -107,7 +139,7 @@ FROM events
 """
 
 KEY_LISTS_SQL = """
-SELECT doc_id, replace(text, ' ', ';') AS keys FROM documents WHERE text IS NOT NULL
+SELECT doc_id, replace(text, '. ', ';') AS keys FROM documents WHERE text IS NOT NULL
 """
 
 
@@ -122,7 +154,7 @@ def derive(spark: SparkSession, sf_dir: str, source: str, sql: str, *keys: str)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, "documents", FILES_SQL, "doc_id")
+    return derive(spark, sf_dir, "documents", CORPUS_SQL, "doc_id")
 
 
 def java_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
