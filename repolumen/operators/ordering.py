@@ -92,7 +92,7 @@ def clamped_fold(blocked: DataFrame, group: list[str], order: list[str], measure
         packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(position, *measures))).alias("_l"))
         same = F.struct(F.lit(0).alias("add"), F.lit(-far).alias("lo"), F.lit(far).alias("hi")).cast(unit)
         return packed.select(*keys, *[
-            F.aggregate(F.transform("_l", lambda x, m=name: x[m]), same, _then).alias(name) for name in measures])
+            F.aggregate(F.col("_l")[name], same, _then).alias(name) for name in measures])
 
     chunked = rows.withColumn("_chunk", F.floor((F.col("_n") - 1) / CHUNK_ROWS).cast("long"))
     per_chunk = fold(chunked, [*group, "_block", "_chunk"], "_n")

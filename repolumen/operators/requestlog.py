@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules
 from .ordering import clamped_fold, in_blocks, ordinal, running, with_halo
@@ -19,6 +20,10 @@ MAX_COOLDOWN = 150
 
 
 def _timed(requests: DataFrame) -> DataFrame:
+    """Add ``micros``; a timestamp without zone is counted as it stands, whatever the session's zone."""
+    if isinstance(requests.schema["ts"].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return requests.withColumn("micros", F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
     return requests.withColumn("micros", F.unix_micros("ts"))
 
 
@@ -156,7 +161,7 @@ def file_batches(files: DataFrame, size: int = rules.BATCH_FILES) -> DataFrame:
 
 def token_slots(requests: DataFrame, budget: int = rules.MINUTE_TOKENS) -> DataFrame:
     """Slot of each request when a key's tokens of a minute are cut at multiples of ``budget``."""
-    minutes = _timed(requests).withColumn("minute", F.date_trunc("minute", "ts"))
+    minutes = _timed(requests).withColumn("minute", F.date_trunc("minute", "ts").cast(requests.schema["ts"].dataType))
     group = ["key", "minute"]
     summed = running(in_blocks(minutes, group, ORDER, "slots"), group, ORDER, "cumulative", F.col("tokens"))
     return summed.select("event_id", "key", "minute", "cumulative",

@@ -226,8 +226,11 @@ oracle("supported_language", "files",
 oracle("max_chars", "files",
        "SELECT repo, file_path, CAST(length(content) AS INTEGER) AS chars FROM files WHERE length(content) <= 50000")
 oracle("is_backend", "facts", "SELECT repo, file_path, is_backend FROM facts")
-oracle("is_backend_core", "kept_core", f"""SELECT repo, file_path, {has('lower(file_path)', rules.BACKEND['core']['path'])}
-  OR {has('lower(content)', rules.BACKEND['core']['content'])} AS is_backend FROM kept_core""")
+part("core_flags", "kept_core", f"""SELECT repo, file_path, {has('lower(file_path)', rules.BACKEND['core']['path'])}
+  OR {has('lower(content)', rules.BACKEND['core']['content'])} AS is_backend,
+  {cases('lower(file_path)', rules.PURPOSE_PATHS['core'], cases('lower(content)', rules.PURPOSE_CORE_CONTENT, "'General Purpose'"))} AS file_purpose
+FROM kept_core""")
+oracle("is_backend_core", "core_flags", "SELECT repo, file_path, is_backend FROM core_flags")
 oracle("llm_eligible", "facts", "SELECT repo, file_path FROM facts WHERE function_count > 0 OR api_count > 0")
 oracle("llm_eligible_optimized", "d_facts", f"""SELECT repo, file_path FROM d_facts
   WHERE (coalesce(type = 'backend', FALSE) OR {has('lower(file_path)', rules.ELIGIBLE_PATHS)}) AND n_funcs + n_eps + n_classes > 0
@@ -266,7 +269,7 @@ oracle("express_endpoints", "eps", f"SELECT {_AT}, method, path, code_snippet FR
 for _f in ("nextjs", "flask", "fastapi"):
     oracle(f"{_f}_endpoints", "eps", f"SELECT {_AT}, method, path, function_name FROM eps WHERE framework = '{_f}'")
 oracle("detailed_endpoints", "d_eps", f"SELECT {_AT}, method, path FROM d_eps")
-oracle("core_endpoints", "lines_core", f"""
+part("core_eps", "lines_core", f"""
 SELECT repo, file_path, CAST(n AS INTEGER) AS line, upper(trim({strip('unnest(ms)')}, '''"')) AS method, p AS path, 'Flask' AS framework FROM (
   SELECT repo, file_path, n, {RX}(raw, '{rules.FLASK}', 1) AS p,
     CASE WHEN {RX}(raw, '{rules.FLASK}', 2) = '' THEN ['GET'] ELSE string_split({RX}(raw, '{rules.FLASK}', 2), ',') END AS ms
@@ -275,6 +278,7 @@ UNION ALL SELECT repo, file_path, CAST(n AS INTEGER), upper({RX}(raw, '{rules.FA
   FROM lines_core WHERE regexp_matches(raw, '{rules.FASTAPI}')
 UNION ALL SELECT repo, file_path, CAST(n AS INTEGER), upper({RX}(raw, '{rules.EXPRESS}', 2)), {RX}(raw, '{rules.EXPRESS}', 3), 'Express'
   FROM lines_core WHERE regexp_matches(raw, '{rules.EXPRESS}')""")
+oracle("core_endpoints", "core_eps", "SELECT * FROM core_eps")
 oracle("path_parameters", "eps", f"""SELECT {_AT}, method, p AS name, 'path' AS type, TRUE AS required,
   'Path parameter ' || p AS description FROM (SELECT *, unnest(params) AS p FROM eps)""")
 oracle("handler_association", "eps",
@@ -325,8 +329,7 @@ oracle("integration_points", "d_service", "SELECT repo, file_path, array_to_stri
 # --- classification ---------------------------------------------------------------------------------------------------
 oracle("file_purpose", "facts", "SELECT repo, file_path, file_purpose FROM facts")
 oracle("file_purpose_detailed", "d_facts", "SELECT repo, file_path, file_purpose FROM d_facts")
-oracle("file_purpose_core", "kept_core", f"""SELECT repo, file_path, {cases('lower(file_path)', rules.PURPOSE_PATHS['core'],
-  cases('lower(content)', rules.PURPOSE_CORE_CONTENT, "'General Purpose'"))} AS file_purpose FROM kept_core""")
+oracle("file_purpose_core", "core_flags", "SELECT repo, file_path, file_purpose FROM core_flags")
 oracle("file_category", "d_facts", """SELECT repo, file_path, file_purpose AS category,
   CASE WHEN n_eps > 0 THEN 'API Routes' WHEN n_jsx > 0 THEN 'UI Components' WHEN n_classes > 0 THEN 'Classes/Models'
     WHEN n_funcs > 0 THEN 'Business Logic' ELSE 'Configuration/Other' END AS fallback FROM d_facts""")

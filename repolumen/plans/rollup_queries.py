@@ -314,4 +314,4 @@ def _(spark, sf):
 
 @query("retention_filter")
 def _(spark, sf):
-    return ranking.retained(inputs.jobs(spark, sf), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return ranking.retained(inputs.jobs(spark, sf), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))

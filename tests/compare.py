@@ -71,7 +71,7 @@ def main() -> None:
                 result = None if len(frame.toPandas()) else "no rows"
             rows = con.execute(f"SELECT count(*) FROM ({ORACLE[name]})").fetchone()[0] if name in ORACLE else "-"
         except Exception as error:  # report every query, then fail
-            result, rows = f"{type(error).__name__}: {str(error)[:1500]}", "?"
+            result, rows = f"{type(error).__name__}: {str(error)[:400]}", "?"
         print(f"{'ok  ' if result is None else 'FAIL'} {name} rows={rows} {time.time() - began:.2f}s {result or ''}", flush=True)
         if result is not None:
             failed.append(name)
