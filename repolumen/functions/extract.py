@@ -299,6 +299,17 @@ def core_endpoints(content: Column) -> Column:
     return F.concat(flask_rows, verbs(rules.FASTAPI, "FastAPI"), verbs(rules.EXPRESS_CORE, "Express"))
 
 
+def core_function_count(content: Column, language: Column) -> Column:
+    """Matches of the core function patterns; an async function matches two of them."""
+    def total(patterns):
+        counts = [F.regexp_count(content, F.lit(p)) for p in patterns]
+        return sum(counts[1:], counts[0])
+
+    return F.when(is_py(language), total(rules.CORE_FUNCTIONS["python"])) \
+        .when(is_js(language), total(rules.CORE_FUNCTIONS["javascript"])) \
+        .when(language == "java", total([rules.JAVA_FUNCTION])).otherwise(F.lit(0))
+
+
 def java_functions(content: Column) -> Column:
     found = located_matches(content, rules.JAVA_FUNCTION, name=2, listed=3)
     return F.transform(found, lambda f: F.struct(

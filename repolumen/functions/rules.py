@@ -53,6 +53,11 @@ PY_RETURN = r"->\s*([^:]+):"
 JS_FUNCTION = (r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?"
                r"(?:function|\([^)]*\)\s*=>))")
 JS_PARENS = r"\(([^)]*)\)"
+CORE_FUNCTIONS = {
+    "python": [r"(?m)^\s*def\s+(\w+)\s*\(([^)]*)\)\s*(?:->\s*([^:]+))?:"],
+    "javascript": [r"function\s+(\w+)\s*\(([^)]*)\)", r"\b(\w+)\s*=\s*function\s*\(([^)]*)\)",
+                   r"\b(\w+)\s*=\s*\(([^)]*)\)\s*=>", r"async\s+function\s+(\w+)\s*\(([^)]*)\)"],
+}
 JAVA_FUNCTION = r"(public|private|protected)\s+(?:[\w\s]*\s)?(\w+)\s*\(([^)]*)\)"
 JS_IMPORT = r"import.*from\s+[\x22\x27]([^\x22\x27]+)[\x22\x27]"
 JS_REQUIRE = r"require\s*\(\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]\)"

@@ -71,7 +71,8 @@ def newlines(text: Column) -> Column:
 def located_matches(content: Column, pattern: str, **groups: int) -> Column:
     """All matches in a text, also across lines, as ``array<struct<line, ...groups>>``.
 
-    The pieces between matches tell how many newlines precede each match.
+    The pieces between matches tell how many newlines precede each match. Groups are read from
+    the matched pieces, so the text itself is scanned twice whatever the number of groups.
     """
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
     steps = F.zip_with(
@@ -86,12 +87,16 @@ def located_matches(content: Column, pattern: str, **groups: int) -> Column:
     zipped = F.transform(lines, lambda n: F.struct(n.alias("line")))
     names = ["line"]
     for name, group in groups.items():
-        values = F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
+        values = F.transform(found, _group_of(pattern, group)) if group else found
         zipped = F.zip_with(zipped, values, _append(tuple(names), name))
         names.append(name)
     return zipped
 
 
+def _group_of(pattern, group):
+    return lambda match: F.regexp_extract(match, pattern, group)
+
+
 def _append(names, name):
     return lambda row, value: F.struct(*[row[n].alias(n) for n in names], value.alias(name))
 

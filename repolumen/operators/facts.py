@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, extract, paths, rules, text
+from ..functions import classify, extract, paths, prep, rules, text
 from ..functions.symbols import python_symbols
+from .unnest import unnest
 
 
 def select_files(files: DataFrame, profile: str = "enhanced") -> DataFrame:
@@ -47,14 +48,12 @@ def endpoints(files: DataFrame, profile: str = "enhanced") -> DataFrame:
     language, path, lines = F.col("language"), F.col("file_path"), F.col("lines")
     found = _with_lines(files, profile).select(
         "repo", "file_path", "language", extract.endpoint_anchors(lines, language).alias("found"))
-    stopped = found.where(F.size("found") > 0).withColumn("stop", extract.stop_position(F.col("found"), language, path))
-    lines_read = stopped.select("repo", "file_path", "language", "stop", F.explode("found").alias("a")) \
+    stopped = found.withColumn("stop", extract.stop_position(F.col("found"), language, path))
+    lines_read = unnest(stopped, ["repo", "file_path", "language", "stop"], "found", "a") \
         .where(F.col("stop").isNull() | (F.col("a.pos") <= F.col("stop")))
     is_stop = F.coalesce(F.col("a.pos") == F.col("stop"), F.lit(False))
-    rows = lines_read.select(
-        "repo", "file_path", "language", (F.col("a.pos") + 1).alias("line"),
-        F.posexplode(extract.endpoint_rows(F.col("a.text"), F.col("a.ahead"), language, path, is_stop, profile))
-        .alias("ord", "e"))
+    rows = unnest(lines_read, ["repo", "file_path", "language", (F.col("a.pos") + 1).alias("line")],
+                  extract.endpoint_rows(F.col("a.text"), F.col("a.ahead"), language, path, is_stop, profile), "e", "ord")
     return rows.select("repo", "file_path", "language", "line", "ord", "e.*")
 
 
@@ -63,8 +62,8 @@ def functions(files: DataFrame, profile: str = "enhanced") -> DataFrame:
     language, path, lines = F.col("language"), F.col("file_path"), F.col("lines")
     found = _with_lines(files, profile).select(
         "repo", "file_path", "language", extract.function_anchors(lines, language).alias("found"))
-    stopped = found.where(F.size("found") > 0).withColumn("stop", extract.stop_position(F.col("found"), language, path))
-    rows = stopped.select("repo", "file_path", "language", "stop", F.explode("found").alias("a")).where(
+    stopped = found.withColumn("stop", extract.stop_position(F.col("found"), language, path))
+    rows = unnest(stopped, ["repo", "file_path", "language", "stop"], "found", "a").where(
         (F.col("stop").isNull() | (F.col("a.pos") < F.col("stop")))
         & (extract.is_py(language) | F.col("a.text").rlike(rules.JS_FUNCTION)))
     fields = extract.function_fields(F.col("a.text"), F.col("a.before"), F.col("a.ahead"), language, profile)
@@ -121,17 +120,19 @@ def core_facts(files: DataFrame) -> DataFrame:
     return staged.select(
         "repo", "file_path", "language", text.lines_of_code(c).alias("lines_of_code"),
         F.size(extract.core_endpoints(c)).alias("api_count"),
+        extract.core_function_count(c, language).alias("function_count"),
         classify.is_backend(path, F.col("lowered"), profile="core").alias("is_backend"),
         classify.file_purpose_core(path, F.col("lowered")).alias("file_purpose"),
         extract.dependencies(c, language, "core").alias("dependencies"),
         F.substring(c, 1, rules.PREVIEW_CHARS).alias("content_preview"))
 
 
-def detailed_facts(files: DataFrame) -> DataFrame:
+def detailed_facts(files: DataFrame, with_context: bool = False) -> DataFrame:
     """File facts of the detailed profile with symbol arrays.
 
     JavaScript symbols are column expressions; only Python text goes to the syntax-tree
-    worker, and the worker returns the symbols without the text.
+    worker, and the worker returns the symbols without the text. ``with_context`` adds the
+    shortened text that prompts are built from.
     """
     c, path, language = F.col("content"), F.col("file_path"), F.col("language")
     script = language.isin("javascript", "jsx", "typescript", "tsx")
@@ -150,8 +151,10 @@ def detailed_facts(files: DataFrame) -> DataFrame:
         F.when(script, js_classes).otherwise(py["classes"]).alias("classes"),
         F.when(script, js_imports).otherwise(py["imports"]).alias("imports"),
         F.when(script, extract.jsx_components(c)).otherwise(none("array<string>")).alias("jsx_components"),
-        extract.detailed_endpoints(c, language).alias("endpoints"))
+        extract.detailed_endpoints(c, language).alias("endpoints"),
+        *([text.lines_of(c).alias("lines")] if with_context else []))
     low = F.col("lowered")
+    context = [prep.extract_context(F.col("lines"), language, F.col("endpoints")).alias("context")] if with_context else []
     py_deps = F.transform(F.filter("imports", lambda i: ~i["source"].startswith(".")),
                           lambda i: F.substring_index(i["source"], ".", 1))
     js_deps = F.transform(F.filter("imports", lambda i: extract.external(i["source"])),
@@ -162,4 +165,4 @@ def detailed_facts(files: DataFrame) -> DataFrame:
         classify.service_info(path, low).alias("service_info"),
         classify.integration_points(low).alias("integration_points"),
         classify.file_purpose_detailed(path, F.size("endpoints"), F.size("jsx_components"), F.size("classes"),
-                                       F.size("functions")).alias("file_purpose"))
+                                       F.size("functions")).alias("file_purpose"), *context)

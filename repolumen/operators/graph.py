@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, extract, paths, rules
 from ..session import materialize
+from .unnest import unnest
 
 
 def resolve_imports(detailed: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def resolve_imports(detailed: DataFrame) -> DataFrame:
     targets = (detailed.select("repo", "file_path", rank.alias("rank")).where(F.col("rank") > 0)
                .groupBy("repo", paths.without_suffix(F.col("file_path")).alias("base"))
                .agg(F.min(F.struct("rank", "file_path"))["file_path"].alias("target")))
-    imports = detailed.select("repo", "file_path", F.explode("imports").alias("i")).select(
+    imports = unnest(detailed, ["repo", "file_path"], "imports", "i").select(
         "repo", "file_path", "i.line", "i.source",
         paths.resolve_relative(F.col("file_path"), F.col("i.source")).alias("base"))
     return imports.where(F.col("base").isNotNull()).join(targets, ["repo", "base"]) \
@@ -30,7 +31,7 @@ def resolve_imports(detailed: DataFrame) -> DataFrame:
 
 def external_dependencies(detailed: DataFrame) -> DataFrame:
     """One node per repository and outside package, with the first import that names it."""
-    imports = detailed.select("repo", "file_path", F.posexplode("imports").alias("at", "i")) \
+    imports = unnest(detailed, ["repo", "file_path"], "imports", "i", "at") \
         .where(extract.external(F.col("i.source")))
     return imports.groupBy("repo", extract.top_name(F.col("i.source")).alias("name")).agg(
         F.min(F.struct("file_path", "at", "i.source"))["source"].alias("full_name"))
@@ -41,8 +42,7 @@ def endpoint_handlers(bundles: DataFrame) -> DataFrame:
 
     Both lists belong to one file row, so the equality join runs inside the row.
     """
-    rows = bundles.select("repo", "file_path", F.explode("apis").alias("e"),
-                          F.transform("funcs", lambda f: f["name"]).alias("names"))
+    rows = unnest(bundles, ["repo", "file_path", F.transform("funcs", lambda f: f["name"]).alias("names")], "apis", "e")
     return rows.where(F.col("e.function_name") != "").select(
         "repo", "file_path", "e.line", "e.method", "e.path", "e.function_name",
         F.array_contains("names", F.col("e.function_name")).alias("defined"))
@@ -70,7 +70,7 @@ def build_nodes(detailed: DataFrame, bundles: DataFrame) -> DataFrame:
         .alias("metadata"))
 
     def members(column, kind, extra):
-        rows = detailed.select("repo", "file_path", F.explode(column).alias("x"))
+        rows = unnest(detailed, ["repo", "file_path"], column, "x")
         return rows.select("repo", _id(kind, path, F.col("x.name")).alias("id"), F.lit(kind).alias("type"),
                            F.col("x.name").alias("name"), path.alias("path"),
                            _metadata(line=F.col("x.line"), **{extra: F.array_join(f"x.{extra}", ",")}).alias("metadata"))
@@ -78,7 +78,7 @@ def build_nodes(detailed: DataFrame, bundles: DataFrame) -> DataFrame:
     outside = external_dependencies(detailed).select(
         "repo", _id("external", F.col("name")).alias("id"), F.lit("external_dependency").alias("type"), "name",
         F.lit(None).cast("string").alias("path"), _metadata(full_name=F.col("full_name")).alias("metadata"))
-    apis = bundles.select("repo", "file_path", F.explode("apis").alias("e")).select(
+    apis = unnest(bundles, ["repo", "file_path"], "apis", "e").select(
         "repo", _id("api", path, F.col("e.method"), F.col("e.path")).alias("id"), F.lit("api_endpoint").alias("type"),
         F.concat_ws(" ", "e.method", "e.path").alias("name"), path.alias("path"),
         _metadata(method=F.col("e.method"), path=F.col("e.path"), line=F.col("e.line"),
@@ -103,12 +103,12 @@ def build_edges(detailed: DataFrame, bundles: DataFrame) -> DataFrame:
                          F.lit(1.0).alias("weight"), metadata.alias("metadata"))
 
     def members(column, kind):
-        rows = detailed.select("repo", "file_path", F.explode(F.transform(column, lambda x: x["name"])).alias("name"))
+        rows = unnest(detailed, ["repo", "file_path"], F.transform(column, lambda x: x["name"]), "name")
         return edges(rows, me, _id(kind, path, F.col("name")), "contains")
 
-    outside = detailed.select("repo", "file_path", F.explode("imports").alias("i")) \
+    outside = unnest(detailed, ["repo", "file_path"], "imports", "i") \
         .where(extract.external(F.col("i.source")))
-    apis = bundles.select("repo", "file_path", F.explode("apis").alias("e"))
+    apis = unnest(bundles, ["repo", "file_path"], "apis", "e")
     api_id = _id("api", path, F.col("e.method"), F.col("e.path"))
     at_line = _metadata(import_line=F.col("line"))
     parts = [

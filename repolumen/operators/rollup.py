@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, paths, rules
 from ..functions.text import contains_any
+from .unnest import unnest
 
 
 def first_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -85,8 +86,8 @@ def folder_components(detailed: DataFrame) -> DataFrame:
         head = F.slice(array, 1, 2)
         return head if name is None else F.transform(head, lambda x: x[name])
 
-    names = detailed.select("repo", paths.folder_of(F.col("file_path")).alias("folder"), F.explode(F.concat(
-        two("functions", "name"), two("classes", "name"), two("jsx_components"))).alias("component")).distinct()
+    names = unnest(detailed, ["repo", paths.folder_of(F.col("file_path")).alias("folder")], F.concat(
+        two("functions", "name"), two("classes", "name"), two("jsx_components")), "component").distinct()
     return first_k(names, ["repo", "folder"], ["component"], 10).select("repo", "folder", "component", "rank")
 
 
@@ -96,8 +97,8 @@ def key_components(detailed: DataFrame) -> DataFrame:
 
 
 def folder_dependencies(detailed: DataFrame) -> DataFrame:
-    return detailed.select("repo", paths.folder_of(F.col("file_path")).alias("folder"),
-                           F.explode("dependencies").alias("dependency")).distinct()
+    return unnest(detailed, ["repo", paths.folder_of(F.col("file_path")).alias("folder")],
+                  "dependencies", "dependency").distinct()
 
 
 # --- modules, domains, repositories -----------------------------------------------------------
@@ -141,8 +142,8 @@ def hierarchy_rollup(folders: DataFrame) -> DataFrame:
 
 def module_interfaces(detailed: DataFrame, per_folder: int = 5) -> DataFrame:
     """First endpoints of each folder, offered by its module."""
-    rows = detailed.select("repo", "file_path", paths.folder_of(F.col("file_path")).alias("folder"),
-                           F.posexplode("endpoints").alias("at", "e"))
+    rows = unnest(detailed, ["repo", "file_path", paths.folder_of(F.col("file_path")).alias("folder")],
+                  "endpoints", "e", "at")
     kept = first_k(rows, ["repo", "folder"], ["file_path", "at"], per_folder)
     return kept.select("repo", paths.module_of(F.col("folder")).alias("module"), "folder", "rank",
                        F.concat_ws(" ", "e.method", "e.path").alias("interface"))
@@ -152,14 +153,14 @@ def module_interfaces(detailed: DataFrame, per_folder: int = 5) -> DataFrame:
 
 
 def dependency_union(facts: DataFrame, k: int = 20) -> DataFrame:
-    names = facts.select("repo", F.explode("dependencies").alias("dependency")).distinct()
+    names = unnest(facts, ["repo"], "dependencies", "dependency").distinct()
     return first_k(names, ["repo"], ["dependency"], k)
 
 
 def tech_usage(facts: DataFrame) -> DataFrame:
     """Backend files per dependency."""
-    return facts.where("is_backend").select("repo", F.explode("dependencies").alias("dependency")) \
-        .groupBy("repo", "dependency").agg(F.count("*").alias("files"))
+    used = unnest(facts, ["repo"], F.when(F.col("is_backend"), F.col("dependencies")), "dependency")
+    return used.groupBy("repo", "dependency").agg(F.count("*").alias("files"))
 
 
 def tech_usage_lookup(facts: DataFrame) -> DataFrame:
@@ -205,12 +206,11 @@ def project_type(facts: DataFrame) -> DataFrame:
 def detected_features(facts: DataFrame, k: int = 8) -> DataFrame:
     """First ``k`` feature lines in file order, repeats included; four general lines where none match."""
     low = F.lower("file_path")
-    backend = facts.where("is_backend")
     entries = F.array_compact(F.array(*[
         F.when(contains_any(low, words), F.struct(F.lit(i).alias("ord"), F.lit(label).alias("feature")))
         for i, (words, label) in enumerate(rules.FEATURES)]))
-    found = first_k(backend.select("repo", "file_path", F.explode(entries).alias("e")),
-                    ["repo"], ["file_path", F.col("e.ord")], k).select("repo", "rank", "e.feature")
+    hits = unnest(facts, ["repo", "file_path"], F.when(F.col("is_backend"), entries), "e")
+    found = first_k(hits, ["repo"], ["file_path", F.col("e.ord")], k).select("repo", "rank", "e.feature")
     counts = repo_summary(facts).join(found.select("repo").distinct(), "repo", "left_anti")
     general = [F.format_string("**%d Backend Services**: Microservices architecture with specialized functionality", "backend_files"),
                F.format_string("**%d API Endpoints**: Comprehensive REST API with full documentation", "total_apis"),

@@ -140,12 +140,14 @@ oracle("build_prompt_fast", "facts_fast eps_fast fns_fast", prompt(
     text("API ENDPOINTS:\n"), blocks("eps_fast", "a", "line, ord", text("\n{method} {path} (line {line})\n" + _FENCE)),
     text("\nKEY FUNCTIONS:\n"), blocks("fns_fast", "f", "line", text(
         "\n{name}({" + _JOINED + "}) (line {line})\n" + _FENCE), 5)))
-oracle("build_prompt_preview", "kept_core facts core_eps core_flags", f"""
+CORE_COUNT = "CASE WHEN language = 'python' THEN " + "%s ELSE %s END" % tuple(
+    " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in rules.CORE_FUNCTIONS[name]) for name in ("python", "javascript"))
+oracle("build_prompt_preview", "kept_core core_eps core_flags", f"""
 SELECT repo, file_path, prompt, length(prompt) // 4 + 100 AS est_tokens FROM (SELECT repo, file_path, {text(
     "Analyze this {k.language} code file and provide a comprehensive description:\n\nFile: {file_path}\nPurpose: {c.file_purpose}\n"
-    "Functions: {function_count}\nAPI Endpoints: {coalesce(n, 0)}\nBackend File: {CASE WHEN c.is_backend THEN 'True' ELSE 'False' END}\n\n"
+    "Functions: {" + CORE_COUNT + "}\nAPI Endpoints: {coalesce(n, 0)}\nBackend File: {CASE WHEN c.is_backend THEN 'True' ELSE 'False' END}\n\n"
     "Code Preview:\n{left(content, 800)}")} AS prompt
-FROM kept_core k JOIN facts USING (repo, file_path) JOIN core_flags c USING (repo, file_path)
+FROM kept_core k JOIN core_flags c USING (repo, file_path)
   LEFT JOIN (SELECT repo, file_path, count(*) AS n FROM core_eps GROUP BY ALL) USING (repo, file_path))""")
 part("short_contexts", "contexts", reduced("context", "contexts"))
 oracle("build_prompt_typed", "d_facts short_contexts d_eps", f"""

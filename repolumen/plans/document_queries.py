@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, extract, prep, text
 from ..operators import documents, enrich, facts
+from ..operators.unnest import unnest
 from ..session import materialize
 from ..sources import sinks
 from . import inputs
@@ -61,7 +62,7 @@ def _(spark, sf):
 
 @query("parse_key_list")
 def _(spark, sf):
-    return inputs.key_lists(spark, sf).select("doc_id", F.posexplode(prep.key_list(F.col("keys"))).alias("at", "key"))
+    return unnest(inputs.key_lists(spark, sf), ["doc_id"], prep.key_list(F.col("keys")), "key", "at")
 
 
 # --- prompts ---------------------------------------------------------------------------------------
@@ -73,7 +74,7 @@ def _prompt(rows, prompt):
 
 
 def _stated(spark, sf, profile="enhanced"):
-    rows = facts.file_bundles(inputs.corpus(spark, sf), profile)
+    rows = materialize(facts.file_bundles(inputs.corpus(spark, sf), profile), "bundles")
     return rows.where((F.col("function_count") > 0) | (F.col("api_count") > 0))
 
 
@@ -94,18 +95,14 @@ def _(spark, sf):
 
 @query("build_prompt_preview")
 def _(spark, sf):
-    files = inputs.corpus(spark, sf)
-    counts = facts.file_facts(files).select(*KEY, "function_count")
-    return _prompt(facts.core_facts(files).join(counts, KEY), prep.preview_prompt())
+    return _prompt(facts.core_facts(inputs.corpus(spark, sf)), prep.preview_prompt())
 
 
 @query("build_prompt_typed")
 def _(spark, sf):
-    files = inputs.corpus(spark, sf)
-    rows = facts.detailed_facts(files).select(*KEY, "language", "functions", "classes", "endpoints")
-    prepared = _context_rows(spark, sf).select(*KEY, "context")
+    rows = facts.detailed_facts(inputs.corpus(spark, sf), with_context=True)
     kind = classify.prompt_file_type(F.col("file_path"), F.size("endpoints"))
-    staged = rows.join(prepared, KEY).withColumn("lines", text.lines_of(F.col("context")))
+    staged = rows.withColumn("lines", text.lines_of(F.col("context")))
     return _prompt(staged, prep.typed_prompt(prep.reduce_text(F.col("context"), F.col("lines")), kind))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, extract, paths, rules, text
 from ..operators import facts
+from ..operators.unnest import unnest
+from ..session import materialize
 from ..sources.corpus import scan_table
 from . import inputs
 from .registry import query
@@ -31,6 +33,12 @@ def bar(array):
     return F.array_join(array, "|")
 
 
+def _stored_facts(spark, sf):
+    """Facts that are filtered by a computed column are stored first, so the filter reads parquet
+    instead of repeating the extraction below the projection."""
+    return materialize(facts.file_facts(inputs.corpus(spark, sf)), "facts")
+
+
 # --- scans, filters, projections ------------------------------------------------------------
 
 
@@ -71,32 +79,32 @@ def _(spark, sf):
 
 @query("llm_eligible")
 def _(spark, sf):
-    return facts.file_facts(inputs.corpus(spark, sf)) \
-        .where((F.col("function_count") > 0) | (F.col("api_count") > 0)).select(*KEY)
+    return _stored_facts(spark, sf).where((F.col("function_count") > 0) | (F.col("api_count") > 0)).select(*KEY)
 
 
 @query("llm_eligible_optimized")
 def _(spark, sf):
-    return facts.detailed_facts(inputs.corpus(spark, sf)).where(classify.eligible_optimized(
+    rows = materialize(facts.detailed_facts(inputs.corpus(spark, sf)), "detailed")
+    return rows.where(classify.eligible_optimized(
         path(), F.col("service_info.type"), F.size("functions"), F.size("endpoints"), F.size("classes"))).select(*KEY)
 
 
 @query("frontend_files")
 def _(spark, sf):
-    return facts.file_facts(inputs.corpus(spark, sf)).where(~F.col("is_backend")).select(*KEY, "language")
+    return _stored_facts(spark, sf).where(~F.col("is_backend")).select(*KEY, "language")
 
 
 @query("external_only")
 def _(spark, sf):
     files = facts.select_files(inputs.corpus(spark, sf)).where(extract.is_js(language()))
-    sources = files.select(*KEY, F.explode(text.group_per_line(content(), rules.JS_IMPORT, 1)).alias("source"))
+    sources = unnest(files, KEY, text.group_per_line(content(), rules.JS_IMPORT, 1), "source")
     return sources.where(extract.external(F.col("source"))).select(*KEY, "source")
 
 
 @query("exclude_stdlib")
 def _(spark, sf):
     files = facts.select_files(inputs.corpus(spark, sf)).where(extract.is_py(language()))
-    names = files.select(*KEY, F.explode(text.group_per_line(content(), rules.PY_IMPORT, 1)).alias("dep"))
+    names = unnest(files, KEY, text.group_per_line(content(), rules.PY_IMPORT, 1), "dep")
     return names.where(~F.col("dep").isin(rules.PY_SKIP_DEPS["enhanced"])).select(*KEY, "dep")
 
 
@@ -113,7 +121,7 @@ def _(spark, sf):
 
 @query("explode_lines")
 def _(spark, sf):
-    lines = facts.select_files(inputs.corpus(spark, sf)).select(*KEY, F.posexplode(text.lines_of(content())).alias("p", "text"))
+    lines = unnest(facts.select_files(inputs.corpus(spark, sf)), KEY, text.lines_of(content()), "text", "p")
     return lines.select(*KEY, (F.col("p") + 1).alias("line"), "text")
 
 
@@ -167,21 +175,19 @@ for _key, _columns in {"express": ["method", "path", "code_snippet"],
 
 @query("detailed_endpoints")
 def _(spark, sf):
-    rows = facts.select_files(inputs.corpus(spark, sf), "detailed").select(
-        *KEY, F.explode(extract.detailed_endpoints(content(), language())).alias("e"))
+    rows = unnest(facts.select_files(inputs.corpus(spark, sf), "detailed"), KEY, extract.detailed_endpoints(content(), language()), "e")
     return rows.select(*KEY, "e.line", "e.method", "e.path")
 
 
 @query("core_endpoints")
 def _(spark, sf):
-    rows = facts.select_files(inputs.corpus(spark, sf), "core").select(
-        *KEY, F.explode(extract.core_endpoints(content())).alias("e"))
+    rows = unnest(facts.select_files(inputs.corpus(spark, sf), "core"), KEY, extract.core_endpoints(content()), "e")
     return rows.select(*KEY, "e.line", "e.method", "e.path", "e.framework")
 
 
 @query("path_parameters")
 def _(spark, sf):
-    rows = facts.endpoints(inputs.corpus(spark, sf)).select(*KEY, "line", "method", F.explode("parameters").alias("p"))
+    rows = unnest(facts.endpoints(inputs.corpus(spark, sf)), [*KEY, "line", "method"], "parameters", "p")
     return rows.select(*KEY, "line", "method", "p.name", "p.type", "p.required", "p.description")
 
 
@@ -214,14 +220,14 @@ def _(spark, sf):
 @query("detailed_js_functions")
 def _(spark, sf):
     files = facts.select_files(inputs.corpus(spark, sf), "detailed").where(~extract.is_py(language()))
-    return files.select(*KEY, F.explode(extract.detailed_js_functions(content())).alias("f")) \
+    return unnest(files, KEY, extract.detailed_js_functions(content()), "f") \
         .select(*KEY, "f.line", "f.name", "f.is_async")
 
 
 @query("java_functions")
 def _(spark, sf):
     files = facts.select_files(inputs.java_corpus(spark, sf), "core").where(language() == "java")
-    return files.select(*KEY, F.explode(extract.java_functions(content())).alias("f")) \
+    return unnest(files, KEY, extract.java_functions(content()), "f") \
         .select(*KEY, "f.line", "f.name", bar(F.col("f.params")).alias("params"))
 
 
@@ -264,16 +270,15 @@ def _script_files(spark, sf):
 
 @query("classes")
 def _(spark, sf):
-    rows = _script_files(spark, sf).unionByName(
-        facts.select_files(inputs.java_corpus(spark, sf), "core").where(language() == "java")) \
-        .select(*KEY, F.explode(text.located_matches(content(), rules.CLASS_NAME, name=1)).alias("k"))
+    files = _script_files(spark, sf).unionByName(
+        facts.select_files(inputs.java_corpus(spark, sf), "core").where(language() == "java"))
+    rows = unnest(files, KEY, text.located_matches(content(), rules.CLASS_NAME, name=1), "k")
     return rows.select(*KEY, "k.line", "k.name")
 
 
 @query("imports")
 def _(spark, sf):
-    rows = _script_files(spark, sf).select(
-        *KEY, F.explode(text.located_matches(content(), rules.JS_IMPORT_BLOCK, source=1)).alias("i"))
+    rows = unnest(_script_files(spark, sf), KEY, text.located_matches(content(), rules.JS_IMPORT_BLOCK, source=1), "i")
     return rows.select(*KEY, "i.line", "i.source")
 
 
@@ -285,14 +290,14 @@ def _(spark, sf):
 @query("python_symbols")
 def _(spark, sf):
     rows = facts.detailed_facts(inputs.corpus(spark, sf)).where(extract.is_py(language()))
-    return rows.select(*KEY, F.explode("functions").alias("f")) \
+    return unnest(rows, KEY, "functions", "f") \
         .select(*KEY, "f.line", "f.name", bar(F.col("f.params")).alias("params"))
 
 
 @query("env_vars")
 def _(spark, sf):
     found = facts.select_files(inputs.corpus(spark, sf), "detailed").select(*KEY, extract.env_vars(content()).alias("found"))
-    return found.select(*KEY, F.explode(extract.first_by_name(F.col("found"))).alias("v")) \
+    return unnest(found, KEY, extract.first_by_name(F.col("found")), "v") \
         .select(*KEY, "v.line", "v.name")
 
 

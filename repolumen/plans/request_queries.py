@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facts, requestlog
+from ..session import materialize
 from . import inputs
 from .registry import query
 
@@ -90,8 +91,8 @@ def _(spark, sf):
 
 @query("file_batches")
 def _(spark, sf):
-    eligible = facts.file_facts(inputs.corpus(spark, sf)).where("function_count > 0 OR api_count > 0")
-    return requestlog.file_batches(eligible)
+    stored = materialize(facts.file_facts(inputs.corpus(spark, sf)), "facts")
+    return requestlog.file_batches(stored.where("function_count > 0 OR api_count > 0"))
 
 
 @query("time_estimate")

@@ -294,12 +294,12 @@ def _(spark, sf):
 
 @query("backend_top_n")
 def _(spark, sf):
-    return ranking.backend_top_n(file_facts(spark, sf), 10).select("repo", "file_path", "rank")
+    return ranking.backend_top_n(stored_facts(spark, sf), 10).select("repo", "file_path", "rank")
 
 
 @query("service_port_assignment")
 def _(spark, sf):
-    return ranking.service_ports(file_facts(spark, sf)).select("repo", "file_path", "port")
+    return ranking.service_ports(stored_facts(spark, sf)).select("repo", "file_path", "port")
 
 
 @query("keep_latest")
