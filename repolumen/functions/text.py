@@ -71,34 +71,22 @@ def newlines(text: Column) -> Column:
 def located_matches(content: Column, pattern: str, **groups: int) -> Column:
     """All matches in a text, also across lines, as ``array<struct<line, ...groups>>``.
 
-    The pieces between matches tell how many newlines precede each match. Groups are read from
-    the matched pieces, so the text itself is scanned twice whatever the number of groups.
+    The pieces between matches tell how many newlines precede each match. Pieces and matches
+    are each computed once; groups are read from the matched pieces.
     """
-    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(
-        F.slice(F.split(content, pattern), F.lit(1), F.size(found)), found,
-        lambda piece, match: F.struct(newlines(piece).alias("before"), newlines(match).alias("inside")))
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(1).alias("at"))
-    lines = F.aggregate(
-        steps, start,
-        lambda acc, s: F.struct(F.concat(acc["out"], F.array(acc["at"] + s["before"])).alias("out"),
-                                (acc["at"] + s["before"] + s["inside"]).alias("at")),
-        lambda acc: acc["out"])
-    zipped = F.transform(lines, lambda n: F.struct(n.alias("line")))
-    names = ["line"]
-    for name, group in groups.items():
-        values = F.transform(found, _group_of(pattern, group)) if group else found
-        zipped = F.zip_with(zipped, values, _append(tuple(names), name))
-        names.append(name)
-    return zipped
-
-
-def _group_of(pattern, group):
-    return lambda match: F.regexp_extract(match, pattern, group)
-
-
-def _append(names, name):
-    return lambda row, value: F.struct(*[row[n].alias(n) for n in names], value.alias(name))
+    def step(acc, s):
+        at = acc["at"] + newlines(s["piece"])
+        row = F.struct(at.alias("line"), s["match"].alias("match"))
+        return F.when(s["match"].isNull(), acc).otherwise(F.struct(
+            F.concat(acc["out"], F.array(row)).alias("out"), (at + newlines(s["match"])).alias("at")))
+
+    steps = F.zip_with(F.split(content, pattern), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
+                       lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")))
+    start = F.struct(F.array().cast("array<struct<line:int,match:string>>").alias("out"), F.lit(1).alias("at"))
+    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return F.transform(found, lambda m: F.struct(m["line"].alias("line"), *[
+        (F.regexp_extract(m["match"], pattern, group) if group else m["match"]).alias(name)
+        for name, group in groups.items()]))
 
 
 def anchors(lines: Column, matches, before: int = 0, ahead: int = 1) -> Column:

@@ -13,16 +13,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, paths, rules
+from ..functions import paths, rules
 from ..functions.prep import _each, _say
 from . import ranking, rollup
+from .unnest import unnest
 
 DOCUMENT_CHARS = 4_000_000
 
 
-def section(df: DataFrame, doc: str, sec: int, text: Column, key: Column | None = None) -> DataFrame:
-    return df.select("repo", F.lit(doc).alias("doc_name"), F.lit(sec).alias("sec"),
-                     (F.lit("") if key is None else key).alias("key"), text.alias("text"))
+def sections(df: DataFrame, doc: str, *rows: tuple) -> DataFrame:
+    """Sections of a document from the rows of ``df``, all of them in one pass.
+
+    Each entry is ``(sec, key, text)`` or ``(sec, key, text, condition)``; a key of ``None``
+    means the section occurs once per document.
+    """
+    entries = []
+    for sec, key, text, *condition in rows:
+        entry = F.struct(F.lit(sec).alias("sec"), (F.lit("") if key is None else key).alias("key"), text.alias("text"))
+        entries.append(F.when(condition[0], entry) if condition else entry)
+    listed = unnest(df, ["repo", F.lit(doc).alias("doc_name")], F.array_compact(F.array(*entries)), "s")
+    return listed.select("repo", "doc_name", "s.sec", "s.key", "s.text")
 
 
 def numbered(position: Column) -> Column:
@@ -55,35 +65,33 @@ def _speaks(*names: str) -> Column:
     return F.arrays_overlap("languages", F.array(*[F.lit(n) for n in names]))
 
 
-def _with_totals(facts: DataFrame) -> DataFrame:
-    return rollup.repo_summary(facts)
-
-
 PATH = "file_path"
 
 
 def api_document(bundles: DataFrame) -> DataFrame:
     """Contents list and one entry with a call example per endpoint of the backend files."""
     doc = "API_DOCUMENTATION.md"
-    totals = _with_totals(bundles)
-    files = bundles.where(F.col("is_backend") & (F.col("api_count") > 0))
-    path = F.col(PATH)
+    path, repo = F.col(PATH), F.col("repo")
+    serving = F.col("is_backend") & (F.col("api_count") > 0)
     entries = _each(F.col("apis"), lambda a: _say(
         "#### `", a["method"], " ", a["path"], "`\n\n**Description**: ", a["description"],
         "\n\n**Example**:\n```bash\ncurl -X ", a["method"], " http://localhost:5000", a["path"], "\n```\n\n"))
     return stack([
-        section(totals, doc, 0, _say("# ", F.col("repo"), " - API Documentation\n\n## Overview\n\nThe ", F.col("repo"),
-                                     " provides ", F.col("total_apis"), " API endpoints across ", F.col("backend_files"),
-                                     " services.\n\n## Table of Contents\n\n")),
-        section(files, doc, 1, _say("- [", path, "](#", paths.anchor_name(path), ")\n"), path),
-        section(totals, doc, 2, F.lit("\n---\n\n## API Endpoints\n\n")),
-        section(files, doc, 3, _say("### ", path, "\n\n", entries), path)])
+        sections(rollup.repo_summary(bundles), doc,
+                 (0, None, _say("# ", repo, " - API Documentation\n\n## Overview\n\nThe ", repo, " provides ",
+                                F.col("total_apis"), " API endpoints across ", F.col("backend_files"),
+                                " services.\n\n## Table of Contents\n\n")),
+                 (2, None, F.lit("\n---\n\n## API Endpoints\n\n"))),
+        sections(bundles, doc,
+                 (1, path, _say("- [", path, "](#", paths.anchor_name(path), ")\n"), serving),
+                 (3, path, _say("### ", path, "\n\n", entries), serving))])
 
 
 def function_document(bundles: DataFrame) -> DataFrame:
+    """Contents list of all files with functions and the reference of the backend ones."""
     doc = "FUNCTIONS.md"
     path = F.col(PATH)
-    with_functions = bundles.where(F.col("function_count") > 0)
+    defining = F.col("function_count") > 0
     entries = _each(F.col("funcs"), lambda f: _say(
         "### `", f["name"], "(", F.array_join(f["params"], ", "), ")`\n\n",
         F.when(f["docstring"] != "", _say("**Description**: ", f["docstring"], "\n\n")).otherwise(""),
@@ -92,146 +100,157 @@ def function_document(bundles: DataFrame) -> DataFrame:
         "**Complexity**: ", f["complexity"], "\n\n",
         F.when(f["is_api_handler"], F.lit("**Type**: API Handler Function\n\n")).otherwise(""), "---\n\n"))
     return stack([
-        section(_with_totals(bundles), doc, 0, F.lit("# Function Reference\n\n## Table of Contents\n\n")),
-        section(with_functions, doc, 1, _say("- [", path, "](#", paths.anchor_name(path), ")\n"), path),
-        section(_with_totals(bundles), doc, 2, F.lit("\n---\n\n")),
-        section(with_functions.where("is_backend"), doc, 3, _say("## ", path, "\n\n", entries), path)])
+        sections(rollup.repo_summary(bundles), doc,
+                 (0, None, F.lit("# Function Reference\n\n## Table of Contents\n\n")), (2, None, F.lit("\n---\n\n"))),
+        sections(bundles, doc,
+                 (1, path, _say("- [", path, "](#", paths.anchor_name(path), ")\n"), defining),
+                 (3, path, _say("## ", path, "\n\n", entries), defining & F.col("is_backend")))])
 
 
 def architecture_document(facts: DataFrame) -> DataFrame:
     doc = "ARCHITECTURE.md"
-    path = F.col(PATH)
-    totals = _with_totals(facts)
-    tail = _say("- **Functions**: ", F.col("function_count"), "\n- **Lines of Code**: ", F.col("lines_of_code"), "\n\n")
+    path, backend = F.col(PATH), F.col("is_backend")
     head = _say("#### ", path, "\n- **Language**: ", F.col("language"), "\n")
+    tail = _say("- **Functions**: ", F.col("function_count"), "\n- **Lines of Code**: ", F.col("lines_of_code"), "\n\n")
     return stack([
-        section(totals, doc, 0, _say(
-            "# Architecture Overview\n\n## System Statistics\n\n- **Total Files**: ", F.col("total_files"),
-            "\n- **Backend Components**: ", F.col("backend_files"), "\n- **API Endpoints**: ", F.col("total_apis"),
-            "\n- **Functions**: ", F.col("total_functions"), "\n\n## Technology Stack\n\n",
-            F.array_join("languages", ", "), "\n\n## Component Overview\n\n### Backend Components\n\n")),
-        section(facts.where("is_backend"), doc, 1, _say(head, "- **API Endpoints**: ", F.col("api_count"), "\n", tail), path),
-        section(totals, doc, 2, F.lit("\n### Frontend Components\n\n")),
-        section(facts.where(~F.col("is_backend") & (F.col("function_count") > 0)), doc, 3, _say(head, tail), path)])
+        sections(rollup.repo_summary(facts), doc,
+                 (0, None, _say(
+                     "# Architecture Overview\n\n## System Statistics\n\n- **Total Files**: ", F.col("total_files"),
+                     "\n- **Backend Components**: ", F.col("backend_files"), "\n- **API Endpoints**: ",
+                     F.col("total_apis"), "\n- **Functions**: ", F.col("total_functions"), "\n\n## Technology Stack\n\n",
+                     F.array_join("languages", ", "), "\n\n## Component Overview\n\n### Backend Components\n\n")),
+                 (2, None, F.lit("\n### Frontend Components\n\n"))),
+        sections(facts, doc,
+                 (1, path, _say(head, "- **API Endpoints**: ", F.col("api_count"), "\n", tail), backend),
+                 (3, path, _say(head, tail), ~backend & (F.col("function_count") > 0)))])
 
 
 def project_summary_document(facts: DataFrame) -> DataFrame:
     """Totals, breakdowns, first backend files and first dependencies."""
     doc = "PROJECT_SUMMARY.md"
-    totals = _with_totals(facts)
-    languages, purposes = rollup.breakdown(facts, "language"), rollup.breakdown(facts, "file_purpose")
-    key_files = ranking.backend_top_n(facts, 10)
-    path = F.col(PATH)
+    path, count = F.col(PATH), F.col("files")
     api_line = F.when(F.col("api_count") > 0, _say("  - API Endpoints: ", F.col("api_count"), "\n")).otherwise("")
     fn_line = F.when(F.col("function_count") > 0, _say("  - Functions: ", F.col("function_count"), "\n")).otherwise("")
     return stack([
-        section(totals, doc, 0, _say(
-            "# Project Summary\n\n## Overview\n\n", F.col("repo"), " is a software project analyzed and documented "
-            "automatically.\n\n## Technical Statistics\n\n- **Total Files Analyzed**: ", F.col("total_files"),
-            "\n- **Backend Files**: ", F.col("backend_files"), "\n- **API Endpoints**: ", F.col("total_apis"),
-            "\n- **Functions**: ", F.col("total_functions"), "\n- **Programming Languages**: ",
-            F.array_join("languages", ", "), "\n\n## File Breakdown\n\n### By Language\n\n")),
-        section(languages, doc, 1, _say("- **", F.initcap("language"), "**: ", F.col("files"), " files\n"), F.col("language")),
-        section(totals, doc, 2, F.lit("\n### By Purpose\n\n")),
-        section(purposes, doc, 3, _say("- **", F.col("file_purpose"), "**: ", F.col("files"), " files\n"), F.col("file_purpose")),
-        section(totals, doc, 4, F.when(F.col("backend_files") > 0, _say(
-            "\n## Architecture Insights\n\nThe project contains ", F.col("backend_files"), " backend files with a total of ",
-            F.col("total_apis"), " API endpoints.\n\n#### Key Backend Files:\n\n"))
-            .otherwise("\n## Architecture Insights\n\nNo backend files detected in this project.\n\n")),
-        section(key_files, doc, 5, _say("- **", path, "** (", F.col("language"), ")\n  - Purpose: ", F.col("file_purpose"),
-                                        "\n", api_line, fn_line), path),
-        section(totals, doc, 6, F.lit("\n## Dependencies\n\n")),
-        section(rollup.dependency_union(facts), doc, 7, _say("- ", F.col("dependency"), "\n"), F.col("dependency"))])
+        sections(
+            rollup.repo_summary(facts), doc,
+            (0, None, _say(
+                "# Project Summary\n\n## Overview\n\n", F.col("repo"), " is a software project analyzed and documented "
+                "automatically.\n\n## Technical Statistics\n\n- **Total Files Analyzed**: ", F.col("total_files"),
+                "\n- **Backend Files**: ", F.col("backend_files"), "\n- **API Endpoints**: ", F.col("total_apis"),
+                "\n- **Functions**: ", F.col("total_functions"), "\n- **Programming Languages**: ",
+                F.array_join("languages", ", "), "\n\n## File Breakdown\n\n### By Language\n\n")),
+            (2, None, F.lit("\n### By Purpose\n\n")),
+            (4, None, F.when(F.col("backend_files") > 0, _say(
+                "\n## Architecture Insights\n\nThe project contains ", F.col("backend_files"),
+                " backend files with a total of ", F.col("total_apis"), " API endpoints.\n\n#### Key Backend Files:\n\n"))
+             .otherwise("\n## Architecture Insights\n\nNo backend files detected in this project.\n\n")),
+            (6, None, F.lit("\n## Dependencies\n\n"))),
+        sections(rollup.breakdown(facts, "language"), doc,
+                 (1, F.col("language"), _say("- **", F.initcap("language"), "**: ", count, " files\n"))),
+        sections(rollup.breakdown(facts, "file_purpose"), doc,
+                 (3, F.col("file_purpose"), _say("- **", F.col("file_purpose"), "**: ", count, " files\n"))),
+        sections(ranking.backend_top_n(facts, 10), doc,
+                 (5, path, _say("- **", path, "** (", F.col("language"), ")\n  - Purpose: ", F.col("file_purpose"), "\n",
+                                api_line, fn_line))),
+        sections(rollup.dependency_union(facts), doc,
+                 (7, F.col("dependency"), _say("- ", F.col("dependency"), "\n")))])
 
 
 def setup_document(facts: DataFrame) -> DataFrame:
     """Set-up steps for the languages that occur."""
-    doc = "SETUP.md"
-    totals = _with_totals(facts)
-
     def block(language, words):
         return F.when(_speaks(language), F.lit(words)).otherwise("")
 
     # fixed values: commands per language
-    return section(totals, doc, 0, _say(
+    return sections(rollup.repo_summary(facts), "SETUP.md", (0, None, _say(
         "# Setup Guide\n\nComplete setup instructions for ", F.col("repo"), ".\n\n## Prerequisites\n\n",
         F.array_join("languages", ", "), "\n\n",
         block("python", "#### Python Requirements\n- Python 3.8 or higher\n\n"),
         block("javascript", "#### Node.js Requirements\n- Node.js 16.0 or higher\n\n"),
         "### Install Dependencies\n\n", block("python", "```bash\npip install -r requirements.txt\n```\n"),
         block("javascript", "```bash\nnpm install\n```\n"), "### Start the Application\n\n",
-        block("python", "```bash\npython app.py\n```\n"), block("javascript", "```bash\nnpm start\n```\n")))
+        block("python", "```bash\npython app.py\n```\n"), block("javascript", "```bash\nnpm start\n```\n"))))
+
+
+# fixed values: rule lists for prerequisites and environment entries
+PREREQUISITES = [("- **Firebase Account**", "exact", ["firebase"]), ("- **Google API Keys**", "part", ["google"]),
+                 ("- **Groq API Key**", "exact", ["groq", "Groq"])]
+ENVIRONMENT = [("# AI/ML APIs\nGROQ_API_KEY=your_groq_api_key", "exact", ["groq", "Groq"]),
+               ("# Google Services\nGOOGLE_MAPS_API_KEY=your_google_maps_api_key", "part", ["google"]),
+               ("# Firebase Configuration\nFIREBASE_API_KEY=your_firebase_api_key", "exact", ["firebase"])]
+
+
+def _label_sections(bundles: DataFrame, doc: str, lists: list[tuple]) -> DataFrame:
+    """Sections from several rule lists ``(sec, prefix, rules, suffix)``, evaluated in one aggregation."""
+    every = [rule for _, _, rule_list, _ in lists for rule in rule_list]
+    rows, first = [], 0
+    for sec, prefix, rule_list, suffix in lists:
+        mine = (F.col("ord") >= first) & (F.col("ord") < first + len(rule_list))
+        rows.append((sec, numbered(F.col("ord")), _say(prefix, F.col("label"), suffix), mine))
+        first += len(rule_list)
+    return sections(rollup.rule_hits(bundles, every), doc, *rows)
 
 
 def readme_document(bundles: DataFrame) -> DataFrame:
     """Statistics, badges, features, structure, technologies, start commands, endpoints, thanks."""
     doc = "README.md"
-    path, low = F.col(PATH), F.lower(PATH)
-    totals = _with_totals(bundles).join(rollup.project_type(bundles), "repo")
-    backend = bundles.where("is_backend")
-    python = backend.where(F.col("language") == "python")
-    frontend = bundles.where(~F.col("is_backend"))
-    kind = F.lower("project_type")
-
-    def labels(rule_list, sec, prefix, suffix="\n"):
-        return section(rollup.rule_hits(bundles, rule_list), doc, sec, _say(prefix, F.col("label"), suffix),
-                       numbered(F.col("ord")))
+    path, backend, language = F.col(PATH), F.col("is_backend"), F.col("language")
+    apis, functions, services = F.col("total_apis"), F.col("total_functions"), F.col("backend_files")
+    extra = bundles.groupBy("repo").agg(
+        F.count_if(backend & (language == "python")).alias("python_services"), F.count_if(~backend).alias("frontend_files"))
+    totals = rollup.repo_summary(bundles).join(rollup.project_type(bundles), "repo").join(extra, "repo")
 
     def listing(word, title, sec):
-        shown = ranking.first_n_and_more(bundles, word)
         first = F.when(F.col("rank") == 1, _say("│   ├── ", title, " (", F.col("total"), " files)\n")).otherwise("")
         last = F.when((F.col("rank") == 3) & (F.col("more") > 0),
                       _say("│   │   └── ... and ", F.col("more"), " more\n")).otherwise("")
-        return section(shown, doc, sec, _say(first, "│   │   ├── ", path, "\n", last), numbered(F.col("rank")))
+        return sections(ranking.first_n_and_more(bundles, word), doc,
+                        (sec, numbered(F.col("rank")), _say(first, "│   │   ├── ", path, "\n", last)))
 
     padded = F.when(F.length(path) < 25, F.rpad(path, 25, " ")).otherwise(path)
-    usage = rollup.tech_usage_lookup(bundles)
-    starts = ranking.service_ports(bundles).where((F.col("language") == "python") & (F.col("api_count") > 0))
-    python_counts = bundles.groupBy("repo").agg(F.count_if(F.col("is_backend") & (F.col("language") == "python")).alias("n"))
-    # fixed values: rule lists for prerequisites and environment entries
-    needs = [("- **Firebase Account**", "exact", ["firebase"]), ("- **Google API Keys**", "part", ["google"]),
-             ("- **Groq API Key**", "exact", ["groq", "Groq"])]
-    environment = [("# AI/ML APIs\nGROQ_API_KEY=your_groq_api_key", "exact", ["groq", "Groq"]),
-                   ("# Google Services\nGOOGLE_MAPS_API_KEY=your_google_maps_api_key", "part", ["google"]),
-                   ("# Firebase Configuration\nFIREBASE_API_KEY=your_firebase_api_key", "exact", ["firebase"])]
     entries = _each(F.col("apis"), lambda a: _say("- `", a["method"], " ", a["path"], "` - ", a["description"], "\n"))
+    python = backend & (language == "python")
+    serving = F.col("api_count") > 0
     return stack([
-        section(totals, doc, 0, _say("# ", F.col("repo"), "\n\n")),
-        labels(rules.TECH_BADGES, 1, "![", "]\n"),
-        section(totals, doc, 2, _say(
-            "\n## Project Statistics\n\n| Metric | Value |\n|-----------|----------|\n| **Total Files** | ",
-            F.col("total_files"), " |\n| **Backend Services** | ", F.col("backend_files"), " |\n| **API Endpoints** | ",
-            F.col("total_apis"), " |\n| **Functions** | ", F.col("total_functions"), " |\n| **Languages** | ",
-            _titles(F.col("languages")), " |\n\n## Overview\n\nA full-stack ", kind, " with **", F.col("total_apis"),
-            " API endpoints** across **", F.col("backend_files"), " backend services** and **",
-            F.col("total_functions"), " functions**.\n\n## Key Features\n\n")),
-        section(rollup.detected_features(bundles), doc, 3, _say("### ", F.col("feature"), "\n"), numbered(F.col("rank"))),
-        section(totals, doc, 4, F.lit("\n## Technology Stack\n\n")),
-        labels(rules.BACKEND_TECH, 5, "- "),
-        section(python_counts, doc, 6, _say("\n## Project Structure\n\n```\n", F.col("repo"), "/\n├── Backend Services (",
-                                            F.col("n"), ")\n")),
-        section(python, doc, 7, _say("│   ├──  ", padded, " # ", F.col("file_purpose"), " (", F.col("api_count"), " APIs, ",
-                                     F.col("function_count"), " funcs)\n"), path),
-        section(frontend.groupBy("repo").agg(F.count("*").alias("n")), doc, 8,
-                _say("├── Frontend Application (", F.col("n"), " files)\n")),
+        sections(
+            totals, doc,
+            (0, None, _say("# ", F.col("repo"), "\n\n")),
+            (2, None, _say(
+                "\n## Project Statistics\n\n| Metric | Value |\n|-----------|----------|\n| **Total Files** | ",
+                F.col("total_files"), " |\n| **Backend Services** | ", services, " |\n| **API Endpoints** | ", apis,
+                " |\n| **Functions** | ", functions, " |\n| **Languages** | ", _titles(F.col("languages")),
+                " |\n\n## Overview\n\nA full-stack ", F.lower("project_type"), " with **", apis, " API endpoints** across **",
+                services, " backend services** and **", functions, " functions**.\n\n## Key Features\n\n")),
+            (4, None, F.lit("\n## Technology Stack\n\n")),
+            (6, None, _say("\n## Project Structure\n\n```\n", F.col("repo"), "/\n├── Backend Services (",
+                           F.col("python_services"), ")\n")),
+            (8, None, _say("├── Frontend Application (", F.col("frontend_files"), " files)\n"), F.col("frontend_files") > 0),
+            (11, None, F.lit("```\n\n| Technology | Purpose | Files | Usage |\n|------------|---------|-------|-------|\n")),
+            (13, None, _say("\n### Prerequisites\n\n", F.when(_speaks("python"), "- **Python 3.8+**\n").otherwise(""),
+                            F.when(_speaks("javascript"), "- **Node.js 18+**\n").otherwise(""))),
+            (15, None, F.lit("\n```env\n")),
+            (17, None, F.lit("```\n\n### Running the Application\n\n```bash\n")),
+            (19, None, _say("```\n\n## API Documentation\n\nThis project provides ", apis, " API endpoints across ", services,
+                            " services:\n\n")),
+            (21, None, F.lit("\n## Acknowledgments\n\n"))),
+        _label_sections(bundles, doc, [
+            (1, "![", rules.TECH_BADGES, "]\n"), (5, "- ", rules.BACKEND_TECH, "\n"), (14, "", PREREQUISITES, "\n"),
+            (16, "", ENVIRONMENT, "\n"), (22, "", rules.ACKNOWLEDGEMENTS, "\n")]),
+        sections(rollup.detected_features(bundles), doc,
+                 (3, numbered(F.col("rank")), _say("### ", F.col("feature"), "\n"))),
         listing("page", "Pages", 9), listing("component", "Components", 10),
-        section(totals, doc, 11, F.lit("```\n\n| Technology | Purpose | Files | Usage |\n|------------|---------|-------|-------|\n")),
-        section(usage, doc, 12, _say("| **", F.initcap("dependency"), "** | ", F.col("category"), " | ", F.col("files"), " | ",
-                                     F.col("purpose"), " |\n"), numbered(F.col("ord"))),
-        section(totals, doc, 13, _say("\n### Prerequisites\n\n", F.when(_speaks("python"), "- **Python 3.8+**\n").otherwise(""),
-                                      F.when(_speaks("javascript"), "- **Node.js 18+**\n").otherwise(""))),
-        labels(needs, 14, ""),
-        section(totals, doc, 15, F.lit("\n```env\n")),
-        labels(environment, 16, ""),
-        section(totals, doc, 17, F.lit("```\n\n### Running the Application\n\n```bash\n")),
-        section(starts, doc, 18, _say("# Start the ", F.replace(path, F.lit(".py"), F.lit("")), " service\npython ", path,
-                                      "\n\n"), path),
-        section(totals, doc, 19, _say("```\n\n## API Documentation\n\nThis project provides ", F.col("total_apis"),
-                                      " API endpoints across ", F.col("backend_files"), " services:\n\n")),
-        section(backend.where(F.col("api_count") > 0), doc, 20, _say(
-            "#### ", path, "\n**Base URL**: `http://localhost:500X`\n\n**Endpoints**:\n", entries, "\n"), path),
-        section(totals, doc, 21, F.lit("\n## Acknowledgments\n\n")),
-        labels(rules.ACKNOWLEDGEMENTS, 22, "")])
+        sections(rollup.tech_usage_lookup(bundles), doc,
+                 (12, numbered(F.col("ord")), _say("| **", F.initcap("dependency"), "** | ", F.col("category"), " | ",
+                                                   F.col("files"), " | ", F.col("purpose"), " |\n"))),
+        sections(
+            bundles, doc,
+            (7, path, _say("│   ├──  ", padded, " # ", F.col("file_purpose"), " (", F.col("api_count"), " APIs, ",
+                           F.col("function_count"), " funcs)\n"), python),
+            (18, path, _say("# Start the ", F.replace(path, F.lit(".py"), F.lit("")), " service\npython ", path, "\n\n"),
+             python & serving),
+            (20, path, _say("#### ", path, "\n**Base URL**: `http://localhost:500X`\n\n**Endpoints**:\n", entries, "\n"),
+             backend & serving))])
 
 
 def file_documents(enriched: DataFrame) -> DataFrame:
@@ -249,10 +268,10 @@ def insight_document(facts: DataFrame, enriched: DataFrame) -> DataFrame:
     path = F.col(PATH)
     rows = facts.join(enriched.select("repo", PATH, "response"), ["repo", PATH])
     return stack([
-        section(rows.select("repo").distinct(), doc, 0, F.lit("# AI-Generated Insights\n\n## File Analysis\n\n")),
-        section(rows, doc, 1, _say("### ", path, "\n\n**Purpose**: ", F.col("file_purpose"), "\n**API Endpoints**: ",
-                                   F.col("api_count"), "\n**Functions**: ", F.col("function_count"),
-                                   "\n\n**AI Analysis**:\n", F.col("response"), "\n\n---\n\n"), path)])
+        sections(rows.select("repo").distinct(), doc, (0, None, F.lit("# AI-Generated Insights\n\n## File Analysis\n\n"))),
+        sections(rows, doc, (1, path, _say(
+            "### ", path, "\n\n**Purpose**: ", F.col("file_purpose"), "\n**API Endpoints**: ", F.col("api_count"),
+            "\n**Functions**: ", F.col("function_count"), "\n\n**AI Analysis**:\n", F.col("response"), "\n\n---\n\n")))])
 
 
 def result_json(bundles: DataFrame, limit: int = DOCUMENT_CHARS) -> DataFrame:
