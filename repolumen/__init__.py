@@ -1 +1,8 @@
 """repolumen: code-corpus analytics expressed as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the task, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

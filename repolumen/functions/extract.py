@@ -105,17 +105,42 @@ def endpoint_rows(text, ahead, language, path, is_stop, profile="enhanced") -> C
         F.when(py & text.rlike(rules.FASTAPI), fastapi).otherwise(none))
 
 
+# Cheap literal tests that every text with a match passes; they keep regular expressions off other texts.
+
+
+def has_def(text: Column) -> Column:
+    return text.contains("def") & text.contains("(")
+
+
+def has_js_function(text: Column) -> Column:
+    return text.contains("function") | text.contains("=>")
+
+
+def exports_handler(text: Column) -> Column:
+    return text.contains("(") & F.lower(text).contains("export") & text.rlike(rules.NEXTJS)
+
+
+def has_route(text: Column) -> Column:
+    lowered = F.lower(text)
+    return lowered.contains("app.") | lowered.contains("router.")
+
+
 def endpoint_anchors(lines, language, ahead=12) -> Column:
-    js = f"{rules.EXPRESS}|{rules.NEXTJS}"
-    py = f"{rules.FLASK}|{rules.FASTAPI}"
-    return anchors(lines, lambda t: F.when(is_js(language), t.rlike(js)).when(is_py(language), t.rlike(py))
-                   .otherwise(False), 0, ahead)
+    def declares(t):
+        route = t.contains(".") & t.rlike(rules.EXPRESS)
+        decorated = t.contains("@") & (t.rlike(rules.FLASK) | t.rlike(rules.FASTAPI))
+        return t.contains("(") & F.when(is_js(language), route | exports_handler(t)) \
+            .when(is_py(language), decorated).otherwise(False)
+
+    return anchors(lines, declares, 0, ahead)
 
 
 def function_anchors(lines, language, ahead=20) -> Column:
-    js = f"{rules.JS_FUNCTION}|{rules.NEXTJS}"
-    return anchors(lines, lambda t: F.when(is_js(language), t.rlike(js))
-                   .when(is_py(language), t.rlike(rules.PY_FUNCTION)).otherwise(False), 3, ahead)
+    def defines(t):
+        return F.when(is_js(language), (has_js_function(t) & t.rlike(rules.JS_FUNCTION)) | exports_handler(t)) \
+            .when(is_py(language), has_def(t) & t.rlike(rules.PY_FUNCTION)).otherwise(False)
+
+    return anchors(lines, defines, 3, ahead)
 
 
 def stop_position(found: Column, language: Column, path: Column) -> Column:
@@ -186,9 +211,9 @@ def page_stop(content: Column, language: Column, path: Column) -> Column:
 def endpoint_count(content: Column, language: Column, stop: Column) -> Column:
     line_end = F.call_function("locate", F.lit("\n"), content, stop)
     readable = F.when((stop > 0) & (line_end > 0), F.substring(content, F.lit(1), line_end)).otherwise(content)
-    js = count_lines(readable, rules.EXPRESS) + F.when(stop > 0, F.lit(len(rules.NEXTJS_METHODS))).otherwise(0)
-    routes = group_per_line(content, rules.FLASK, 2)
-    py = count_lines(content, rules.FASTAPI) + F.aggregate(
+    js = count_lines(readable, rules.EXPRESS, has_route(content)) + F.when(stop > 0, F.lit(len(rules.NEXTJS_METHODS))).otherwise(0)
+    routes = group_per_line(content, rules.FLASK, 2, has_route(content) & content.contains("@"))
+    py = count_lines(content, rules.FASTAPI, has_route(content) & content.contains("@")) + F.aggregate(
         routes, F.lit(0), lambda n, listed: n + F.size(F.split(listed, ",")))
     return F.when(is_js(language), js).when(is_py(language), py).otherwise(F.lit(0))
 
@@ -197,8 +222,8 @@ def function_count(content: Column, language: Column, stop: Column) -> Column:
     head = F.substring(content, F.lit(1), stop - 1)
     whole_lines = F.substring(content, F.lit(1), stop - 1 - F.length(F.substring_index(head, "\n", -1)))
     readable = F.when(stop > 0, whole_lines).otherwise(content)
-    return F.when(is_js(language), count_lines(readable, rules.JS_FUNCTION)) \
-        .when(is_py(language), count_lines(content, rules.PY_FUNCTION)).otherwise(F.lit(0))
+    return F.when(is_js(language), count_lines(readable, rules.JS_FUNCTION, has_js_function(content))) \
+        .when(is_py(language), count_lines(content, rules.PY_FUNCTION, has_def(content))).otherwise(F.lit(0))
 
 
 # --- dependencies ----------------------------------------------------------------------------------
@@ -213,7 +238,7 @@ def top_name(source: Column) -> Column:
 
 
 def js_dependencies(content: Column, with_require: bool = False) -> Column:
-    sources = group_per_line(content, rules.JS_IMPORT, 1)
+    sources = group_per_line(content, rules.JS_IMPORT, 1, content.contains("import"))
     if with_require:
         sources = F.concat(sources, F.regexp_extract_all(content, F.lit(rules.JS_REQUIRE), F.lit(1)))
     return F.array_sort(F.array_distinct(F.transform(F.filter(sources, external), top_name)))
@@ -224,7 +249,8 @@ def python_dependencies(content: Column, profile: str = "enhanced") -> Column:
         found = F.concat(F.regexp_extract_all(content, F.lit(rules.PY_FROM_START), F.lit(1)),
                          F.regexp_extract_all(content, F.lit(rules.PY_IMPORT_START), F.lit(1)))
     else:
-        found = F.concat(group_per_line(content, rules.PY_FROM, 1), group_per_line(content, rules.PY_IMPORT, 1))
+        found = F.concat(group_per_line(content, rules.PY_FROM, 1, content.contains("from")),
+                         group_per_line(content, rules.PY_IMPORT, 1, content.contains("import")))
     return F.array_sort(F.array_distinct(F.filter(found, lambda d: ~d.isin(rules.PY_SKIP_DEPS[profile]))))
 
 
@@ -248,7 +274,9 @@ def dependencies(content: Column, language: Column, profile: str = "enhanced") -
 
 def env_vars(content: Column) -> Column:
     """All environment variable reads in pattern order, as ``array<struct<line, name>>``."""
-    return F.concat(*[located_matches(content, p, name=1) for p in rules.ENV_PATTERNS])
+    hints = ["process.env.", "os.environ.get", "os.getenv"]
+    return F.concat(*[located_matches(content, p, content.contains(h), name=1)
+                      for p, h in zip(rules.ENV_PATTERNS, hints)])
 
 
 def first_by_name(found: Column) -> Column:
@@ -263,7 +291,7 @@ def jsx_components(content: Column) -> Column:
 
 
 def detailed_js_functions(content: Column) -> Column:
-    found = located_matches(content, rules.JS_FUNCTION, whole=0, first=1, second=2)
+    found = located_matches(content, rules.JS_FUNCTION, has_js_function(content), whole=0, first=1, second=2)
     return F.transform(found, lambda f: F.struct(
         f["line"].alias("line"), F.when(f["first"] != "", f["first"]).otherwise(f["second"]).alias("name"),
         f["whole"].contains("async").alias("is_async")))
@@ -272,7 +300,8 @@ def detailed_js_functions(content: Column) -> Column:
 def detailed_endpoints(content: Column, language: Column) -> Column:
     """Whole-text endpoints: app routes first, then router routes."""
     def located(pattern):
-        return located_matches(content, pattern, method=1, path=2)
+        word = "router." if "router" in pattern else "app."
+        return located_matches(content, pattern, F.lower(content).contains(word), method=1, path=2)
 
     js = F.concat(located(rules.EXPRESS_APP), located(rules.EXPRESS_ROUTER))
     py = F.concat(located(rules.FASTAPI_APP), located(rules.FASTAPI_ROUTER))
@@ -285,14 +314,14 @@ def detailed_endpoints(content: Column, language: Column) -> Column:
 def core_endpoints(content: Column) -> Column:
     """Endpoints with a framework label. The Express pattern also matches decorators, so
     a decorator yields two rows."""
-    flask = located_matches(content, rules.FLASK, path=1, listed=2)
+    flask = located_matches(content, rules.FLASK, has_route(content) & content.contains("@"), path=1, listed=2)
     flask_rows = F.flatten(F.transform(flask, lambda e: F.transform(
         F.when(e["listed"] == "", F.array(F.lit("GET"))).otherwise(F.split(e["listed"], ",")),
         lambda m: F.struct(e["line"].alias("line"), F.upper(F.btrim(strip(m), F.lit("\"'"))).alias("method"),
                            e["path"].alias("path"), F.lit("Flask").alias("framework")))))
 
     def verbs(pattern, framework):
-        return F.transform(located_matches(content, pattern, method=1, path=2), lambda e: F.struct(
+        return F.transform(located_matches(content, pattern, has_route(content), method=1, path=2), lambda e: F.struct(
             e["line"].alias("line"), F.upper(e["method"]).alias("method"), e["path"].alias("path"),
             F.lit(framework).alias("framework")))
 

@@ -54,25 +54,27 @@ def in_line(pattern: str) -> str:
     return pattern + r"[^\n]*"
 
 
-def count_lines(text: Column, pattern: str) -> Column:
-    """Number of lines in which ``pattern`` occurs."""
-    return F.regexp_count(text, F.lit(in_line(pattern)))
+def count_lines(text: Column, pattern: str, hint: Column) -> Column:
+    """Number of lines in which ``pattern`` occurs. ``hint`` is a cheap test that every text with
+    a match passes; other texts skip the regular expression."""
+    return F.when(hint, F.regexp_count(text, F.lit(in_line(pattern)))).otherwise(F.lit(0))
 
 
-def group_per_line(text: Column, pattern: str, group: int) -> Column:
+def group_per_line(text: Column, pattern: str, group: int, hint: Column | None = None) -> Column:
     """The group's value for each line in which ``pattern`` occurs."""
-    return F.regexp_extract_all(text, F.lit(in_line(pattern)), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(in_line(pattern)), F.lit(group))
+    return found if hint is None else F.when(hint, found).otherwise(F.array().cast("array<string>"))
 
 
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def located_matches(content: Column, pattern: str, **groups: int) -> Column:
+def located_matches(content: Column, pattern: str, hint: Column | None = None, **groups: int) -> Column:
     """All matches in a text, also across lines, as ``array<struct<line, ...groups>>``.
 
     The pieces between matches tell how many newlines precede each match. Pieces and matches
-    are each computed once; groups are read from the matched pieces.
+    are each computed once; groups are read from the matched pieces. ``hint`` as in ``count_lines``.
     """
     def step(acc, s):
         at = acc["at"] + newlines(s["piece"])
@@ -84,9 +86,11 @@ def located_matches(content: Column, pattern: str, **groups: int) -> Column:
                        lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")))
     start = F.struct(F.array().cast("array<struct<line:int,match:string>>").alias("out"), F.lit(1).alias("at"))
     found = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.transform(found, lambda m: F.struct(m["line"].alias("line"), *[
+    rows = F.transform(found, lambda m: F.struct(m["line"].alias("line"), *[
         (F.regexp_extract(m["match"], pattern, group) if group else m["match"]).alias(name)
         for name, group in groups.items()]))
+    shape = "array<struct<line:int," + ",".join(f"{name}:string" for name in groups) + ">>"
+    return rows if hint is None else F.when(hint, rows).otherwise(F.array().cast(shape))
 
 
 def anchors(lines: Column, matches, before: int = 0, ahead: int = 1) -> Column:

@@ -142,9 +142,9 @@ def detailed_facts(files: DataFrame, with_context: bool = False) -> DataFrame:
               .withColumn("py", python_symbols(F.when(extract.is_py(language), c))))
     js_functions = F.transform(extract.detailed_js_functions(c), lambda f: F.struct(
         f["line"].alias("line"), f["name"].alias("name"), none("array<string>").alias("params")))
-    js_classes = F.transform(text.located_matches(c, rules.CLASS_NAME, name=1), lambda k: F.struct(
+    js_classes = F.transform(text.located_matches(c, rules.CLASS_NAME, c.contains("class"), name=1), lambda k: F.struct(
         k["line"].alias("line"), k["name"].alias("name"), none("array<string>").alias("methods")))
-    js_imports = text.located_matches(c, rules.JS_IMPORT_BLOCK, source=1)
+    js_imports = text.located_matches(c, rules.JS_IMPORT_BLOCK, c.contains("import"), source=1)
     symbols = staged.select(
         "repo", "file_path", "language", text.lines_of_code(c).alias("lines_of_code"), "lowered",
         F.when(script, js_functions).otherwise(py["functions"]).alias("functions"),

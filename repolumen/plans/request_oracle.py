@@ -79,7 +79,7 @@ oracle("batch_by_budget", "few", f"""SELECT event_id, key, minute, cumulative, C
 oracle("file_batches", "facts", """SELECT repo, file_path,
   (row_number() OVER (PARTITION BY repo ORDER BY file_path) - 1) // 5 AS batch FROM facts WHERE function_count + api_count > 0""")
 oracle("time_estimate", "kept", """SELECT repo, files, keys, CASE WHEN keys = 0 THEN 'No LLM processing'
-  WHEN s < 60 THEN '~' || s::BIGINT || 's' WHEN s < 3600 THEN '~' || floor(s / 60)::BIGINT || 'm ' || (floor(s)::BIGINT % 60) || 's'
+  WHEN s < 60 THEN '~' || floor(s)::BIGINT || 's' WHEN s < 3600 THEN '~' || floor(s / 60)::BIGINT || 'm ' || (floor(s)::BIGINT % 60) || 's'
   ELSE '~' || floor(s / 3600)::BIGINT || 'h ' || floor((floor(s)::BIGINT % 3600) / 60)::BIGINT || 'm' END AS estimate
 FROM (SELECT *, files * 30 / least(keys * 2, 8) AS s FROM (SELECT repo, count(*) AS files FROM kept GROUP BY repo),
   (SELECT unnest([0, 1, 3, 5])::INTEGER AS keys))""")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..session import spread
+from ..session import materialize, spread
 
 FILE_COLUMNS = ["repo", "file_path", "content"]
 
@@ -21,24 +23,52 @@ def decode_text(raw: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
-def _any_case_glob(profile: str) -> str:
-    endings = rules.LANGUAGES[profile]
-    return "{" + ",".join("*." + "".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in endings) + "}"
+def list_tree(spark: SparkSession, root: str, profile: str = "enhanced") -> DataFrame:
+    """Paths below ``root`` with a known extension, as ``(path)`` relative to it.
+
+    Spark's own file listing leaves out names that start with ``_`` or ``.``, which would lose
+    files such as ``__init__.py``. The tree is therefore walked level by level: each level is
+    a table of folders, listed by tasks, with skipped folders pruned on the way.
+    """
+    skip, endings = set(rules.SKIP_DIRS[profile]), tuple(rules.LANGUAGES[profile])
+
+    def list_folders(batches):
+        filesystem, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch["path"]:
+                found = filesystem.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                rows = [(e.path[len(base) + 1:], e.type == fs.FileType.Directory, e.base_name) for e in found]
+                rows = [(path, is_dir) for path, is_dir, name in rows
+                        if (name not in skip and not name.startswith(".") if is_dir else name.lower().endswith(endings))]
+                yield pd.DataFrame(rows, columns=["path", "is_dir"])
+
+    levels, folders = [], spark.createDataFrame([("",)], "path string")
+    while True:
+        level = materialize(folders.mapInPandas(list_folders, "path string, is_dir boolean"), "tree")
+        levels.append(level.where(~F.col("is_dir")).select("path"))
+        folders = level.where("is_dir").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        folders = folders.repartition("path")
 
 
 def scan_corpus(spark: SparkSession, root: str, profile: str = "enhanced") -> DataFrame:
     """Files below ``root`` as ``(repo, file_path, content)``; the first folder names the repo.
 
-    The extension test runs while listing, so other files are never opened.
+    Folder and extension tests run while listing, so other files are never opened.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", _any_case_glob(profile)).load(root))
-    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/")
-    base = root.split("://", 1)[1].split("/", 1)[-1] if "://" in root else root.removeprefix("file:")
-    relative = F.substring(plain, F.lit(len("/" + base.strip("/") + "/") + 1), F.length(plain))
-    return raw.select(F.substring_index(relative, "/", 1).alias("repo"),
-                      F.regexp_replace(relative, "^[^/]*/", "").alias("file_path"),
-                      decode_text(F.col("content")).alias("content"))
+    def read(batches):
+        filesystem, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path in batch["path"]:
+                with filesystem.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                    yield pd.DataFrame({"path": [path], "raw": [stream.readall()]})
+
+    nested = list_tree(spark, root, profile).where(F.col("path").contains("/")).repartition("path")
+    raw = nested.mapInPandas(read, "path string, raw binary")
+    return raw.select(F.substring_index("path", "/", 1).alias("repo"),
+                      F.regexp_replace("path", "^[^/]*/", "").alias("file_path"), decode_text(F.col("raw")).alias("content"))
 
 
 def scan_zip(spark: SparkSession, path: str) -> DataFrame:

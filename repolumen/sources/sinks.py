@@ -19,10 +19,14 @@ def write_results_json(results: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder per repository and document; rows keep their ``(sec, part)`` order."""
+    """One folder per repository and document; rows keep their ``(sec, part)`` order.
+
+    The text writer ends every row with a line end, so the one a section ends with is left out.
+    """
     order = ["repo", "doc_name", "sec", "part"]
     documents.repartitionByRange(*order).sortWithinPartitions(*order) \
-        .select("repo", "doc_name", "content").write.partitionBy("repo", "doc_name").text(path, lineSep="")
+        .select("repo", "doc_name", F.regexp_replace("content", r"\n\z", "").alias("content")) \
+        .write.partitionBy("repo", "doc_name").text(path)
 
 
 def list_documents(documents: DataFrame) -> DataFrame:

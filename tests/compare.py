@@ -44,7 +44,7 @@ def difference(spark_df, con, sql: str) -> str | None:
         return f"rows {len(got)} != {len(want)}"
     kinds = [(c, got[c].dtype.kind, want[c].dtype.kind) for c in got if got[c].dtype.kind != want[c].dtype.kind]
     a, b = normal(got), normal(want)
-    if not a.equals(b):
+    if len(a) and not a.equals(b):
         bad = (a != b).any(axis=1)
         row = bad.idxmax()
         cols = [c for c in a if a.loc[row, c] != b.loc[row, c]]
