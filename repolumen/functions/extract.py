@@ -120,8 +120,7 @@ def exports_handler(text: Column) -> Column:
     return text.contains("(") & F.lower(text).contains("export") & text.rlike(rules.NEXTJS)
 
 
-def has_route(text: Column) -> Column:
-    lowered = F.lower(text)
+def has_route(lowered: Column) -> Column:
     return lowered.contains("app.") | lowered.contains("router.")
 
 
@@ -202,19 +201,22 @@ def complexity(ahead: Column) -> Column:
 # --- counts over the whole text --------------------------------------------------------------
 
 
-def page_stop(content: Column, language: Column, path: Column) -> Column:
+def page_stop(content: Column, lowered: Column, language: Column, path: Column) -> Column:
     """Character position (from 1) of the first page handler, 0 when there is none."""
-    return F.when(is_js(language) & serves_pages(path) & content.contains("unction"),
+    return F.when(is_js(language) & serves_pages(path) & lowered.contains("export"),
                   F.regexp_instr(content, F.lit(in_line(rules.NEXTJS)))).otherwise(F.lit(0))
 
 
-def endpoint_count(content: Column, language: Column, stop: Column) -> Column:
+def endpoint_count(content: Column, lowered: Column, language: Column, stop: Column) -> Column:
+    """Number of endpoints; a route with several methods counts once per method."""
     line_end = F.call_function("locate", F.lit("\n"), content, stop)
     readable = F.when((stop > 0) & (line_end > 0), F.substring(content, F.lit(1), line_end)).otherwise(content)
-    js = count_lines(readable, rules.EXPRESS, has_route(content)) + F.when(stop > 0, F.lit(len(rules.NEXTJS_METHODS))).otherwise(0)
-    routes = group_per_line(content, rules.FLASK, 2, has_route(content) & content.contains("@"))
-    py = count_lines(content, rules.FASTAPI, has_route(content) & content.contains("@")) + F.aggregate(
-        routes, F.lit(0), lambda n, listed: n + F.size(F.split(listed, ",")))
+    js = count_lines(readable, rules.EXPRESS, has_route(lowered)) + F.when(stop > 0, F.lit(len(rules.NEXTJS_METHODS))).otherwise(0)
+    decorated = lowered.contains("@app.") | lowered.contains("@router.")
+    routes = group_per_line(content, rules.FLASK, 2, decorated)
+    listed = F.array_join(routes, "")
+    commas = F.length(listed) - F.length(F.replace(listed, F.lit(","), F.lit("")))
+    py = count_lines(content, rules.FASTAPI, decorated) + F.size(routes) + commas
     return F.when(is_js(language), js).when(is_py(language), py).otherwise(F.lit(0))
 
 
@@ -251,7 +253,7 @@ def python_dependencies(content: Column, profile: str = "enhanced") -> Column:
     else:
         found = F.concat(group_per_line(content, rules.PY_FROM, 1, content.contains("from")),
                          group_per_line(content, rules.PY_IMPORT, 1, content.contains("import")))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda d: ~d.isin(rules.PY_SKIP_DEPS[profile]))))
+    return F.sort_array(F.array_except(found, F.array(*[F.lit(d) for d in rules.PY_SKIP_DEPS[profile]])))
 
 
 def java_dependencies(content: Column) -> Column:
@@ -314,14 +316,15 @@ def detailed_endpoints(content: Column, language: Column) -> Column:
 def core_endpoints(content: Column) -> Column:
     """Endpoints with a framework label. The Express pattern also matches decorators, so
     a decorator yields two rows."""
-    flask = located_matches(content, rules.FLASK, has_route(content) & content.contains("@"), path=1, listed=2)
+    lowered = F.lower(content)
+    flask = located_matches(content, rules.FLASK, lowered.contains("@app.route"), path=1, listed=2)
     flask_rows = F.flatten(F.transform(flask, lambda e: F.transform(
         F.when(e["listed"] == "", F.array(F.lit("GET"))).otherwise(F.split(e["listed"], ",")),
         lambda m: F.struct(e["line"].alias("line"), F.upper(F.btrim(strip(m), F.lit("\"'"))).alias("method"),
                            e["path"].alias("path"), F.lit("Flask").alias("framework")))))
 
     def verbs(pattern, framework):
-        return F.transform(located_matches(content, pattern, has_route(content), method=1, path=2), lambda e: F.struct(
+        return F.transform(located_matches(content, pattern, has_route(lowered), method=1, path=2), lambda e: F.struct(
             e["line"].alias("line"), F.upper(e["method"]).alias("method"), e["path"].alias("path"),
             F.lit(framework).alias("framework")))
 

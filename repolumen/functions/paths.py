@@ -28,9 +28,8 @@ def stem(path: Column) -> Column:
 
 def in_skipped_dir(path: Column, profile: str) -> Column:
     """True when a directory segment is in the profile's skip list or starts with a dot."""
-    segments = F.split(path, "/")
-    dirs = F.slice(segments, F.lit(1), F.size(segments) - 1)
-    return F.exists(dirs, lambda d: d.startswith(".") | d.isin(rules.SKIP_DIRS[profile]))
+    names = "|".join(name.replace(".", r"\.") for name in rules.SKIP_DIRS[profile])
+    return path.rlike(rf"(?:^|/)(?:\.[^/]*|{names})/")
 
 
 def language_of(path: Column, profile: str) -> Column:

@@ -22,16 +22,17 @@ def select_files(files: DataFrame, profile: str = "enhanced") -> DataFrame:
 def file_facts(files: DataFrame, profile: str = "enhanced") -> DataFrame:
     """One row per analysed file. Counting reads the text as a whole; nothing is split or exploded."""
     c, path, language = F.col("content"), F.col("file_path"), F.col("language")
+    low, stop = F.col("lowered"), F.col("stop")
     measured = (
         select_files(files, profile)
-        .withColumn("stop", extract.page_stop(c, language, path))
-        .select("repo", "file_path", "language",
+        .withColumn("lowered", F.lower(c))
+        .withColumn("stop", extract.page_stop(c, low, language, path))
+        .select("repo", "file_path", "language", "lowered",
                 text.lines_of_code(c).alias("lines_of_code"),
-                extract.endpoint_count(c, language, F.col("stop")).alias("api_count"),
-                extract.function_count(c, language, F.col("stop")).alias("function_count"),
-                extract.dependencies(c, language).alias("dependencies"),
-                F.lower(c).alias("lowered")))
-    api, fn, low = F.col("api_count"), F.col("function_count"), F.col("lowered")
+                extract.endpoint_count(c, low, language, stop).alias("api_count"),
+                extract.function_count(c, language, stop).alias("function_count"),
+                extract.dependencies(c, language).alias("dependencies")))
+    api, fn = F.col("api_count"), F.col("function_count")
     return measured.select(
         "repo", "file_path", "language", "lines_of_code", "api_count", "function_count", "dependencies",
         classify.is_backend(path, low, api).alias("is_backend"),

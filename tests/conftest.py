@@ -15,6 +15,7 @@ def spark():
 
     session = get_spark("tests", 8, **{
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",  # several blocks also for small inputs
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     session.sparkContext.setLogLevel("ERROR")

@@ -229,3 +229,9 @@ def test_folder_summary_ties(files):
     table = files({"f/b.py": "x=1", "f/a.ts": "x", "f/c.py": "y=1", "f/d.ts": "z"})
     row = rollup.folder_summary(facts.detailed_facts(table)).first()
     assert row.primary_language == "typescript" and row.total_files == 4 and row.folder_purpose == "General Purpose"
+
+
+def test_patterns_ignore_case_where_the_tool_does(files):
+    table = files({"api/a.js": "EXPORT DEFAULT FUNCTION Run(REQ, RES) {}", "b.py": '@APP.Route("/x", methods=["a","b","c"])\n@ROUTER.get("/y")'})
+    assert {r.file_path: r.api_count for r in facts.file_facts(table).collect()} == {"api/a.js": 4, "b.py": 4}
+    assert {r.file_path: r.api_count for r in facts.file_bundles(table).collect()} == {"api/a.js": 4, "b.py": 4}
