@@ -281,9 +281,15 @@ def env_vars(content: Column) -> Column:
                       for p, h in zip(rules.ENV_PATTERNS, hints)])
 
 
-def first_by_name(found: Column) -> Column:
-    """Keep the first entry of each name; ``found`` should be a stored column."""
-    return F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["name"]), x["name"]) == i + 1)
+def by_name(found: Column) -> Column:
+    """Entries ordered by name and then by their position."""
+    return F.array_sort(F.transform(found, lambda x, i: F.struct(
+        x["name"].alias("name"), i.alias("at"), x["line"].alias("line"))))
+
+
+def first_by_name(ordered: Column) -> Column:
+    """First entry of each name; ``ordered`` is a projected column made with ``by_name``."""
+    return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["name"] != x["name"]))
 
 
 def jsx_components(content: Column) -> Column:

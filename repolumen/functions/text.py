@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = " \t\n\r\x0b\x0c"
+MARK = "\x01"
 
 
 def strip(text: Column) -> Column:
@@ -66,29 +67,22 @@ def group_per_line(text: Column, pattern: str, group: int, hint: Column | None =
     return found if hint is None else F.when(hint, found).otherwise(F.array().cast("array<string>"))
 
 
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
 def located_matches(content: Column, pattern: str, hint: Column | None = None, **groups: int) -> Column:
     """All matches in a text, also across lines, as ``array<struct<line, ...groups>>``.
 
-    The pieces between matches tell how many newlines precede each match. Pieces and matches
-    are each computed once; groups are read from the matched pieces. ``hint`` as in ``count_lines``.
+    Every match start is marked by a control character; the marks in the text's lines give the
+    line numbers in match order, in time linear in the text. A control character of the text
+    itself is first turned into another one, which no pattern tells apart. Groups are read from
+    the matched pieces. ``hint`` as in ``count_lines``.
     """
-    def step(acc, s):
-        at = acc["at"] + newlines(s["piece"])
-        row = F.struct(at.alias("line"), s["match"].alias("match"))
-        return F.when(s["match"].isNull(), acc).otherwise(F.struct(
-            F.concat(acc["out"], F.array(row)).alias("out"), (at + newlines(s["match"])).alias("at")))
-
-    steps = F.zip_with(F.split(content, pattern), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
-                       lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")))
-    start = F.struct(F.array().cast("array<struct<line:int,match:string>>").alias("out"), F.lit(1).alias("at"))
-    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    rows = F.transform(found, lambda m: F.struct(m["line"].alias("line"), *[
-        (F.regexp_extract(m["match"], pattern, group) if group else m["match"]).alias(name)
-        for name, group in groups.items()]))
+    marked = F.regexp_replace(F.translate(content, MARK, "\x02"), pattern, MARK + "$0")
+    numbered = F.transform(F.split(marked, "\n"), lambda line, i: F.struct((i + 1).alias("n"), line.alias("text")))
+    lines = F.flatten(F.transform(
+        F.filter(numbered, lambda s: s["text"].contains(MARK)),
+        lambda s: F.array_repeat(s["n"], F.length(s["text"]) - F.length(F.replace(s["text"], F.lit(MARK), F.lit(""))))))
+    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    rows = F.zip_with(lines, found, lambda n, match: F.struct(n.alias("line"), *[
+        (F.regexp_extract(match, pattern, group) if group else match).alias(name) for name, group in groups.items()]))
     shape = "array<struct<line:int," + ",".join(f"{name}:string" for name in groups) + ">>"
     return rows if hint is None else F.when(hint, rows).otherwise(F.array().cast(shape))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 def enrich(prompts: DataFrame, fn: Callable[[str], str], tasks: int | None = None) -> DataFrame:
     """Call ``fn(prompt)`` for every row of ``(repo, file_path, prompt)``.
 
-    A failing call keeps its row with the message in ``error``. ``tasks`` limits how many
+    A failing call keeps its row with the message in ``error``. A retried task calls ``fn`` again. ``tasks`` limits how many
     calls run at once.
     """
     def call(batches):

@@ -114,6 +114,14 @@ def file_bundles(files: DataFrame, profile: str = "enhanced") -> DataFrame:
         classify.file_purpose(path, low, api, fn).alias("file_purpose"), "apis", "funcs")
 
 
+def env_vars(files: DataFrame) -> DataFrame:
+    """Environment variables per file: the first read of each name in pattern order."""
+    found = select_files(files, "detailed").select(
+        "repo", "file_path", extract.by_name(extract.env_vars(F.col("content"))).alias("found"))
+    rows = unnest(found, ["repo", "file_path"], extract.first_by_name(F.col("found")), "v")
+    return rows.select("repo", "file_path", "v.line", "v.name")
+
+
 def core_facts(files: DataFrame) -> DataFrame:
     """File facts of the core profile."""
     c, path, language = F.col("content"), F.col("file_path"), F.col("language")

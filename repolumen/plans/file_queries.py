@@ -296,9 +296,7 @@ def _(spark, sf):
 
 @query("env_vars")
 def _(spark, sf):
-    found = facts.select_files(inputs.corpus(spark, sf), "detailed").select(*KEY, extract.env_vars(content()).alias("found"))
-    return unnest(found, KEY, extract.first_by_name(F.col("found")), "v") \
-        .select(*KEY, "v.line", "v.name")
+    return facts.env_vars(inputs.corpus(spark, sf))
 
 
 def _lowered(spark, sf):

@@ -46,11 +46,21 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/repolumen/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application has written to the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and
     later branches read columns from parquet instead of repeating the work."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/repolumen/{label}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -130,9 +130,12 @@ def test_core_express_repeats_decorators(files):
 
 def test_env_vars_first_occurrence(files):
     code = 'a = os.getenv("X")\nb = process.env.Y\nc = os.environ.get( "X" )\nd = process.env.Y'
-    got = files({"a.py": code}).select(extract.env_vars(F.col("content")).alias("v")) \
-        .select(extract.first_by_name(F.col("v")).alias("v")).first().v
-    assert [(v.line, v.name) for v in got] == [(2, "Y"), (3, "X")]
+    assert sorted(rows(facts.env_vars(files({"a.py": code})), "line", "name")) == [(2, "Y"), (3, "X")]
+
+
+def test_line_numbers_survive_control_characters(files):
+    d = facts.detailed_facts(files({"a.js": "\x01\n\x01class A {} class B {}\n\nclass \n C {}\x01"})).first()
+    assert [(k.line, k.name) for k in d.classes] == [(2, "A"), (2, "B"), (4, "C")]
 
 
 def test_hidden_directory_and_names(spark):
