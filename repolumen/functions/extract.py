@@ -52,23 +52,28 @@ def handler_name(ahead: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.try_element_at(following, F.lit(1)), rules.DEF_NAME, 1), F.lit(""))
 
 
-def snippet(ahead: Column, n: int) -> Column:
-    return joined(F.slice(ahead, 1, n))
+def snippet(ahead: Column, n: int | None) -> Column:
+    """The first ``n`` lines; empty for callers that need no code."""
+    return F.lit("") if n is None else joined(F.slice(ahead, 1, n))
 
 
-def endpoint_rows(text, ahead, language, path, is_stop, profile="enhanced") -> Column:
+def snippet_sizes(profile: str, code: bool) -> dict:
+    return rules.SNIPPET_LINES[profile] if code else dict.fromkeys(rules.SNIPPET_LINES[profile])
+
+
+def endpoint_rows(text, ahead, language, path, is_stop, profile="enhanced", code=True) -> Column:
     """Endpoints declared on one anchored line (array of structs, possibly empty).
 
     ``is_stop`` marks the line of a file's first page handler, which stands for four
     methods and ends the reading of that file.
     """
-    size = rules.SNIPPET_LINES[profile]
+    size = snippet_sizes(profile, code)
     none = F.array().cast(ENDPOINT)
     no_parameters = F.array().cast(PARAMETERS)
 
-    def row(framework, method, route, function_name, code, parameters, description):
+    def row(framework, method, route, function_name, lines, parameters, description):
         return F.struct(F.lit(framework).alias("framework"), method.alias("method"), route.alias("path"),
-                        function_name.alias("function_name"), code.alias("code_snippet"),
+                        function_name.alias("function_name"), lines.alias("code_snippet"),
                         parameters.alias("parameters"), description.alias("description"))
 
     express_method = F.upper(F.regexp_extract(text, rules.EXPRESS, 2))
@@ -149,9 +154,9 @@ def stop_position(found: Column, language: Column, path: Column) -> Column:
     return F.when(is_js(language) & serves_pages(path), first)
 
 
-def function_fields(text, before, ahead, language, profile="enhanced") -> dict[str, Column]:
+def function_fields(text, before, ahead, language, profile="enhanced", code=True) -> dict[str, Column]:
     """Columns of a function from its anchored line."""
-    size = rules.SNIPPET_LINES[profile]
+    size = snippet_sizes(profile, code)
     py = is_py(language)
     js_first, js_second = F.regexp_extract(text, rules.JS_FUNCTION, 1), F.regexp_extract(text, rules.JS_FUNCTION, 2)
     lowered = F.lower(text)

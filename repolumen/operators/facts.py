@@ -72,25 +72,31 @@ def functions(files: DataFrame, profile: str = "enhanced") -> DataFrame:
                        *[column.alias(name) for name, column in fields.items()])
 
 
-def file_bundles(files: DataFrame, profile: str = "enhanced") -> DataFrame:
+def file_bundles(files: DataFrame, profile: str = "enhanced", code: bool = True) -> DataFrame:
     """``file_facts`` plus the file's endpoints (``apis``) and functions (``funcs``) as arrays.
 
-    Built inside the row, so per-file documents and prompts need no shuffle.
+    Built inside the row, so per-file documents and prompts need no shuffle. Counts come from the
+    whole text, so a job that drops one of the arrays never builds it; ``code=False`` leaves
+    the code snippets out, which are most of the arrays' size.
     """
     c, path, language, lines = F.col("content"), F.col("file_path"), F.col("language"), F.col("lines")
-    staged = select_files(files, profile).select(
-        "repo", "file_path", "language", text.lines_of_code(c).alias("lines_of_code"),
-        extract.dependencies(c, language).alias("dependencies"), F.lower(c).alias("lowered"),
-        text.lines_of(c).alias("lines"))
+    low, stop_at = F.col("lowered"), F.col("stop_at")
+    staged = (
+        select_files(files, profile).withColumn("lowered", F.lower(c))
+        .withColumn("stop_at", extract.page_stop(c, low, language, path))
+        .select("repo", "file_path", "language", "lowered", text.lines_of_code(c).alias("lines_of_code"),
+                extract.endpoint_count(c, low, language, stop_at).alias("api_count"),
+                extract.function_count(c, language, stop_at).alias("function_count"),
+                extract.dependencies(c, language).alias("dependencies"), text.lines_of(c).alias("lines")))
+    facts = ["repo", "file_path", "language", "lines_of_code", "api_count", "function_count", "dependencies", "lowered"]
     found = staged.select(
-        "repo", "file_path", "language", "lines_of_code", "dependencies", "lowered",
-        extract.endpoint_anchors(lines, language).alias("e_found"),
+        *facts, extract.endpoint_anchors(lines, language).alias("e_found"),
         extract.function_anchors(lines, language).alias("f_found"))
     stop = F.col("stop")
 
     def apis_at(a):
         is_stop = F.coalesce(a["pos"] == stop, F.lit(False))
-        rows = extract.endpoint_rows(a["text"], a["ahead"], language, path, is_stop, profile)
+        rows = extract.endpoint_rows(a["text"], a["ahead"], language, path, is_stop, profile, code)
         return F.transform(rows, lambda e: F.struct(
             (a["pos"] + 1).alias("line"), e["framework"].alias("framework"), e["method"].alias("method"),
             e["path"].alias("path"), e["function_name"].alias("function_name"),
@@ -98,19 +104,18 @@ def file_bundles(files: DataFrame, profile: str = "enhanced") -> DataFrame:
             e["description"].alias("description")))
 
     def function_at(a):
-        fields = extract.function_fields(a["text"], a["before"], a["ahead"], language, profile)
+        fields = extract.function_fields(a["text"], a["before"], a["ahead"], language, profile, code)
         return F.struct((a["pos"] + 1).alias("line"), *[col.alias(name) for name, col in fields.items()])
 
     read = F.filter("e_found", lambda a: stop.isNull() | (a["pos"] <= stop))
     defined = F.filter("f_found", lambda a: (stop.isNull() | (a["pos"] < stop))
                        & (extract.is_py(language) | a["text"].rlike(rules.JS_FUNCTION)))
     arrays = found.withColumn("stop", extract.stop_position(F.col("e_found"), language, path)).select(
-        "repo", "file_path", "language", "lines_of_code", "dependencies", "lowered",
-        F.flatten(F.transform(read, apis_at)).alias("apis"), F.transform(defined, function_at).alias("funcs"))
-    api, fn, low = F.size("apis"), F.size("funcs"), F.col("lowered")
+        *facts, F.flatten(F.transform(read, apis_at)).alias("apis"), F.transform(defined, function_at).alias("funcs"))
+    api, fn = F.col("api_count"), F.col("function_count")
     return arrays.select(
-        "repo", "file_path", "language", "lines_of_code", "dependencies", api.alias("api_count"),
-        fn.alias("function_count"), classify.is_backend(path, low, api).alias("is_backend"),
+        "repo", "file_path", "language", "lines_of_code", "dependencies", "api_count", "function_count",
+        classify.is_backend(path, low, api).alias("is_backend"),
         classify.file_purpose(path, low, api, fn).alias("file_purpose"), "apis", "funcs")
 
 

@@ -122,8 +122,8 @@ def _(spark, sf):
 # --- documents -----------------------------------------------------------------------------------------
 
 
-def _bundles(spark, sf):
-    return materialize(facts.file_bundles(inputs.corpus(spark, sf)), "bundles")
+def _bundles(spark, sf, *unused):
+    return materialize(facts.file_bundles(inputs.corpus(spark, sf), code=False).drop(*unused), "bundles")
 
 
 def _stored_facts(spark, sf):
@@ -141,17 +141,17 @@ def _content(sections):
 
 @query("doc_readme")
 def _(spark, sf):
-    return _content(documents.readme_document(_bundles(spark, sf)))
+    return _content(documents.readme_document(_bundles(spark, sf, "funcs")))
 
 
 @query("doc_api")
 def _(spark, sf):
-    return _content(documents.api_document(_bundles(spark, sf)))
+    return _content(documents.api_document(_bundles(spark, sf, "funcs")))
 
 
 @query("doc_functions")
 def _(spark, sf):
-    return _content(documents.function_document(_bundles(spark, sf)))
+    return _content(documents.function_document(_bundles(spark, sf, "apis")))
 
 
 @query("doc_architecture")

@@ -67,7 +67,7 @@ def _(spark, sf):
 
 @query("endpoint_handler_link")
 def _(spark, sf):
-    return graph.endpoint_handlers(facts.file_bundles(inputs.corpus(spark, sf)))
+    return graph.endpoint_handlers(facts.file_bundles(inputs.corpus(spark, sf), code=False))
 
 
 @query("external_dependency_dim")
@@ -197,7 +197,7 @@ def _(spark, sf):
 
 def _graph(spark, sf):
     rows = stored_detailed(spark, sf)
-    bundles = materialize(facts.file_bundles(inputs.corpus(spark, sf)).select("repo", "file_path", "apis", "funcs"), "apis")
+    bundles = materialize(facts.file_bundles(inputs.corpus(spark, sf), code=False).select("repo", "file_path", "apis"), "apis")
     return rows, bundles
 
 
