@@ -7,7 +7,7 @@ import re
 from ..functions import rules
 from . import inputs
 from .file_oracle import JS, NL, PY, has, strip
-from .registry import oracle, part
+from .registry import ORACLE, oracle, part
 from .rollup_oracle import hits
 
 N2 = f"{NL} || {NL}"
@@ -319,3 +319,7 @@ def sizes(doc: str, *sections: tuple) -> str:
 
 
 oracle("list_documents", "facts totals", sizes("ARCHITECTURE.md", *_ARCH) + " UNION ALL " + sizes("SETUP.md", _SETUP))
+
+# The stand-in for a user's function answers with the prompt's length and refuses chat services.
+oracle("enrich", "", f"""SELECT repo, file_path, CASE WHEN NOT refused THEN 'SUMMARY: ' || length(prompt) || ' characters' END AS response,
+  CASE WHEN refused THEN 'refused' END AS error FROM (SELECT *, contains(prompt, '/chat_') AS refused FROM ({ORACLE['build_prompt_concise']}))""")

@@ -317,6 +317,11 @@ UNION ALL SELECT repo, file_path, CAST(n AS INTEGER), unnest(regexp_extract_all(
 oracle("imports", "d_imports", f"SELECT {_AT}, source FROM d_imports WHERE {_SCRIPT}")
 oracle("jsx_components", "kept_detailed d_tags", f"""SELECT repo, file_path, coalesce(string_agg(tag, '|' ORDER BY k), '') AS components
   FROM kept_detailed LEFT JOIN d_tags USING (repo, file_path) WHERE {_SCRIPT} GROUP BY ALL""")
+# In this corpus a Python definition starts its line and has no default that contains a comma.
+oracle("python_symbols", "lines_detailed", f"""SELECT repo, file_path, CAST(n AS INTEGER) AS line, {RX}(raw, '^def (\\w+)', 1) AS name,
+  array_to_string(list_transform(list_filter(string_split({RX}(raw, '^def \\w+\\(([^)]*)\\)', 1), ','), lambda p: {strip('p')} <> ''),
+    lambda p: {RX}({strip('p')}, '^\\w+')), '|') AS params
+FROM lines_detailed WHERE {PY} AND regexp_matches(raw, '^def \\w+')""")
 oracle("env_vars", "lines_detailed", f"""
 SELECT repo, file_path, CAST(arg_min(n, k * 1000000 + n) AS INTEGER) AS line, name FROM (
   {" UNION ALL ".join(f"SELECT repo, file_path, n, {i} AS k, unnest(regexp_extract_all(raw, '{p}', 1)) AS name FROM lines_detailed" for i, p in enumerate(rules.ENV_PATTERNS))})
