@@ -30,7 +30,7 @@ from .labelled import held_out, training_rows
 #: Most labelled rows that are read to learn stems and weights.
 TRAINING_ROWS = 6000
 #: Least log-likelihood ratio of a learned stem, and its least share of labelled toxic documents.
-LEAST_RATIO, LEAST_SHARE = 30.0, 0.01
+LEAST_RATIO, LEAST_SHARE = 22.0, 0.01
 STEM_LENGTHS = range(4, 11)
 #: A negation acts on so many following words.
 REACH = 3
