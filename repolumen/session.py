@@ -56,11 +56,16 @@ def drop_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for a table or archive of this application."""
+    return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and
     later branches read columns from parquet instead of repeating the work."""
     spark = df.sparkSession
-    path = f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
