@@ -168,7 +168,8 @@ def fingerprints(docs: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame
     sent = [(row.head, row.stretch, order[order.index(row.stretch) - 1]) for row in heads]
     spark = docs.sparkSession
     moves = F.broadcast(spark.createDataFrame(sent, "head long, stretch long, goes long"))
-    halo = placed.join(moves, (placed.stretch == moves.stretch) & placed.doc_id.eqNullSafe(moves.head)) \
+    halo = placed.join(moves, (placed["stretch"] == moves["stretch"])
+                       & placed["doc_id"].eqNullSafe(moves["head"])) \
         .select("doc_id", "text", F.col("goes").alias("stretch"), F.lit(True).alias("halo"))
     dealt = placed.withColumn("halo", F.lit(False)).union(halo).repartition("stretch") \
         .sortWithinPartitions("stretch", "halo", F.col("doc_id").desc_nulls_last(), F.col("text").desc())

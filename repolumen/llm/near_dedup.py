@@ -4,10 +4,11 @@ Distinct shingle sets get ``96`` minima. Four minima make a band; sets that shar
 four bits of all minima, packed into six longs, estimate the similarity of a candidate from bit counts, corrected
 for chance agreement; only estimates far below the threshold are dropped. Every link is confirmed on whole sets.
 
-No group is paired with itself. A bucket first links each member to its smallest member (a star). Buckets that
-still hold several components are searched again, but only for pairs that sizes and counts of shingles found in no
-other set allow to reach the threshold: for two sets with ``c`` shared-at-most and ``u`` own shingles,
-``intersection <= c`` and ``union >= size of the other + u``.
+No group is paired with itself. A bucket first links each member to its smallest member (a star). The sets of buckets
+that still hold several components are searched again. Their shingles that are rare among them lead to all pairs with
+a rare shingle in common, a bounded number each. Any other pair has at most the remaining ``c`` shingles of a set in
+common, and its union has at least the other's size plus the set's ``u`` rare ones, so it is looked at only if
+``c / (size of the other + u)`` reaches the threshold both ways. Both bounds are exact: no link is lost by them.
 
 Cases: null, empty and blank texts have no shingles, are linked with nothing and kept. Equal texts fall together
 before any bucket is made. Rows with the same ``doc_id`` count as one document. A row without ``doc_id`` takes the
@@ -31,6 +32,8 @@ BANDS, ROWS, BITS = 24, 4, 4
 MINIMA = BANDS * ROWS
 #: An estimate this far below the threshold cannot belong to a link: over five standard deviations.
 MARGIN = 0.22
+#: A shingle is rare if at most so many of the sets that are searched again hold it.
+RARE = 64
 _NIBBLES = 0x1111111111111111
 _MULTIPLIERS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95)) | U64(1)
 _STEPS = mix(np.arange(101, 117, dtype=np.uint64)) | U64(1)
@@ -162,22 +165,32 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.min(F.when(F.col("id") == F.col("leader"), F.col("component"))).alias("main")).where("low <> high")
     open_ = placed.join(split.select("band", "key", "main"), ["band", "key"])
-    ids = open_.select("id").distinct()
-    own = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s")) \
-        .groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(
-            F.count("*").alias("own"))
-    facts = bits.join(ids, "id", "left_semi").join(own, "id", "left").select(
-        "id", "bits", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
     # The leader itself has already met every member of its bucket.
-    rest = materialize(open_.where("id <> leader").join(facts, "id"), "neardup-open")
+    homes = open_.select("id", "component").distinct()
+    spelled = materialize(sets.join(homes, "id").select("id", "component", F.explode("shingles").alias("s")),
+                          "neardup-spelled")
+    rare = materialize(spelled.groupBy("s").agg(
+        F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("between"))
+        .where(F.col("n") <= RARE), "neardup-rare")
+    own = spelled.join(rare.select("s"), "s", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+    facts = materialize(bits.join(homes, "id").join(own, "id", "left").select(
+        "id", "component", "bits", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own")),
+        "neardup-facts")
+    alike = (F.col("a.component") != F.col("b.component")) & (estimated_similarity("a.bits", "b.bits") >= floor)
+    # Pairs with a rare shingle in common: at most RARE rows meet in one key.
+    keyed = spelled.join(rare.where("n > 1 and between").select("s"), "s").select("s", "id") \
+        .join(facts.select("id", "component", "bits"), "id")
+    shared_rare = keyed.alias("a").join(keyed.alias("b"), (F.col("a.s") == F.col("b.s")) & (
+        F.col("a.id") < F.col("b.id")) & alike).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    # All other pairs: rare shingles count for the union only.
+    rest = open_.where("id <> leader").drop("component").join(facts, "id")
     a, b = rest.where("component <> main").alias("a"), rest.alias("b")
     able = [100 * (F.col(f"{x}.n") - F.col(f"{x}.own")) >= percent * (F.col(f"{y}.n") + F.col(f"{x}.own"))
             for x, y in (("a", "b"), ("b", "a"))]
-    more = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-                  & (F.col("a.component") != F.col("b.component"))
-                  & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-                  & able[0] & able[1] & (estimated_similarity("a.bits", "b.bits") >= floor)) \
-        .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    others = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
+                    & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
+                    & able[0] & able[1] & alike).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    more = shared_rare.union(others).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     late = materialize(_confirm(more, sets, percent).select("u", "v"), "neardup-late")
     if not late.isEmpty():
         found = connected_components(links.union(late), "neardup-all")

@@ -15,6 +15,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from .labelled import held_out, training_rows
 
 #: Most labelled rows read to fit vectors and network, and most words that get a vector of their own.
 TRAINING_ROWS, VOCABULARY = 4000, 8000
-DIM, NONZERO, REACH, HIDDEN = 48, 4, 2, 24
+DIM, NONZERO, REACH, HIDDEN, INDEXES = 48, 4, 2, 24, 4096
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|([^\w\s]|_)\1*|\n")
 
 
@@ -40,36 +41,21 @@ def tokens(text: str) -> list[str]:
             for t in (m.group() for m in _TOKEN.finditer(text.lower()))]
 
 
-def index_vector(token: str) -> np.ndarray:
-    """Sparse ternary vector from a hash of the token."""
-    h = 1469598103934665603
-    for byte in token.encode():
-        h = ((h ^ byte) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    out = np.zeros(DIM, np.float32)
-    for k in range(NONZERO):
-        h = (h * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
-        out[(h >> 33) % DIM] += 1 if h >> 63 else -1
-    return out
+def index_table() -> np.ndarray:
+    """The sparse ternary index vectors, fixed for all runs; a token's hash picks one."""
+    rng, table = np.random.default_rng(1), np.zeros((INDEXES, DIM), np.float32)
+    for row in table:
+        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
+    return table
 
 
-class Index:
-    """Index vectors of the tokens met so far; bounded, because it can be filled anew at any time."""
-
-    def __init__(self, most: int = 50_000):
-        self.rows, self.most = {}, most
-
-    def __getitem__(self, token: str) -> np.ndarray:
-        got = self.rows.get(token)
-        if got is None:
-            if len(self.rows) >= self.most:
-                self.rows.clear()
-            got = self.rows[token] = index_vector(token)
-        return got
+def index_of(names: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(t.encode()) % INDEXES for t in names], dtype=np.int64)
 
 
 def _context_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial sums of neighbours' index vectors by token, emitted whenever a bound is reached and at the end."""
-    index = Index()
+    index = index_table()
     sums: dict[str, np.ndarray] = {}
 
     def emit():
@@ -82,7 +68,7 @@ def _context_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             line = tokens(text)
             if not line:
                 continue
-            marks = np.array([index[t] for t in line])
+            marks = index[index_of(line)]
             total = np.concatenate([np.zeros((1, DIM)), np.cumsum(marks, 0)])
             at = np.arange(len(line))
             around = total[np.minimum(len(line), at + REACH + 1)] - total[np.maximum(0, at - REACH)] - marks
@@ -120,7 +106,7 @@ class Pooler:
         self.place = {t: k for k, t in enumerate(vectors)}
         self.table = np.array([v for v, _ in vectors.values()], np.float32).reshape(-1, DIM)
         self.weights = np.array([w for _, w in vectors.values()], np.float32)
-        self.index = Index()
+        self.index = index_table()
 
     def pool(self, text: str) -> np.ndarray:
         counts = Counter(tokens(text))
@@ -134,11 +120,11 @@ class Pooler:
             at, times = np.array(known).T
             plain += times @ self.table[at]
             rare += (times * self.weights[at]) @ self.table[at]
-        for token, c in counts.items():
-            if token not in self.place:
-                vector = self.index[token] * (c / NONZERO)
-                plain += 0.25 * vector
-                rare += 0.25 * vector
+        others = [t for t in counts if t not in self.place]
+        if others:
+            vector = np.array([counts[t] for t in others], np.float32) @ self.index[index_of(others)] / (4 * NONZERO)
+            plain += vector
+            rare += vector
         out[:DIM], out[DIM: 2 * DIM] = plain / n, rare / n
         out[2 * DIM:] = np.log1p(n) / 10, len(counts) / n, sum(c for t, c in counts.items() if not t.isalpha()) / n
         return out
@@ -228,13 +214,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS):
 def quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per document."""
     vectors, network = train(docs, labels, rows)
-    model = docs.sparkSession.sparkContext.broadcast((vectors, network))  # bounded by VOCABULARY
 
     @F.pandas_udf("double")
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pooler, net = Pooler(model.value[0]), model.value[1]
+        pooler = Pooler(vectors)
         for texts in parts:
-            yield pd.Series(net.score(np.array([pooler.pool(t) for t in texts.fillna("")])
+            yield pd.Series(network.score(np.array([pooler.pool(t) for t in texts.fillna("")])
                                       .reshape(-1, Pooler.width)), dtype="float64")
     scored = docs.select("doc_id", probability(F.col("text").cast("string")).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score",

@@ -66,9 +66,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     # The largest id of a payload, and with it the capture that holds the payload.
     rank = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), "capture")
     holders = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(
-        F.max(rank).alias("h")).select("digest", F.col("bytes").alias("_b"), F.col("h.capture").alias("holder"))
-    roles = narrow.join(holders, (narrow.digest == holders.digest) & (narrow.bytes == holders._b), "left") \
-        .select("capture", narrow.digest, "bytes", F.coalesce("holder", "capture").alias("holder"))
+        F.max(rank).alias("h")).select("digest", "bytes", F.col("h.capture").alias("holder"))
+    roles = narrow.join(holders, ["digest", "bytes"], "left") \
+        .select("capture", "digest", "bytes", F.coalesce("holder", "capture").alias("holder"))
     total = narrow.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
     files = max(1, ((total.b or 0) + 1200 * total.n) // FILE_BYTES)
 
