@@ -69,11 +69,11 @@ def extract_context(lines: Column, language: Column, endpoints: Column) -> Colum
     return joined(F.concat(head_lines(lines, 5), F.array(F.lit(rules.CONTEXT_MARK)), body, tail))
 
 
-def parse_response(path: Column, response: Column) -> Column:
+def parse_response(path: Column, response: Column, limit: int | None = None) -> Column:
     """``struct<summary, insights>`` of a sectioned answer.
 
     A scan carries the current section; a new summary heading starts the summary afresh, and
-    lines of other sections become labelled insights, the first ten of them.
+    lines of other sections become labelled insights, all of them or the first ``limit``.
     """
     start = F.struct(F.lit("").alias("section"), F.lit("").alias("summary"),
                      F.array().cast("array<string>").alias("insights"))
@@ -84,7 +84,9 @@ def parse_response(path: Column, response: Column) -> Column:
         for prefix, section in reversed(rules.RESPONSE_SECTIONS):
             heading = F.when(line.startswith(prefix), F.lit(section)).otherwise(heading)
         in_summary = heading.isNull() & (acc["section"] == "summary") & (line != "")
-        labelled = heading.isNull() & ~acc["section"].isin("", "summary") & (line != "") & (F.size(acc["insights"]) < 10)
+        labelled = heading.isNull() & ~acc["section"].isin("", "summary") & (line != "")
+        if limit is not None:
+            labelled = labelled & (F.size(acc["insights"]) < limit)
         return F.struct(
             F.coalesce(heading, acc["section"]).alias("section"),
             F.when(heading == "summary", strip(F.replace(line, F.lit("SUMMARY:"), F.lit(""))))

@@ -1,9 +1,8 @@
 """Documents as tables of ordered sections.
 
 A section is ``(repo, doc_name, sec, key, text)``; its text comes from one file row or one
-summary row and is built without a shuffle. ``assemble`` joins the sections of a document to
-one row as long as the document stays below a size that one task can hold; a larger document
-stays a sequence of rows in ``(sec, part)`` order. Nothing is cut off either way.
+summary row and is built without a shuffle. A document of any size is the sequence of its
+sections in ``(sec, part)`` order. Nothing is cut off.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from ..functions.prep import _each, _say
 from . import ranking, rollup
 from .unnest import unnest
 
-DOCUMENT_CHARS = 4_000_000
-
 
 def sections(df: DataFrame, doc: str, *rows: tuple) -> DataFrame:
     """Sections of a document from the rows of ``df``, all of them in one pass.
@@ -43,18 +40,11 @@ def stack(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def assemble(sections: DataFrame, limit: int = DOCUMENT_CHARS) -> DataFrame:
-    """``(repo, doc_name, sec, part, content)``: one row per document up to ``limit`` characters,
-    else one row per section in ``(sec, part)`` order."""
-    doc = ["repo", "doc_name"]
-    large = sections.groupBy(*doc).agg(F.sum(F.length("text")).alias("chars")).where(F.col("chars") > limit)
-    tagged = sections.join(large, doc, "left")
-    whole = F.col("chars").isNull()
-    keyed = tagged.withColumn("part_sec", F.when(whole, 0).otherwise(F.col("sec"))) \
-        .withColumn("part", F.when(whole, "").otherwise(F.col("key")))
-    joined = keyed.groupBy(*doc, "part_sec", "part").agg(
-        F.array_sort(F.collect_list(F.struct("sec", "key", "text"))).alias("s"))
-    return joined.select(*doc, F.col("part_sec").alias("sec"), "part", _each(F.col("s"), lambda x: x["text"]).alias("content"))
+def assemble(sections: DataFrame) -> DataFrame:
+    """``(repo, doc_name, sec, part, content)``: one row per section; the document is their sequence in
+    ``(sec, part)`` order. Texts of one place in a document are joined in their own order."""
+    return sections.groupBy("repo", "doc_name", "sec", F.col("key").alias("part")).agg(
+        F.array_join(F.array_sort(F.collect_list("text")), "").alias("content"))
 
 
 def _titles(languages: Column) -> Column:
@@ -153,7 +143,7 @@ def project_summary_document(facts: DataFrame) -> DataFrame:
         sections(ranking.backend_top_n(facts, 10), doc,
                  (5, path, _say("- **", path, "** (", F.col("language"), ")\n  - Purpose: ", F.col("file_purpose"), "\n",
                                 api_line, fn_line))),
-        sections(rollup.dependency_union(facts), doc,
+        sections(rollup.dependency_union(facts, 20), doc,
                  (7, F.col("dependency"), _say("- ", F.col("dependency"), "\n")))])
 
 
@@ -187,7 +177,7 @@ def _label_sections(bundles: DataFrame, doc: str, lists: list[tuple]) -> DataFra
     rows, first = [], 0
     for sec, prefix, rule_list, suffix in lists:
         mine = (F.col("ord") >= first) & (F.col("ord") < first + len(rule_list))
-        rows.append((sec, numbered(F.col("ord")), _say(prefix, F.col("label"), suffix), mine))
+        rows.append((sec, numbered(F.col("ord") - first), _say(prefix, F.col("label"), suffix), mine))
         first += len(rule_list)
     return sections(rollup.rule_hits(bundles, every), doc, *rows)
 
@@ -274,12 +264,9 @@ def insight_document(facts: DataFrame, enriched: DataFrame) -> DataFrame:
             "\n**Functions**: ", F.col("function_count"), "\n\n**AI Analysis**:\n", F.col("response"), "\n\n---\n\n")))])
 
 
-def result_json(bundles: DataFrame, limit: int = DOCUMENT_CHARS) -> DataFrame:
-    """Nested result per repository as ``(repo, part, json)``.
-
-    A repository whose result stays below ``limit`` characters is one object with a summary and
-    its files. A larger one is one object per file (``part`` is the path) and a summary object.
-    """
+def result_json(bundles: DataFrame) -> DataFrame:
+    """Nested result as ``(repo, part, json)``: one object per file (``part`` is the path) with its entry in the file
+    list and, for back-end files, its details, and one summary object per repository (``part`` is empty)."""
     backend = F.when(F.col("is_backend"), F.to_json(F.struct(
         PATH, "language", "file_purpose", "api_count", "function_count", "lines_of_code", "dependencies",
         F.transform("apis", lambda a: F.struct(
@@ -292,22 +279,10 @@ def result_json(bundles: DataFrame, limit: int = DOCUMENT_CHARS) -> DataFrame:
     listed = F.to_json(F.struct(PATH, "language", "file_purpose", "lines_of_code", "function_count", "is_backend",
                                 "dependencies"))
     pieces = bundles.select("repo", PATH, backend.alias("backend"), listed.alias("listed"))
-    length = F.length("listed") + F.coalesce(F.length("backend"), F.lit(0))
-    large = pieces.groupBy("repo").agg(F.sum(length).alias("chars")).where(F.col("chars") > limit)
-    summary = rollup.repo_summary(bundles).select("repo", F.to_json(F.struct(
-        "total_files", "backend_files", "total_apis", "total_functions", "languages")).alias("summary"))
-    tagged = pieces.join(large, "repo", "left")
-    small = tagged.where(F.col("chars").isNull()).groupBy("repo").agg(
-        F.array_sort(F.collect_list(F.struct(PATH, "backend", "listed"))).alias("f"))
-
-    def members(field):
-        return F.array_join(F.filter(F.transform("f", lambda x: x[field]), lambda j: j.isNotNull()), ",")
-
-    whole = small.join(summary, "repo").select("repo", F.lit("").alias("part"), _say(
-        '{"repository":"', F.col("repo"), '","summary":', F.col("summary"), ',"backend_files":[', members("backend"),
-        '],"all_files":[', members("listed"), "]}").alias("json"))
-    parts = tagged.where(F.col("chars").isNotNull()).select("repo", F.col(PATH).alias("part"), _say(
+    summary = rollup.repo_summary(bundles).select("repo", F.lit("").alias("part"), _say(
+        '{"repository":', F.to_json(F.struct("repo")).substr(F.lit(9), F.length(F.to_json(F.struct("repo"))) - 9),
+        ',"summary":', F.to_json(F.struct("total_files", "backend_files", "total_apis", "total_functions", "languages")),
+        "}").alias("json"))
+    parts = pieces.select("repo", F.col(PATH).alias("part"), _say(
         '{"file":', F.col("listed"), ',"backend_file":', F.coalesce("backend", F.lit("null")), "}").alias("json"))
-    heads = summary.join(large, "repo").select("repo", F.lit("").alias("part"), _say(
-        '{"repository":"', F.col("repo"), '","summary":', F.col("summary"), "}").alias("json"))
-    return stack([whole, parts, heads])
+    return stack([parts, summary])

@@ -10,13 +10,13 @@ from ..functions.symbols import python_symbols
 from .unnest import unnest
 
 
-def select_files(files: DataFrame, profile: str = "enhanced") -> DataFrame:
-    """Files the profile analyses, with ``language``: directory, extension and size filters."""
+def select_files(files: DataFrame, profile: str = "enhanced", max_chars: int | None = None) -> DataFrame:
+    """Files the profile analyses, with ``language``: directory and extension filters, and a size limit
+    (``rules.MAX_CHARS`` has the published ones) only if the caller passes one."""
     path = F.col("file_path")
     kept = (files.where(~paths.in_skipped_dir(path, profile))
             .withColumn("language", paths.language_of(path, profile)).where(F.col("language").isNotNull()))
-    limit = rules.MAX_CHARS[profile]
-    return kept if limit is None else kept.where(F.char_length("content") <= limit)
+    return kept if max_chars is None else kept.where(F.char_length("content") <= max_chars)
 
 
 def file_facts(files: DataFrame, profile: str = "enhanced") -> DataFrame:

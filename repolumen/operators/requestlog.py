@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
+from ..session import materialize
 from .ordering import clamped_fold, in_blocks, ordinal, running, with_halo
 
 ORDER = ["micros", "event_id"]
@@ -147,10 +148,14 @@ def key_state(requests: DataFrame, now: Column) -> DataFrame:
                         free.alias("available"))
 
 
-def best_keys(state: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` healthiest keys, best first; ties go to the smaller key."""
-    top = state.orderBy(F.desc("health_score"), "key").limit(k)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("health_score"), "key")))
+def ranked_keys(state: DataFrame) -> DataFrame:
+    """Every key with its ``place`` by health score (highest first) and its ``usage_place`` by usage score (lowest
+    first); ties go to the smaller key. Places are counted in blocks, so no task sorts all keys."""
+    stored = materialize(state, "key-state")
+    for name, order in (("place", F.desc("health_score")), ("usage_place", F.asc("usage_score"))):
+        placed = ordinal(stored.select("key", "health_score", "usage_score"), [], [order, F.asc("key")], name, name)
+        stored = stored.join(placed.select("key", (F.col(name) + 1).cast("int").alias(name)), "key")
+    return stored
 
 
 def file_batches(files: DataFrame, size: int = rules.BATCH_FILES) -> DataFrame:

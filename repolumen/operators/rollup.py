@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, paths, rules
 from ..functions.text import contains_any
+from .ordering import ordinal
 from .unnest import unnest
 
 
@@ -152,9 +153,13 @@ def module_interfaces(detailed: DataFrame, per_folder: int = 5) -> DataFrame:
 # --- dependencies and technologies ----------------------------------------------------------------
 
 
-def dependency_union(facts: DataFrame, k: int = 20) -> DataFrame:
+def dependency_union(facts: DataFrame, k: int | None = None) -> DataFrame:
+    """Dependencies of each repository with their ``rank`` in name order, all of them or the first ``k``."""
     names = unnest(facts, ["repo"], "dependencies", "dependency").distinct()
-    return first_k(names, ["repo"], ["dependency"], k)
+    if k is not None:
+        return first_k(names, ["repo"], ["dependency"], k)
+    return ordinal(names, ["repo"], ["dependency"], "rank", "dependencies") \
+        .withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def tech_usage(facts: DataFrame) -> DataFrame:

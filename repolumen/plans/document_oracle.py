@@ -79,7 +79,7 @@ SELECT repo, file_path, {strip("replace(any_value(line) FILTER (n = n0), 'SUMMAR
   FROM answer_lines JOIN answer_start USING (repo, file_path)
   WHERE n = n0 OR (n > n0 AND section = 'summary' AND head IS NULL) GROUP BY ALL""")
 part("answer_insights", "answer_lines", """
-SELECT repo, file_path, array_to_string(list('[' || upper(section) || '] ' || line ORDER BY n)[1:10], '|') AS insights
+SELECT repo, file_path, array_to_string(list('[' || upper(section) || '] ' || line ORDER BY n), '|') AS insights
   FROM answer_lines WHERE section <> 'summary' AND head IS NULL AND line <> '' GROUP BY ALL""")
 oracle("parse_response", "responses answer_summary answer_insights", """
 SELECT repo, file_path, CASE WHEN coalesce(summary, '') = '' THEN 'Comprehensive analysis of ' || regexp_extract(file_path, '[^/]*$')
@@ -166,8 +166,8 @@ def document(name: str, needs: str, doc: str, *sections: tuple) -> None:
     """Sections are ``(source, key, template)``; they are joined in order of section and key."""
     rows = " UNION ALL ".join(f"SELECT repo, {i} AS sec, {key or chr(39) * 2} AS key, {text(body)} AS text FROM {source}"
                               for i, (source, key, body) in enumerate(sections))
-    oracle(name, needs, f"""SELECT repo, '{doc}' AS doc_name, 0::INTEGER AS sec, '' AS part,
-  string_agg(text, '' ORDER BY sec, key) AS content FROM ({rows}) GROUP BY repo""")
+    oracle(name, needs, f"""SELECT repo, '{doc}' AS doc_name, sec::INTEGER AS sec, key AS part,
+  string_agg(text, '' ORDER BY text) AS content FROM ({rows}) GROUP BY ALL""")
 
 
 ANCHOR = "lower(replace(replace(file_path, '/', ''), '.', ''))"
@@ -300,16 +300,15 @@ _API_JSON = ("struct_pack(method := method, path := path, function := function_n
 _FN_JSON = ("struct_pack(name := name, params := params, line := line, return_type := return_type, complexity := complexity, "
             "docstring := docstring, is_api_handler := is_api_handler)")
 oracle("result_json", "facts totals eps fns", f"""
-SELECT repo, '' AS part, '{{"repository":"' || repo || '","summary":' || to_json(struct_pack(total_files := total_files,
-    backend_files := backend_files, total_apis := total_apis, total_functions := total_functions, languages := languages))
-  || ',"backend_files":[' || coalesce(b, '') || '],"all_files":[' || l || ']}}' AS json
-FROM totals JOIN (SELECT repo, string_agg(to_json({_LISTED})::VARCHAR, ',' ORDER BY file_path) AS l FROM facts GROUP BY repo) USING (repo)
-LEFT JOIN (SELECT repo, string_agg(to_json(struct_pack(file_path := file_path, language := language, file_purpose := file_purpose,
+SELECT repo, '' AS part, '{{"repository":' || to_json(repo)::VARCHAR || ',"summary":' || to_json(struct_pack(total_files := total_files,
+    backend_files := backend_files, total_apis := total_apis, total_functions := total_functions, languages := languages)) || '}}' AS json
+FROM totals
+UNION ALL SELECT repo, file_path, '{{"file":' || to_json({_LISTED})::VARCHAR || ',"backend_file":' || CASE WHEN is_backend THEN
+    to_json(struct_pack(file_path := file_path, language := language, file_purpose := file_purpose,
       api_count := api_count, function_count := function_count, lines_of_code := lines_of_code, dependencies := dependencies,
-      apis := coalesce(a, []), functions := coalesce(f, [])))::VARCHAR, ',' ORDER BY file_path) AS b FROM facts
-    LEFT JOIN (SELECT repo, file_path, list({_API_JSON} ORDER BY line, ord) AS a FROM eps GROUP BY ALL) USING (repo, file_path)
-    LEFT JOIN (SELECT repo, file_path, list({_FN_JSON} ORDER BY line) AS f FROM fns GROUP BY ALL) USING (repo, file_path)
-  WHERE is_backend GROUP BY repo) USING (repo)""")
+      apis := coalesce(a, []), functions := coalesce(f, [])))::VARCHAR ELSE 'null' END || '}}' FROM facts
+  LEFT JOIN (SELECT repo, file_path, list({_API_JSON} ORDER BY line, ord) AS a FROM eps GROUP BY ALL) USING (repo, file_path)
+  LEFT JOIN (SELECT repo, file_path, list({_FN_JSON} ORDER BY line) AS f FROM fns GROUP BY ALL) USING (repo, file_path)""")
 
 
 def sizes(doc: str, *sections: tuple) -> str:

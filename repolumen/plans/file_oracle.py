@@ -38,10 +38,8 @@ def language(profile: str) -> str:
 
 
 def selected(source: str, profile: str) -> str:
-    limit = rules.MAX_CHARS[profile]
-    size = f"AND length(content) <= {limit}" if limit else ""
     return (f"SELECT repo, file_path, content, {language(profile)} AS language FROM {source} "
-            f"WHERE NOT ({skip(profile)}) AND {language(profile)} IS NOT NULL {size}")
+            f"WHERE NOT ({skip(profile)}) AND {language(profile)} IS NOT NULL")
 
 
 JS = "language IN ('javascript', 'typescript')"

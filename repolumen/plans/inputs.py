@@ -100,7 +100,7 @@ WHERE text IS NOT NULL
 """
 
 REQUESTS_SQL = """
-SELECT event_id, user_id AS key, ts, CAST(floor(value) AS BIGINT) AS tokens, event_type <> 'error' AS ok,
+SELECT event_id, user_id AS key, event_type, ts, CAST(floor(value) AS BIGINT) AS tokens, event_type <> 'error' AS ok,
   CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 429 WHEN 1 THEN 503 ELSE 400 END END AS error_code
 FROM events
 """

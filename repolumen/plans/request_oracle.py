@@ -7,7 +7,7 @@ from .registry import oracle, part
 from .rollup_oracle import big
 
 part("requests", "", inputs.REQUESTS_SQL)
-part("shared", "requests", "SELECT r.* REPLACE (e.event_type AS key) FROM requests r JOIN events e USING (event_id)")
+part("shared", "requests", "SELECT * EXCLUDE (event_type) REPLACE (event_type AS key) FROM requests")
 part("few", "requests", "SELECT * REPLACE (key % 3 AS key) FROM requests")
 STEP = "CASE WHEN ok THEN -1 WHEN error_code = 429 THEN 2 ELSE 1 END"
 HEALTH = "CASE WHEN ok THEN 5 WHEN error_code = 429 THEN -25 WHEN error_code = 503 THEN -15 ELSE -10 END"
@@ -56,20 +56,20 @@ WHERE epoch_us(ts) < until_micros""")
 oracle("consecutive_errors", "requests", """SELECT event_id, key, ts, ok,
   CAST(CASE WHEN ok THEN 0 ELSE count(*) FILTER (NOT ok) OVER (PARTITION BY key, island ORDER BY ts, event_id) END AS BIGINT) AS streak
 FROM (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM requests)""")
-part("past", "requests", "SELECT * FROM requests WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'")
+part("past", "requests", "SELECT *, max(ts) OVER () AS now FROM requests")
 part("fold_past", "past", folded("past"))
 part("state", "past fold_past", f"""SELECT *, health - recent_tokens / 3000 * 50 - failures * 10 AS health_score,
   minute_requests / 60 + minute_tokens / 6000 + streak * 0.5::DOUBLE AS usage_score,
   minute_requests < 60 AND minute_tokens < 6000 AND streak < 3 AS available FROM (
   SELECT key, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS errors, {big('sum(tokens)')} AS tokens,
-    {big("coalesce(sum(tokens) FILTER (ts > TIMESTAMP '2024-01-15 11:59:00'), 0)")} AS recent_tokens,
-    count(*) FILTER (date_trunc('minute', ts) = TIMESTAMP '2024-01-15 12:00:00') AS minute_requests,
-    {big("coalesce(sum(tokens) FILTER (date_trunc('minute', ts) = TIMESTAMP '2024-01-15 12:00:00'), 0)")} AS minute_tokens,
+    {big("coalesce(sum(tokens) FILTER (ts > now - INTERVAL 60 SECOND), 0)")} AS recent_tokens,
+    count(*) FILTER (date_trunc('minute', ts) = date_trunc('minute', now)) AS minute_requests,
+    {big("coalesce(sum(tokens) FILTER (date_trunc('minute', ts) = date_trunc('minute', now)), 0)")} AS minute_tokens,
     count(*) FILTER (NOT ok AND (last_ok IS NULL OR (ts, event_id) > last_ok)) AS streak
   FROM past LEFT JOIN (SELECT key, max((ts, event_id)) AS last_ok FROM past WHERE ok GROUP BY key) USING (key) GROUP BY key)
 JOIN (SELECT key, {big('arg_max(health, n)')} AS health, {big('arg_max(failures, n)')} AS failures FROM fold_past GROUP BY key) USING (key)""")
 oracle("key_score_rank", "state", """SELECT key, CAST(row_number() OVER (ORDER BY health_score DESC, key) AS INTEGER) AS place,
-  round(health_score, 6) AS health_score, round(usage_score, 6) AS usage_score FROM state QUALIFY place <= 10""")
+  CAST(row_number() OVER (ORDER BY usage_score, key) AS INTEGER) AS usage_place, round(health_score, 6) AS health_score, round(usage_score, 6) AS usage_score FROM state""")
 oracle("key_stats", "state", """SELECT key, successes, errors, tokens, recent_tokens, streak, health, failures, available FROM state""")
 oracle("token_estimate", "files", r"""SELECT repo, file_path, file_id, length(content) // 4 + 100 AS quarter, length(content) // 2 + 200 AS half,
   round(len(regexp_extract_all(content, '\S+')) * 1.3::DOUBLE, 6) AS words FROM files""")

@@ -10,14 +10,14 @@ from . import inputs
 from .registry import query
 
 
-def _now():
-    return F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+def _now(requests):
+    """The end of the log, so that all of it is read."""
+    return F.lit(requests.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
 
 
 def _shared_keys(spark, sf):
     """The log keyed by event type: few, dense keys."""
-    events = inputs.table(spark, sf, "events").select("event_id", "event_type")
-    return inputs.requests(spark, sf).join(events, "event_id").drop("key").withColumnRenamed("event_type", "key")
+    return inputs.requests(spark, sf).drop("key").withColumnRenamed("event_type", "key")
 
 
 @query("rolling_usage")
@@ -64,15 +64,16 @@ def _(spark, sf):
 
 @query("key_score_rank")
 def _(spark, sf):
-    state = requestlog.key_state(inputs.requests(spark, sf), _now())
-    best = requestlog.best_keys(state)
-    return best.select("key", "place", F.round("health_score", 6).alias("health_score"),
-                       F.round("usage_score", 6).alias("usage_score"))
+    requests = inputs.requests(spark, sf)
+    return requestlog.ranked_keys(requestlog.key_state(requests, _now(requests))).select(
+        "key", "place", "usage_place", F.round("health_score", 6).alias("health_score"),
+        F.round("usage_score", 6).alias("usage_score"))
 
 
 @query("key_stats")
 def _(spark, sf):
-    return requestlog.key_state(inputs.requests(spark, sf), _now()).select(
+    requests = inputs.requests(spark, sf)
+    return requestlog.key_state(requests, _now(requests)).select(
         "key", "successes", "errors", "tokens", "recent_tokens", "streak", "health", "failures", "available")
 
 

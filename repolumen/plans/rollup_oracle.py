@@ -139,7 +139,8 @@ for _name, _label in {"language_breakdown": "language", "purpose_breakdown": "fi
     oracle(_name, "facts", f"SELECT repo, {_label}, count(*) AS files FROM facts GROUP BY ALL")
 part("first_deps", "facts", """SELECT repo, dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY dependency) AS INTEGER) AS rank
   FROM (SELECT DISTINCT repo, unnest(dependencies) AS dependency FROM facts) QUALIFY rank <= 20""")
-oracle("dependency_union", "first_deps", "SELECT repo, dependency, rank FROM first_deps")
+oracle("dependency_union", "facts", """SELECT repo, dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY dependency) AS INTEGER) AS rank
+  FROM (SELECT DISTINCT repo, unnest(dependencies) AS dependency FROM facts)""")
 oracle("tech_usage", "usage", "SELECT repo, dependency, files FROM usage")
 _FEATURE_ROWS = " UNION ALL ".join(
     f"SELECT repo, file_path, {i} AS ord, '{label}' AS feature FROM facts WHERE is_backend AND {has('plow', words)}"

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUNDLE_CHARS = 16_000_000
-
 
 def write_results_json(results: DataFrame, path: str) -> None:
     """JSON lines in one folder per repository; ``results`` comes from ``result_json``."""
@@ -39,21 +37,20 @@ def read_document(documents: DataFrame, repo: str, doc_name: str) -> DataFrame:
         .orderBy("sec", "part").select("content")
 
 
-def bundle_documents(documents: DataFrame, limit: int = BUNDLE_CHARS) -> DataFrame:
+def bundle_documents(documents: DataFrame, archives: int = 1) -> DataFrame:
     """Zip archives per repository: ``(repo, bundle, archive)``.
 
-    A repository gets as many archives as its size asks for, so none outgrows a task.
+    Documents are dealt to ``archives`` archives of a repository by name; a document is one member.
     """
-    sizes = documents.groupBy("repo").agg(F.ceil(F.sum(F.length("content")) / limit).cast("int").alias("bundles"))
-    placed = documents.join(sizes, "repo").withColumn(
-        "bundle", F.pmod(F.xxhash64("doc_name", "sec", "part"), F.greatest("bundles", F.lit(1))).cast("int"))
+    placed = documents.withColumn("bundle", F.pmod(F.xxhash64("doc_name"), F.lit(archives)).cast("int"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            for row in rows.sort_values(["doc_name", "sec", "part"]).itertuples():
-                suffix = "" if row.part == "" else f".{row.sec:04d}.{row.part.replace('/', '_')}"
-                archive.writestr(row.doc_name + suffix, row.content)
+            for name, parts in rows.sort_values(["doc_name", "sec", "part"]).groupby("doc_name", sort=True):
+                with archive.open(name, "w") as member:
+                    for content in parts["content"]:
+                        member.write(content.encode())
         return pd.DataFrame({"repo": [rows.repo.iloc[0]], "bundle": [rows.bundle.iloc[0]],
                              "archive": [buffer.getvalue()]})
 

@@ -191,7 +191,9 @@ def test_reduction_falls_back_to_telling_lines(spark):
 def test_response_sections(spark):
     answer = "intro\nSUMMARY: first\nSUMMARY: second\n more \n\nKEY_FUNCTIONS: x\n- f\n" + "\n".join(f"- {i}" for i in range(20))
     got = one(spark, prep.parse_response(F.col("p"), F.col("r")), p="a/b.py", r=answer)
-    assert got.summary == "second more" and got.insights[0] == "[FUNCTIONS] - f" and len(got.insights) == 10
+    assert got.summary == "second more" and got.insights[0] == "[FUNCTIONS] - f" and len(got.insights) == 21
+    first = one(spark, prep.parse_response(F.col("p"), F.col("r"), limit=10), p="a/b.py", r=answer)
+    assert list(first.insights) == list(got.insights)[:10]
     empty = one(spark, prep.parse_response(F.col("p"), F.col("r")), p="a/b.py", r="nothing")
     assert empty.summary == "Comprehensive analysis of b.py" and empty.insights == []
 
@@ -220,7 +222,9 @@ def test_java_functions(spark):
 
 def test_size_limits(files):
     table = files({"a.py": "x" * 50_000, "b.py": "x" * 50_001, "c.py": "x" * 100_001})
-    kept = {p: sorted(r.file_path for r in facts.select_files(table, p).collect()) for p in ("enhanced", "fast", "detailed")}
+    kept = {p: sorted(r.file_path for r in facts.select_files(table, p, rules.MAX_CHARS[p]).collect())
+            for p in ("enhanced", "fast", "detailed")}
+    assert facts.select_files(table, "fast").count() == 3
     assert kept == {"enhanced": ["a.py", "b.py"], "fast": ["a.py"], "detailed": ["a.py", "b.py", "c.py"]}
 
 
