@@ -80,7 +80,8 @@ def _context_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row[DIM] += 1
             if len(sums) > 40_000:
                 yield emit()
-    yield emit()
+    if sums:
+        yield emit()
 
 
 def word_vectors(sample: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, tuple[np.ndarray, float]]:

@@ -7,17 +7,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "ve", "zu") for b in ("", "n", "r", "st", "lo")]
-
-
-def prose(seed: int, n: int) -> str:
-    """Fixed pseudo-random prose."""
-    out, x = [], seed * 2654435761 % 2**32
-    for _ in range(n):
-        x = (x * 1664525 + 1013904223) % 2**32
-        out.append(WORDS[(x >> 16) % len(WORDS)])
-    return " ".join(out)
-
 
 @pytest.fixture
 def table(spark):

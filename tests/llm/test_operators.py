@@ -10,7 +10,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import prose
+from brute import prose
 from pyspark.sql import functions as F
 
 from repolumen.llm import (components, decontaminate, fingerprints, mixing, near_dedup, pii, quality, suffix_dedup,
