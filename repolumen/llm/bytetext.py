@@ -16,7 +16,7 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: The white space of the contracts: blank and \x09 to \x0D.
 SPACE = np.zeros(256, bool)

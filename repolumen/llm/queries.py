@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import (decontaminate, fingerprints, mixing, near_dedup, pii, quality, suffix_dedup, token_rollup, toxicity,
                warc)
+from .oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def query(fn):
