@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .bytetext import LOWER, SPACE, U64, mix, prefix_hash, stretch_hash, words
 
 SAMPLES, BUCKETS = 64, 1 << 16
-#: Rows of one ordered stretch of documents.
-STRETCH_ROWS = 4096
+#: Rows of one ordered stretch of documents, and most stretches: what the driver knows of them stays bounded, and
+#: longer stretches are sorted with spill and read as a stream.
+STRETCH_ROWS, MOST_STRETCHES = 1024, 20_000
 _DRAWS: dict[str, np.ndarray] = {}
 
 
@@ -155,7 +156,7 @@ def fingerprints(docs: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame
     n = texts.count()
     if not n:
         return texts.mapInArrow(_describe_nothing, _SCHEMA)
-    parts = max(1, n // stretch_rows)
+    parts = min(MOST_STRETCHES, max(1, n // stretch_rows))
     cuts = texts.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5],
                                          max(10_000, 10 * parts)).alias("c")).first().c or []
     cuts = np.unique(np.array(cuts if parts > 1 else [], dtype=np.int64))
@@ -165,7 +166,8 @@ def fingerprints(docs: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame
     heads = texts.select("doc_id").mapInArrow(partial(_place, cuts=cuts), "doc_id long, stretch long") \
         .groupBy("stretch").agg(F.max("doc_id").alias("head")).collect()  # one row per stretch
     order = sorted((row.stretch for row in heads), reverse=True)
-    sent = [(row.head, row.stretch, order[order.index(row.stretch) - 1]) for row in heads]
+    before = {stretch: order[k - 1] for k, stretch in enumerate(order)}
+    sent = [(row.head, row.stretch, before[row.stretch]) for row in heads]
     spark = docs.sparkSession
     moves = F.broadcast(spark.createDataFrame(sent, "head long, stretch long, goes long"))
     halo = placed.join(moves, (placed["stretch"] == moves["stretch"])
