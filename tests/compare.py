@@ -42,7 +42,10 @@ def difference(spark_df, con, sql: str) -> str | None:
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
-    kinds = [(c, got[c].dtype.kind, want[c].dtype.kind) for c in got if got[c].dtype.kind != want[c].dtype.kind]
+    # pandas turns Spark's whole numbers with nulls into floats; the frame's own schema tells them apart
+    whole = {f.name for f in spark_df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+    kind = {c: "i" if c in whole and got[c].isna().any() else got[c].dtype.kind for c in got}
+    kinds = [(c, kind[c], want[c].dtype.kind) for c in got if kind[c] != want[c].dtype.kind]
     a, b = normal(got), normal(want)
     if len(a) and not a.equals(b):
         bad = (a != b).any(axis=1)
