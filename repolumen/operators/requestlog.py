@@ -73,6 +73,12 @@ def _health_step() -> Column:
     return F.when(F.col("ok"), 5).when(_rate_limited(), -25).when(_server_error(), -15).otherwise(-10)
 
 
+def health_steps(requests: DataFrame) -> DataFrame:
+    """Requests with ``micros`` and what each adds to its key's health and failure count."""
+    return _timed(requests).withColumns({"health_step": _health_step().cast("long"),
+                                         "failure_step": _failure_step().cast("long")})
+
+
 def key_health(requests: DataFrame) -> DataFrame:
     """Final health (100 at the start, kept within 0 and 100) and failure count (never below 0)."""
     blocked = in_blocks(_timed(requests), ["key"], ORDER, "health")

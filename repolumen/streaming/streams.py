@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import rules
-from ..operators import facts
+from ..operators import facts, requestlog
 
 
 def facts_stream(files: DataFrame, profile: str = "enhanced") -> DataFrame:
@@ -42,91 +42,180 @@ def sliding_usage_stream(requests: DataFrame, lateness: str = "5 minutes", secon
 HEALTH = T.StructType([T.StructField("key", T.LongType()), T.StructField("health", T.LongType()),
                        T.StructField("failures", T.LongType()), T.StructField("requests", T.LongType())])
 
+#: Waiting requests are kept in buckets of so many microseconds; a bucket is folded once the watermark has passed its end.
+BUCKET_MICROS = 1_000_000
+
 
 class KeyHealth(StatefulProcessor):
     """Health and failure count per key.
 
-    Clamped additions do not commute, so requests wait until the watermark has passed them and
-    are then folded in event order; a timer per key empties the waiting list.
+    Clamped additions do not commute, so requests wait in buckets of event time until the watermark has passed the
+    bucket's end and are then folded by microsecond and id. Only due buckets are read; the list of open buckets is as
+    short as the lateness. With ``idle_hours`` a key without requests for so long (in event time) starts anew.
     """
 
+    def __init__(self, idle_hours: int | None = None) -> None:
+        self.idle_ms = None if idle_hours is None else idle_hours * 3_600_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.score = handle.getValueState("score", "health long, failures long, requests long")
-        self.waiting = handle.getMapState("waiting", "ms long, event_id long", "ok boolean, error_code int")
+        self.score = handle.getValueState("score", "health long, failures long, requests long, last_ms long")
+        self.open = handle.getValueState("open", "buckets array<long>")
+        self.waiting = handle.getMapState(
+            "waiting", "bucket long", "micros array<long>, ids array<long>, health array<long>, failures array<long>")
+
+    def _open_buckets(self) -> set[int]:
+        return set(self.open.get()[0]) if self.open.exists() else set()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        soonest = None
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        known = self._open_buckets()
+        added = set()
         for batch in rows:
-            for row in batch.itertuples():
-                at = int(row.ts.timestamp() * 1000)
-                if at < mark:
-                    continue
-                code = None if pd.isna(row.error_code) else int(row.error_code)
-                self.waiting.updateValue((at, int(row.event_id)), (bool(row.ok), code))
-                soonest = at if soonest is None else min(soonest, at)
-        if soonest is not None:
-            self.handle.registerTimer(soonest + 1)
+            batch = batch[batch["micros"] >= mark]
+            for bucket, part in batch.groupby(batch["micros"] // BUCKET_MICROS):
+                bucket = int(bucket)
+                new = [part[c].tolist() for c in ("micros", "event_id", "health_step", "failure_step")]
+                if bucket in known or bucket in added:
+                    new = [list(old) + more for old, more in zip(self.waiting.getValue((bucket,)), new, strict=True)]
+                self.waiting.updateValue((bucket,), tuple(new))
+                added.add(bucket)
+        if added - known:
+            self.open.update((sorted(known | added),))
+            for bucket in added - known:
+                self.handle.registerTimer((bucket + 1) * BUCKET_MICROS // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        health, failures, seen = self.score.get() if self.score.exists() else (100, 0, 0)
-        due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < mark)
-        for at, (ok, code) in due:
-            gain, step = (5, -1) if ok else (-25, 2) if code == 429 else (-15, 1) if code in rules.SERVER_ERRORS else (-10, 1)
-            health, failures, seen = max(0, min(100, health + gain)), max(0, failures + step), seen + 1
-            self.waiting.removeKey(at)
-        later = [k[0] for k in self.waiting.keys()]
-        if later:
-            self.handle.registerTimer(min(later) + 1)
+        waiting = self._open_buckets()
+        due = sorted(b for b in waiting if (b + 1) * BUCKET_MICROS // 1000 <= mark)
+        start = (100, 0, 0, None)
+        health, failures, seen, last = self.score.get() if self.score.exists() else start
+        for bucket in due:
+            for micros, _, gain, step in sorted(zip(*self.waiting.getValue((bucket,)), strict=True)):
+                if self.idle_ms is not None and last is not None and micros // 1000 - last >= self.idle_ms:
+                    health, failures, seen, _ = start
+                health, failures, seen = max(0, min(100, health + gain)), max(0, failures + step), seen + 1
+                last = micros // 1000
+            self.waiting.removeKey((bucket,))
         if due:
-            self.score.update((health, failures, seen))
+            left = sorted(waiting - set(due))
+            if left:
+                self.open.update((left,))
+            else:
+                self.open.clear()
+            self.score.update((health, failures, seen, last))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(last + self.idle_ms)
             yield pd.DataFrame({"key": [key[0]], "health": [health], "failures": [failures], "requests": [seen]})
+        elif not waiting and self.idle_ms is not None and last is not None and last + self.idle_ms <= mark:
+            self.score.clear()
 
     def close(self) -> None:
         pass
 
 
-def key_health_stream(requests: DataFrame, lateness: str = "5 minutes") -> DataFrame:
-    """Health per key after every advance of the watermark; needs the RocksDB state store."""
-    return requests.withWatermark("ts", lateness).groupBy("key").transformWithStateInPandas(
-        KeyHealth(), HEALTH, outputMode="Update", timeMode="EventTime")
+def key_health_stream(requests: DataFrame, lateness: str = "5 minutes", idle_hours: int | None = None) -> DataFrame:
+    """Health per key after every advance of the watermark; needs the RocksDB state store. Only the columns that the
+    fold reads reach the Python workers."""
+    steps = requestlog.health_steps(requests.withWatermark("ts", lateness)).select(
+        "key", "ts", "event_id", "micros", "health_step", "failure_step")
+    return steps.groupBy("key").transformWithStateInPandas(
+        KeyHealth(idle_hours), HEALTH, outputMode="Update", timeMode="EventTime")
+
+
+#: Job states are kept in so many buckets by hash; a micro-batch rewrites only those it touches.
+STATUS_BUCKETS = 64
+
+
+def _latest(jobs: DataFrame) -> DataFrame:
+    return jobs.groupBy("analysis_id").agg(F.max(F.struct("created_at", "event_id", "status")).alias("s")) \
+        .select("analysis_id", "s.created_at", "s.event_id", "s.status")
+
+
+def _within(jobs: DataFrame, newest, hours: int) -> DataFrame:
+    """Rows at most ``hours`` older than ``newest``, a literal."""
+    return jobs.where(F.col("created_at") >= F.lit(newest) - F.make_interval(hours=F.lit(hours)))
 
 
-def upsert_status(batch: DataFrame, path: str, hours: int = rules.RETENTION_HOURS) -> None:
-    """Merge a micro-batch into the table of latest job states and drop states past retention.
+def upsert_status(batch: DataFrame, path: str, hours: int = rules.RETENTION_HOURS, buckets: int = STATUS_BUCKETS) -> None:
+    """Merge a micro-batch into the table of latest job states; states past retention are not kept.
 
-    Versions alternate between folders named by a counter; readers take the newest one.
+    ``data/v=N`` holds the buckets that batch ``N`` rewrote, ``manifest/v=N`` one row per bucket with the version that
+    holds it and its newest time. A version counts once its manifest is complete, so readers never see half a batch and
+    a repeated batch gives the same table. Versions that the last two manifests do not name are removed. ``buckets``
+    must stay the same for the life of a table.
     """
     spark = batch.sparkSession
-    last = batch.groupBy("analysis_id").agg(F.max(F.struct("created_at", "event_id", "status")).alias("s")) \
-        .select("analysis_id", "s.created_at", "s.event_id", "s.status")
     version = current_version(spark, path)
-    if version is not None:
-        last = last.unionByName(spark.read.parquet(f"{path}/v={version}"))
-    merged = last.groupBy("analysis_id").agg(F.max(F.struct("created_at", "event_id", "status")).alias("s")) \
-        .select("analysis_id", "s.created_at", "s.event_id", "s.status")
-    newest = merged.agg(F.max("created_at").alias("newest"))
-    kept = merged.join(F.broadcast(newest), F.col("created_at") >= F.col("newest") - F.make_interval(hours=F.lit(hours)))
-    kept.drop("newest").write.mode("overwrite").parquet(f"{path}/v={(version or 0) + 1}")
+    fresh = _latest(batch).withColumn("bucket", F.pmod(F.xxhash64("analysis_id"), F.lit(buckets)).cast("int")).persist()
+    try:
+        touched = {r.bucket: r.newest for r in fresh.groupBy("bucket").agg(F.max("created_at").alias("newest")).collect()}
+        if not touched:
+            return
+        before = [] if version is None else spark.read.parquet(f"{path}/manifest/v={version}").collect()
+        times = [r.newest for r in before] + [t for t in touched.values() if t is not None]
+        if not times:
+            return
+        old = [f"{path}/data/v={r.version}/bucket={r.bucket}" for r in before if r.bucket in touched]
+        merged = fresh.drop("bucket")
+        if old:
+            merged = _latest(merged.unionByName(spark.read.schema(merged.schema).parquet(*old)))
+        following = (version or 0) + 1
+        data = f"{path}/data/v={following}"
+        _within(merged, max(times), hours) \
+            .withColumn("bucket", F.pmod(F.xxhash64("analysis_id"), F.lit(buckets)).cast("int")) \
+            .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        written = spark.read.schema(fresh.schema).parquet(data).groupBy("bucket").agg(F.max("created_at").alias("newest")) \
+            .select("bucket", F.lit(following).alias("version"), "newest")
+        entries = [tuple(r) for r in before if r.bucket not in touched]
+        kept = _within(spark.createDataFrame(entries, written.schema).withColumnRenamed("newest", "created_at"),
+                       max(times), hours).withColumnRenamed("created_at", "newest")
+        written.unionByName(kept).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={following}")
+    finally:
+        fresh.unpersist()
+    _drop_unnamed(spark, path, following)
+
+
+def _folder(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    """Newest complete version: the highest one whose write was committed."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    root, fs = _folder(spark, path)
     if not fs.exists(root):
-        return None
-    names = [s.getPath() for s in fs.listStatus(root)]
-    done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("v=")
-            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return [int(n.split("=")[1]) for n in names if n.startswith("v=")]
+
+
+def _drop_unnamed(spark: SparkSession, path: str, newest: int) -> None:
+    """Remove versions that neither the newest manifest nor the one before it names."""
+    held = [v for v in _versions(spark, f"{path}/manifest") if v >= newest - 1]
+    named = {r.version for v in held for r in spark.read.parquet(f"{path}/manifest/v={v}").select("version").collect()}
+    for kind, keep in (("manifest", set(held)), ("data", named)):
+        for v in set(_versions(spark, f"{path}/{kind}")) - keep:
+            folder, fs = _folder(spark, f"{path}/{kind}/v={v}")
+            fs.delete(folder, True)
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """Newest complete version: the highest one whose manifest was committed."""
+    done = []
+    for v in _versions(spark, f"{path}/manifest"):
+        mark, fs = _folder(spark, f"{path}/manifest/v={v}/_SUCCESS")
+        if fs.exists(mark):
+            done.append(v)
     return max(done) if done else None
 
 
-def latest_status(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={current_version(spark, path)}")
+def latest_status(spark: SparkSession, path: str, hours: int = rules.RETENTION_HOURS) -> DataFrame:
+    """The latest state of every job within retention."""
+    named = spark.read.parquet(f"{path}/manifest/v={current_version(spark, path)}").collect()
+    rows = spark.read.parquet(*[f"{path}/data/v={r.version}/bucket={r.bucket}" for r in named])
+    return _within(rows, max(r.newest for r in named), hours)
 
 
 def status_stream(jobs: DataFrame, path: str, checkpoint: str):

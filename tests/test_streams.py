@@ -68,6 +68,40 @@ def test_key_health_stream(spark, tmp_path):
     assert {k: v for k, v in got.items() if k >= 0} == want
 
 
+def test_key_health_order_within_a_millisecond(spark, tmp_path):
+    """Two requests of one millisecond, ids against time: the fold follows microseconds."""
+    rows = [(9, 1, 1_700_000_000_000_100, True, None), (3, 1, 1_700_000_000_000_900, False, 429),
+            (4, 2, 1_700_000_000_000_100, False, 429), (1, 2, 1_700_000_000_000_900, True, None)]
+    batch = spark.createDataFrame(rows, "event_id long, key long, at long, ok boolean, error_code int").select(
+        "event_id", "key", F.timestamp_micros("at").alias("ts"), F.lit(1).cast("long").alias("tokens"), "ok", "error_code")
+    feed(batch, tmp_path / "in")
+    source = spark.readStream.schema(REQUEST).parquet(str(tmp_path / "in"))
+    query = drain(streams.key_health_stream(source), spark, "fine_order", tmp_path, "update")
+    feed(closing(spark), tmp_path / "in")
+    query.processAllAvailable()
+    query.stop()
+    got = {r.key: (r.health, r.failures) for r in spark.table("fine_order").where("key >= 0").collect()}
+    assert got == {1: (75, 2), 2: (80, 1)}
+    assert got == {r.key: (r.health, r.failures) for r in requestlog.key_health(batch).collect()}
+
+
+def test_key_health_forgets_idle_keys(spark, tmp_path):
+    def at(event, seconds):
+        return spark.sql(f"SELECT {event}L AS event_id, 1L AS key, timestamp_seconds({seconds}) AS ts, 1L AS tokens, "
+                         "false AS ok, 429 AS error_code")
+
+    start = 1_700_000_000
+    feed(at(1, start), tmp_path / "in")
+    source = spark.readStream.schema(REQUEST).parquet(str(tmp_path / "in"))
+    query = drain(streams.key_health_stream(source, "1 minute", idle_hours=1), spark, "idle", tmp_path, "update")
+    for part in (at(2, start + 600), at(3, start + 600 + 3600), closing(spark)):
+        feed(part, tmp_path / "in")
+        query.processAllAvailable()
+    query.stop()
+    got = sorted((r.requests, r.health) for r in spark.table("idle").where("key = 1").collect())
+    assert got == [(1, 75), (1, 75), (2, 50)]
+
+
 def test_facts_stream(spark, files, tmp_path):
     batch = files({"a.py": '@app.get("/x")\ndef f(): pass', "b.js": "function g() {}"})
     feed(batch, tmp_path / "in")
@@ -93,3 +127,20 @@ def test_status_upserts(spark, tmp_path):
     feed(jobs((1, 1000 + day // 2, "completed", 4), (3, 1001 + day, "pending", 5)), tmp_path / "in")
     streams.status_stream(source, path, cp).awaitTermination()
     assert {(r.analysis_id, r.status) for r in streams.latest_status(spark, path).collect()} == {(1, "completed"), (3, "pending")}
+
+
+def test_status_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    def jobs(*rows):
+        return spark.createDataFrame(rows, "analysis_id long, at long, status string, event_id long").select(
+            "analysis_id", F.timestamp_seconds("at").alias("created_at"), "status", "event_id")
+
+    path = str(tmp_path / "table")
+    streams.upsert_status(jobs(*[(i, 1000 + i, "pending", i) for i in range(40)]), path, buckets=8)
+    again = jobs((7, 2000, "completed", 100))
+    for _ in range(3):  # a repeated batch changes nothing
+        streams.upsert_status(again, path, buckets=8)
+        got = {r.analysis_id: r.status for r in streams.latest_status(spark, path).collect()}
+        assert got == {i: "completed" if i == 7 else "pending" for i in range(40)}
+    manifest = spark.read.parquet(f"{path}/manifest/v=4").collect()
+    assert len(manifest) == 8 and sorted(r.version for r in manifest) == [1] * 7 + [4]
+    assert sorted(p.name for p in (tmp_path / "table" / "data").iterdir() if p.name.startswith("v=")) == ["v=1", "v=3", "v=4"]
