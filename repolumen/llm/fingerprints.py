@@ -7,8 +7,10 @@ sampled together with ``t``. Two texts draw the same sample with a probability e
 similarity (sum of least weights over sum of greatest weights), so the share of equal samples estimates it. A sample
 is stored as one byte of hash; chance agreement (1/256) is taken off the estimate.
 
-Terms are hashed into ``BUCKETS`` classes, whose draws are computed once per worker; terms of one class add their
-weights, which raises the similarity of unrelated texts slightly once they are very long.
+The draws of a term follow from its full 64-bit hash, so unlike terms never share them. They are made of three
+exponential draws: ``e`` is the value of the term at weight 1 and needs one hash, ``c = e + f`` with another draw ``f``,
+``r (1 - b) = ln(c / e)`` and ``r b`` is the third; this gives r, c and b the distributions above. Terms that occur more
+often are worked out only in samples where a lower bound of their value is below the best so far.
 
 Cases: null and empty texts have no term and the fingerprint of the empty bag; two of them are alike (1.0), one of
 them and another text are not (0.0). Equal texts have equal fingerprints. Rows with equal ``doc_id`` are put in order
@@ -28,67 +30,78 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, SPACE, U64, mix, prefix_hash, stretch_hash, words
 
-SAMPLES, BUCKETS = 64, 1 << 16
+SAMPLES = 64
+#: Terms whose draws are made at a time.
+BLOCK = 1024
+_KEYS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 #: Rows of one ordered stretch of documents, and most stretches: what the driver knows of them stays bounded, and
 #: longer stretches are sorted with spill and read as a stream.
 STRETCH_ROWS, MOST_STRETCHES = 1024, 20_000
-_DRAWS: dict[str, np.ndarray] = {}
 
 
-def _uniform(stream: int) -> np.ndarray:
-    """Fixed uniform numbers in (0, 1) for each class and sample."""
-    at = np.arange(BUCKETS * SAMPLES, dtype=np.uint64) + U64(stream << 40)
-    return ((mix(mix(at) + U64(stream)) >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+def _drawn(terms: np.ndarray) -> np.ndarray:
+    """64 bits for each term and sample; the terms are hashes already."""
+    x = terms[:, None] ^ _KEYS
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    x *= U64(0x94D049BB133111EB)
+    return x
 
 
-def draws() -> dict[str, np.ndarray]:
-    """Gamma and uniform draws per class and sample, and the sampling value for weight 1."""
-    if not _DRAWS:
-        shape = (BUCKETS, SAMPLES)
-        r = -np.log(_uniform(1) * _uniform(2))
-        c = np.log(-np.log(_uniform(3) * _uniform(4)))
-        b = _uniform(5)
-        _DRAWS["one"] = (c + r * b - r).astype(np.float32).reshape(shape)
-        for name, values in (("r", r), ("c", c), ("b", b)):
-            _DRAWS[name] = values.astype(np.float32).reshape(shape)
-    return _DRAWS
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1)."""
+    return ((bits >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
 def term_weights(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the words and word pairs of a text, and their weights."""
+    """Hashes of the words and word pairs of a text, and their weights."""
     data = LOWER[np.frombuffer(text, np.uint8)]
     starts, ends, _ = words(data, np.array([0, len(data)]), SPACE)
     single = stretch_hash(prefix_hash(data), starts, ends)
     pairs = mix(single[:-1] * U64(3) + single[1:])
-    return np.unique(np.concatenate([single, pairs]) & U64(BUCKETS - 1), return_counts=True)
+    return np.unique(np.concatenate([single, pairs]), return_counts=True)
+
+
+def sampled(bits: np.ndarray, third: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the sampling value, and the quantised weight, of terms of weight ``s``. ``third`` is ``exp(-r b)``."""
+    e = -np.log1p(-_uniform(bits))
+    c = e - np.log(_uniform(mix(bits + U64(2))))
+    rest, rb = np.log(c / e), -np.log(third)
+    r = rest + rb
+    t = np.floor((np.log(s) + rb) / r)
+    return np.log(c) - r * t - rest, t
 
 
 def fingerprint(text: bytes) -> np.ndarray:
     """``SAMPLES`` bytes; all zero for a text without words."""
-    classes, weights = term_weights(text)
-    if not len(classes):
+    terms, weights = term_weights(text)
+    if not len(terms):
         return np.zeros(SAMPLES, np.uint8)
-    table = draws()
-    best, name, level = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES)
-    at = classes.astype(np.int64)
-    for once in (True, False):
-        chosen = weights == 1 if once else weights > 1
-        rows_all, s_all = at[chosen], weights[chosen]
-        for lo in range(0, len(rows_all), 2048):
-            rows = rows_all[lo: lo + 2048]
-            if once:
-                value, t = table["one"][rows], None
-            else:
-                r, b = table["r"][rows], table["b"][rows]
-                t = np.floor(np.log(s_all[lo: lo + 2048])[:, None] / r + b)
-                value = table["c"][rows] - r * (t - b) - r
-            k = value.argmin(0)
-            least = value[k, np.arange(SAMPLES)]
-            better = least < best
-            best[better], name[better] = least[better], rows[k[better]]
-            level[better] = 0 if t is None else t[k, np.arange(SAMPLES)][better]
-    drawn = mix(name.astype(np.uint64) * U64(0x10001) + level.astype(np.int64).astype(np.uint64)
-                + (np.arange(SAMPLES, dtype=np.uint64) << U64(40)))
+    every = np.arange(SAMPLES)
+    best, name, level = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES)
+    once = terms[weights == 1]
+    for lo in range(0, len(once), BLOCK):
+        bits = _drawn(once[lo: lo + BLOCK])
+        k = bits.argmin(0)
+        value = np.log(-np.log1p(-_uniform(bits[k, every])))
+        better = value < best
+        best[better], name[better] = value[better], once[lo + k[better]]
+    often, counts = terms[weights > 1], weights[weights > 1].astype(np.float64)
+    lo, block = 0, BLOCK if len(once) else 16  # without a bound every sample of the first block is worked out
+    while lo < len(often):
+        bits, s = _drawn(often[lo: lo + block]), counts[lo: lo + block]
+        third = _uniform(bits * U64(0xD6E8FEB86659FD93) ^ (bits >> U64(32)))
+        # The value is at least e exp(-r b) / s, and e is at least its uniform number.
+        at, sample = np.nonzero(_uniform(bits) * third <= s[:, None] * np.exp(best))
+        if len(at):
+            value, t = sampled(bits[at, sample], third[at, sample], s[at])
+            order = np.lexsort((value, sample))
+            first = order[np.unique(sample[order], return_index=True)[1]]
+            first = first[value[first] < best[sample[first]]]
+            chosen = sample[first]
+            best[chosen], name[chosen], level[chosen] = value[first], often[lo + at[first]], t[first]
+        lo, block = lo + block, BLOCK
+    drawn = mix(mix(name + level.astype(np.int64).astype(np.uint64) * U64(0x10001)) + (every.astype(np.uint64) << U64(40)))
     return (drawn & U64(0xFF)).astype(np.uint8)
 
 

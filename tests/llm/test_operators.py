@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -241,6 +242,32 @@ def test_collisions_follow_weighted_jaccard():
     assert abs(fingerprints.likeness(*marks, False, False) - truth) < 0.2
 
 
+@pytest.mark.parametrize("shared", [0, 2_000])
+def test_collisions_of_long_texts(shared):
+    """Jaccard on the words and word pairs themselves: 20,000 words each, none or a few of them in both."""
+    common = [f"c{k}" for k in range(shared)] * 3
+    texts = [[f"{side}{k}" for k in range(20_000)] + common for side in "ab"]
+    bags = [Counter(w) + Counter(zip(w, w[1:], strict=False)) for w in texts]
+    truth = sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+    marks = [fingerprints.fingerprint(" ".join(w).encode()) for w in texts]
+    assert abs(fingerprints.likeness(*marks, False, False) - truth) < (0.11 if shared else 0.04)
+
+
+def test_estimate_has_no_bias():
+    """Terms of equal and unequal weights; the mean over many pairs of bags is the generalised Jaccard similarity."""
+    got, truth = [], []
+    for k in range(60):
+        rng = random.Random(k)
+        bags = [{f"w{k}x{n}": w for n, w in enumerate(weights)} for weights in ([1] * 9 + [5] * 9, [2] * 6 + [4] * 12)]
+        texts = [[w for w, times in bag.items() for _ in range(times)] for bag in bags]
+        for words in texts:
+            rng.shuffle(words)
+        terms = [Counter(w) + Counter(zip(w, w[1:], strict=False)) for w in texts]
+        truth.append(sum((terms[0] & terms[1]).values()) / sum((terms[0] | terms[1]).values()))
+        got.append(fingerprints.likeness(*[fingerprints.fingerprint(" ".join(w).encode()) for w in texts], False, False))
+    assert abs(np.mean(got) - np.mean(truth)) < 0.03
+
+
 # ---- token rollups
 
 def test_rollup_is_additive_and_idempotent(table, spark):
