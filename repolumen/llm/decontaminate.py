@@ -5,8 +5,9 @@ the shared folder. Every window of a test item is looked up by its rarest term:
 the item would have to start in the document (the diagonal). For those diagonals alone the offset-adjusted lists of
 all terms are intersected; runs of matched positions as long as a window are exact phrase matches.
 
-Cases: null and empty texts have no words. Rows with the same id and text are one document. Items with the same id
-are treated as versions of one item, items without id are skipped. Empty tables give empty lists. Extra columns are ignored.
+Cases: null and empty texts have no words. Rows with the same id and text are one document. Item rows with the same id
+and different texts are looked up one by one and listed once; item rows without id count as hits and are not listed.
+Empty tables give empty lists. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """``(item_id, ipos, term)`` with positions from 0."""
+    """``(item_id, ipos, term, word)`` with positions from 0; an ``item_id`` names one text."""
     exploded = items.where("item_id is not null").select("item_id", F.posexplode(F.filter(_words(F.col("text")), lambda w: w != ""))
                             .alias("ipos", "word"))
     return exploded.select("item_id", "ipos", F.xxhash64(_folded(F.col("word"))).alias("term"),
@@ -114,12 +115,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """``(doc_id, doc, n_words, n_hit, item_ids, contaminated)`` per document; ``item_ids`` are sorted as strings and
     ``doc`` is ``document_key()`` of the row."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    placed = materialize(item_terms(items.select("item_id", "text")), "decontam-items")
+    key = F.xxhash64("item_id", F.col("text").cast("string"))  # each text of an item by itself
+    named = items.select(key.alias("item"), F.col("item_id").cast("string").alias("name")).distinct()
+    placed = materialize(item_terms(items.select(key.alias("item_id"), "text")), "decontam-items")
     index = build_index(texts, placed.select("term", "word").distinct())
     matches = phrase_matches(index, placed.select("item_id", "ipos", "term"), window)
-    per_doc = materialize(matches.groupBy("doc").agg(
+    per_doc = materialize(matches.join(_small(named), F.col("item_id") == F.col("item")).groupBy("doc").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")), "decontam-hits")
+        F.array_sort(F.collect_set("name")).alias("item_ids")), "decontam-hits")
     parts = _words(F.col("text"))
     edge = (F.element_at(parts, 1) == "").cast("int") + ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
     counted = texts.select("doc_id", document_key().alias("doc"), (F.size(parts) - edge).cast("long").alias("n_words"))

@@ -92,6 +92,21 @@ def test_contamination_matches_brute_force(table, spark):
     assert decontaminate.contamination(table(rows).limit(0), bench).count() == 0
 
 
+def test_contamination_by_versions_and_items_without_id(table, spark):
+    long, short = prose(801, 30), "alpha beta gamma"
+    other = " ".join(f"never{k}" if k % 5 == 2 else w for k, w in enumerate(prose(802, 30).split()))
+    items = [(1, long), (1, other), (1, short), (2, "q1 q2 " + prose(803, 20)), (None, prose(804, 20)), (3, long)]
+    mixed = " ".join(a if k % 2 else b for k, (a, b) in enumerate(zip(long.split(), other.split(), strict=True)))
+    rows = {1: long, 2: short + " " + prose(9, 20), 3: mixed, 4: prose(804, 20), 5: prose(803, 20), 6: None, 7: other}
+    got = {r.doc_id: (r.n_hit, list(r.item_ids), r.contaminated) for r in decontaminate.contamination(
+        table(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hits = {i: (r[1], r[4]) for i, r in brute.contamination(rows.items(), items).items()}
+    assert {i: (n, bad) for i, (n, _, bad) in got.items()} == hits
+    assert hits[1][0] == 30 and hits[2][0] == 3 and not hits[3][0] and hits[4] == (20, True)
+    assert {i: names for i, (_, names, _) in got.items()} == {
+        1: ["1", "3"], 2: ["1"], 3: [], 4: [], 5: ["2"], 6: [], 7: ["1"]}
+
+
 def test_contamination_plan_is_native(table, spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontaminate.contamination(table({1: "a b c"}), bench)._jdf.queryExecution().toString()
