@@ -209,6 +209,18 @@ def test_clause_kinds():
     assert list(kinds.values()) == [["plain"], ["aimed"], ["negated"], ["reported"], ["threat"], ["threat_held"], []]
 
 
+@pytest.mark.parametrize("mark", ["'", "\u2019"])
+def test_contractions(mark):
+    held = {"you aren{}t an idiot": "negated", "i don{}t kill you": "threat_held", "that isn{}t stupid": "negated",
+            "we won{}t ever kill them": "threat_held", "he doesn{}t say you are such an idiot": "aimed",
+            "you{}re an idiot": "aimed", "l{}idiot": "plain", "she said you{}re an idiot": "reported"}
+    assert {t: [k for k, _ in toxicity.clause_matches(t.format(mark), toxicity.INSULTS)] for t in held} == {
+        t: [k] for t, k in held.items()}
+    grammar = toxicity.Grammar()
+    text = f"You aren{mark}t an idiot."
+    assert [k for _, k, _ in toxicity.text_matches(text, grammar, grammar.trigger())] == ["negated"]
+
+
 def test_quality_on_held_out_documents(table, spark):
     rows, marks = {}, []
     for k in range(500):
