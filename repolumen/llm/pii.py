@@ -3,8 +3,8 @@
 The network reads overlapping windows of characters. Each window's tag marginals come from the forward-backward
 algorithm over the CRF; where windows overlap, a character takes the tag potentials of the window in which it stands
 farthest from an edge, and one Viterbi pass over the whole stretch decides (the global reconciliation). Every kind
-needs a digit or an ``@``; stretches of a text farther than a window's margin from any such character are not read,
-because no span can lie there.
+needs a digit, an ``@`` or an ``(at)``; stretches of a text farther than a window's margin from any of these are not
+read, because no span can lie there.
 
 The model is trained in numpy from labelled spans: windows around the base spans of a bounded sample of documents,
 and rewritten forms of the same spans that the patterns do not catch (telephone numbers without ``+``, cards in
@@ -38,7 +38,9 @@ _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: What every span holds: base spans a digit or an ``@``, spans of the network these or a spelled-out ``@``.
+_BASE_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)")
 
 
 def luhn(digits: str) -> bool:
@@ -65,7 +67,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind number, end)`` of the base patterns, sorted; offsets in code points."""
-    if not _TRIGGER.search(text):
+    if not _BASE_TRIGGER.search(text):
         return []
     found = [(a, 0, b) for a, b in _emails(text)]
     found += [(m.start(), 1, m.end()) for m in _IP.finditer(text)
@@ -185,7 +187,7 @@ class Model:
         grads = {"o": np.einsum("bth,btk->hk", hidden, de), "ob": de.sum((0, 1)), "t": (pairs - seen) / len(x)}
         back = de @ self.p["o"].T
         for way, trace, part in (("f", tf, back[:, :, :HIDDEN]), ("b", tb, back[:, :, HIDDEN:])):
-            gx, gh = np.zeros_like(self.p[f"x{way}"]), np.zeros_like(self.p[f"h{way}"])
+            gh, bends = np.zeros_like(self.p[f"h{way}"]), np.empty((*x.shape, 4 * HIDDEN))
             dh = dc = np.zeros((len(x), HIDDEN))
             for t, (h0, c0), i, f, o, g, c in reversed(trace):
                 dh = dh + part[:, t]
@@ -193,10 +195,10 @@ class Model:
                 dc = dc + dh * o * (1 - bent ** 2)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * bent * o * (1 - o),
                                      dc * i * (1 - g ** 2)], axis=1)
-                np.add.at(gx, x[:, t], dz)
+                bends[:, t] = dz
                 gh += h0.T @ dz
                 dh, dc = dz @ self.p[f"h{way}"].T, dc * f
-            grads[f"x{way}"], grads[f"h{way}"] = gx, gh
+            grads[f"x{way}"], grads[f"h{way}"] = np.tensordot(np.eye(CLASSES)[x], bends, ((0, 1), (0, 1))), gh
         return grads
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
@@ -250,7 +252,7 @@ def training_windows(texts: list[str], limit: int = TRAINING_WINDOWS) -> tuple[n
             marks += [(a - left + moved, k, b - left + moved) for a, k, b in spans if a >= end]
             xs.append(piece[:WINDOW].ljust(WINDOW))
             ys.append(_tags(WINDOW, marks))
-        for m in list(_TRIGGER.finditer(text))[:: max(1, len(text) // 400)][:4]:
+        for m in list(_BASE_TRIGGER.finditer(text))[:: max(1, len(text) // 400)][:4]:
             left = max(0, m.start() - (m.start() * 7) % WINDOW)
             marks = [(a - left, k, b - left) for a, k, b in spans]
             if all(b <= 0 or a >= WINDOW for a, _, b in marks):
@@ -262,31 +264,28 @@ def training_windows(texts: list[str], limit: int = TRAINING_WINDOWS) -> tuple[n
     return np.array([_classes(xs[k]) for k in keep]), np.array([ys[k] for k in keep])
 
 
-def fit(texts: list[str], epochs: int = 12, batch: int = 64, rate: float = 0.02) -> Model | None:
-    """Adam on the windows of the sample; None without a labelled span."""
+def fit(texts: list[str], steps: int = 1000, batch: int = 16, rate: float = 0.05) -> Model | None:
+    """Adam on the windows of the sample, equally many steps for any number; None without a labelled span."""
     x, y = training_windows(texts)
     if not len(x):
         return None
     model, rng = Model.fresh(), np.random.default_rng(9)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(order), batch):
-            rows = order[at: at + batch]
-            step += 1
-            for k, g in model.gradient(x[rows], y[rows]).items():
-                g = np.clip(g, -5, 5)
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                model.p[k] -= rate * 0.85 ** epoch * (first[k] / (1 - 0.9 ** step)) \
-                    / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+    order = np.concatenate([rng.permutation(len(x)) for _ in range(-(-steps * batch // len(x)))])
+    for step in range(1, steps + 1):
+        rows = order[(step - 1) * batch: step * batch]
+        for k, g in model.gradient(x[rows], y[rows]).items():
+            g = np.clip(g, -5, 5)
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            model.p[k] -= rate * 0.15 ** (step / steps) * (first[k] / (1 - 0.9 ** step)) \
+                / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
     return model
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text that lie near a digit or an ``@``."""
+    """Parts of the text that lie near a digit, an ``@`` or an ``(at)``."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
