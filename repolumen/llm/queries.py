@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (decontaminate, fingerprints, mixing, near_dedup, pii, quality, suffix_dedup, token_rollup, toxicity,
-               warc)
+               warc, whitening)
 from .oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op9_mixing(spark, sf_dir):
 @query
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
