@@ -29,7 +29,8 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
         elif pd.api.types.is_datetime64_any_dtype(values):
             values = values.map(lambda v: "null" if pd.isna(v) else pd.Timestamp(v).isoformat())
         else:
-            values = values.map(lambda v: "null" if v is None or v is pd.NA or (isinstance(v, float) and pd.isna(v))
+            # as objects: whole numbers with nulls would pass through floats
+            values = values.astype(object).map(lambda v: "null" if v is None or v is pd.NA or (isinstance(v, float) and pd.isna(v))
                                 else str(v))
         out[name] = values
     return out.sort_values(list(out.columns)).reset_index(drop=True) if len(out.columns) else out
