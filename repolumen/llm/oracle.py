@@ -46,5 +46,41 @@ OP4 = f"""SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(tokens):
       QUALIFY text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY text))))
 GROUP BY ALL"""
 
-ORACLE = {"op4_token_rollup": OP4, "op7_warc": OP7, "op9_mixing": OP9}
+#: The crc32 polynomial applied to each half byte.
+_HALVES = []
+for _half in range(16):
+    for _ in range(4):
+        _half = _half >> 1 ^ (0xEDB88320 if _half & 1 else 0)
+    _HALVES.append(_half)
+
+
+def _crc32(text: str) -> str:
+    """crc32 of the UTF-8 bytes of a text of letters below U+0100, half byte by half byte, the low half first."""
+    halves = (f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c) & 15, ord(c) >> 4] "
+              "ELSE [(192 + (ord(c) >> 6)) & 15, 12, ord(c) & 15, 8 + ((ord(c) >> 4) & 3)] END))")
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {halves}::BIGINT[]), lambda a, b: "
+            f"xor(a >> 4, list_extract({_HALVES}::BIGINT[], 1 + (xor(a, b) & 15)))))")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP13 = f"""WITH RECURSIVE runs AS (SELECT doc_id, translate(r, '{_UPPER}', '{_UPPER.lower()}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS r FROM documents)
+  WHERE length(r) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("concat(doc_id, ':', run)")} AS h, doc_id FROM runs),
+thin AS (SELECT CASE WHEN doc_id IS NOT NULL AND h % 97 = 0
+    THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM thin WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(near, (-x.n, near)) AS near, max(x.n) AS near_n
+  FROM near JOIN w x ON x.word = near.near GROUP BY near.word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form,
+  CASE WHEN near_n >= 2 * n THEN near_n END::BIGINT AS form_n FROM w LEFT JOIN best ON best.word = w.word),
+walk AS (SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word AND next IS NULL"""
+
+ORACLE = {"op4_token_rollup": OP4, "op7_warc": OP7, "op9_mixing": OP9, "op13_spelling": OP13}
 assert set(token_rollup.TOKENIZERS) == {"words-v1", "pieces-v1"}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, fingerprints, mixing, near_dedup, pii, quality, suffix_dedup, token_rollup, toxicity,
-               warc, whitening)
+from . import (decontaminate, fingerprints, mixing, near_dedup, pii, quality, spelling, suffix_dedup, token_rollup,
+               toxicity, warc, whitening)
 from .oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op10_suffix_dedup(spark, sf_dir):
 @query
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(_table(spark, sf_dir, "documents"))
