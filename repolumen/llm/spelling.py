@@ -1,14 +1,17 @@
 """Groups of spelling variants: words one edit apart, found by PartEnum signatures.
 
-A word's letters with their repetition number ("a", "a again", ...) are the set bits of a binary vector. One inserted,
-deleted or replaced letter changes at most two bits. PartEnum deals the bits into ``FIRST`` groups by a fixed hash;
-vectors at distance ``2`` differ in at most ``2 // FIRST`` bits of some group. Each group's bits are dealt again into
-``SECOND`` parts, and every choice of all but so many parts that can differ gives one exact signature: two near words
-agree on at least one. Words that share a signature meet in an equality join and are verified by edit distance.
-
-A signature held by more than ``CROWD`` words is not paired whole: its words meet under the signature and what is left
-of the word without one letter, at that letter's place. Words of one such key differ in that one place or are the
-word itself and its one-letter extensions, so a key holds at most an alphabet of words whatever the corpus. Two near words
+A word's letters with their repetition number ("a", "a again", ...) are the set bits of a binary vector. A replaced
+letter changes at most two bits, an inserted or deleted one changes one. PartEnum deals the bits into first-level
+groups, of which one must differ in few bits, and each group's bits into parts; every choice of all parts but as many
+as can differ gives one exact signature, and two near words agree on at least one. Words of equal length take the
+scheme for distance two, words of neighbouring lengths that for distance one. Bits are dealt so that all parts hold
+equally many letters of the corpus.
+
+Anagrams and their like share signatures in great numbers, so a signature is keyed with one half of the word: an edit
+leaves the first or the last half of the shorter word as it was. Words that share a key meet in an equality join and
+are verified by edit distance. A key held by more than ``CROWD`` words is not paired whole: its words meet under what is
+left of the word without one letter, at that letter's place. Words of one such key differ in that one place, or are the
+word itself and its one-letter extensions, so it holds at most an alphabet of words whatever the corpus. Near words
 always share such a key, so nothing is lost.
 
 Cases: null, empty and wordless texts have no words. In rows without ``doc_id`` no letter is deleted; rows with the
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -30,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .bytetext import U64, as_long, mix
 
 LETTERS = "A-Za-zÀ-ÿ"
 MIN_LENGTH, MIN_COUNT, RATIO = 5, 3, 2
-DISTANCE = 2
-FIRST, SECOND = 1, 6
-#: Words of one signature that are still compared with each other directly.
-CROWD = 64
+#: Words of one key that are still compared with each other directly.
+CROWD = 200
+#: Repetitions of a letter whose bits are dealt by frequency; bits of later ones by a hash.
+DEALT = 8
 STRETCH, DISTINCT = 1 << 20, 200_000
 #: Shorter runs cannot give a word.
 _RUN, _OTHER = re.compile(f"[{LETTERS}]{{{MIN_LENGTH},}}"), re.compile(f"[^{LETTERS}]")
@@ -101,74 +106,111 @@ def _hash(*parts: int) -> int:
     return x
 
 
+def _bits(word: str):
+    seen: dict[str, int] = {}
+    for letter in word:
+        again = seen.get(letter, 0)
+        seen[letter] = again + 1
+        yield letter, again
+
+
 class PartEnum:
-    """Signatures of letter multisets for a Hamming distance."""
+    """Signatures of letter multisets for a Hamming distance: ``first`` groups of ``second`` parts each.
+
+    ``common`` lists bits by falling frequency; each goes to the part that holds least so far."""
 
-    def __init__(self, first: int = FIRST, second: int = SECOND, distance: int = DISTANCE):
+    def __init__(self, distance: int, first: int, second: int, common: list[tuple[str, int, int]] = ()):
         self.first, self.second = first, second
         differing = distance // first
         if differing >= second:
             raise ValueError("a group needs more parts than can differ")
         self.choices = list(combinations(range(second), second - differing))
-        self._bits: dict[tuple[str, int], tuple[int, int]] = {}
-
-    def place(self, letter: str, again: int) -> tuple[int, int]:
-        """Part (over all groups) and hash of one bit of the vector."""
-        if (letter, again) not in self._bits:
-            self._bits[letter, again] = (_hash(ord(letter), again, 1) % (self.first * self.second),
-                                         _hash(ord(letter), again, 2))
-        return self._bits[letter, again]
-
-    def signatures(self, word: str) -> list[int]:
-        parts = [0] * (self.first * self.second)
-        seen: dict[str, int] = {}
-        for letter in word:
-            again = seen.get(letter, 0)
-            seen[letter] = again + 1
-            part, value = self.place(letter, again)
-            parts[part] = (parts[part] + value) & _MASK  # the bits of a part in any order
+        self.parts = first * second
+        self.places: dict[tuple[str, int], tuple[int, int]] = {}
+        load = [0] * self.parts
+        for letter, again, n in common:
+            part = load.index(min(load))
+            load[part] += n
+            self.places[letter, again] = part, _hash(ord(letter), again, 2)
+
+    def _place(self, bit: tuple[str, int]) -> tuple[int, int]:
+        found = self.places.get(bit)
+        return found or (_hash(ord(bit[0]), bit[1], 1) % self.parts, _hash(ord(bit[0]), bit[1], 2))
+
+    def signatures(self, words: list[str]) -> np.ndarray:
+        """One row per word, one column per signature."""
+        sums = np.zeros((len(words), self.parts), np.uint64)
+        for row, word in zip(sums, words, strict=True):
+            own = [0] * self.parts
+            for bit in _bits(word):
+                part, value = self._place(bit)
+                own[part] += value  # the bits of a part in any order
+            row[:] = [v & _MASK for v in own]
         out = []
         for group in range(self.first):
             for number, choice in enumerate(self.choices):
-                at = group * self.second
-                out.append(_hash(group, number, *[parts[at + p] for p in choice]))
-        return out
+                total = np.full(len(words), 1 + group * len(self.choices) + number, np.uint64)
+                for part in choice:
+                    total = mix(total * U64(0xD1342543DE82EF95) + sums[:, group * self.second + part])
+                out.append(total)
+        return np.stack(out, axis=1)
+
+
+def _halves(words: list[str], shorter: int) -> np.ndarray:
+    """Hashes of the two ends of each word that survive an edit, if the shorter word of a pair lacks ``shorter``
+    letters of this one."""
+    out = np.zeros((len(words), 2), np.uint64)
+    for row, word in zip(out, words, strict=True):
+        size = len(word) - shorter
+        head, tail = word[:size // 2], word[len(word) - (size - size // 2):]
+        row[:] = size << 33 | zlib.crc32(head.encode()), size << 33 | 1 << 32 | zlib.crc32(tail.encode())
+    return out
+
+
+def _bit_counts(batches):
+    counts: Counter = Counter()
+    for batch in batches:
+        for word in batch.column("word").to_pylist():
+            counts.update(bit for bit in _bits(word) if bit[1] < DEALT)
+    rows = list(counts.items())
+    yield pa.RecordBatch.from_arrays([pa.array([b[0] for b, _ in rows], pa.string()),
+                                      pa.array([b[1] for b, _ in rows], pa.int32()),
+                                      pa.array([n for _, n in rows], pa.int64())], ["letter", "again", "n"])
 
 
-def _signed(batches):
-    scheme = PartEnum()
-    per = scheme.first * len(scheme.choices)
+def _keyed(batches, common):
+    replaced, inserted = PartEnum(2, 1, 4, common), PartEnum(1, 1, 3, common)
     for batch in batches:
         words = batch.column("word").to_pylist()
-        flat = np.array([s for w in words for s in scheme.signatures(w)], np.uint64).view(np.int64)
-        at = pa.array(np.repeat(np.arange(len(words)), per))
-        yield pa.RecordBatch.from_arrays([batch.column("word").take(at), pa.array(flat)], ["word", "s"])
+        keys = []
+        for scheme, shorter, sort in ((replaced, 0, 1), (inserted, 0, 2), (inserted, 1, 2)):
+            ends = mix(_halves(words, shorter) + U64(sort << 50))
+            keys.append(mix(scheme.signatures(words)[:, :, None] ^ ends[:, None, :]).reshape(len(words), -1))
+        flat = as_long(np.concatenate(keys, axis=1).ravel()) if words else np.zeros(0, np.int64)
+        at = pa.array(np.repeat(np.arange(len(words)), len(flat) // max(len(words), 1)))
+        yield pa.RecordBatch.from_arrays([batch.column("word").take(at), pa.array(flat)], ["word", "k"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of words that differ by exactly one inserted, deleted or replaced letter."""
-    signed = materialize(words.select("word").mapInArrow(_signed, "word string, s long"), "spelling-signatures")
-    sizes = materialize(signed.groupBy("s").agg(F.count("*").alias("m")).where("m > 1"), "spelling-sizes")
-    few, many = sizes.where(F.col("m") <= CROWD).select("s"), sizes.where(F.col("m") > CROWD).select("s")
-
-    def one_apart(x, y):
-        return (F.abs(F.char_length(x) - F.char_length(y)) <= 1) & (F.levenshtein(x, y, 1) == 1)
-
-    member = signed.join(few, "s")
-    plain = member.alias("a").join(member.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.word") < F.col("b.word"))
-                                   & one_apart(F.col("a.word"), F.col("b.word"))) \
-        .select(F.col("a.word").alias("a"), F.col("b.word").alias("b"))
-    crowded = signed.join(many, "s")
-    length = F.char_length("word")
-    left_out = crowded.select("s", "word", F.explode(F.sequence(F.lit(1), length)).alias("at")).select(
-        "s", "word", "at", F.concat(F.expr("substring(word, 1, at - 1)"), F.expr("substring(word, at + 1)")).alias("rest"))
-    replaced = left_out.alias("a").join(left_out.alias("b"), (F.col("a.s") == F.col("b.s")) & (
-        F.col("a.at") == F.col("b.at")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.word") < F.col("b.word"))) \
-        .select(F.col("a.word").alias("a"), F.col("b.word").alias("b"))
-    inserted = left_out.alias("a").join(crowded.alias("b"), (F.col("a.s") == F.col("b.s")) & (
-        F.col("a.rest") == F.col("b.word"))).select(F.least("a.word", "b.word").alias("a"),
-                                                    F.greatest("a.word", "b.word").alias("b"))
-    return plain.union(replaced).union(inserted).distinct()
+    # at most an alphabet times DEALT rows
+    common = words.select("word").mapInArrow(_bit_counts, "letter string, again int, n long") \
+        .groupBy("letter", "again").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "letter", "again").collect()
+    keyed = words.select("word").mapInArrow(partial(_keyed, common=[tuple(r) for r in common]),
+                                            "word string, k long").repartition("k")  # the one shuffle of all keys
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    member = keyed.join(sizes.where(F.col("m") <= CROWD).select("k"), "k")
+    crowded = materialize(keyed.join(sizes.where(F.col("m") > CROWD).select("k"), "k"), "spelling-crowds")
+    x, y = F.col("a.word"), F.col("b.word")
+    plain = member.alias("a").join(member.alias("b"), (F.col("a.k") == F.col("b.k")) & (x < y) & (
+        F.abs(F.char_length(x) - F.char_length(y)) <= 1) & (F.levenshtein(x, y, 1) == 1))
+    left_out = crowded.select("k", "word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("at")).select(
+        "k", "word", "at", F.concat(F.expr("substring(word, 1, at - 1)"), F.expr("substring(word, at + 1)")).alias("rest"))
+    replaced = left_out.alias("a").join(left_out.alias("b"), (F.col("a.k") == F.col("b.k")) & (
+        F.col("a.at") == F.col("b.at")) & (F.col("a.rest") == F.col("b.rest")) & (x < y))
+    inserted = left_out.alias("a").join(crowded.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.rest") == y))
+    pairs = [p.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for p in (plain, replaced, inserted)]
+    return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:

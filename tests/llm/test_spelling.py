@@ -86,15 +86,17 @@ def test_crowded_signatures_and_small_pieces(table, monkeypatch, crowd, stretch,
 
 @pytest.mark.parametrize(("first", "second"), [(1, 4), (1, 6), (2, 4), (3, 2)])
 def test_near_words_share_a_signature(first, second):
-    scheme = spelling.PartEnum(first, second)
     rng = random.Random(first * 10 + second)
-    for _ in range(600):
-        w = "".join(rng.choices("abcdefghij", k=rng.randint(3, 12)))
-        i = rng.randrange(len(w))
-        v = w[:i] + rng.choice(["", rng.choice("abcxyz"), rng.choice("abcxyz") + w[i]]) + w[i + 1:]
-        assert set(scheme.signatures(w)) & set(scheme.signatures(v))
+    common = [(c, k, 9 - k) for k in range(3) for c in "abcdefg"]
+    for scheme in (spelling.PartEnum(2, first, second), spelling.PartEnum(2, first, second, common)):
+        for _ in range(300):
+            w = "".join(rng.choices("abcdefghij", k=rng.randint(3, 12)))
+            i = rng.randrange(len(w))
+            v = w[:i] + rng.choice(["", rng.choice("abcxyz"), rng.choice("abcxyz") + w[i]]) + w[i + 1:]
+            a, b = scheme.signatures([w, v]).tolist()
+            assert set(a) & set(b)
     with pytest.raises(ValueError):
-        spelling.PartEnum(1, 2)
+        spelling.PartEnum(2, 1, 2)
 
 
 def test_ties_and_empty(table):
