@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, fingerprints, mixing, near_dedup, pii, quality, spelling, suffix_dedup, token_rollup,
-               toxicity, warc, whitening)
+from . import (decontaminate, fingerprints, mixing, near_dedup, ngram_join, pii, quality, spelling, suffix_dedup,
+               token_rollup, toxicity, warc, whitening)
 from .oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,11 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 @query
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
