@@ -11,12 +11,15 @@ Which trees meet:
 
 1. Shingles are ordered by hash. Linked sets share at least ``need`` shingles among the first ``prefix`` of each (the
    usual prefix bound with some slack). Prefix shingles that no other set has are dropped in one sorted pass over
-   range-split rows; a set left with fewer than ``need`` links with nothing. The ``need - 1`` most frequent of the rest
-   are dropped as well: a link shares a less frequent one. This keeps passages that many documents quote out of the join.
+   range-split rows; a set left with fewer than ``need`` links with nothing. This is done twice, with a short prefix of
+   all sets and a long one of those left. Then the ``need - 1`` most frequent shingles of each set are dropped: a link
+   shares a less frequent one. This keeps passages that many documents quote out of the join.
 2. The remaining sets are range-split by two of their minima, so that alike sets stand together. Blocks of bounded size
    become trees, each joined with itself. The sets it links become units of bounded size, trees of their own.
 3. Units of different components meet if they share a kept shingle: first those of each shingle with its smallest unit,
-   then, where components still differ, all of them. Pairs of units are compared by root first.
+   then, where components still differ, all of them. The units of a shingle that more than ``CROWD`` have are dealt into
+   chunks, and trees over the roots of a chunk are walked together, so that only pairs that allow a link become rows.
+   Units that are left are compared from their roots down.
 
 All bounds are exact, so no link is lost; equal sets enter once.
 
@@ -40,25 +43,27 @@ from .bytetext import U64, as_long, mix
 from .components import connected_components
 from .near_dedup import shingle_sets
 
-#: Hundredths of a set's shingles by which the prefix exceeds the least one; four fifths of them may be common passages.
-SLACK = 5
+#: Hundredths of a set's shingles by which the prefix exceeds the least one, for all sets and for those left.
+SLACK, LONG_SLACK = 5, 40
 #: Sets and shingles of a block, and of a unit (at least one set).
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
 UNIT_SETS, UNIT_SHINGLES = 64, 1 << 15
+#: Units of one shingle that are still paired one by one, and those of one chunk beyond it.
+CROWD, CHUNK = 32, 512
 FAN_OUT = 8
 BITS_LOW, BITS_HIGH = 256, 1 << 15
 _EXACT = "unit long, part long, low long, high long, excess array<long>, bits array<long>, members array<long>, " \
     "sizes array<long>, shingles array<long>"
 
 
-def prefix_length(n, percent: int):
+def prefix_length(n: int, percent: int, slack: int) -> int:
     """Shingles of a set of ``n`` that are looked at: ``n - required + 1``, and the slack."""
-    return n - (percent * n + 99) // 100 + 1 + SLACK * n // 100
+    return min(n, n - (percent * n + 99) // 100 + 1 + slack * n // 100)
 
 
-def needed(n: Column, percent: int) -> Column:
+def needed(n: Column, percent: int, slack: int) -> Column:
     """Shared prefix shingles that any link of a set of ``n`` has: one, and the slack of the smallest partner."""
-    return 1 + F.floor(SLACK * percent * n / 10_000)
+    return 1 + F.floor(slack * percent * n / 10_000)
 
 
 def _profiles(batches, width: int, percent: int):
@@ -75,36 +80,62 @@ def _profiles(batches, width: int, percent: int):
             seconds.append(key[1])
             fresh = n > 0 and key not in seen
             seen.add(key)
-            prefixes.append(as_long(values[: prefix_length(n, percent)]) if fresh else None)
+            prefixes.append(as_long(values[: prefix_length(n, percent, SLACK)]) if fresh else None)
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()),
             pa.array(as_long(np.array(firsts, np.uint64))), pa.array(as_long(np.array(seconds, np.uint64))),
             pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "row", "n", "set_a", "set_b", "prefix"])
 
 
+def _column(batch, name: str) -> list[np.ndarray]:
+    column = batch.column(name)
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def _runs(batches):
-    """Rows ``(t, s)`` of sorted input whose ``t`` has several ``s``. The first and the last ``t`` of a partition, which
-    may go on in the next one, stay in any case."""
-    first = held = None
-    before = (None, None)  # the row before the held one
+    """Rows ``(t, s, often)`` of sorted input whose ``t`` has ``often`` different ``s``, more than one. The first and the
+    last ``t`` of a partition, which may go on in the next one, stay in any case, with a null ``often``."""
+    def rows(t, s, often):
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(s, pa.int64()), often], ["t", "s", "often"])
+
+    def unknown(n):
+        return pa.nulls(n, pa.int64())
+
+    first, t, s = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        t, s = (batch.column(c).to_numpy() for c in ("t", "s"))
+        t, s = (np.append(old, batch.column(c).to_numpy()) for old, c in ((t, "t"), (s, "s")))
         if not len(t):
             continue
-        first = t[0] if first is None else first
-        if held is not None:
-            t, s = np.append(held[0], t), np.append(held[1], s)
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
         t, s = t[new], s[new]
-        held = t[-1], s[-1]
-        again = np.append(before[0] == t[0] if before[0] is not None else False, t[1:] == t[:-1])
-        keep = (again[:-1] | again[1:] | (t[:-1] == first))
-        if len(t) > 1:
-            before = t[-2], s[-2]
-        yield pa.RecordBatch.from_arrays([pa.array(t[:-1][keep]), pa.array(s[:-1][keep])], ["t", "s"])
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], ["t", "s"])
+        first = t[0] if first is None else first
+        done = int(np.searchsorted(t, t[-1]))  # the last run may go on in the next batch
+        opening = int(np.searchsorted(t[:done], first, "right"))
+        if opening:
+            yield rows(t[:opening], s[:opening], unknown(opening))
+        _, at, sizes = np.unique(t[opening:done], return_inverse=True, return_counts=True)
+        often = sizes[at]
+        many = often > 1
+        yield rows(t[opening:done][many], s[opening:done][many], pa.array(often[many], pa.int64()))
+        t, s = t[done:], s[done:]
+    yield rows(t, s, unknown(len(t)))
+
+
+def _long_prefixes(batches, percent: int):
+    for batch in batches:
+        parts = [v[: prefix_length(len(v), percent, LONG_SLACK)] for v in _column(batch, "shingles")]
+        node = np.repeat(batch.column("node").to_numpy(), [len(p) for p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64()),
+                                          pa.array(node, pa.int64())], ["t", "s"])
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings ``(t, s, often)`` of the shingles that several sets have. Rows are split by range, so the sets of a
+    frequent shingle fall to many tasks."""
+    return postings.repartitionByRange("t", "s").sortWithinPartitions("t", "s") \
+        .mapInArrow(_runs, "t long, s long, often long")
 
 
 def _full_sets(batches, width: int):
@@ -125,10 +156,10 @@ def _bit_count(largest: int) -> int:
 
 
 def _bitmap(values: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(bits // 64, np.uint64)
-    at = mix(values.view(np.uint64)) & U64(bits - 1)  # the low bits: half as long a bitmap is the OR of its halves
-    np.bitwise_or.at(out, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
-    return out
+    out = np.zeros(bits, bool)
+    # the low bits of a hash: half as long a bitmap is the OR of its halves
+    out[(mix(values.view(np.uint64)) & U64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
 def _fold(bitmap: np.ndarray, words: int) -> np.ndarray:
@@ -146,20 +177,23 @@ def _able(common: np.ndarray, low_a, high_a, low_b, high_b, percent: int) -> np.
 
 
 class Tree:
-    """Signature tree over sets in the given order; level 0 are the sets, the last level is one root."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets = sets
-        sizes = np.array([len(v) for v in sets], np.int64)
-        maps = np.stack([_bitmap(v, bits) for v in sets])
-        excess = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
-        self.levels = [(maps, sizes, sizes, excess)]
+    """Signature tree over leaves in the given order; level 0 are the leaves, the last level is one root. A level is
+    ``(bitmaps, smallest sizes, largest sizes, excess)``."""
+
+    def __init__(self, maps: np.ndarray, low: np.ndarray, high: np.ndarray, excess: np.ndarray):
+        self.size = len(maps)
+        self.levels = [(maps, low, high, excess)]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, excess = self.levels[-1]
             starts = np.arange(0, len(maps), FAN_OUT)
             self.levels.append((np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts),
                                 np.maximum.reduceat(high, starts), np.maximum.reduceat(excess, starts)))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], bits: int) -> Tree:
+        sizes, maps = np.array([len(v) for v in sets], np.int64), np.stack([_bitmap(v, bits) for v in sets])
+        return cls(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64))
+
     def children(self, level: int, nodes: np.ndarray) -> list[np.ndarray]:
         return [np.arange(n * FAN_OUT, min((n + 1) * FAN_OUT, len(self.levels[level - 1][0]))) for n in nodes]
 
@@ -202,55 +236,65 @@ def _uniform(labels: np.ndarray, level: int) -> np.ndarray:
     return labels
 
 
-def _walk(a: Tree, b: Tree, groups: Groups, shift: int, percent: int):
-    """Dual traversal of two trees; their sets are ``0...`` and ``shift...`` in ``groups``, which takes the links found.
-    Yields linked pairs that joined two groups. ``a is b`` walks a tree against itself."""
+def _walk(a: Tree, b: Tree, labels, percent: int):
+    """Dual traversal of two trees: yields the pairs of leaves that may hold a link and differ in their label.
+    ``labels()`` gives the labels of both trees' leaves as they are now. ``a is b`` walks a tree against itself."""
     todo = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, int), np.zeros(1, int))]
     while todo:
         la, lb, x, y = todo.pop()
         for at in range(0, len(x), 4096):
             i, j = x[at: at + 4096], y[at: at + 4096]
-            labels = groups.roots()
-            ga = _uniform(labels[: len(a.sets)], la)[i]
-            gb = _uniform(labels[shift: shift + len(b.sets)], lb)[j]
+            left, right = labels()
+            ga, gb = _uniform(left, la)[i], _uniform(right, lb)[j]
             other = (ga != gb) | (ga < 0)
+            if a is b and la == lb == 0:
+                other &= i < j
             i, j = i[other], j[other]
             ma, mb = a.levels[la], b.levels[lb]
             common = np.bitwise_count(ma[0][i] & mb[0][j]).sum(1, dtype=np.int64) + np.minimum(ma[3][i], mb[3][j])
             able = _able(common, ma[1][i], ma[2][i], mb[1][j], mb[2][j], percent)
             i, j = i[able], j[able]
             if la == lb == 0:
-                for u, v in zip(i.tolist(), j.tolist(), strict=True):
-                    if (a is b and u == v) or groups.root(u) == groups.root(v + shift):
-                        continue
-                    p, q = a.sets[u], b.sets[v]
-                    both = _overlap(p, q)
-                    if 100 * both >= percent * (len(p) + len(q) - both):
-                        groups.join(u, v + shift)
-                        yield u, v
-                continue
-            # go down on the higher side, on both if level
-            ca = a.children(la, i) if la >= lb else [np.array([n]) for n in i]
-            cb = b.children(lb, j) if lb >= la else [np.array([n]) for n in j]
-            if len(i):
+                yield from zip(i.tolist(), j.tolist(), strict=True)
+            elif len(i):  # go down on the higher side, on both if level
+                ca = a.children(la, i) if la >= lb else [np.array([n]) for n in i]
+                cb = b.children(lb, j) if lb >= la else [np.array([n]) for n in j]
                 left = np.concatenate([np.repeat(p, len(q)) for p, q in zip(ca, cb, strict=True)])
                 right = np.concatenate([np.tile(q, len(p)) for p, q in zip(ca, cb, strict=True)])
                 if a is b:
-                    ordered = left <= right
-                    left, right = left[ordered], right[ordered]
+                    left, right = left[left <= right], right[left <= right]
                 todo.append((la - (la >= lb), lb - (lb >= la), left, right))
 
 
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = _overlap(p, q)
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def links(a: list[np.ndarray], b: list[np.ndarray] | None, groups: Groups, percent: int):
+    """Links ``(index in a, index in b)`` that join two groups; ``b`` of None is ``a`` itself. The sets of ``b`` stand
+    behind those of ``a`` in ``groups``, which takes the links."""
+    bits = _bit_count(max(len(v) for v in a + (b or [])))
+    left = Tree.of_sets(a, bits)
+    right, shift = (left, 0) if b is None else (Tree.of_sets(b, bits), len(a))
+    b = a if b is None else b
+
+    def labels():
+        now = groups.roots()
+        return now[: len(a)], now[shift: shift + len(b)]
+    for u, v in _walk(left, right, labels, percent):
+        if groups.root(u) != groups.root(v + shift) and _alike(a[u], b[v], percent):
+            groups.join(u, v + shift)
+            yield u, v
+
+
 def _units(nodes: np.ndarray, sets: list[np.ndarray], percent: int):
     """Join a block with itself and cut the groups found into units: rows of the unit table."""
     groups = Groups(len(sets))
-    tree = Tree(sets, _bit_count(max(len(v) for v in sets)))
     for u in range(len(sets) - 1):  # neighbours first: most links of a large group are found without the tree
-        p, q = sets[u], sets[u + 1]
-        both = _overlap(p, q)
-        if 100 * both >= percent * (len(p) + len(q) - both):
+        if _alike(sets[u], sets[u + 1], percent):
             groups.join(u, u + 1)
-    for _ in _walk(tree, tree, groups, 0, percent):
+    for _ in links(sets, None, groups, percent):
         pass
     labels, sizes = groups.roots(), np.array([len(v) for v in sets])
     order = np.lexsort((nodes, sizes, labels))
@@ -294,40 +338,59 @@ def _blocks(batches, percent: int):
         if rows:
             yield _batch(rows)
     for batch in batches:
-        column = batch.column("shingles")
-        flat, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-        for node, a, b in zip(batch.column("node").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-            if sets and (len(sets) == BLOCK_SETS or total + b - a > BLOCK_SHINGLES):
+        for node, values in zip(batch.column("node").to_pylist(), _column(batch, "shingles"), strict=True):
+            if sets and (len(sets) == BLOCK_SETS or total + len(values) > BLOCK_SHINGLES):
                 yield from done()
                 nodes, sets, total = [], [], 0
             nodes.append(node)
-            sets.append(flat[a:b].copy())
-            total += b - a
+            sets.append(values.view(np.uint64).copy())
+            total += len(values)
     yield from done()
 
 
-def _column(batch, name: str) -> list[np.ndarray]:
-    column = batch.column(name)
-    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+def _roots_of(maps: list[np.ndarray], low, high, excess: list[np.ndarray], words: int) -> Tree:
+    """A tree over roots of units, their bitmaps folded to so many words."""
+    known = [e[f] if (f := int(len(m) // words).bit_length() - 1) < len(e) else h
+             for m, e, h in zip(maps, excess, high, strict=True)]
+    return Tree(np.stack([_fold(m.view(np.uint64), words) for m in maps]), low, high, np.array(known, np.int64))
 
 
 def _possible(batches, percent: int):
     """Pairs of units whose roots allow a link."""
     for batch in batches:
+        size = {c: batch.column(c).to_numpy() for c in ("low_u", "high_u", "low_v", "high_v")}
+        lists = {c: _column(batch, c) for c in ("bits_u", "bits_v", "excess_u", "excess_v")}
         keep = []
-        cols = {c: batch.column(c).to_numpy() for c in ("low_u", "high_u", "low_v", "high_v")}
-        lists = [_column(batch, c) for c in ("bits_u", "bits_v", "excess_u", "excess_v")]
-        for k, (bu, bv, eu, ev) in enumerate(zip(*lists, strict=True)):
-            words = min(len(bu), len(bv))
-            fold = [(len(b) // words).bit_length() - 1 for b in (bu, bv)]
-            common = int(np.bitwise_count(_fold(bu.view(np.uint64), words) & _fold(bv.view(np.uint64), words)).sum())
-            known = [e[f] for e, f in zip((eu, ev), fold, strict=True) if f < len(e)]
-            keep.append(not known or bool(_able(common + min(known), *[cols[c][k] for c in (
-                "low_u", "high_u", "low_v", "high_v")], percent)))
+        for k in range(batch.num_rows):
+            words = min(len(lists["bits_u"][k]), len(lists["bits_v"][k]))
+            u, v = (_roots_of([lists[f"bits_{x}"][k]], size[f"low_{x}"][k: k + 1], size[f"high_{x}"][k: k + 1],
+                              [lists[f"excess_{x}"][k]], words) for x in "uv")
+            keep.append(any(True for _ in _walk(u, v, lambda: (np.zeros(1, int), np.ones(1, int)), percent)))
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _crowd(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of units of one or two chunks whose roots allow a link and whose components differ."""
+    batch = table.combine_chunks().to_batches()[0]
+    side, unit, component, low, high = (batch.column(c).to_numpy() for c in ("side", "unit", "component", "low", "high"))
+    excess, maps = _column(batch, "excess"), _column(batch, "bits")
+    words = np.array([len(m) for m in maps])
+    found = []
+    classes = [(s, w, np.flatnonzero((side == s) & (words == w))) for s in (0, 1) for w in np.unique(words)]
+    alone = not side.any()
+    for s, w, x in classes:
+        for r, v, y in classes:
+            if not len(x) or not len(y) or not (s == 0 and (w <= v if alone else r == 1)):
+                continue
+            trees = [_roots_of([maps[k] for k in z], low[z], high[z], [excess[k] for k in z], int(min(w, v))) for z in (x, y)]
+            if alone and w == v:
+                trees[1] = trees[0]
+            for i, j in _walk(*trees, lambda x=x, y=y: (component[x], component[y]), percent):
+                found.append((unit[x[i]], unit[y[j]]))
+    pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
 def _linked(batches, percent: int):
     """One link per pair of units that have any: each unit is one component already."""
     for batch in batches:
@@ -335,10 +398,7 @@ def _linked(batches, percent: int):
         members, sizes, shingles = ([_column(batch, f"{c}_{x}") for x in "uv"] for c in ("members", "sizes", "shingles"))
         for k in range(batch.num_rows):
             sides = [np.split(shingles[x][k].view(np.uint64), np.cumsum(sizes[x][k])[:-1]) for x in (0, 1)]
-            bits = _bit_count(max(len(v) for side in sides for v in side))
-            trees = [Tree(side, bits) for side in sides]
-            groups = Groups(len(sides[0]) + len(sides[1]))
-            link = next(_walk(trees[0], trees[1], groups, len(sides[0]), percent), None)
+            link = next(links(*sides, Groups(len(sides[0]) + len(sides[1])), percent), None)
             if link:
                 found.append((members[0][k][link[0]], members[1][k][link[1]]))
         yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
@@ -370,27 +430,31 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("text"))
         .withColumn("node", F.coalesce("first", "set_a")), "ngram-classes")
 
-    postings = profiles.where("prefix is not null").select(F.explode("prefix").alias("t"), F.col("set_a").alias("s"))
-    shared = materialize(postings.repartitionByRange("t", "s").sortWithinPartitions("t", "s")
-                         .mapInArrow(_runs, "t long, s long"), "ngram-shared")
-    often = shared.groupBy("t").agg(F.countDistinct("s").alias("often")).where("often > 1")
-    rank = F.row_number().over(W.partitionBy("node").orderBy(F.col("often").desc(), "t"))
-    held = shared.distinct().join(often, "t").join(classes.select(F.col("set_a").alias("s"), "node", "n"), "s") \
-        .select("t", "node", "n", rank.alias("rank")).where(F.col("rank") >= needed(F.col("n"), percent))
-    held = materialize(held.select("t", "node"), "ngram-held")
-    met = held.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("t")
-    kept = materialize(held.join(met, "t"), "ngram-kept")
-
-    wanted = classes.join(kept.select("node").distinct(), "node", "left_semi").select(
-        "node", F.col("text.doc_id").alias("_id"), F.col("text.row").alias("_row"))
+    short = _shared(profiles.where("prefix is not null").select(F.explode("prefix").alias("t"), F.col("set_a").alias("s")))
+    left = short.groupBy("s").agg(F.count("*").alias("common")).join(classes.withColumnRenamed("set_a", "s"), "s") \
+        .where(F.col("common") >= needed(F.col("n"), percent, SLACK))
+    wanted = materialize(left.select("node", F.col("text.doc_id").alias("_id"), F.col("text.row").alias("_row")),
+                         "ngram-wanted")
     bodies = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))) \
         .groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(bodies.mapInArrow(partial(_full_sets, width=width),
                                          "node long, m1 long, m2 long, shingles array<long>"), "ngram-sets")
+    shared = materialize(_shared(sets.mapInArrow(partial(_long_prefixes, percent=percent), "t long, s long")), "ngram-shared")
+    edges = shared.where("often is null")
+    counted = edges.groupBy("t").agg(F.countDistinct("s").alias("often")).where("often > 1")
+    known = shared.where("often is not null").union(edges.drop("often").join(counted, "t"))
+    rank = F.row_number().over(W.partitionBy("s").orderBy(F.col("often").desc(), "t"))
+    held = known.withColumn("rank", rank).join(sets.select(F.col("node").alias("s"), F.size("shingles").alias("n")), "s") \
+        .where(F.col("rank") >= needed(F.col("n"), percent, LONG_SLACK))
+    held = materialize(held.select("t", F.col("s").alias("node")), "ngram-held")
+    met = held.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("t")
+    kept = materialize(held.join(met, "t"), "ngram-kept")
+    sets = sets.join(kept.select("node").distinct(), "node", "left_semi")
+
     units = materialize(sets.repartitionByRange("m1", "m2", "node").sortWithinPartitions("m1", "m2", "node")
                         .mapInArrow(partial(_blocks, percent=percent), _EXACT), "ngram-units")
     inside = units.select("part", F.explode("members").alias("node"))
-    links = [inside.where("part <> node").select(F.col("part").alias("u"), F.col("node").alias("v"))]
+    pairs = [inside.where("part <> node").select(F.col("part").alias("u"), F.col("node").alias("v"))]
     places = units.select("unit", "part", "low", "high", F.explode("members").alias("node"))
     spots = materialize(kept.join(places, "node").select("t", "unit", "part", "low", "high").distinct(), "ngram-spots")
 
@@ -403,20 +467,33 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         .where("m > 1").select("t", "x.part", "x.unit", "x.low", "x.high")
     stars = leaders.alias("a").join(ends.alias("b"), (F.col("a.t") == F.col("b.t")) & (
         F.col("a.part") < F.col("b.part")) & fits).select(*pair).distinct()
-    links.append(_compare(materialize(stars, "ngram-stars"), units, percent, "ngram-star"))
-    found = connected_components(links[1].join(inside.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u")
+    pairs.append(_compare(materialize(stars, "ngram-stars"), units, percent, "ngram-star"))
+    found = connected_components(pairs[1].join(inside.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u")
                                  .join(inside.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
                                  .select(F.col("pu").alias("u"), F.col("pv").alias("v")), "ngram-parts")
     # all units of different components that still share a shingle
     now = spots.join(found.select(F.col("id").alias("part"), "component"), "part", "left") \
         .withColumn("component", F.coalesce("component", "part"))
-    apart = now.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("t")
+    apart = now.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")) \
+        .where("x < y").select("t", "m")
     open_ = materialize(now.join(apart, "t"), "ngram-open")
-    rest = open_.alias("a").join(open_.alias("b"), (F.col("a.t") == F.col("b.t")) & (
+    few = open_.where(F.col("m") <= CROWD)
+    rest = few.alias("a").join(few.alias("b"), (F.col("a.t") == F.col("b.t")) & (
         F.col("a.component") < F.col("b.component")) & fits).select(*pair).distinct()
+
+    def meet(table: pa.Table) -> pa.Table:
+        return _crowd(table, percent)
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    dealt = open_.where(F.col("m") > CROWD).withColumn("own", F.pmod(F.xxhash64("unit"), chunks).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
+            "t", "unit", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"))
+    crowds = dealt.join(units.select("unit", "low", "high", "excess", "bits"), "unit").groupBy("t", "i", "j") \
+        .applyInArrow(meet, "u long, v long")
+    rest = rest.union(crowds).distinct()
     rest = rest.join(stars, ["u", "v"], "left_anti")
-    links.append(_compare(materialize(rest, "ngram-rest"), units, percent, "ngram-rest"))
-    edges = links[0].union(links[1]).union(links[2])
+    pairs.append(_compare(materialize(rest, "ngram-rest"), units, percent, "ngram-rest"))
+    edges = pairs[0].union(pairs[1]).union(pairs[2])
     found = connected_components(edges, "ngram-components")
     named = found.join(classes.select(F.col("node").alias("id"), "first"), "id")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

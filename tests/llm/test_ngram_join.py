@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import prose
+from pyspark.sql import functions as F
 
 from repolumen.llm import ngram_join
-from repolumen.llm.ngram_join import Groups, Tree, _walk
+from repolumen.llm.ngram_join import Groups, Tree, links
 
 EDGE = {1: None, 2: "", 3: " \n\t ", 4: "one", 5: "One two", 6: "one", 8: "É é ſ ∞ 𝒳 word"}
 
@@ -48,7 +49,8 @@ def test_join_equals_inverted_list(table, width, percent):
 
 
 def test_small_blocks_and_units(table, monkeypatch):
-    for name, value in (("BLOCK_SETS", 7), ("BLOCK_SHINGLES", 2000), ("UNIT_SETS", 2), ("UNIT_SHINGLES", 500)):
+    for name, value in (("BLOCK_SETS", 7), ("BLOCK_SHINGLES", 2000), ("UNIT_SETS", 2), ("UNIT_SHINGLES", 500),
+                        ("CROWD", 2), ("CHUNK", 5)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = corpus()
     assert joined(rows, table) == plain(rows)
@@ -71,10 +73,19 @@ def test_rows_without_id_and_repeated_rows(table):
     assert ngram_join.ngram_components(table(rows).limit(0)).count() == 0
 
 
-def test_prefix_bound():
-    for n in range(1, 400):
-        need = 1 + 5 * 80 * n // 10_000
-        assert need <= ngram_join.prefix_length(n, 80) <= n
+@pytest.mark.parametrize("slack", [ngram_join.SLACK, ngram_join.LONG_SLACK])
+def test_linked_sets_share_prefix_shingles(spark, slack):
+    rng = np.random.default_rng(slack)
+    need = {r.n: r.need for r in spark.range(1, 200).withColumnRenamed("id", "n").withColumn(
+        "need", ngram_join.needed(F.col("n"), 80, slack)).collect()}
+    for n in range(1, 160):
+        for m in range(n, 5 * n // 4 + 1):
+            both = -(-80 * (n + m) // 180)
+            a, b = (set(rng.permutation(1000)[:n].tolist()) for _ in range(2))
+            b = set(list(a)[:both]) | set(range(1000, 1000 + m - both))
+            b = b if rng.random() < 0.5 else {x if x in a else x - 2000 for x in b}  # before or behind the common ones
+            pa_, pb = (sorted(x)[: ngram_join.prefix_length(len(x), 80, slack)] for x in (a, b))
+            assert len(set(pa_) & set(pb)) >= max(need[n], need[m])
 
 
 def test_walk_finds_the_components_of_all_pairs():
@@ -92,22 +103,34 @@ def test_walk_finds_the_components_of_all_pairs():
                 both = len(np.intersect1d(sets[i], sets[j]))
                 if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                     want.join(i, j)
-        tree = Tree(sets, 256 if trial % 2 else 1024)
-        list(_walk(tree, tree, got, 0, 80))
+        list(links(sets, None, got, 80))
         assert (want.roots() == got.roots()).all()
-        halves, split = (Tree(sets[:17], 512), Tree(sets[17:], 512)), Groups(40)
-        for half, shift in ((halves[0], 0), (halves[1], 17)):
-            inner = Groups(len(half.sets))
-            list(_walk(half, half, inner, 0, 80))
+        split = Groups(40)
+        for half, shift in ((sets[:17], 0), (sets[17:], 17)):
+            inner = Groups(len(half))
+            list(links(half, None, inner, 80))
             for x, r in enumerate(inner.roots()):
                 split.join(x + shift, int(r) + shift)
-        list(_walk(*halves, split, 17, 80))
+        list(links(sets[:17], sets[17:], split, 80))
         assert (want.roots() == split.roots()).all()
 
 
+def test_levels_combine_their_children():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in rng.integers(1, 300, 77)]
+    tree = Tree.of_sets(sets, 256)
+    for below, above in zip(tree.levels[:-1], tree.levels[1:], strict=True):
+        for k in range(len(above[0])):
+            part = slice(k * ngram_join.FAN_OUT, (k + 1) * ngram_join.FAN_OUT)
+            assert (above[0][k] == np.bitwise_or.reduce(below[0][part])).all()
+            assert (above[1][k], above[2][k], above[3][k]) == (below[1][part].min(), below[2][part].max(), below[3][part].max())
+    assert len(tree.levels[-1][0]) == 1
+    assert (ngram_join._fold(ngram_join._bitmap(sets[0], 1024), 4) == ngram_join._bitmap(sets[0], 256)).all()
+
+
 def test_runs_keep_shared_shingles():
     rng = random.Random(4)
-    for _ in range(50):
+    for _ in range(80):
         rows = sorted((rng.randrange(30), rng.randrange(4)) for _ in range(rng.randrange(1, 60)))
         cuts = sorted(rng.sample(range(len(rows) + 1), min(3, len(rows) + 1)))
         pieces = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
@@ -115,8 +138,9 @@ def test_runs_keep_shared_shingles():
                                                "s": pa.array([r[1] for r in p], pa.int64())}) for p in pieces]
         got = [r for b in ngram_join._runs(batches) for r in zip(*b.to_pydict().values(), strict=True)]
         distinct = sorted(set(rows))
-        many = {t for t, _ in distinct if len({s for u, s in distinct if u == t}) > 1} | {rows[0][0], rows[-1][0]}
-        assert got == [r for r in distinct if r[0] in many]
+        often = {t: len([1 for u, _ in distinct if u == t]) for t, _ in distinct}
+        edges = {rows[0][0], rows[-1][0]}
+        assert got == [(t, s, None if t in edges else often[t]) for t, s in distinct if t in edges or often[t] > 1]
 
 
 def test_query(spark):
