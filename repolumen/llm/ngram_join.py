@@ -51,7 +51,7 @@ UNIT_SETS, UNIT_SHINGLES = 64, 1 << 15
 #: Units of one shingle that are still paired one by one, and those of one chunk beyond it.
 CROWD, CHUNK = 32, 512
 FAN_OUT = 8
-BITS_LOW, BITS_HIGH = 256, 1 << 15
+BITS_LOW, BITS_HIGH = 256, 1 << 16
 _EXACT = "unit long, part long, low long, high long, excess array<long>, bits array<long>, members array<long>, " \
     "sizes array<long>, shingles array<long>"
 
@@ -151,8 +151,8 @@ def _full_sets(batches, width: int):
 
 
 def _bit_count(largest: int) -> int:
-    """Bits of a bitmap for sets of up to so many shingles: a power of two, four per shingle or more."""
-    return min(BITS_HIGH, max(BITS_LOW, 1 << int(4 * largest - 1).bit_length()))
+    """Bits of a bitmap for sets of up to so many shingles: a power of two, 16 per shingle or more."""
+    return min(BITS_HIGH, max(BITS_LOW, 1 << int(16 * largest - 1).bit_length()))
 
 
 def _bitmap(values: np.ndarray, bits: int) -> np.ndarray:
@@ -446,9 +446,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     rank = F.row_number().over(W.partitionBy("s").orderBy(F.col("often").desc(), "t"))
     held = known.withColumn("rank", rank).join(sets.select(F.col("node").alias("s"), F.size("shingles").alias("n")), "s") \
         .where(F.col("rank") >= needed(F.col("n"), percent, LONG_SLACK))
-    held = materialize(held.select("t", F.col("s").alias("node")), "ngram-held")
-    met = held.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("t")
-    kept = materialize(held.join(met, "t"), "ngram-kept")
+    kept = materialize(held.select("t", F.col("s").alias("node")), "ngram-kept")
     sets = sets.join(kept.select("node").distinct(), "node", "left_semi")
 
     units = materialize(sets.repartitionByRange("m1", "m2", "node").sortWithinPartitions("m1", "m2", "node")
@@ -456,7 +454,13 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     inside = units.select("part", F.explode("members").alias("node"))
     pairs = [inside.where("part <> node").select(F.col("part").alias("u"), F.col("node").alias("v"))]
     places = units.select("unit", "part", "low", "high", F.explode("members").alias("node"))
-    spots = materialize(kept.join(places, "node").select("t", "unit", "part", "low", "high").distinct(), "ngram-spots")
+    spots = kept.join(places, "node").select("t", "unit", "part", "low", "high").distinct()
+    # of shingles that the same units have, one is enough
+    lists = spots.groupBy("t").agg(F.count("*").alias("m"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("h"),
+                                   F.sum(F.xxhash64("unit", F.lit(1)) % (1 << 40)).alias("k"), F.min("unit").alias("least"),
+                                   F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
+    chosen = lists.groupBy("m", "h", "k", "least").agg(F.min("t").alias("t")).select("t")
+    spots = materialize(spots.join(chosen, "t"), "ngram-spots")
 
     fits = (100 * F.col("b.high") >= percent * F.col("a.low")) & (100 * F.col("a.high") >= percent * F.col("b.low"))
     pair = [F.least("a.unit", "b.unit").alias("u"), F.greatest("a.unit", "b.unit").alias("v")]
