@@ -115,8 +115,8 @@ def architecture_document(facts: DataFrame) -> DataFrame:
                  (3, path, _say(head, tail), ~backend & (F.col("function_count") > 0)))])
 
 
-def project_summary_document(facts: DataFrame) -> DataFrame:
-    """Totals, breakdowns, first backend files and first dependencies."""
+def project_summary_document(facts: DataFrame, files: int | None = None, dependencies: int | None = None) -> DataFrame:
+    """Totals, breakdowns, backend files and dependencies: all of them, or as many of the first as asked for."""
     doc = "PROJECT_SUMMARY.md"
     path, count = F.col(PATH), F.col("files")
     api_line = F.when(F.col("api_count") > 0, _say("  - API Endpoints: ", F.col("api_count"), "\n")).otherwise("")
@@ -140,10 +140,10 @@ def project_summary_document(facts: DataFrame) -> DataFrame:
                  (1, F.col("language"), _say("- **", F.initcap("language"), "**: ", count, " files\n"))),
         sections(rollup.breakdown(facts, "file_purpose"), doc,
                  (3, F.col("file_purpose"), _say("- **", F.col("file_purpose"), "**: ", count, " files\n"))),
-        sections(ranking.backend_top_n(facts, 10), doc,
+        sections(facts.where("is_backend") if files is None else ranking.backend_top_n(facts, files), doc,
                  (5, path, _say("- **", path, "** (", F.col("language"), ")\n  - Purpose: ", F.col("file_purpose"), "\n",
                                 api_line, fn_line))),
-        sections(rollup.dependency_union(facts, 20), doc,
+        sections(rollup.repo_dependencies(facts, dependencies), doc,
                  (7, F.col("dependency"), _say("- ", F.col("dependency"), "\n")))])
 
 
@@ -243,20 +243,34 @@ def readme_document(bundles: DataFrame) -> DataFrame:
              backend & serving))])
 
 
-def file_documents(enriched: DataFrame) -> DataFrame:
-    """One document per enriched file, with the number of files that share its name."""
+def file_documents(answers: DataFrame) -> DataFrame:
+    """One document per answered file, with the number of files that share its name."""
     path = F.col(PATH)
-    named = enriched.select("repo", PATH, paths.safe_name(path).alias("doc_name"), _say(
+    named = answers.where("response is not null").select("repo", PATH, paths.safe_name(path).alias("doc_name"), _say(
         "# ", path, "\n\n", F.col("response"), "\n\n---\n\n*Generated automatically from code analysis*\n").alias("content"))
     shared = named.groupBy("repo", "doc_name").agg(F.count("*").alias("sharing"))
     return named.join(shared, ["repo", "doc_name"])
 
 
-def insight_document(facts: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Section per enriched file with its facts and answer."""
+def answer_document(bundles: DataFrame, answers: DataFrame) -> DataFrame:
+    """Contents list of the serving backend files, then the answer of every file that has one."""
+    doc, path = "API.md", F.col(PATH)
+    serving = F.col("is_backend") & (F.col("api_count") > 0)
+    return stack([
+        sections(bundles.select("repo").distinct(), doc,
+                 (0, None, F.lit("# API Documentation\n\nComplete API reference with examples and usage instructions.\n\n"
+                                 "## Table of Contents\n\n")),
+                 (2, None, F.lit("\n---\n\n"))),
+        sections(bundles, doc, (1, path, _say("- [", path, "](#", paths.anchor_name(path), ")\n"), serving)),
+        sections(answers, doc, (3, path, _say("## ", path, "\n\n", F.col("response"), "\n\n---\n\n"),
+                                F.col("response").isNotNull()))])
+
+
+def insight_document(facts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Section per answered file with its facts and answer."""
     doc = "INSIGHTS.md"
     path = F.col(PATH)
-    rows = facts.join(enriched.select("repo", PATH, "response"), ["repo", PATH])
+    rows = facts.join(answers.where("response is not null").select("repo", PATH, "response"), ["repo", PATH])
     return stack([
         sections(rows.select("repo").distinct(), doc, (0, None, F.lit("# AI-Generated Insights\n\n## File Analysis\n\n"))),
         sections(rows, doc, (1, path, _say(
@@ -264,25 +278,55 @@ def insight_document(facts: DataFrame, enriched: DataFrame) -> DataFrame:
             "\n**Functions**: ", F.col("function_count"), "\n\n**AI Analysis**:\n", F.col("response"), "\n\n---\n\n")))])
 
 
-def result_json(bundles: DataFrame) -> DataFrame:
+def _without_line(funcs: Column) -> Column:
+    return F.transform(funcs, lambda f: F.struct(
+        f["name"].alias("name"), f["params"].alias("params"), f["return_type"].alias("return_type"),
+        f["complexity"].alias("complexity"), f["docstring"].alias("docstring"), f["is_api_handler"].alias("is_api_handler")))
+
+
+def result_json(bundles: DataFrame, answers: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
     """Nested result as ``(repo, part, json)``: one object per file (``part`` is the path) with its entry in the file
-    list and, for back-end files, its details, and one summary object per repository (``part`` is empty)."""
+    list, for back-end files its details, and its answer with what was asked about; and one summary object per
+    repository (``part`` is empty). ``answers`` comes from ``enrich.answers``; ``addresses(repo, url)`` adds
+    ``repository_info``."""
+    apis = F.transform("apis", lambda a: F.struct(
+        a["method"].alias("method"), a["path"].alias("path"), a["function_name"].alias("function"),
+        a["line"].alias("line"), a["description"].alias("description"), a["parameters"].alias("parameters")))
     backend = F.when(F.col("is_backend"), F.to_json(F.struct(
-        PATH, "language", "file_purpose", "api_count", "function_count", "lines_of_code", "dependencies",
-        F.transform("apis", lambda a: F.struct(
-            a["method"].alias("method"), a["path"].alias("path"), a["function_name"].alias("function"),
-            a["line"].alias("line"), a["description"].alias("description"), a["parameters"].alias("parameters"))).alias("apis"),
+        PATH, "language", "file_purpose", "api_count", "function_count", "lines_of_code", "dependencies", apis.alias("apis"),
         F.transform("funcs", lambda f: F.struct(
             f["name"].alias("name"), f["params"].alias("params"), f["line"].alias("line"),
             f["return_type"].alias("return_type"), f["complexity"].alias("complexity"), f["docstring"].alias("docstring"),
             f["is_api_handler"].alias("is_api_handler"))).alias("functions"))))
     listed = F.to_json(F.struct(PATH, "language", "file_purpose", "lines_of_code", "function_count", "is_backend",
                                 "dependencies"))
-    pieces = bundles.select("repo", PATH, backend.alias("backend"), listed.alias("listed"))
-    summary = rollup.repo_summary(bundles).select("repo", F.lit("").alias("part"), _say(
+    rows, documented = bundles, F.lit(None).cast("string")
+    if answers is not None:
+        rows = bundles.join(answers.select("repo", PATH, "response", "error"), ["repo", PATH], "left")
+        documented = F.when(F.col("response").isNotNull(), F.to_json(F.struct(
+            F.col("response").alias("comprehensive_documentation"),
+            F.struct(F.col("file_purpose").alias("purpose"), "api_count", "function_count", "language", "lines_of_code",
+                     "dependencies", "is_backend").alias("file_analysis"),
+            F.transform("apis", lambda a: F.struct(
+                a["method"].alias("method"), a["path"].alias("path"), a["function_name"].alias("function"),
+                a["description"].alias("description"), a["parameters"].alias("parameters"))).alias("apis"),
+            _without_line(F.col("funcs")).alias("functions")))) \
+            .when(F.col("error").isNotNull(), F.to_json(F.struct("error")))
+    pieces = rows.select("repo", PATH, backend.alias("backend"), listed.alias("listed"), documented.alias("documented"))
+    totals, info = rollup.repo_summary(bundles), F.lit("null")
+    if addresses is not None:
+        totals = totals.join(addresses.select("repo", "url", paths.repo_info(F.col("url")).alias("info")), "repo", "left")
+        found = (F.col("info.owner") != "Unknown") | (F.col("info.name") != "Repository")
+        described = F.when(found, _say("Comprehensive documentation for ", F.col("info.name"))) \
+            .otherwise("Comprehensive repository documentation")
+        info = F.when(F.col("url").isNotNull(), F.to_json(F.struct(
+            "info.name", "info.owner", "url", described.alias("description")))).otherwise("null")
+    summary = totals.select("repo", F.lit("").alias("part"), _say(
         '{"repository":', F.to_json(F.struct("repo")).substr(F.lit(9), F.length(F.to_json(F.struct("repo"))) - 9),
+        ',"repository_info":', info,
         ',"summary":', F.to_json(F.struct("total_files", "backend_files", "total_apis", "total_functions", "languages")),
         "}").alias("json"))
     parts = pieces.select("repo", F.col(PATH).alias("part"), _say(
-        '{"file":', F.col("listed"), ',"backend_file":', F.coalesce("backend", F.lit("null")), "}").alias("json"))
+        '{"file":', F.col("listed"), ',"backend_file":', F.coalesce("backend", F.lit("null")),
+        ',"api_documentation":', F.coalesce("documented", F.lit("null")), "}").alias("json"))
     return stack([parts, summary])

@@ -80,20 +80,24 @@ def folder_summary(detailed: DataFrame) -> DataFrame:
         .alias("folder_purpose"), patterns.alias("integration_patterns"))
 
 
-def folder_components(detailed: DataFrame) -> DataFrame:
-    """Key components per folder: of every file the first two functions, classes and tags; distinct,
-    the ten that sort first."""
+def folder_components(detailed: DataFrame, per_file: int | None = None, k: int | None = None) -> DataFrame:
+    """Components per folder with their ``rank`` in name order: distinct functions, classes and tags, of every file the
+    first ``per_file`` of each kind and of the folder the first ``k``; all unless told otherwise."""
     def two(array, name=None):
-        head = F.slice(array, 1, 2)
+        head = F.col(array) if per_file is None else F.slice(array, 1, per_file)
         return head if name is None else F.transform(head, lambda x: x[name])
 
     names = unnest(detailed, ["repo", paths.folder_of(F.col("file_path")).alias("folder")], F.concat(
         two("functions", "name"), two("classes", "name"), two("jsx_components")), "component").distinct()
-    return first_k(names, ["repo", "folder"], ["component"], 10).select("repo", "folder", "component", "rank")
+    if k is not None:
+        return first_k(names, ["repo", "folder"], ["component"], k).select("repo", "folder", "component", "rank")
+    return ordinal(names, ["repo", "folder"], ["component"], "rank", "components") \
+        .select("repo", "folder", "component", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
-def key_components(detailed: DataFrame) -> DataFrame:
-    return folder_components(detailed).groupBy("repo", "folder").agg(
+def key_components(detailed: DataFrame, per_file: int = 2, k: int = 10) -> DataFrame:
+    """One short list per folder: the first ``k`` of the first ``per_file`` of every file."""
+    return folder_components(detailed, per_file, k).groupBy("repo", "folder").agg(
         F.array_sort(F.collect_list("component")).alias("key_components"))
 
 
@@ -153,6 +157,12 @@ def module_interfaces(detailed: DataFrame, per_folder: int = 5) -> DataFrame:
 # --- dependencies and technologies ----------------------------------------------------------------
 
 
+def repo_dependencies(facts: DataFrame, k: int | None = None) -> DataFrame:
+    """``(repo, dependency)``: all dependencies, or the first ``k`` in name order."""
+    names = unnest(facts, ["repo"], "dependencies", "dependency").distinct()
+    return names if k is None else first_k(names, ["repo"], ["dependency"], k).select("repo", "dependency")
+
+
 def dependency_union(facts: DataFrame, k: int | None = None) -> DataFrame:
     """Dependencies of each repository with their ``rank`` in name order, all of them or the first ``k``."""
     names = unnest(facts, ["repo"], "dependencies", "dependency").distinct()
@@ -226,16 +236,24 @@ def detected_features(facts: DataFrame, k: int = 8) -> DataFrame:
     return found.unionByName(fallback)
 
 
-def processing_stats(facts: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Files, folders and enriched files per repository."""
-    marked = facts.select("repo", "file_path", paths.folder_of(F.col("file_path")).alias("folder")).join(
-        enriched.select("repo", "file_path", F.lit(1).alias("hit")).distinct(), ["repo", "file_path"], "left")
-    per_folder = marked.groupBy("repo", "folder").agg(F.count("*").alias("files"), F.count("hit").alias("enriched"))
-    return per_folder.groupBy("repo").agg(F.sum("files").alias("total_files"), F.count("*").alias("folders"),
-                                          F.sum("enriched").alias("enriched_files"))
-
-
-def merge_enrichment(facts: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Replace the purpose by the enriched text where there is one; keep every file."""
-    return facts.join(enriched.select("repo", "file_path", "summary"), ["repo", "file_path"], "left") \
-        .withColumn("summary", F.coalesce("summary", "file_purpose"))
+def processing_stats(facts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Files, folders, and files with an answer and with a failed call, per repository. Counts of both tables are added
+    up, so no file row meets another in a join."""
+    def per(df, total, enriched, failed, folder):
+        return df.select("repo", folder.alias("folder"), F.lit(total).alias("t"), enriched.cast("int").alias("e"),
+                         failed.cast("int").alias("f"))
+    no = F.lit(False)
+    rows = per(facts, 1, no, no, paths.folder_of(F.col("file_path"))).unionByName(
+        per(answers, 0, F.col("response").isNotNull(), F.col("error").isNotNull(), F.lit(None).cast("string")))
+    per_folder = rows.groupBy("repo", "folder").agg(*[F.sum(c).alias(c) for c in "tef"])
+    return per_folder.groupBy("repo").agg(
+        F.sum("t").alias("total_files"), F.count("folder").alias("folders"), F.sum("e").alias("enriched_files"),
+        F.sum("f").alias("failed_files"))
+
+
+def merge_enrichment(facts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every file with the summary and the insights of its answer; without one, the purpose stands in for the summary and
+    there are no insights."""
+    return facts.join(answers.select("repo", "file_path", "summary", "insights"), ["repo", "file_path"], "left") \
+        .withColumn("summary", F.coalesce("summary", "file_purpose")) \
+        .withColumn("insights", F.coalesce("insights", F.array().cast("array<string>")))

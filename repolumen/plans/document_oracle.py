@@ -8,7 +8,7 @@ from ..functions import rules
 from . import inputs
 from .file_oracle import JS, NL, PY, has, strip
 from .registry import ORACLE, oracle, part
-from .rollup_oracle import hits
+from .rollup_oracle import FOLDER, hits
 
 N2 = f"{NL} || {NL}"
 
@@ -123,11 +123,12 @@ oracle("build_prompt_comprehensive", "facts eps fns", prompt(
         "\n{method} {path}\nFunction: {function_name}\nDescription: {description}\n") + f" || {_PARAMETERS} || " + text("Code:\n" + _FENCE)),
     text("\nDETAILED FUNCTIONS:\n"), blocks("fns", "f", "line", text(
         "\n{name}({" + _JOINED + "})\nReturn Type: {return_type}\nComplexity: {complexity}\nDocstring: {docstring}\nCode:\n" + _FENCE), 8)))
-oracle("build_prompt_concise", "facts eps fns", prompt(
+CONCISE = prompt(
     "facts", text("Analyze this {language} file and create concise documentation:\n\nFILE: {file_path}\nPURPOSE: {file_purpose}\n"
                   "STATS: {lines_of_code} lines, {function_count} functions, {api_count} APIs\n\n"),
     text("KEY APIs:\n"), blocks("eps", "a", "line, ord", text("- {method} {path}\n"), 3),
-    text("\nKEY FUNCTIONS:\n"), blocks("fns", "f", "line", text("- {name}({array_to_string(params[1:3], ', ')})\n"), 5)))
+    text("\nKEY FUNCTIONS:\n"), blocks("fns", "f", "line", text("- {name}({array_to_string(params[1:3], ', ')})\n"), 5))
+oracle("build_prompt_concise", "facts eps fns", CONCISE)
 # The fast profile differs in the size limit and the snippet lengths.
 _SHORT = f"CASE WHEN {PY} THEN 8 ELSE 7 END"
 part("fns_fast", "fns kept_fast", f"""SELECT * REPLACE (array_to_string(string_split(code_snippet, {NL})[1:{_SHORT}], {NL}) AS code_snippet)
@@ -209,8 +210,8 @@ document("doc_architecture", "facts totals", "ARCHITECTURE.md", *_ARCH)
 _TITLE = "upper({0}[1]) || {0}[2:]"
 part("counts_language", "facts", "SELECT repo, language, count(*) AS files FROM facts GROUP BY ALL")
 part("counts_purpose", "facts", "SELECT repo, file_purpose, count(*) AS files FROM facts GROUP BY ALL")
-part("key_files", "facts", "SELECT * FROM facts WHERE is_backend QUALIFY row_number() OVER (PARTITION BY repo ORDER BY file_path) <= 10")
-document("doc_project_summary", "facts totals counts_language counts_purpose key_files first_deps", "PROJECT_SUMMARY.md",
+part("all_deps", "facts", "SELECT DISTINCT repo, unnest(dependencies) AS dependency FROM facts")
+document("doc_project_summary", "facts totals counts_language counts_purpose all_deps", "PROJECT_SUMMARY.md",
          ("totals", None, "# Project Summary\n\n## Overview\n\n{repo} is a software project analyzed and documented automatically.\n\n"
           "## Technical Statistics\n\n- **Total Files Analyzed**: {total_files}\n- **Backend Files**: {backend_files}\n"
           "- **API Endpoints**: {total_apis}\n- **Functions**: {total_functions}\n- **Programming Languages**: {" + LANGS +
@@ -221,10 +222,10 @@ document("doc_project_summary", "facts totals counts_language counts_purpose key
          ("totals", None, "\n## Architecture Insights\n\n{CASE WHEN backend_files > 0 THEN 'The project contains ' || backend_files || "
           "' backend files with a total of ' || total_apis || ' API endpoints.' || chr(10) || chr(10) || '#### Key Backend Files:' "
           "ELSE 'No backend files detected in this project.' END}\n\n"),
-         ("key_files", "file_path", "- **{file_path}** ({language})\n  - Purpose: {file_purpose}\n"
+         ("facts WHERE is_backend", "file_path", "- **{file_path}** ({language})\n  - Purpose: {file_purpose}\n"
           "{CASE WHEN api_count > 0 THEN '  - API Endpoints: ' || api_count || chr(10) ELSE '' END}"
           "{CASE WHEN function_count > 0 THEN '  - Functions: ' || function_count || chr(10) ELSE '' END}"),
-         ("totals", None, "\n## Dependencies\n\n"), ("first_deps", "dependency", "- {dependency}\n"))
+         ("totals", None, "\n## Dependencies\n\n"), ("all_deps", "dependency", "- {dependency}\n"))
 
 
 def speaks(language: str, words: str) -> str:
@@ -238,13 +239,31 @@ _SETUP = ("totals", None, "# Setup Guide\n\nComplete setup instructions for {rep
           + "### Start the Application\n\n" + speaks("python", "```bash\npython app.py\n```\n")
           + speaks("javascript", "```bash\nnpm start\n```\n"))
 document("doc_setup", "totals", "SETUP.md", _SETUP)
-part("answers", "kept", f"SELECT repo, file_path, 'Notes on ' || file_path AS response FROM kept WHERE {PY}")
-oracle("doc_per_file", "answers", rf"""SELECT *, count(*) OVER (PARTITION BY repo, doc_name) AS sharing FROM (
+# What the stand-in for the user's function says to the concise prompt, and how its answer is parsed.
+part("prompts", "facts eps fns", CONCISE)
+part("answers", "prompts", """SELECT repo, file_path, CASE WHEN asked THEN 'SUMMARY: ' || said || chr(10) || 'in ' || rows || ' lines' || chr(10)
+    || chr(10) || 'USAGE_EXAMPLES: two' || chr(10) || ls[3] || chr(10) || '- ' || ls[1] END AS response,
+  CASE WHEN NOT asked THEN 'refused' END AS error, CASE WHEN asked THEN said || ' in ' || rows || ' lines' END AS summary,
+  CASE WHEN asked THEN ['[USAGE] ' || ls[3], '[USAGE] - ' || ls[1]] END AS insights
+FROM (SELECT *, length(prompt) || ' characters' AS said, len(ls) - 1 AS rows FROM (
+  SELECT repo, file_path, prompt, NOT contains(prompt, '/chat_') AS asked, string_split(prompt, chr(10)) AS ls FROM prompts))""")
+part("answered", "answers", "SELECT * FROM answers WHERE response IS NOT NULL")
+oracle("answers", "answers", "SELECT * REPLACE (array_to_string(insights, '|') AS insights) FROM answers")
+oracle("merge_enrichment", "facts answers", """SELECT repo, file_path, file_purpose, coalesce(summary, file_purpose) AS summary,
+  coalesce(array_to_string(insights, '|'), '') AS insights FROM facts LEFT JOIN answers USING (repo, file_path)""")
+oracle("processing_stats", "facts answers", f"""SELECT repo, count(*) AS total_files, count(DISTINCT {FOLDER}) AS folders,
+  count(response) AS enriched_files, count(error) AS failed_files FROM facts LEFT JOIN answers USING (repo, file_path) GROUP BY repo""")
+document("doc_answers", "facts totals answered", "API.md",
+         ("totals", None, "# API Documentation\n\nComplete API reference with examples and usage instructions.\n\n## Table of Contents\n\n"),
+         ("facts WHERE is_backend AND api_count > 0", "file_path",
+          "- [{file_path}](#{lower(replace(replace(file_path, '/', ''), '.', ''))})\n"),
+         ("totals", None, "\n---\n\n"), ("answered", "file_path", "## {file_path}\n\n{response}\n\n---\n\n"))
+oracle("doc_per_file", "answered", rf"""SELECT *, count(*) OVER (PARTITION BY repo, doc_name) AS sharing FROM (
   SELECT repo, file_path, regexp_replace(file_path, '[/\.]', '_', 'g') || '.md' AS doc_name,
-    {text("# {file_path}" + chr(10) * 2 + "{response}" + chr(10) * 2 + "---" + chr(10) * 2 + "*Generated automatically from code analysis*" + chr(10))} AS content FROM answers)""")
-document("doc_insights", "facts answers", "INSIGHTS.md",
-         ("(SELECT DISTINCT repo FROM answers)", None, "# AI-Generated Insights\n\n## File Analysis\n\n"),
-         ("(SELECT * FROM facts JOIN answers USING (repo, file_path))", "file_path",
+    {text("# {file_path}" + chr(10) * 2 + "{response}" + chr(10) * 2 + "---" + chr(10) * 2 + "*Generated automatically from code analysis*" + chr(10))} AS content FROM answered)""")
+document("doc_insights", "facts answered", "INSIGHTS.md",
+         ("(SELECT DISTINCT repo FROM answered)", None, "# AI-Generated Insights\n\n## File Analysis\n\n"),
+         ("(SELECT * FROM facts JOIN answered USING (repo, file_path))", "file_path",
           "### {file_path}\n\n**Purpose**: {file_purpose}\n**API Endpoints**: {api_count}\n**Functions**: {function_count}\n\n"
           "**AI Analysis**:\n{response}\n\n---\n\n"))
 
@@ -299,14 +318,28 @@ _API_JSON = ("struct_pack(method := method, path := path, function := function_n
              f"parameters := list_transform(params, lambda p: {_PARAM}))")
 _FN_JSON = ("struct_pack(name := name, params := params, line := line, return_type := return_type, complexity := complexity, "
             "docstring := docstring, is_api_handler := is_api_handler)")
-oracle("result_json", "facts totals eps fns", f"""
-SELECT repo, '' AS part, '{{"repository":' || to_json(repo)::VARCHAR || ',"summary":' || to_json(struct_pack(total_files := total_files,
+_INFO = ("CASE WHEN repo = 'repo3' THEN 'null' WHEN repo = 'repo7' THEN to_json(struct_pack(name := 'Repository', owner := 'Unknown', "
+         "url := 'https://host.example/', description := 'Comprehensive repository documentation'))::VARCHAR ELSE "
+         "to_json(struct_pack(name := repo, owner := 'team', url := 'https://host.example/team/' || repo || '.git', "
+         "description := 'Comprehensive documentation for ' || repo))::VARCHAR END")
+_ASKED = ("struct_pack(purpose := file_purpose, api_count := api_count, function_count := function_count, language := language, "
+          "lines_of_code := lines_of_code, dependencies := dependencies, is_backend := is_backend)")
+_ASKED_API = ("list_transform(coalesce(a, []), lambda x: struct_pack(method := x.method, path := x.path, function := x.function, "
+              "description := x.description, parameters := x.parameters))")
+_ASKED_FN = ("list_transform(coalesce(f, []), lambda x: struct_pack(name := x.name, params := x.params, return_type := x.return_type, "
+             "complexity := x.complexity, docstring := x.docstring, is_api_handler := x.is_api_handler))")
+oracle("result_json", "facts totals eps fns answers", f"""
+SELECT repo, '' AS part, '{{"repository":' || to_json(repo)::VARCHAR || ',"repository_info":' || {_INFO} || ',"summary":' || to_json(struct_pack(total_files := total_files,
     backend_files := backend_files, total_apis := total_apis, total_functions := total_functions, languages := languages)) || '}}' AS json
 FROM totals
 UNION ALL SELECT repo, file_path, '{{"file":' || to_json({_LISTED})::VARCHAR || ',"backend_file":' || CASE WHEN is_backend THEN
     to_json(struct_pack(file_path := file_path, language := language, file_purpose := file_purpose,
       api_count := api_count, function_count := function_count, lines_of_code := lines_of_code, dependencies := dependencies,
-      apis := coalesce(a, []), functions := coalesce(f, [])))::VARCHAR ELSE 'null' END || '}}' FROM facts
+      apis := coalesce(a, []), functions := coalesce(f, [])))::VARCHAR ELSE 'null' END || ',"api_documentation":' ||
+    CASE WHEN response IS NOT NULL THEN to_json(struct_pack(comprehensive_documentation := response, file_analysis := {_ASKED},
+      apis := {_ASKED_API}, functions := {_ASKED_FN}))::VARCHAR
+    WHEN error IS NOT NULL THEN to_json(struct_pack(error := error))::VARCHAR ELSE 'null' END || '}}' FROM facts
+  LEFT JOIN answers USING (repo, file_path)
   LEFT JOIN (SELECT repo, file_path, list({_API_JSON} ORDER BY line, ord) AS a FROM eps GROUP BY ALL) USING (repo, file_path)
   LEFT JOIN (SELECT repo, file_path, list({_FN_JSON} ORDER BY line) AS f FROM fns GROUP BY ALL) USING (repo, file_path)""")
 

@@ -10,6 +10,7 @@ from ..operators.unnest import unnest
 from ..session import materialize
 from ..sources import sinks
 from . import inputs
+from .answers import addresses, answered, stored_bundles
 from .registry import query
 
 KEY = ["repo", "file_path"]
@@ -122,36 +123,27 @@ def _(spark, sf):
 # --- documents -----------------------------------------------------------------------------------------
 
 
-def _bundles(spark, sf, *unused):
-    return materialize(facts.file_bundles(inputs.corpus(spark, sf), code=False).drop(*unused), "bundles")
-
-
 def _stored_facts(spark, sf):
     return materialize(facts.file_facts(inputs.corpus(spark, sf)), "facts")
 
 
-def _answers(spark, sf):
-    files = facts.select_files(inputs.corpus(spark, sf)).where(F.col("language") == "python")
-    return files.select(*KEY, F.concat(F.lit("Notes on "), F.col("file_path")).alias("response"))
-
-
 def _content(sections):
     return documents.assemble(sections).select("repo", "doc_name", "sec", "part", "content")
 
 
 @query("doc_readme")
 def _(spark, sf):
-    return _content(documents.readme_document(_bundles(spark, sf, "funcs")))
+    return _content(documents.readme_document(stored_bundles(spark, sf, "funcs")))
 
 
 @query("doc_api")
 def _(spark, sf):
-    return _content(documents.api_document(_bundles(spark, sf, "funcs")))
+    return _content(documents.api_document(stored_bundles(spark, sf, "funcs")))
 
 
 @query("doc_functions")
 def _(spark, sf):
-    return _content(documents.function_document(_bundles(spark, sf, "apis")))
+    return _content(documents.function_document(stored_bundles(spark, sf, "apis")))
 
 
 @query("doc_architecture")
@@ -171,17 +163,28 @@ def _(spark, sf):
 
 @query("doc_per_file")
 def _(spark, sf):
-    return documents.file_documents(_answers(spark, sf))
+    return documents.file_documents(answered(spark, sf)[1])
 
 
 @query("doc_insights")
 def _(spark, sf):
-    return _content(documents.insight_document(facts.file_facts(inputs.corpus(spark, sf)), _answers(spark, sf)))
+    return _content(documents.insight_document(*answered(spark, sf)))
+
+
+@query("doc_answers")
+def _(spark, sf):
+    return _content(documents.answer_document(*answered(spark, sf)))
+
+
+@query("answers")
+def _(spark, sf):
+    return answered(spark, sf)[1].withColumn("insights", bar("insights"))
 
 
 @query("result_json")
 def _(spark, sf):
-    return documents.result_json(_bundles(spark, sf))
+    bundles, answers = answered(spark, sf)
+    return documents.result_json(bundles, answers, addresses(bundles))
 
 
 @query("list_documents")

@@ -31,13 +31,14 @@ FROM (SELECT repo, folder, count(*) AS total_files, {big('sum(n_eps)')} AS endpo
     coalesce(bool_or(type = 'backend'), FALSE) AS any_b, coalesce(bool_or(type = 'frontend'), FALSE) AS any_f,
     array_to_string(list_sort(list_distinct(flatten(list(points)))), '|') AS integration_patterns
   FROM d_rows GROUP BY repo, folder) JOIN d_lang USING (repo, folder)""")
-part("d_components", "d_funcs d_classes d_tags", f"""
+_COMPONENTS = f"""
 SELECT repo, folder, component, CAST(row_number() OVER (PARTITION BY repo, folder ORDER BY component) AS INTEGER) AS rank FROM (
   SELECT DISTINCT repo, {FOLDER} AS folder, component FROM (
     SELECT repo, file_path, name AS component, row_number() OVER (PARTITION BY repo, file_path ORDER BY line) AS r FROM d_funcs
     UNION ALL SELECT repo, file_path, name, row_number() OVER (PARTITION BY repo, file_path ORDER BY line) FROM d_classes
-    UNION ALL SELECT repo, file_path, tag, row_number() OVER (PARTITION BY repo, file_path ORDER BY k) FROM d_tags) WHERE r <= 2)
-QUALIFY rank <= 10""")
+    UNION ALL SELECT repo, file_path, tag, row_number() OVER (PARTITION BY repo, file_path ORDER BY k) FROM d_tags) WHERE r <= {{}})"""
+part("d_components", "d_funcs d_classes d_tags", _COMPONENTS.format(2) + " QUALIFY rank <= 10")
+part("d_all_components", "d_funcs d_classes d_tags", _COMPONENTS.format(1 << 40))
 part("d_folder_deps", "d_dep_rows", f"SELECT DISTINCT repo, {FOLDER} AS folder, dep AS dependency FROM d_dep_rows")
 part("d_modules", "d_folders", f"""SELECT *, {ROLE} AS role, {DOMAIN} AS domain FROM (
   SELECT repo, module, count(*) AS folders, {big('sum(total_files)')} AS total_files,
@@ -46,8 +47,6 @@ part("d_modules", "d_folders", f"""SELECT *, {ROLE} AS role, {DOMAIN} AS domain
 part("d_domains", "d_modules", f"""SELECT *, 'Domain with ' || modules || ' modules and ' || total_files || ' files' AS overview FROM (
   SELECT repo, domain, count(*) AS modules, {big('sum(total_files)')} AS total_files,
     list_sort(list_distinct(flatten(list(languages)))) AS languages FROM d_modules GROUP BY ALL)""")
-part("enriched", "kept", f"""SELECT repo, file_path, 'About ' || regexp_extract(file_path, '[^/]*$') AS summary
-  FROM kept WHERE {PY}""")
 part("usage", "facts", """SELECT repo, dependency, count(*) AS files FROM (
   SELECT repo, unnest(dependencies) AS dependency FROM facts WHERE is_backend) GROUP BY ALL""")
 
@@ -99,8 +98,6 @@ part("techs", "names", hits(rules.BACKEND_TECH))
 part("thanks", "names", hits(rules.ACKNOWLEDGEMENTS))
 for _name, _table in {"tech_badges": "badges", "backend_tech": "techs", "acknowledgements": "thanks"}.items():
     oracle(_name, _table, f"SELECT repo, CAST(ord AS INTEGER) AS ord, label FROM {_table}")
-oracle("merge_enrichment", "facts enriched", """SELECT repo, file_path, file_purpose, coalesce(summary, file_purpose) AS summary
-  FROM facts LEFT JOIN enriched USING (repo, file_path)""")
 oracle("module_interfaces", "d_eps", f"""
 SELECT repo, {MODULE} AS module, folder, CAST(r AS INTEGER) AS rank, method || ' ' || path AS interface FROM (
   SELECT *, row_number() OVER (PARTITION BY repo, folder ORDER BY file_path, line) AS r FROM (
@@ -121,6 +118,7 @@ oracle("folder_dependencies", "d_folder_deps", "SELECT repo, folder, dependency
 oracle("primary_language", "d_lang", "SELECT repo, folder, primary_language FROM d_lang")
 oracle("folder_service_type", "d_folders", "SELECT repo, folder, service_type FROM d_folders")
 oracle("key_components", "d_components", "SELECT repo, folder, component, rank FROM d_components")
+oracle("folder_components", "d_all_components", "SELECT repo, folder, component, rank FROM d_all_components")
 oracle("integration_patterns", "d_folders", "SELECT repo, folder, integration_patterns AS patterns FROM d_folders")
 oracle("module_summary", "d_modules", """SELECT repo, module, folders, total_files, role, domain,
   array_to_string(languages, '|') AS languages FROM d_modules""")
@@ -154,8 +152,6 @@ UNION ALL SELECT repo, k, CASE k WHEN 1 THEN '**' || backend_files || ' Backend
   ELSE '**Security First**: Built-in security measures and best practices' END
 FROM totals, (VALUES (1), (2), (3), (4)) v(k) WHERE repo NOT IN (SELECT repo FROM found)""")
 oracle("detected_features", "features", "SELECT repo, rank, feature FROM features")
-oracle("processing_stats", "facts enriched", f"""SELECT repo, count(*) AS total_files, count(DISTINCT {FOLDER}) AS folders,
-  count(summary) AS enriched_files FROM facts LEFT JOIN enriched USING (repo, file_path) GROUP BY repo""")
 
 # --- graph ---------------------------------------------------------------------------------------------------
 part("nodes", "d_facts d_funcs d_classes externals eps d_rows", """

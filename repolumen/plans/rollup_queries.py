@@ -8,6 +8,7 @@ from ..functions import classify, paths, rules
 from ..operators import facts, graph, ranking, rollup
 from ..session import materialize
 from . import inputs
+from .answers import answered
 from .registry import query
 
 
@@ -31,12 +32,6 @@ def stored_detailed(spark, sf):
     return materialize(detailed(spark, sf), "detailed")
 
 
-def enriched(spark, sf):
-    """Stand-in answers for the Python files, so that other files stay without one."""
-    files = facts.select_files(inputs.corpus(spark, sf)).where(F.col("language") == "python")
-    return files.select("repo", "file_path", F.concat(F.lit("About "), paths.file_name(F.col("file_path"))).alias("summary"))
-
-
 # --- classification of folders, modules, repositories --------------------------------------------
 
 
@@ -93,8 +88,8 @@ query("acknowledgements")(_rule_query(rules.ACKNOWLEDGEMENTS))
 
 @query("merge_enrichment")
 def _(spark, sf):
-    return rollup.merge_enrichment(file_facts(spark, sf), enriched(spark, sf)) \
-        .select("repo", "file_path", "file_purpose", "summary")
+    return rollup.merge_enrichment(*answered(spark, sf)) \
+        .select("repo", "file_path", "file_purpose", "summary", bar("insights").alias("insights"))
 
 
 @query("module_interfaces")
@@ -143,6 +138,11 @@ def _(spark, sf):
 
 
 @query("key_components")
+def _(spark, sf):
+    return rollup.folder_components(detailed(spark, sf), per_file=2, k=10)
+
+
+@query("folder_components")
 def _(spark, sf):
     return rollup.folder_components(detailed(spark, sf))
 
@@ -214,7 +214,7 @@ def _(spark, sf):
 
 @query("processing_stats")
 def _(spark, sf):
-    return rollup.processing_stats(file_facts(spark, sf), enriched(spark, sf))
+    return rollup.processing_stats(*answered(spark, sf))
 
 
 # --- graph -------------------------------------------------------------------------------------------------
