@@ -17,13 +17,12 @@ FILES = {
 }
 
 
-def reply(prompt):
-    if "e.py" in prompt:
-        raise RuntimeError("no")
-    return "SUMMARY: about " + prompt.split("\n")[2] + "\nSETUP_INSTRUCTIONS:\nstep one\nstep two"
-
-
 def made(files):
+    def reply(prompt):
+        if "e.py" in prompt:
+            raise RuntimeError("no")
+        return "SUMMARY: about " + prompt.split("\n")[2] + "\nSETUP_INSTRUCTIONS:\nstep one\nstep two"
+
     bundles = facts.file_bundles(files(FILES), code=False)
     return bundles, enrich.answers(bundles, reply)
 
