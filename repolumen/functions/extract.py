@@ -311,7 +311,7 @@ def detailed_js_functions(content: Column) -> Column:
 
 
 def detailed_endpoints(content: Column, language: Column) -> Column:
-    """Whole-text endpoints: app routes first, then router routes."""
+    """Whole-text endpoints: app routes first, then router routes. Parameters are read from script routes only."""
     def located(pattern):
         word = "router." if "router" in pattern else "app."
         return located_matches(content, pattern, F.lower(content).contains(word), method=1, path=2)
@@ -320,8 +320,30 @@ def detailed_endpoints(content: Column, language: Column) -> Column:
     py = F.concat(located(rules.FASTAPI_APP), located(rules.FASTAPI_ROUTER))
     found = F.when(is_js(language), js).when(is_py(language), py) \
         .otherwise(F.array().cast("array<struct<line:int,method:string,path:string>>"))
+
+    def parameters(e):
+        names = F.when(is_js(language), F.regexp_extract_all(e["path"], F.lit(rules.EXPRESS_PARAM), F.lit(1))) \
+            .otherwise(F.array().cast("array<string>"))
+        return F.transform(names, lambda p: F.struct(
+            p.alias("name"), F.lit("path").alias("type"), F.lit(True).alias("required")))
+
+    def description(e):
+        return F.concat(F.when(is_py(language), "FastAPI ").otherwise(""), F.upper(e["method"]),
+                        F.lit(" endpoint for "), e["path"])
     return F.transform(found, lambda e: F.struct(
-        e["line"].alias("line"), F.upper(e["method"]).alias("method"), e["path"].alias("path")))
+        e["line"].alias("line"), F.upper(e["method"]).alias("method"), e["path"].alias("path"),
+        parameters(e).alias("parameters"), description(e).alias("description")))
+
+
+def with_handlers(endpoints: Column, functions: Column, language: Column, reach: int = 4) -> Column:
+    """``endpoints`` with the ``function_name`` of the first Python function in the ``reach`` lines after each, else null.
+    Works on the symbol arrays of one file row."""
+    def handler(e):
+        near = F.filter(functions, lambda f: (f["line"] > e["line"]) & (f["line"] <= e["line"] + reach))
+        return F.when(is_py(language), F.array_min(F.transform(near, lambda f: F.struct(f["line"], f["name"])))["name"])
+    return F.transform(endpoints, lambda e: F.struct(
+        e["line"].alias("line"), e["method"].alias("method"), e["path"].alias("path"),
+        F.transform(e["parameters"], lambda p: p["name"]).alias("parameters"), handler(e).alias("function_name")))
 
 
 def core_endpoints(content: Column) -> Column:

@@ -155,15 +155,19 @@ def detailed_facts(files: DataFrame, with_context: bool = False) -> DataFrame:
     staged = (select_files(files, "detailed").withColumn("lowered", F.lower(c))
               .withColumn("py", python_symbols(F.when(extract.is_py(language), c))))
     js_functions = F.transform(extract.detailed_js_functions(c), lambda f: F.struct(
-        f["line"].alias("line"), f["name"].alias("name"), none("array<string>").alias("params")))
+        f["line"].alias("line"), f["name"].alias("name"), none("array<string>").alias("params"), f["is_async"].alias("is_async")))
+    # a syntax tree lists plain definitions only
+    py_functions = F.transform(py["functions"], lambda f: F.struct(
+        f["line"].alias("line"), f["name"].alias("name"), f["params"].alias("params"), F.lit(False).alias("is_async")))
     js_classes = F.transform(text.located_matches(c, rules.CLASS_NAME, c.contains("class"), name=1), lambda k: F.struct(
         k["line"].alias("line"), k["name"].alias("name"), none("array<string>").alias("methods")))
     js_imports = text.located_matches(c, rules.JS_IMPORT_BLOCK, c.contains("import"), source=1)
     symbols = staged.select(
         "repo", "file_path", "language", text.lines_of_code(c).alias("lines_of_code"), "lowered",
-        F.when(script, js_functions).otherwise(py["functions"]).alias("functions"),
+        F.when(script, js_functions).otherwise(py_functions).alias("functions"),
         F.when(script, js_classes).otherwise(py["classes"]).alias("classes"),
         F.when(script, js_imports).otherwise(py["imports"]).alias("imports"),
+        (script | py["parsed"]).alias("parsed"),
         F.when(script, extract.jsx_components(c)).otherwise(none("array<string>")).alias("jsx_components"),
         extract.detailed_endpoints(c, language).alias("endpoints"),
         *([text.lines_of(c).alias("lines")] if with_context else []))
@@ -174,7 +178,7 @@ def detailed_facts(files: DataFrame, with_context: bool = False) -> DataFrame:
     js_deps = F.transform(F.filter("imports", lambda i: extract.external(i["source"])),
                           lambda i: extract.top_name(i["source"]))
     return symbols.select(
-        "repo", "file_path", "language", "lines_of_code", "functions", "classes", "imports", "jsx_components",
+        "repo", "file_path", "language", "lines_of_code", "functions", "classes", "imports", "parsed", "jsx_components",
         "endpoints", F.array_sort(F.array_distinct(F.when(script, js_deps).otherwise(py_deps))).alias("dependencies"),
         classify.service_info(path, low).alias("service_info"),
         classify.integration_points(low).alias("integration_points"),

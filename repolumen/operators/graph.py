@@ -58,77 +58,106 @@ def _metadata(**entries):
         lambda _, v: v.isNotNull())
 
 
-def build_nodes(detailed: DataFrame, bundles: DataFrame) -> DataFrame:
-    """Node list; repeated definitions stay repeated, as list entries are counted later."""
+def _exploded(detailed: DataFrame, entries: list[Column], fields: list[str]) -> DataFrame:
+    """All entries of a file in one array, exploded once: one read of ``detailed``, no shuffle."""
+    return unnest(detailed, ["repo"], F.flatten(F.array(*entries)), "x").select("repo", *[f"x.{name}" for name in fields])
+
+
+def _endpoints() -> Column:
+    return extract.with_handlers(F.col("endpoints"), F.col("functions"), F.col("language"))
+
+
+def _outside(imports="imports") -> Column:
+    return F.filter(imports, lambda i: extract.external(i["source"]))
+
+
+def build_nodes(detailed: DataFrame) -> DataFrame:
+    """Node list of the detailed profile; repeated definitions stay repeated, as list entries are counted later.
+
+    Files and their symbols come from one read; folders and outside packages, which several files share, are grouped in
+    one narrow read each. A folder's files are its ``contains`` edges and no list in its row.
+    """
     path = F.col("file_path")
     sizes = [F.size(c) for c in ("endpoints", "jsx_components", "classes", "functions")]
-    files = detailed.select(
-        "repo", _id("file", path).alias("id"), F.lit("file").alias("type"), paths.file_name(path).alias("name"),
-        path.alias("path"), _metadata(language=F.col("language"), lines_of_code=F.col("lines_of_code"),
-                                      category=classify.file_category(F.col("file_purpose"), *sizes),
-                                      function_count=sizes[3], class_count=sizes[2], api_endpoint_count=sizes[0])
-        .alias("metadata"))
-
-    def members(column, kind, extra):
-        rows = unnest(detailed, ["repo", "file_path"], column, "x")
-        return rows.select("repo", _id(kind, path, F.col("x.name")).alias("id"), F.lit(kind).alias("type"),
-                           F.col("x.name").alias("name"), path.alias("path"),
-                           _metadata(line=F.col("x.line"), **{extra: F.array_join(f"x.{extra}", ",")}).alias("metadata"))
 
+    def node(kind, parts, name, **metadata):
+        return F.struct(_id(kind if kind != "api_endpoint" else "api", *parts).alias("id"), F.lit(kind).alias("type"),
+                        name.alias("name"), path.alias("path"), _metadata(**metadata).alias("metadata"))
+    service = F.col("service_info")
+    entries = [
+        F.array(node("file", [path], paths.file_name(path), language=F.col("language"), lines_of_code=F.col("lines_of_code"),
+                     category=classify.file_category(F.col("file_purpose"), *sizes), function_count=sizes[3],
+                     class_count=sizes[2], api_endpoint_count=sizes[0], service_type=service["type"],
+                     service_framework=service["framework"], service_port=service["port"])),
+        F.transform("functions", lambda x: node(
+            "function", [path, x["name"]], x["name"], line=x["line"], parameters=F.array_join(x["params"], ","),
+            is_async=x["is_async"])),
+        F.transform("classes", lambda x: node(
+            "class", [path, x["name"]], x["name"], line=x["line"], methods=F.array_join(x["methods"], ","))),
+        F.transform(_endpoints(), lambda e: node(
+            "api_endpoint", [path, e["method"], e["path"]], F.concat_ws(" ", e["method"], e["path"]), method=e["method"],
+            path=e["path"], line=e["line"], function_name=e["function_name"], parameters=F.array_join(e["parameters"], ",")))]
+    fields = ["id", "type", "name", "path", "metadata"]
     outside = external_dependencies(detailed).select(
         "repo", _id("external", F.col("name")).alias("id"), F.lit("external_dependency").alias("type"), "name",
-        F.lit(None).cast("string").alias("path"), _metadata(full_name=F.col("full_name")).alias("metadata"))
-    apis = unnest(bundles, ["repo", "file_path"], "apis", "e").select(
-        "repo", _id("api", path, F.col("e.method"), F.col("e.path")).alias("id"), F.lit("api_endpoint").alias("type"),
-        F.concat_ws(" ", "e.method", "e.path").alias("name"), path.alias("path"),
-        _metadata(method=F.col("e.method"), path=F.col("e.path"), line=F.col("e.line"),
-                  function_name=F.col("e.function_name")).alias("metadata"))
-    folder = paths.folder_of(path)
-    folders = detailed.groupBy("repo", folder.alias("path")).agg(F.count("*").alias("n")).select(
+        F.lit(None).cast("string").alias("path"),
+        _metadata(full_name=F.col("full_name"), is_external=F.lit(True)).alias("metadata"))
+    folders = detailed.groupBy("repo", paths.folder_of(path).alias("path")).agg(F.count("*").alias("n")).select(
         "repo", _id("folder", F.col("path")).alias("id"), F.lit("folder").alias("type"),
         paths.file_name(F.col("path")).alias("name"), "path", _metadata(file_count=F.col("n")).alias("metadata"))
-    parts = [files, members("functions", "function", "params"), members("classes", "class", "methods"), outside,
-             apis, folders]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_exploded(detailed, entries, fields), outside, folders])
 
 
-def build_edges(detailed: DataFrame, bundles: DataFrame) -> DataFrame:
-    """Edge list with weight 1; parallel edges stay in the list."""
+def build_edges(detailed: DataFrame) -> DataFrame:
+    """Edge list with weight 1; parallel edges stay in the list. One read gives all edges but resolved imports."""
     path = F.col("file_path")
     me = _id("file", path)
-    none = F.create_map().cast("map<string,string>")
-
-    def edges(df, source, target, kind, metadata=none):
-        return df.select("repo", source.alias("source"), target.alias("target"), F.lit(kind).alias("type"),
-                         F.lit(1.0).alias("weight"), metadata.alias("metadata"))
 
-    def members(column, kind):
-        rows = unnest(detailed, ["repo", "file_path"], F.transform(column, lambda x: x["name"]), "name")
-        return edges(rows, me, _id(kind, path, F.col("name")), "contains")
-
-    outside = unnest(detailed, ["repo", "file_path"], "imports", "i") \
-        .where(extract.external(F.col("i.source")))
-    apis = unnest(bundles, ["repo", "file_path"], "apis", "e")
-    api_id = _id("api", path, F.col("e.method"), F.col("e.path"))
-    at_line = _metadata(import_line=F.col("line"))
-    parts = [
-        members("functions", "function"), members("classes", "class"),
-        edges(resolve_imports(detailed), me, _id("file", F.col("target")), "imports", at_line),
-        edges(outside, me, _id("external", extract.top_name(F.col("i.source"))), "depends_on",
-              _metadata(import_line=F.col("i.line"))),
-        edges(apis, me, api_id, "exposes"),
-        edges(apis.where(F.col("e.function_name") != ""), api_id, _id("function", path, F.col("e.function_name")),
-              "handled_by"),
-        edges(detailed, _id("folder", paths.folder_of(path)), me, "contains"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """List entries by type, repeated entries included."""
-    both = nodes.select("repo", F.lit("node").alias("kind"), "type").unionByName(
-        edges.select("repo", F.lit("edge").alias("kind"), "type"))
-    return both.groupBy("repo", "kind", "type").agg(F.count("*").alias("entries"))
+    def edge(source, target, kind, **metadata):
+        none = F.create_map().cast("map<string,string>")
+        return F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), F.lit(1.0).alias("weight"),
+                        (_metadata(**metadata) if metadata else none).alias("metadata"))
+
+    def api(e):
+        return _id("api", path, e["method"], e["path"])
+    entries = [
+        F.array(edge(_id("folder", paths.folder_of(path)), me, "contains")),
+        F.transform("functions", lambda x: edge(me, _id("function", path, x["name"]), "contains")),
+        F.transform("classes", lambda x: edge(me, _id("class", path, x["name"]), "contains")),
+        F.transform(_outside(), lambda i: edge(me, _id("external", extract.top_name(i["source"])), "depends_on",
+                                               import_line=i["line"])),
+        F.transform("endpoints", lambda e: edge(me, api(e), "exposes")),
+        F.transform(F.filter(_endpoints(), lambda e: e["function_name"].isNotNull()), lambda e: edge(
+            api(e), _id("function", path, e["function_name"]), "handled_by"))]
+    imports = resolve_imports(detailed).select(
+        "repo", me.alias("source"), _id("file", F.col("target")).alias("target"), F.lit("imports").alias("type"),
+        F.lit(1.0).alias("weight"), _metadata(import_line=F.col("line")).alias("metadata"))
+    return _exploded(detailed, entries, ["source", "target", "type", "weight", "metadata"]).unionByName(imports)
+
+
+def type_counts(detailed: DataFrame) -> DataFrame:
+    """List entries by type, repeated entries included. Counts are sums of array sizes: no node and no edge is made, but
+    for outside packages and resolved imports."""
+    handled = F.size(F.filter(_endpoints(), lambda e: e["function_name"].isNotNull()))
+    sums = {("node", "function"): F.size("functions"), ("node", "class"): F.size("classes"),
+            ("node", "api_endpoint"): F.size("endpoints"), ("edge", "exposes"): F.size("endpoints"),
+            ("edge", "handled_by"): handled, ("edge", "depends_on"): F.size(_outside()),
+            ("edge", "contains"): 1 + F.size("functions") + F.size("classes"), ("node", "file"): F.lit(1)}
+    columns = {key: f"{key[0]}_{key[1]}" for key in sums}
+    per_folder = detailed.groupBy("repo", paths.folder_of(F.col("file_path")).alias("folder")).agg(
+        *[F.sum(size.cast("long")).alias(columns[key]) for key, size in sums.items()])
+    per_repo = per_folder.groupBy("repo").agg(F.count("*").alias("node_folder"), *[
+        F.sum(c).alias(c) for c in columns.values()])
+    columns[("node", "folder")] = "node_folder"
+    counted = per_repo.select("repo", F.explode(F.array(*[F.struct(
+        F.lit(kind).alias("kind"), F.lit(name).alias("type"), F.col(c).alias("entries"))
+        for (kind, name), c in columns.items()])).alias("x")).select("repo", "x.*").where("entries > 0")
+
+    def of(df, kind, name):
+        return df.groupBy("repo").agg(F.count("*").alias("entries")).select(
+            "repo", F.lit(kind).alias("kind"), F.lit(name).alias("type"), "entries")
+    return counted.unionByName(of(external_dependencies(detailed), "node", "external_dependency")) \
+        .unionByName(of(resolve_imports(detailed), "edge", "imports"))
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:

@@ -159,30 +159,43 @@ FROM (SELECT repo, file_path, language, lower(content) AS low, lower(file_path)
 
 # --- the detailed profile: whole-text matches; on this corpus no match spans lines ------------------------
 _SCRIPT = "language <> 'python'"
-part("d_funcs", "lines_detailed", f"""
-SELECT repo, file_path, n AS line, coalesce(nullif({RX}(raw, '{rules.JS_FUNCTION}', 1), ''), {RX}(raw, '{rules.JS_FUNCTION}', 2)) AS name,
+# Texts without a syntax tree, and definitions in the order of a walk through it: outer ones first.
+part("d_broken", "lines_detailed", f"SELECT DISTINCT repo, file_path FROM lines_detailed WHERE {PY} AND raw = 'return ('")
+part("py_lines", "lines_detailed d_broken", f"SELECT * FROM lines_detailed ANTI JOIN d_broken USING (repo, file_path) WHERE {PY}")
+part("d_funcs", "lines_detailed py_lines", f"""
+SELECT repo, file_path, n AS line, n AS ord, '' AS params, coalesce(nullif({RX}(raw, '{rules.JS_FUNCTION}', 1), ''), {RX}(raw, '{rules.JS_FUNCTION}', 2)) AS name,
   contains({RX}(raw, '{rules.JS_FUNCTION}', 0), 'async') AS is_async
   FROM lines_detailed WHERE {_SCRIPT} AND regexp_matches(raw, '{rules.JS_FUNCTION}')
-UNION ALL SELECT repo, file_path, n, {RX}(raw, '^def (\\w+)', 1), FALSE
-  FROM lines_detailed WHERE {PY} AND regexp_matches(raw, '^def \\w+')""")
-part("d_classes", "lines_detailed", f"""
-SELECT repo, file_path, n AS line, unnest(regexp_extract_all(raw, '{rules.CLASS_NAME}', 1)) AS name
-  FROM lines_detailed WHERE {_SCRIPT}""")
-part("d_imports", "lines_detailed", f"""
+UNION ALL SELECT repo, file_path, n, n + CASE WHEN starts_with(raw, ' ') THEN 1000000 ELSE 0 END,
+  array_to_string(list_transform(list_filter(string_split({RX}(raw, '^ *def \\w+\\(([^)]*)\\)', 1), ','), lambda p: {strip('p')} <> ''),
+    lambda p: {RX}({strip('p')}, '^\\w+')), ','), {RX}(raw, '^ *def (\\w+)', 1), FALSE
+  FROM py_lines WHERE regexp_matches(raw, '^ *def \\w+')""")
+part("d_classes", "lines_detailed py_lines", f"""
+SELECT repo, file_path, n AS line, unnest(regexp_extract_all(raw, '{rules.CLASS_NAME}', 1)) AS name, '' AS methods
+  FROM lines_detailed WHERE {_SCRIPT}
+UNION ALL SELECT repo, file_path, n, {RX}(raw, '^class (\\w+)', 1), methods FROM py_lines
+  JOIN (SELECT repo, file_path, string_agg({RX}(raw, '^    def (\\w+)', 1), ',' ORDER BY n) AS methods FROM py_lines
+    WHERE starts_with(raw, '    def ') GROUP BY ALL) USING (repo, file_path) WHERE starts_with(raw, 'class ')""")
+part("d_imports", "lines_detailed py_lines", f"""
 SELECT repo, file_path, language, n AS line, {RX}(raw, '{rules.JS_IMPORT}', 1) AS source
   FROM lines_detailed WHERE {_SCRIPT} AND regexp_matches(raw, '{rules.JS_IMPORT}')
 UNION ALL SELECT repo, file_path, language, n, {RX}(raw, '^(?:import|from) (\\w+)', 1)
-  FROM lines_detailed WHERE {PY} AND regexp_matches(raw, '^(?:import|from) \\w+')""")
+  FROM py_lines WHERE regexp_matches(raw, '^(?:import|from) \\w+')""")
 part("d_jsx", "kept_detailed", f"""
 SELECT repo, file_path, unnest(tags) AS tag, generate_subscripts(tags, 1) AS k FROM (
   SELECT repo, file_path, list_filter(regexp_extract_all(content, '{rules.JSX_TAG}', 1),
     lambda t: regexp_matches(t, '^[A-Z]')) AS tags FROM kept_detailed WHERE {_SCRIPT})""")
 part("d_tags", "d_jsx", "SELECT repo, file_path, tag, min(k) AS k FROM d_jsx GROUP BY ALL")
 part("d_eps", "lines_detailed", f"""
-SELECT repo, file_path, n AS line, upper({RX}(raw, '{rules.EXPRESS}', 2)) AS method, {RX}(raw, '{rules.EXPRESS}', 3) AS path
+SELECT repo, file_path, language, n AS line, upper({RX}(raw, '{rules.EXPRESS}', 2)) AS method, {RX}(raw, '{rules.EXPRESS}', 3) AS path
   FROM lines_detailed WHERE {JS} AND regexp_matches(raw, '{rules.EXPRESS}')
-UNION ALL SELECT repo, file_path, n, upper({RX}(raw, '{rules.FASTAPI}', 1)), {RX}(raw, '{rules.FASTAPI}', 2)
+UNION ALL SELECT repo, file_path, language, n, upper({RX}(raw, '{rules.FASTAPI}', 1)), {RX}(raw, '{rules.FASTAPI}', 2)
   FROM lines_detailed WHERE {PY} AND regexp_matches(raw, '{rules.FASTAPI}')""")
+part("d_api", "d_eps d_funcs", f"""
+SELECT e.repo, e.file_path, e.line, e.method, e.path, arg_min(f.name, f.line) AS function_name,
+  any_value(CASE WHEN {JS} THEN regexp_extract_all(e.path, '{rules.EXPRESS_PARAM}', 1) ELSE [] END) AS names
+FROM d_eps e LEFT JOIN d_funcs f ON e.language = 'python' AND f.repo = e.repo AND f.file_path = e.file_path
+  AND f.line BETWEEN e.line + 1 AND e.line + 4 GROUP BY e.repo, e.file_path, e.line, e.method, e.path""")
 _FRAME = ("CASE WHEN contains(low, 'react') OR contains(file_path, 'jsx') THEN 'React' WHEN contains(low, 'next') "
           "THEN 'Next.js' WHEN contains(low, 'vue') THEN 'Vue.js' END")
 part("d_service", "kept_detailed", f"""
@@ -190,6 +203,7 @@ SELECT repo, file_path, low, CASE WHEN {has('low', rules.FRONTEND_WORDS)} THEN '
     WHEN {has('low', [w for w, _ in rules.BACKEND_FRAMEWORKS])} THEN 'backend' END AS type,
   CASE WHEN {has('low', rules.FRONTEND_WORDS)} THEN {_FRAME}
     ELSE {cases('low', [([w], label) for w, label in rules.BACKEND_FRAMEWORKS], 'NULL')} END AS framework,
+  TRY_CAST({RX}(low, '{rules.PORT}', 1) AS INTEGER) AS port,
   list_filter([{", ".join(f"CASE WHEN {has('low', w)} THEN '{label}' END" for w, label in rules.INTEGRATIONS)}],
     lambda p: p IS NOT NULL) AS points
 FROM (SELECT repo, file_path, lower(content) AS low FROM kept_detailed)""")
@@ -206,7 +220,7 @@ part("d_facts", "kept_detailed d_service d_funcs d_classes d_tags d_eps", f"""
 SELECT *, {cases('lower(file_path)', rules.PURPOSE_PATHS['detailed'], "CASE WHEN n_eps > 0 THEN 'API Implementation' "
     "WHEN n_jsx > 0 THEN 'Frontend Components' WHEN n_classes > 0 AND n_funcs > 0 THEN 'Business Logic' "
     "WHEN n_funcs > 0 THEN 'Utility Functions' ELSE 'General Purpose' END")} AS file_purpose
-FROM (SELECT repo, file_path, language, CAST({_LOC} AS INTEGER) AS lines_of_code, type, framework, points,
+FROM (SELECT repo, file_path, language, CAST({_LOC} AS INTEGER) AS lines_of_code, type, framework, CASE WHEN type IS NOT NULL THEN port END AS port, points,
     coalesce(n_funcs, 0) AS n_funcs, coalesce(n_classes, 0) AS n_classes,
     coalesce(n_jsx, 0) AS n_jsx, coalesce(n_eps, 0) AS n_eps
   FROM kept_detailed JOIN d_service USING (repo, file_path)
@@ -266,7 +280,10 @@ _AT = "repo, file_path, CAST(line AS INTEGER) AS line"
 oracle("express_endpoints", "eps", f"SELECT {_AT}, method, path, code_snippet FROM eps WHERE framework = 'express'")
 for _f in ("nextjs", "flask", "fastapi"):
     oracle(f"{_f}_endpoints", "eps", f"SELECT {_AT}, method, path, function_name FROM eps WHERE framework = '{_f}'")
-oracle("detailed_endpoints", "d_eps", f"SELECT {_AT}, method, path FROM d_eps")
+oracle("detailed_endpoints", "d_eps", f"""SELECT {_AT}, method, path,
+  CASE WHEN {PY} THEN 'FastAPI ' ELSE '' END || method || ' endpoint for ' || path AS description, CASE WHEN {JS} THEN
+    array_to_string(list_transform(regexp_extract_all(path, '{rules.EXPRESS_PARAM}', 1), lambda p: p || ':path:true'), '|') ELSE '' END
+    AS parameters FROM d_eps""")
 part("core_eps", "lines_core", f"""
 SELECT repo, file_path, CAST(n AS INTEGER) AS line, upper(trim({strip('unnest(ms)')}, '''"')) AS method, p AS path, 'Flask' AS framework FROM (
   SELECT repo, file_path, n, {RX}(raw, '{rules.FLASK}', 1) AS p,
@@ -310,23 +327,23 @@ oracle("java_dependencies", "lines_java", r"""
 SELECT repo, file_path, string_agg(DISTINCT d, '|' ORDER BY d) AS dependencies FROM (
   SELECT repo, file_path, string_split(regexp_extract(raw, '^import ([\w.]+);', 1), '.')[1] AS d FROM lines_java
   WHERE language = 'java') WHERE d NOT IN ('', 'java') GROUP BY ALL""")
-oracle("classes", "d_classes lines_java", f"""SELECT {_AT}, name FROM d_classes
+oracle("classes", "d_classes lines_java", f"""SELECT {_AT}, name FROM d_classes WHERE NOT ends_with(file_path, '.py')
 UNION ALL SELECT repo, file_path, CAST(n AS INTEGER), unnest(regexp_extract_all(raw, 'class\\s+(\\w+)', 1)) FROM lines_java WHERE language = 'java'""")
 oracle("imports", "d_imports", f"SELECT {_AT}, source FROM d_imports WHERE {_SCRIPT}")
 oracle("jsx_components", "kept_detailed d_tags", f"""SELECT repo, file_path, coalesce(string_agg(tag, '|' ORDER BY k), '') AS components
   FROM kept_detailed LEFT JOIN d_tags USING (repo, file_path) WHERE {_SCRIPT} GROUP BY ALL""")
-# In this corpus a Python definition starts its line and has no default that contains a comma.
-oracle("python_symbols", "lines_detailed", f"""SELECT repo, file_path, CAST(n AS INTEGER) AS line, {RX}(raw, '^def (\\w+)', 1) AS name,
-  array_to_string(list_transform(list_filter(string_split({RX}(raw, '^def \\w+\\(([^)]*)\\)', 1), ','), lambda p: {strip('p')} <> ''),
-    lambda p: {RX}({strip('p')}, '^\\w+')), '|') AS params
-FROM lines_detailed WHERE {PY} AND regexp_matches(raw, '^def \\w+')""")
+# In this corpus a Python definition has no default that contains a comma.
+oracle("python_symbols", "d_funcs", f"SELECT {_AT}, name, replace(params, ',', '|') AS params FROM d_funcs WHERE ends_with(file_path, '.py')")
+oracle("python_classes", "d_classes", f"SELECT {_AT}, name, replace(methods, ',', '|') AS methods FROM d_classes WHERE ends_with(file_path, '.py')")
+oracle("python_imports", "d_imports", f"SELECT {_AT}, source FROM d_imports WHERE {PY}")
+oracle("python_unparsed", "kept_detailed d_broken", f"""SELECT repo, count(*) AS files, count(*) FILTER (hit) AS unparsed
+  FROM kept_detailed LEFT JOIN (SELECT *, TRUE AS hit FROM d_broken) USING (repo, file_path) WHERE {PY} GROUP BY repo""")
 oracle("env_vars", "lines_detailed", f"""
 SELECT repo, file_path, CAST(arg_min(n, k * 1000000 + n) AS INTEGER) AS line, name FROM (
   {" UNION ALL ".join(f"SELECT repo, file_path, n, {i} AS k, unnest(regexp_extract_all(raw, '{p}', 1)) AS name FROM lines_detailed" for i, p in enumerate(rules.ENV_PATTERNS))})
 GROUP BY repo, file_path, name""")
 oracle("service_type", "d_service", "SELECT repo, file_path, type, framework FROM d_service")
-oracle("service_port", "kept_detailed", f"""SELECT repo, file_path, TRY_CAST({RX}(lower(content) || {NL} || 'port: '
-  || length(file_path), '{rules.PORT}', 1) AS INTEGER) AS port FROM kept_detailed""")
+oracle("service_port", "d_service", "SELECT repo, file_path, port FROM d_service")
 oracle("integration_points", "d_service", "SELECT repo, file_path, array_to_string(points, '|') AS points FROM d_service")
 
 # --- classification ---------------------------------------------------------------------------------------------------

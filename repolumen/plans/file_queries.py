@@ -176,7 +176,8 @@ for _key, _columns in {"express": ["method", "path", "code_snippet"],
 @query("detailed_endpoints")
 def _(spark, sf):
     rows = unnest(facts.select_files(inputs.corpus(spark, sf), "detailed"), KEY, extract.detailed_endpoints(content(), language()), "e")
-    return rows.select(*KEY, "e.line", "e.method", "e.path")
+    return rows.select(*KEY, "e.line", "e.method", "e.path", "e.description", bar(F.transform(
+        "e.parameters", lambda p: F.concat_ws(":", p["name"], p["type"], p["required"].cast("string")))).alias("parameters"))
 
 
 @query("core_endpoints")
@@ -294,6 +295,24 @@ def _(spark, sf):
         .select(*KEY, "f.line", "f.name", bar(F.col("f.params")).alias("params"))
 
 
+@query("python_classes")
+def _(spark, sf):
+    rows = facts.detailed_facts(inputs.corpus(spark, sf)).where(extract.is_py(language()))
+    return unnest(rows, KEY, "classes", "c").select(*KEY, "c.line", "c.name", bar(F.col("c.methods")).alias("methods"))
+
+
+@query("python_imports")
+def _(spark, sf):
+    rows = facts.detailed_facts(inputs.corpus(spark, sf)).where(extract.is_py(language()))
+    return unnest(rows, KEY, "imports", "i").select(*KEY, "i.line", "i.source")
+
+
+@query("python_unparsed")
+def _(spark, sf):
+    rows = facts.detailed_facts(inputs.corpus(spark, sf)).where(extract.is_py(language()))
+    return rows.groupBy("repo").agg(F.count("*").alias("files"), F.count_if(~F.col("parsed")).alias("unparsed"))
+
+
 @query("env_vars")
 def _(spark, sf):
     return facts.env_vars(inputs.corpus(spark, sf))
@@ -312,8 +331,7 @@ def _(spark, sf):
 
 @query("service_port")
 def _(spark, sf):
-    return _lowered(spark, sf).select(*KEY, classify.service_port(
-        F.concat("lowered", F.lit("\nport: "), F.length("file_path"))).alias("port"))
+    return _lowered(spark, sf).select(*KEY, classify.service_port(F.col("lowered")).alias("port"))
 
 
 @query("integration_points")

@@ -62,6 +62,8 @@ SELECT doc_id + 1000000000 AS file_id,
     || 'export const View' || CAST(doc_id AS VARCHAR(20)) || ' = (props, size = 2) => {' || chr(10)
     || '  return <Card/>;' || chr(10) || '};' || chr(10)
     || 'function help' || CAST(doc_id AS VARCHAR(20)) || '(a, b) { return a; }' || chr(10)
+    || 'const wait' || CAST(doc_id AS VARCHAR(20)) || ' = async (a) => {};' || chr(10)
+    || CASE WHEN doc_id % 3 = 0 THEN 'export class Model' || CAST(doc_id AS VARCHAR(20)) || ' {}' || chr(10) ELSE '' END
     || '// ' || replace(text, chr(10), chr(10) || '// ') AS content
 FROM documents
 WHERE text IS NOT NULL AND doc_id % 5 = 1
@@ -71,6 +73,10 @@ SELECT doc_id + 2000000000 AS file_id,
   'services/' || CASE doc_id % 4 WHEN 0 THEN 'chat_' WHEN 1 THEN 'auth_' WHEN 2 THEN 'video_' ELSE 'document_' END
     || CAST(doc_id AS VARCHAR(20)) || '.py' AS file_path,
   'from flask import Flask' || chr(10) || 'import groq' || chr(10)
+    || CASE WHEN doc_id % 3 < 2 THEN 'port = ' || CAST(8000 + doc_id % 90 AS VARCHAR(20)) || chr(10) ELSE '' END
+    || CASE WHEN doc_id % 5 = 0 THEN 'class Store' || CAST(doc_id AS VARCHAR(20)) || ':' || chr(10) || '    def load(self, key):' || chr(10)
+      || '        return key' || chr(10) || '    def keep(self):' || chr(10) || '        pass' || chr(10) ELSE '' END
+    || CASE WHEN doc_id % 11 = 3 THEN 'return (' || chr(10) ELSE '' END
     || CASE WHEN doc_id % 2 = 0 THEN 'import tensorflow' ELSE 'from google import maps' END || chr(10) || chr(10)
     || '@app.route("/s' || CAST(doc_id % 7 AS VARCHAR(20)) || '")' || chr(10)
     || 'def serve_' || CAST(doc_id AS VARCHAR(20)) || '():' || chr(10) || '    pass' || chr(10) || chr(10)

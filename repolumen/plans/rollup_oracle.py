@@ -34,7 +34,7 @@ FROM (SELECT repo, folder, count(*) AS total_files, {big('sum(n_eps)')} AS endpo
 _COMPONENTS = f"""
 SELECT repo, folder, component, CAST(row_number() OVER (PARTITION BY repo, folder ORDER BY component) AS INTEGER) AS rank FROM (
   SELECT DISTINCT repo, {FOLDER} AS folder, component FROM (
-    SELECT repo, file_path, name AS component, row_number() OVER (PARTITION BY repo, file_path ORDER BY line) AS r FROM d_funcs
+    SELECT repo, file_path, name AS component, row_number() OVER (PARTITION BY repo, file_path ORDER BY ord) AS r FROM d_funcs
     UNION ALL SELECT repo, file_path, name, row_number() OVER (PARTITION BY repo, file_path ORDER BY line) FROM d_classes
     UNION ALL SELECT repo, file_path, tag, row_number() OVER (PARTITION BY repo, file_path ORDER BY k) FROM d_tags) WHERE r <= {{}})"""
 part("d_components", "d_funcs d_classes d_tags", _COMPONENTS.format(2) + " QUALIFY rank <= 10")
@@ -154,24 +154,29 @@ FROM totals, (VALUES (1), (2), (3), (4)) v(k) WHERE repo NOT IN (SELECT repo FRO
 oracle("detected_features", "features", "SELECT repo, rank, feature FROM features")
 
 # --- graph ---------------------------------------------------------------------------------------------------
-part("nodes", "d_facts d_funcs d_classes externals eps d_rows", """
+part("nodes", "d_facts d_funcs d_classes externals d_api d_rows", """
 SELECT repo, 'file:' || file_path AS id, 'file' AS type, regexp_extract(file_path, '[^/]*$') AS name, file_path AS path,
-  NULL AS line, file_purpose AS category, NULL AS file_count, NULL AS full_name FROM d_facts
-UNION ALL SELECT repo, 'function:' || file_path || ':' || name, 'function', name, file_path, line, NULL, NULL, NULL FROM d_funcs
-UNION ALL SELECT repo, 'class:' || file_path || ':' || name, 'class', name, file_path, line, NULL, NULL, NULL FROM d_classes
-UNION ALL SELECT repo, 'external:' || name, 'external_dependency', name, NULL, NULL, NULL, NULL, full_name FROM externals
-UNION ALL SELECT repo, 'api:' || file_path || ':' || method || ':' || path, 'api_endpoint', method || ' ' || path, file_path,
-  line, NULL, NULL, NULL FROM eps
-UNION ALL SELECT repo, 'folder:' || folder, 'folder', regexp_extract(folder, '[^/]*$'), folder, NULL, NULL, count(*), NULL
-  FROM d_rows GROUP BY repo, folder""")
-part("edges", "d_funcs d_classes resolved d_imports eps d_rows", f"""
+  file_purpose AS category, language, lines_of_code::VARCHAR AS lines_of_code, n_funcs::VARCHAR AS function_count,
+  n_classes::VARCHAR AS class_count, n_eps::VARCHAR AS api_endpoint_count, d_facts.type AS service_type,
+  framework AS service_framework, port::VARCHAR AS service_port FROM d_facts
+UNION ALL BY NAME SELECT repo, 'function:' || file_path || ':' || name AS id, 'function' AS type, name, file_path AS path,
+  line::VARCHAR AS line, params AS parameters, is_async::VARCHAR AS is_async FROM d_funcs
+UNION ALL BY NAME SELECT repo, 'class:' || file_path || ':' || name AS id, 'class' AS type, name, file_path AS path,
+  line::VARCHAR AS line, methods FROM d_classes
+UNION ALL BY NAME SELECT repo, 'external:' || name AS id, 'external_dependency' AS type, name, full_name, 'true' AS is_external FROM externals
+UNION ALL BY NAME SELECT repo, 'api:' || file_path || ':' || method || ':' || path AS id, 'api_endpoint' AS type,
+  method || ' ' || path AS name, file_path AS path, line::VARCHAR AS line, method, path AS api_path, function_name,
+  array_to_string(names, ',') AS parameters FROM d_api
+UNION ALL BY NAME SELECT repo, 'folder:' || folder AS id, 'folder' AS type, regexp_extract(folder, '[^/]*$') AS name, folder AS path,
+  count(*)::VARCHAR AS file_count FROM d_rows GROUP BY repo, folder""")
+part("edges", "d_funcs d_classes resolved d_imports d_api d_rows", f"""
 SELECT repo, 'file:' || file_path AS source, 'function:' || file_path || ':' || name AS target, 'contains' AS type, NULL AS import_line FROM d_funcs
 UNION ALL SELECT repo, 'file:' || file_path, 'class:' || file_path || ':' || name, 'contains', NULL FROM d_classes
 UNION ALL SELECT repo, 'file:' || file_path, 'file:' || target, 'imports', line FROM resolved
 UNION ALL SELECT repo, 'file:' || file_path, 'external:' || string_split(source, '/')[1], 'depends_on', line FROM d_imports WHERE {_OUTSIDE}
-UNION ALL SELECT repo, 'file:' || file_path, 'api:' || file_path || ':' || method || ':' || path, 'exposes', NULL FROM eps
+UNION ALL SELECT repo, 'file:' || file_path, 'api:' || file_path || ':' || method || ':' || path, 'exposes', NULL FROM d_api
 UNION ALL SELECT repo, 'api:' || file_path || ':' || method || ':' || path, 'function:' || file_path || ':' || function_name, 'handled_by', NULL
-  FROM eps WHERE function_name <> ''
+  FROM d_api WHERE function_name IS NOT NULL
 UNION ALL SELECT repo, 'folder:' || folder, 'file:' || file_path, 'contains', NULL FROM d_rows""")
 part("links", "edges", "SELECT DISTINCT repo, source, target FROM edges")
 part("ids", "nodes links", """SELECT DISTINCT repo, id FROM (SELECT repo, id FROM nodes
@@ -194,8 +199,7 @@ SELECT repo, id, sum(1.0::DOUBLE / c) / any_value((n - 1) * (n - 2)) AS betweenn
   SELECT repo, s, t, unnest(p[2:-2]) AS id, c FROM shortest
     JOIN (SELECT repo, s, t, count(*) AS c FROM shortest GROUP BY ALL) USING (repo, s, t))
 JOIN (SELECT repo, count(*) AS n FROM ids GROUP BY repo) USING (repo) GROUP BY repo, id""")
-oracle("build_nodes", "nodes", """SELECT repo, id, type, name, path, CAST(line AS VARCHAR) AS line, category,
-  CAST(file_count AS VARCHAR) AS file_count, full_name FROM nodes""")
+oracle("build_nodes", "nodes", "SELECT * FROM nodes")
 oracle("build_edges", "edges", """SELECT repo, source, target, type, 1.0::DOUBLE AS weight,
   CAST(import_line AS VARCHAR) AS import_line FROM edges""")
 oracle("graph_type_counts", "nodes edges", """SELECT repo, 'node' AS kind, type, count(*) AS entries FROM nodes GROUP BY ALL

@@ -12,6 +12,15 @@ from .answers import answered
 from .registry import query
 
 
+#: Metadata of nodes and the columns that show it.
+NODE_METADATA = {"line": "line", "category": "category", "file_count": "file_count", "full_name": "full_name",
+                 "language": "language", "lines_of_code": "lines_of_code", "function_count": "function_count",
+                 "class_count": "class_count", "api_endpoint_count": "api_endpoint_count", "service_type": "service_type",
+                 "service_framework": "service_framework", "service_port": "service_port", "parameters": "parameters",
+                 "methods": "methods", "is_async": "is_async", "is_external": "is_external", "method": "method",
+                 "path": "api_path", "function_name": "function_name"}
+
+
 def bar(column):
     return F.array_join(column, "|")
 
@@ -57,7 +66,7 @@ def _(spark, sf):
 
 @query("resolve_imports")
 def _(spark, sf):
-    return graph.resolve_imports(detailed(spark, sf)).select("repo", "file_path", "line", "source", "target")
+    return graph.resolve_imports(stored_detailed(spark, sf)).select("repo", "file_path", "line", "source", "target")
 
 
 @query("endpoint_handler_link")
@@ -195,16 +204,9 @@ def _(spark, sf):
     return rollup.tech_usage(file_facts(spark, sf))
 
 
-def _graph(spark, sf):
-    rows = stored_detailed(spark, sf)
-    bundles = materialize(facts.file_bundles(inputs.corpus(spark, sf), code=False).select("repo", "file_path", "apis"), "apis")
-    return rows, bundles
-
-
 @query("graph_type_counts")
 def _(spark, sf):
-    rows, bundles = _graph(spark, sf)
-    return graph.type_counts(graph.build_nodes(rows, bundles), graph.build_edges(rows, bundles))
+    return graph.type_counts(stored_detailed(spark, sf))
 
 
 @query("detected_features")
@@ -222,24 +224,20 @@ def _(spark, sf):
 
 @query("build_nodes")
 def _(spark, sf):
-    rows, bundles = _graph(spark, sf)
-    meta = F.col("metadata")
-    return graph.build_nodes(rows, bundles).select(
-        "repo", "id", "type", "name", "path", meta["line"].alias("line"), meta["category"].alias("category"),
-        meta["file_count"].alias("file_count"), meta["full_name"].alias("full_name"))
+    return graph.build_nodes(stored_detailed(spark, sf)).select(
+        "repo", "id", "type", "name", "path", *[F.col("metadata")[key].alias(label) for key, label in NODE_METADATA.items()])
 
 
 @query("build_edges")
 def _(spark, sf):
-    rows, bundles = _graph(spark, sf)
-    return graph.build_edges(rows, bundles).select(
+    return graph.build_edges(stored_detailed(spark, sf)).select(
         "repo", "source", "target", "type", "weight", F.col("metadata")["import_line"].alias("import_line"))
 
 
 def _simple(spark, sf):
-    rows, bundles = _graph(spark, sf)
-    nodes = graph.build_nodes(rows, bundles).select("repo", "id", "type")
-    return nodes, graph.simple_edges(graph.build_edges(rows, bundles))
+    rows = stored_detailed(spark, sf)
+    nodes = materialize(graph.build_nodes(rows).select("repo", "id", "type"), "nodes")
+    return nodes, materialize(graph.simple_edges(graph.build_edges(rows)), "links")
 
 
 @query("degree_centrality")
@@ -257,7 +255,6 @@ def _(spark, sf):
 @query("centrality_to_nodes")
 def _(spark, sf):
     nodes, links = _simple(spark, sf)
-    nodes, links = materialize(nodes, "nodes"), materialize(links, "links")
     joined = graph.centrality_to_nodes(nodes, graph.degree_centrality(nodes, links),
                                        graph.betweenness_centrality(nodes, links))
     return joined.select("repo", "id", "type", F.round("degree_centrality", 9).alias("degree_centrality"),
