@@ -185,55 +185,70 @@ def degree_centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
         .alias("degree_centrality"))
 
 
-def betweenness_centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _levels(starts: DataFrame, steps: DataFrame) -> list[DataFrame]:
+    """Breadth-first levels from every start: ``(repo, s, v, paths, leaves)`` of the nodes that many steps away, with the
+    number of shortest paths. Each level is written, and a node is met once per start."""
+    found = [materialize(starts.select("repo", "s", F.col("s").alias("v"), F.lit(1.0).alias("paths"),
+                                       F.lit(0).cast("long").alias("leaves")), "level")]
+    while True:
+        reached = found[-1].drop("leaves").join(steps, ["repo", "v"]).groupBy("repo", "s", F.col("w").alias("v")).agg(
+            F.sum("paths").alias("paths"), F.first("leaves").alias("leaves"))
+        before = reduce(DataFrame.unionByName, [level.select("repo", "s", "v") for level in found])
+        fresh = materialize(reached.join(before, ["repo", "s", "v"], "left_anti"), "level")
+        if fresh.isEmpty():
+            return found
+        found.append(fresh)
+
+
+def _passed(levels: list[DataFrame], steps: DataFrame) -> list[DataFrame]:
+    """Per level but the first, ``(repo, v, share)``: the paths from each start that pass through a node, counted by the
+    share of each target's shortest paths. Accumulated from the last level to the first along single edges."""
+    back = steps.select("repo", F.col("v").alias("_v"), F.col("w").alias("v"))
+    shares, deeper = [], None
+    for level in reversed(levels[1:]):
+        own = level.select("repo", "s", "v", "paths", F.col("leaves").cast("double").alias("share"))
+        if deeper is not None:
+            stepped = deeper.join(back, ["repo", "v"]).select(
+                "repo", "s", F.col("_v").alias("v"), ((F.col("share") + 1) / F.col("paths")).alias("per_path"))
+            above = level.select("repo", "s", "v", "paths")
+            passed = stepped.join(above, ["repo", "s", "v"]).select(
+                "repo", "s", "v", "paths", (F.col("per_path") * F.col("paths")).alias("share"))
+            own = own.unionByName(passed).groupBy("repo", "s", "v").agg(F.max("paths").alias("paths"),
+                                                                        F.sum("share").alias("share"))
+        deeper = materialize(own, "passed")
+        shares.append(deeper.select("repo", "v", "share"))
+    return shares
+
+
+def betweenness_centrality(nodes: DataFrame, links: DataFrame, blocks: int = 1) -> DataFrame:
     """Exact directed betweenness, normalised by (n-1)(n-2); nodes without any are left out.
 
-    Symbols that hang on one node only can neither be passed through nor start a path, so they
-    are folded into their parent as a weight. On the rest, shortest paths are joined by
-    doubling: after round k all pairs up to 2^k steps apart are known with their path counts,
-    so a graph of depth d takes log2(d) joins. Each round is written to the shared folder.
+    Symbols that hang on one node only can neither be passed through nor start a path, so they are folded into their
+    parent as a weight. From every other node, shortest paths are counted forwards level by level and the shares of the
+    nodes they pass accumulated backwards, both along edges: work and tables are the connected pairs times the edges per
+    node, and there are two written rounds per level. ``blocks`` deals the starting nodes into as many runs, which
+    divides the size of the tables.
     """
     links = materialize(links.where(F.col("source") != F.col("target")), "links")
     sources = links.select("repo", F.col("source").alias("target")).distinct()
     fan_in = links.groupBy("repo", "target").agg(F.count("*").alias("parents"))
     hanging = fan_in.where(F.col("parents") == 1).join(sources, ["repo", "target"], "left_anti") \
         .select("repo", "target")
-    folded = links.join(hanging, ["repo", "target"], "left_semi").groupBy("repo", F.col("source").alias("node")) \
+    folded = links.join(hanging, ["repo", "target"], "left_semi").groupBy("repo", F.col("source").alias("w")) \
         .agg(F.count("*").alias("leaves"))
-    core = links.join(hanging, ["repo", "target"], "left_anti")
-
-    known = [materialize(core.select("repo", F.col("source").alias("s"), F.col("target").alias("t"),
-                                     F.lit(1).alias("d"), F.lit(1.0).alias("paths")), "pairs")]
-    reach = 1
-    while True:
-        pairs = reduce(DataFrame.unionByName, known)
-        left = known[-1].where(F.col("d") == reach).select(
-            "repo", "s", F.col("t").alias("m"), F.col("paths").alias("p1"))
-        right = pairs.select("repo", F.col("s").alias("m"), "t", F.col("d").alias("d2"), F.col("paths").alias("p2"))
-        longer = (left.join(right, ["repo", "m"]).where(F.col("s") != F.col("t"))
-                  .groupBy("repo", "s", "t", "d2").agg(F.sum(F.col("p1") * F.col("p2")).alias("paths"))
-                  .groupBy("repo", "s", "t").agg(F.min(F.struct("d2", "paths")).alias("best")))
-        fresh = materialize(longer.join(pairs.select("repo", "s", "t"), ["repo", "s", "t"], "left_anti").select(
-            "repo", "s", "t", (F.col("best.d2") + reach).alias("d"), F.col("best.paths").alias("paths")), "pairs")
-        if fresh.isEmpty():
-            break
-        known.append(fresh)
-        reach *= 2
-
-    pairs = reduce(DataFrame.unionByName, known)
-    weights = folded.select("repo", F.col("node").alias("t"), "leaves")
-    weighted = pairs.join(weights, ["repo", "t"], "left").withColumn("weight", F.coalesce("leaves", F.lit(0)) + 1)
-    first = pairs.select("repo", "s", F.col("t").alias("m"), F.col("d").alias("d1"), F.col("paths").alias("p1"))
-    second = pairs.select("repo", F.col("s").alias("m"), "t", F.col("d").alias("d2"), F.col("paths").alias("p2"))
-    through = first.join(second, ["repo", "m"]).where(F.col("s") != F.col("t")).join(weighted, ["repo", "s", "t"]) \
-        .where(F.col("d1") + F.col("d2") == F.col("d")) \
-        .select("repo", F.col("m").alias("id"),
-                (F.col("p1") * F.col("p2") / F.col("paths") * F.col("weight")).alias("share"))
-    to_leaves = pairs.groupBy("repo", F.col("t").alias("node")).agg(F.count("*").alias("before")) \
-        .join(folded, ["repo", "node"]) \
-        .select("repo", F.col("node").alias("id"), (F.col("before") * F.col("leaves")).cast("double").alias("share"))
-    summed = through.unionByName(to_leaves).groupBy("repo", "id").agg(F.sum("share").alias("share"))
-    return summed.join(node_totals(nodes, links), "repo").where(F.col("n") > 2).select(
+    core = links.join(hanging, ["repo", "target"], "left_anti").select(
+        "repo", F.col("source").alias("v"), F.col("target").alias("w"))
+    steps = materialize(core.join(folded, ["repo", "w"], "left").select(
+        "repo", "v", "w", F.coalesce("leaves", F.lit(0)).cast("long").alias("leaves")), "steps")
+    starts = steps.select("repo", F.col("v").alias("s")).distinct()
+    shares = []
+    for block in range(blocks):
+        chosen = starts if blocks == 1 else starts.where(F.pmod(F.xxhash64("repo", "s"), F.lit(blocks)) == block)
+        shares += _passed(_levels(chosen, steps), steps)
+    if not shares:
+        shares = [steps.limit(0).select("repo", "v", F.lit(0.0).alias("share"))]
+    summed = reduce(DataFrame.unionByName, shares).groupBy("repo", F.col("v").alias("id")).agg(F.sum("share").alias("share"))
+    return summed.where("share > 0").join(node_totals(nodes, links), "repo").where(F.col("n") > 2).select(
         "repo", "id", (F.col("share") / ((F.col("n") - 1) * (F.col("n") - 2))).alias("betweenness_centrality"))
 
 

@@ -1,10 +1,11 @@
-"""The block-wise and doubling algorithms against brute force, with one key holding most rows."""
+"""The block-wise and level-wise algorithms against brute force, with one key holding most rows."""
 
 from __future__ import annotations
 
 import random
 from collections import defaultdict, deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from repolumen.operators import documents, graph, requestlog
@@ -128,21 +129,30 @@ def brandes(nodes, links):
     return {v: x / ((n - 1) * (n - 2)) for v, x in score.items()}
 
 
-def test_betweenness_equals_brandes(spark):
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_betweenness_equals_brandes(spark, blocks):
     rng = random.Random(3)
     graphs = {}
-    for repo, (n, m) in {"dense": (14, 40), "sparse": (25, 26), "chain": (20, 0)}.items():
+    for repo, (n, m) in {"dense": (14, 40), "sparse": (25, 26), "chain": (20, 0), "hub": (0, 0), "ring": (12, 0)}.items():
         links = {(f"n{a}", f"n{b}") for a, b in (rng.sample(range(n), 2) for _ in range(m))}
         if repo == "chain":
             links = {(f"n{i}", f"n{i + 1}") for i in range(n - 1)} | {(f"n{i}", f"leaf{i}") for i in range(n)} | {("n5", "n2")}
+        if repo == "hub":  # many in, many out, all through one node or its twin
+            links = {(f"a{i}", h) for i in range(30) for h in ("hub", "twin")} | {("hub", f"b{i}") for i in range(30)} \
+                | {("twin", f"b{i}") for i in range(0, 30, 2)} | {("b3", "hub")}
+        if repo == "ring":
+            links = {(f"n{i}", f"n{(i + 1) % n}") for i in range(n)} | {("n0", "n6")}
         graphs[repo] = ({x for e in links for x in e} | {"alone"}, links)
     nodes = spark.createDataFrame([(r, v) for r, (vs, _) in graphs.items() for v in vs], "repo string, id string")
     edges = spark.createDataFrame([(r, *e) for r, (_, es) in graphs.items() for e in es] + [("dense", "n1", "n1")],
                                   "repo string, source string, target string")
-    got = {(r.repo, r.id): r.betweenness_centrality for r in graph.betweenness_centrality(nodes, edges).collect()}
+    got = {(r.repo, r.id): r.betweenness_centrality for r in graph.betweenness_centrality(nodes, edges, blocks).collect()}
     for repo, (vs, links) in graphs.items():
         for v, want in brandes(sorted(vs), links).items():
             assert abs(got.get((repo, v), 0.0) - want) < 1e-12
+    assert all(x > 0 for x in got.values())
+    none = edges.where("source = 'none'")
+    assert graph.betweenness_centrality(nodes, none, blocks).count() == 0
 
 
 def test_degree_counts_dangling_targets(spark):
