@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import rules
 from ..session import materialize
 from .ordering import clamped_fold, in_blocks, ordinal, running, with_halo
+from .packing import greedy_slots
 
 ORDER = ["micros", "event_id"]
 MAX_COOLDOWN = 150
@@ -171,12 +172,12 @@ def file_batches(files: DataFrame, size: int = rules.BATCH_FILES) -> DataFrame:
 
 
 def token_slots(requests: DataFrame, budget: int = rules.MINUTE_TOKENS) -> DataFrame:
-    """Slot of each request when a key's tokens of a minute are cut at multiples of ``budget``."""
-    minutes = _timed(requests).withColumn("minute", F.date_trunc("minute", "ts").cast(requests.schema["ts"].dataType))
-    group = ["key", "minute"]
-    summed = running(in_blocks(minutes, group, ORDER, "slots"), group, ORDER, "cumulative", F.col("tokens"))
-    return summed.select("event_id", "key", "minute", "cumulative",
-                         F.floor(F.greatest(F.col("cumulative") - 1, F.lit(0)) / budget).cast("long").alias("slot"))
+    """Slot of each request when a key's requests of a minute fill slots of ``budget`` tokens one after the other, with
+    the tokens its slot has ``used`` by then: at most the budget, or one request alone."""
+    minutes = _timed(requests).select(
+        "event_id", "key", "micros", "tokens", F.date_trunc("minute", "ts").cast(requests.schema["ts"].dataType).alias("minute"))
+    return greedy_slots(minutes, ["key", "minute"], ORDER, F.col("tokens"), budget, "slots") \
+        .select("event_id", "key", "minute", "tokens", "slot", "used")
 
 
 def token_estimates(text: Column) -> dict[str, Column]:

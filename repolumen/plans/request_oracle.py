@@ -73,9 +73,15 @@ oracle("key_score_rank", "state", """SELECT key, CAST(row_number() OVER (ORDER B
 oracle("key_stats", "state", """SELECT key, successes, errors, tokens, recent_tokens, streak, health, failures, available FROM state""")
 oracle("token_estimate", "files", r"""SELECT repo, file_path, file_id, length(content) // 4 + 100 AS quarter, length(content) // 2 + 200 AS half,
   round(len(regexp_extract_all(content, '\S+')) * 1.3::DOUBLE, 6) AS words FROM files""")
-oracle("batch_by_budget", "few", f"""SELECT event_id, key, minute, cumulative, CAST(greatest(cumulative - 1, 0) // 100 AS BIGINT) AS slot FROM (
-  SELECT event_id, key, date_trunc('minute', ts) AS minute,
-    {big("sum(tokens) OVER (PARTITION BY key, date_trunc('minute', ts) ORDER BY ts, event_id)")} AS cumulative FROM few)""")
+# Row by row: a request that does not fit into the open slot begins the next one.
+oracle("batch_by_budget", "few", """SELECT event_id, key, minute, tokens, slot, used FROM (
+  WITH RECURSIVE o AS (SELECT event_id, key, date_trunc('minute', ts) AS minute, tokens,
+    row_number() OVER (PARTITION BY key, date_trunc('minute', ts) ORDER BY ts, event_id) AS n FROM few),
+  f AS (SELECT event_id, key, minute, tokens, n, 0::BIGINT AS slot, tokens::BIGINT AS used FROM o WHERE n = 1
+    UNION ALL SELECT o.event_id, o.key, o.minute, o.tokens, o.n, slot + CASE WHEN used + o.tokens > 100 THEN 1 ELSE 0 END,
+      CASE WHEN used + o.tokens > 100 THEN o.tokens ELSE used + o.tokens END
+    FROM f JOIN o ON o.key = f.key AND o.minute = f.minute AND o.n = f.n + 1)
+  SELECT * FROM f)""")
 oracle("file_batches", "facts", """SELECT repo, file_path,
   (row_number() OVER (PARTITION BY repo ORDER BY file_path) - 1) // 5 AS batch FROM facts WHERE function_count + api_count > 0""")
 oracle("time_estimate", "kept", """SELECT repo, files, keys, CASE WHEN keys = 0 THEN 'No LLM processing'

@@ -87,7 +87,7 @@ def _(spark, sf):
 
 @query("batch_by_budget")
 def _(spark, sf):
-    return requestlog.token_slots(_one_key(spark, sf), budget=100).select("event_id", "key", "minute", "cumulative", "slot")
+    return requestlog.token_slots(_one_key(spark, sf), budget=100)
 
 
 @query("file_batches")
