@@ -66,38 +66,61 @@ def with_halo(df: DataFrame, micros: str, reach_seconds: int, bucket_seconds: in
         *df.columns, F.col("_c.b").alias("_bucket"), F.col("_c.h").alias("_halo"))
 
 
-def _then(first: Column, second: Column) -> Column:
-    """Composition of two clamped additions ``x -> min(hi, max(lo, x + add))``."""
+def fold_in_blocks(blocked: DataFrame, group: list[str], order: list[str], unit: Column, same: Column, then) -> DataFrame:
+    """``(*group, state)``: the rows of each group, in order, combined by ``then(first, second)``.
+
+    ``unit`` is what one row does, ``same`` does nothing, and ``then`` must be associative. Chunks of rows fold to one
+    state each, then blocks, then the group; no step collects more than a chunk's rows or a group's chunk and block
+    states.
+    """
+    inside = W.partitionBy("_block", *group).orderBy(*order)
+    rows = blocked.select(*group, "_block", F.row_number().over(inside).alias("_n"), unit.alias("state"))
+
+    def fold(df, keys, position):
+        packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(position, "state"))).alias("_l"))
+        return packed.select(*keys, F.aggregate(F.col("_l")["state"], same, then).alias("state"))
+
+    chunked = rows.withColumn("_chunk", F.floor((F.col("_n") - 1) / CHUNK_ROWS).cast("long"))
+    per_chunk = fold(chunked, [*group, "_block", "_chunk"], "_n")
+    per_block = fold(per_chunk, [*group, "_block"], "_chunk")
+    return fold(per_block, group, "_block")
+
+
+#: A clamped addition ``x -> min(hi, max(lo, x + add))``. These are closed under composition.
+CLAMPED = "struct<add:bigint,lo:bigint,hi:bigint>"
+_FAR = 1 << 40
+
+
+def clamped(add: Column, lo: int, hi: int = _FAR) -> Column:
+    return F.struct(add.cast("long").alias("add"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"))
+
+
+def unchanged() -> Column:
+    return clamped(F.lit(0), -_FAR)
+
+
+def clamped_then(first: Column, second: Column) -> Column:
+    """The clamped addition that does ``first`` and then ``second``."""
     def clamp(x):
         return F.least(second["hi"], F.greatest(second["lo"], x + second["add"]))
     return F.struct((first["add"] + second["add"]).alias("add"), clamp(first["lo"]).alias("lo"),
                     clamp(first["hi"]).alias("hi"))
 
 
+def clamped_at(step: Column, start: int) -> Column:
+    return F.least(step["hi"], F.greatest(step["lo"], F.lit(start) + step["add"]))
+
+
 def clamped_fold(blocked: DataFrame, group: list[str], order: list[str], measures: dict) -> DataFrame:
     """Final value per group of clamped running additions, e.g. a score kept within 0 and 100.
 
-    ``measures`` maps a name to ``(start, add, lo, hi)``. Clamped additions are closed under
-    composition, so chunks fold to one function each, then blocks, then the group; no step
-    collects more than a chunk's rows or a group's chunk and block functions.
+    ``measures`` maps a name to ``(start, add, lo, hi)``.
     """
-    unit = "struct<add:bigint,lo:bigint,hi:bigint>"
-    far = 1 << 40
-    inside = W.partitionBy("_block", *group).orderBy(*order)
-    steps = [F.struct(add.alias("add"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).cast(unit).alias(name)
-             for name, (_, add, lo, hi) in measures.items()]
-    rows = blocked.select(*group, "_block", F.row_number().over(inside).alias("_n"), *steps)
-
-    def fold(df, keys, position):
-        packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(position, *measures))).alias("_l"))
-        same = F.struct(F.lit(0).alias("add"), F.lit(-far).alias("lo"), F.lit(far).alias("hi")).cast(unit)
-        return packed.select(*keys, *[
-            F.aggregate(F.col("_l")[name], same, _then).alias(name) for name in measures])
-
-    chunked = rows.withColumn("_chunk", F.floor((F.col("_n") - 1) / CHUNK_ROWS).cast("long"))
-    per_chunk = fold(chunked, [*group, "_block", "_chunk"], "_n")
-    per_block = fold(per_chunk, [*group, "_block"], "_chunk")
-    per_group = fold(per_block, group, "_block")
-    return per_group.select(*group, *[
-        F.least(F.col(name)["hi"], F.greatest(F.col(name)["lo"], F.lit(start) + F.col(name)["add"])).alias(name)
-        for name, (start, *_) in measures.items()])
+    unit = F.struct(*[clamped(add, lo, hi).alias(name) for name, (_, add, lo, hi) in measures.items()])
+    same = F.struct(*[unchanged().alias(name) for name in measures])
+
+    def then(a, b):
+        return F.struct(*[clamped_then(a[name], b[name]).alias(name) for name in measures])
+    folded = fold_in_blocks(blocked, group, order, unit, same, then)
+    return folded.select(*group, *[clamped_at(F.col("state")[name], start).alias(name)
+                                   for name, (start, *_) in measures.items()])

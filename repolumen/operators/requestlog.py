@@ -14,19 +14,23 @@ from pyspark.sql import types as T
 
 from ..functions import rules
 from ..session import materialize
-from .ordering import clamped_fold, in_blocks, ordinal, running, with_halo
+from .ordering import (CLAMPED, clamped, clamped_at, clamped_fold, clamped_then, fold_in_blocks, in_blocks, ordinal,
+                       running, unchanged, with_halo)
 from .packing import greedy_slots
 
 ORDER = ["micros", "event_id"]
 MAX_COOLDOWN = 150
 
 
-def _timed(requests: DataFrame) -> DataFrame:
-    """Add ``micros``; a timestamp without zone is counted as it stands, whatever the session's zone."""
+def _micros(ts: Column, requests: DataFrame) -> Column:
+    """Microseconds; a timestamp without zone is counted as it stands, whatever the session's zone."""
     if isinstance(requests.schema["ts"].dataType, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-        return requests.withColumn("micros", F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
-    return requests.withColumn("micros", F.unix_micros("ts"))
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+    return F.unix_micros(ts)
+
+
+def _timed(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("micros", _micros(F.col("ts"), requests))
 
 
 def _server_error() -> Column:
@@ -38,10 +42,19 @@ def _rate_limited() -> Column:
 
 
 def rolling_usage(requests: DataFrame, seconds: int = 60, bucket_seconds: int = 600) -> DataFrame:
-    """Tokens of the key in the ``seconds`` up to each request (a request exactly that old is out)."""
+    """Tokens of the key in the ``seconds`` up to each request (a request exactly that old is out).
+
+    Every request adds its tokens when it comes and takes them away when it is that old, so one running sum over both
+    gives the use: linear in the requests, however many fall into the look-back.
+    """
     rows = with_halo(_timed(requests), "micros", seconds, bucket_seconds)
-    frame = W.partitionBy("key", "_bucket").orderBy("micros").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return rows.withColumn("used", F.sum("tokens").over(frame)).where(~F.col("_halo")) \
+    tokens = F.coalesce("tokens", F.lit(0)).cast("long")
+    turns = F.array(F.struct(F.col("micros").alias("at"), tokens.alias("change"), F.lit(True).alias("comes")),
+                    F.struct((F.col("micros") + seconds * 1_000_000).alias("at"), (-tokens).alias("change"),
+                             F.lit(False).alias("comes")))
+    turned = rows.withColumn("_t", F.explode(turns))
+    so_far = W.partitionBy("key", "_bucket").orderBy("_t.at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return turned.withColumn("used", F.sum("_t.change").over(so_far)).where(~F.col("_halo") & F.col("_t.comes")) \
         .select("event_id", "key", "ts", "tokens", "used")
 
 
@@ -131,28 +144,74 @@ def consecutive_errors(requests: DataFrame) -> DataFrame:
                          (F.col("_f") - F.coalesce("_m", F.lit(0))).alias("streak"))
 
 
-def key_state(requests: DataFrame, now: Column) -> DataFrame:
-    """State of every key at ``now`` with both selection scores."""
-    past = requests.where(F.col("ts") <= now)
-    last_ok = past.groupBy("key").agg(F.max(F.when(F.col("ok"), F.struct("ts", "event_id"))).alias("last_ok"))
+_SUMS = ["successes", "errors", "tokens", "recent_tokens", "minute_requests", "minute_tokens"]
+
+
+def _key_unit(now: Column) -> Column:
+    """What one request does to the state of its key."""
+    def count(condition):
+        return F.coalesce(condition, F.lit(False)).cast("long")
+
+    def sum_if(condition):
+        return F.when(condition, F.coalesce("tokens", F.lit(0))).otherwise(0).cast("long")
     recent = F.col("ts") > now - F.make_interval(secs=F.lit(60))
     minute = F.date_trunc("minute", "ts") == F.date_trunc("minute", now)
-    after = F.col("last_ok").isNull() | (F.struct("ts", "event_id") > F.col("last_ok"))
-    counted = past.join(last_ok, "key").groupBy("key").agg(
-        F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("errors"),
-        F.sum("tokens").alias("tokens"),
-        F.coalesce(F.sum(F.when(recent, F.col("tokens"))), F.lit(0)).alias("recent_tokens"),
-        F.count_if(minute).alias("minute_requests"),
-        F.coalesce(F.sum(F.when(minute, F.col("tokens"))), F.lit(0)).alias("minute_tokens"),
-        F.count_if(~F.col("ok") & after).alias("streak"))
-    state = counted.join(key_health(past), "key")
+    marked = _rate_limited() | _server_error()
+    sums = {"successes": count(F.col("ok")), "errors": count(~F.col("ok")), "tokens": sum_if(F.lit(True)),
+            "recent_tokens": sum_if(recent), "minute_requests": count(minute), "minute_tokens": sum_if(minute)}
+    return F.struct(
+        *[value.alias(name) for name, value in sums.items()], F.col("ok").alias("any_ok"), count(~F.col("ok")).alias("streak"),
+        clamped(_health_step(), 0, 100).alias("health"), clamped(_failure_step(), 0).alias("failures"),
+        F.when(marked, F.struct(clamped(F.lit(1), 0).alias("count"), F.col("micros").alias("at"),
+                                F.when(_rate_limited(), 30).otherwise(10).cast("long").alias("base"))).alias("mark"),
+        F.col("micros").alias("last"))
+
+
+def _key_same() -> Column:
+    none = f"struct<count:{CLAMPED},at:bigint,base:bigint>"
+    return F.struct(*[F.lit(0).cast("long").alias(name) for name in _SUMS], F.lit(False).alias("any_ok"),
+                    F.lit(0).cast("long").alias("streak"), unchanged().alias("health"), unchanged().alias("failures"),
+                    F.lit(None).cast(none).alias("mark"), F.lit(None).cast("long").alias("last"))
+
+
+def _key_then(a: Column, b: Column) -> Column:
+    """State after ``a`` and then ``b``. The count at the last mark follows from the count that ``a`` leaves."""
+    mark = F.when(b["mark"].isNotNull(), F.struct(
+        clamped_then(a["failures"], b["mark"]["count"]).alias("count"), b["mark"]["at"].alias("at"),
+        b["mark"]["base"].alias("base"))).otherwise(a["mark"])
+    return F.struct(
+        *[(a[name] + b[name]).alias(name) for name in _SUMS], (a["any_ok"] | b["any_ok"]).alias("any_ok"),
+        F.when(b["any_ok"], b["streak"]).otherwise(a["streak"] + b["streak"]).alias("streak"),
+        clamped_then(a["health"], b["health"]).alias("health"), clamped_then(a["failures"], b["failures"]).alias("failures"),
+        mark.alias("mark"), F.greatest(a["last"], b["last"]).alias("last"))
+
+
+def key_state(requests: DataFrame, now: Column) -> DataFrame:
+    """State of every key at ``now``: totals, health, failures, error streak, cool-down, use of the minute against its
+    limits, and both selection scores. One ordered pass: counts, streak, clamped scores and the last cool-down mark are
+    one state that combines, so a key with a third of all requests is folded in chunks and nothing is joined."""
+    past = _timed(requests.where(F.col("ts") <= now))
+    folded = fold_in_blocks(in_blocks(past, ["key"], ORDER, "key-state"), ["key"], ORDER, _key_unit(now), _key_same(), _key_then)
+    state, mark = F.col("state"), F.col("state.mark")
+    now_micros = _micros(now, requests)
+    until = mark["at"] + mark["base"] * F.least(clamped_at(mark["count"], 0), F.lit(5)) * 1_000_000
+    flat = folded.select(
+        "key", *[state[name].alias(name) for name in _SUMS], state["streak"].alias("streak"),
+        clamped_at(state["health"], 100).alias("health"), clamped_at(state["failures"], 0).alias("failures"),
+        F.greatest(F.coalesce(until - now_micros, F.lit(0)), F.lit(0)).alias("cooldown_micros"),
+        (now_micros - state["last"]).alias("idle_micros"))
     health_score = F.col("health") - F.col("recent_tokens") / rules.TOKENS_PER_MINUTE * 50 - F.col("failures") * 10
     usage_score = (F.col("minute_requests") / rules.MINUTE_REQUESTS + F.col("minute_tokens") / rules.MINUTE_TOKENS
                    + F.col("streak") * 0.5)
     free = ((F.col("minute_requests") < rules.MINUTE_REQUESTS) & (F.col("minute_tokens") < rules.MINUTE_TOKENS)
             & (F.col("streak") < 3))
-    return state.select("*", health_score.alias("health_score"), usage_score.alias("usage_score"),
-                        free.alias("available"))
+    ready = (F.col("cooldown_micros") == 0) & (F.col("recent_tokens") <= rules.TOKENS_PER_MINUTE) \
+        & (F.col("idle_micros") >= rules.MIN_CALL_SECONDS * 1_000_000)
+    return flat.select("*", (F.col("cooldown_micros") > 0).alias("in_cooldown"),
+                       (F.col("cooldown_micros") / 1_000_000).alias("cooldown_seconds"),
+                       F.lit(rules.MINUTE_REQUESTS).alias("requests_limit"), F.lit(rules.MINUTE_TOKENS).alias("tokens_limit"),
+                       health_score.alias("health_score"), usage_score.alias("usage_score"), free.alias("available"),
+                       ready.alias("ready"))
 
 
 def ranked_keys(state: DataFrame) -> DataFrame:

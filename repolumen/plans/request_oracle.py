@@ -70,7 +70,14 @@ part("state", "past fold_past", f"""SELECT *, health - recent_tokens / 3000 * 50
 JOIN (SELECT key, {big('arg_max(health, n)')} AS health, {big('arg_max(failures, n)')} AS failures FROM fold_past GROUP BY key) USING (key)""")
 oracle("key_score_rank", "state", """SELECT key, CAST(row_number() OVER (ORDER BY health_score DESC, key) AS INTEGER) AS place,
   CAST(row_number() OVER (ORDER BY usage_score, key) AS INTEGER) AS usage_place, round(health_score, 6) AS health_score, round(usage_score, 6) AS usage_score FROM state""")
-oracle("key_stats", "state", """SELECT key, successes, errors, tokens, recent_tokens, streak, health, failures, available FROM state""")
+part("cooldowns_past", "past fold_past", intervals("past", "fold_past"))
+part("remaining", "cooldowns_past past", """SELECT key, greatest(0, arg_max(until_micros, (ts, event_id)) - any_value(m)) AS micros
+  FROM cooldowns_past, (SELECT epoch_us(max(now)) AS m FROM past) GROUP BY key""")
+oracle("key_stats", "state remaining past", f"""SELECT key, successes, errors, tokens, recent_tokens, streak, health, failures, available,
+  coalesce(micros, 0) = 0 AND recent_tokens <= 3000 AND idle >= 1000000 AS ready, coalesce(micros, 0) > 0 AS in_cooldown,
+  round(coalesce(micros, 0) / 1000000, 6) AS cooldown_seconds, minute_requests, minute_tokens, 60::INTEGER AS requests_limit,
+  6000::INTEGER AS tokens_limit
+FROM state JOIN (SELECT key, epoch_us(max(now)) - epoch_us(max(ts)) AS idle FROM past GROUP BY key) USING (key) LEFT JOIN remaining USING (key)""")
 oracle("token_estimate", "files", r"""SELECT repo, file_path, file_id, length(content) // 4 + 100 AS quarter, length(content) // 2 + 200 AS half,
   round(len(regexp_extract_all(content, '\S+')) * 1.3::DOUBLE, 6) AS words FROM files""")
 # Row by row: a request that does not fit into the open slot begins the next one.

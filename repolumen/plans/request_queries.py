@@ -74,7 +74,9 @@ def _(spark, sf):
 def _(spark, sf):
     requests = inputs.requests(spark, sf)
     return requestlog.key_state(requests, _now(requests)).select(
-        "key", "successes", "errors", "tokens", "recent_tokens", "streak", "health", "failures", "available")
+        "key", "successes", "errors", "tokens", "recent_tokens", "streak", "health", "failures", "available", "ready",
+        "in_cooldown", F.round("cooldown_seconds", 6).alias("cooldown_seconds"), "minute_requests", "minute_tokens",
+        "requests_limit", "tokens_limit")
 
 
 @query("token_estimate")
