@@ -435,7 +435,8 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         .where(F.col("common") >= needed(F.col("n"), percent, SLACK))
     wanted = materialize(left.select("node", F.col("text.doc_id").alias("_id"), F.col("text.row").alias("_row")),
                          "ngram-wanted")
-    bodies = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))) \
+    # the list of wanted texts grows with the corpus: joined by a shuffle at any size
+    bodies = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))) \
         .groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(bodies.mapInArrow(partial(_full_sets, width=width),
                                          "node long, m1 long, m2 long, shingles array<long>"), "ngram-sets")
