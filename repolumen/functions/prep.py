@@ -69,36 +69,46 @@ def extract_context(lines: Column, language: Column, endpoints: Column) -> Colum
     return joined(F.concat(head_lines(lines, 5), F.array(F.lit(rules.CONTEXT_MARK)), body, tail))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_response(path: Column, response: Column, limit: int | None = None) -> Column:
     """``struct<summary, insights>`` of a sectioned answer.
 
-    A scan carries the current section; a new summary heading starts the summary afresh, and
-    lines of other sections become labelled insights, all of them or the first ``limit``.
+    One scan finds the headings; a section is the slice of lines up to the next one. The last summary section counts;
+    lines of other sections become labelled insights, all of them or the first ``limit``. Linear in the answer.
     """
-    start = F.struct(F.lit("").alias("section"), F.lit("").alias("summary"),
-                     F.array().cast("array<string>").alias("insights"))
-
-    def step(acc, raw):
-        line = strip(raw)
-        heading = F.lit(None).cast("string")
-        for prefix, section in reversed(rules.RESPONSE_SECTIONS):
-            heading = F.when(line.startswith(prefix), F.lit(section)).otherwise(heading)
-        in_summary = heading.isNull() & (acc["section"] == "summary") & (line != "")
-        labelled = heading.isNull() & ~acc["section"].isin("", "summary") & (line != "")
-        if limit is not None:
-            labelled = labelled & (F.size(acc["insights"]) < limit)
-        return F.struct(
-            F.coalesce(heading, acc["section"]).alias("section"),
-            F.when(heading == "summary", strip(F.replace(line, F.lit("SUMMARY:"), F.lit(""))))
-            .when(in_summary, F.concat(acc["summary"], F.lit(" "), line)).otherwise(acc["summary"]).alias("summary"),
-            F.when(labelled, F.concat(acc["insights"], F.array(
-                F.concat(F.lit("["), F.upper(acc["section"]), F.lit("] "), line)))).otherwise(acc["insights"])
-            .alias("insights"))
-
-    found = F.aggregate(lines_of(response), start, step)
-    default = F.concat(F.lit("Comprehensive analysis of "), file_name(path))
-    return F.struct(F.when(found["summary"] != "", found["summary"]).otherwise(default).alias("summary"),
-                    found["insights"].alias("insights"))
+    def section(line):
+        found = F.lit(None).cast("string")
+        for prefix, name in reversed(rules.RESPONSE_SECTIONS):
+            found = F.when(line.startswith(prefix), F.lit(name)).otherwise(found)
+        return found
+
+    def parsed(lines, heads):
+        def body(h, k):
+            """Lines of the section that heading ``k`` begins; positions count from 0."""
+            after = F.coalesce(F.get(heads, k + 1)["at"], F.size(lines))
+            return F.filter(F.slice(lines, h["at"] + 2, F.greatest(after - h["at"] - 1, F.lit(0))), lambda line: line != "")
+        summaries = F.filter(F.transform(heads, lambda h, k: F.when(h["section"] == "summary", F.struct(
+            h["at"].alias("at"), k.alias("k")))), lambda x: x.isNotNull())
+        last = F.try_element_at(summaries, F.lit(-1))
+        first_line = strip(F.replace(F.get(lines, last["at"]), F.lit("SUMMARY:"), F.lit("")))
+        summary = F.when(last.isNotNull(), F.array_join(F.concat(F.array(first_line), body(last, last["k"])), " "))
+        listed = F.flatten(F.transform(heads, lambda h, k: F.when(h["section"] != "summary", F.transform(
+            body(h, k), lambda line: F.concat(F.lit("["), F.upper(h["section"]), F.lit("] "), line)))
+            .otherwise(F.array().cast("array<string>"))))
+        insights = listed if limit is None else F.slice(listed, 1, limit)
+        default = F.concat(F.lit("Comprehensive analysis of "), file_name(path))
+        return F.struct(F.when(F.coalesce(summary, F.lit("")) != "", summary).otherwise(default).alias("summary"),
+                        insights.alias("insights"))
+
+    def headed(lines):
+        heads = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("at"), section(line).alias("section"))),
+                         lambda h: h["section"].isNotNull())
+        return _bound(heads, lambda found: parsed(lines, found))
+    return F.when(response.isNotNull(), _bound(F.transform(lines_of(response), strip), headed))
 
 
 def wait_seconds(message: Column) -> Column:

@@ -242,3 +242,27 @@ def test_patterns_ignore_case_where_the_tool_does(files):
     table = files({"api/a.js": "EXPORT DEFAULT FUNCTION Run(REQ, RES) {}", "b.py": '@APP.Route("/x", methods=["a","b","c"])\n@ROUTER.get("/y")'})
     assert {r.file_path: r.api_count for r in facts.file_facts(table).collect()} == {"api/a.js": 4, "b.py": 4}
     assert {r.file_path: r.api_count for r in facts.file_bundles(table).collect()} == {"api/a.js": 4, "b.py": 4}
+
+
+def test_long_responses(spark):
+    rng = __import__("random").Random(6)
+    names = {"SUMMARY:": "SUMMARY", "API_ENDPOINTS:": "API_ENDPOINTS", "SETUP_INSTRUCTIONS:": "SETUP", "USAGE_EXAMPLES:": "USAGE",
+             "KEY_FUNCTIONS:": "FUNCTIONS"}
+    lines, section, summary, insights = [], None, "", []
+    for k in range(30_000):
+        pick = rng.random()
+        if pick < 0.01:
+            head = rng.choice(list(names))
+            lines.append(f" {head} h{k}")
+            section = names[head]
+            summary = f"h{k}" if section == "SUMMARY" else summary
+        elif pick < 0.1:
+            lines.append("  ")
+        else:
+            lines.append(f"  line {k} of a long answer ")
+            if section == "SUMMARY":
+                summary += f" line {k} of a long answer"
+            elif section:
+                insights.append(f"[{section}] line {k} of a long answer")
+    got = one(spark, prep.parse_response(F.col("p"), F.col("r")), p="a.py", r="\n".join(lines))
+    assert got.summary == summary and list(got.insights) == insights
