@@ -106,6 +106,17 @@ def folder_dependencies(detailed: DataFrame) -> DataFrame:
                   "dependencies", "dependency").distinct()
 
 
+def folder_files(detailed: DataFrame) -> DataFrame:
+    """The files of every folder."""
+    return detailed.select("repo", paths.folder_of(F.col("file_path")).alias("folder"), "file_path", "language", "lines_of_code")
+
+
+def folder_endpoints(detailed: DataFrame) -> DataFrame:
+    """The endpoints of every folder."""
+    return unnest(detailed, ["repo", paths.folder_of(F.col("file_path")).alias("folder"), "file_path"], "endpoints", "e") \
+        .select("repo", "folder", "file_path", "e.line", "e.method", "e.path", "e.description")
+
+
 # --- modules, domains, repositories -----------------------------------------------------------
 
 
@@ -123,6 +134,24 @@ def module_summary(folders: DataFrame) -> DataFrame:
         .withColumn("domain", classify.domain_of(F.col("module")))
 
 
+def module_folders(folders: DataFrame) -> DataFrame:
+    """The folders of every module. Like the other relations of members it has a row per member, so a module with very
+    many folders is no larger in any row."""
+    return with_module(folders).select("repo", "module", "folder", "total_files", "primary_language", "folder_purpose")
+
+
+def module_components(detailed: DataFrame, per_file: int = 2, k: int = 10) -> DataFrame:
+    """The key components of a module: those of its folders, each with its folder."""
+    return folder_components(detailed, per_file, k).select(
+        "repo", paths.module_of(F.col("folder")).alias("module"), "folder", "component")
+
+
+def domain_modules(folders: DataFrame) -> DataFrame:
+    """The modules of every domain."""
+    return with_module(folders).groupBy("repo", "domain", "module").agg(
+        F.count("*").alias("folders"), F.sum("total_files").alias("total_files"))
+
+
 def domain_summary(folders: DataFrame) -> DataFrame:
     grouped = module_summary(folders).groupBy("repo", "domain").agg(
         F.count("*").alias("modules"), F.sum("total_files").alias("total_files"),

@@ -126,6 +126,13 @@ oracle("module_responsibilities", "d_modules",
        "SELECT repo, module, array_to_string(responsibilities, '|') AS responsibilities FROM d_modules")
 oracle("domain_summary", "d_domains", """SELECT repo, domain, modules, total_files, array_to_string(languages, '|') AS languages,
   overview FROM d_domains""")
+oracle("folder_files", "d_rows", "SELECT repo, folder, file_path, language, lines_of_code FROM d_rows")
+oracle("folder_endpoints", "d_eps", f"""SELECT repo, {FOLDER} AS folder, file_path, CAST(line AS INTEGER) AS line, method, path,
+  CASE WHEN {PY} THEN 'FastAPI ' ELSE '' END || method || ' endpoint for ' || path AS description FROM d_eps""")
+oracle("module_folders", "d_folders", "SELECT repo, module, folder, total_files, primary_language, folder_purpose FROM d_folders")
+oracle("module_components", "d_components", f"SELECT repo, {MODULE} AS module, folder, component FROM d_components")
+oracle("domain_modules", "d_folders", f"""SELECT repo, {DOMAIN} AS domain, module, count(*) AS folders, {big('sum(total_files)')} AS total_files
+  FROM d_folders GROUP BY ALL""")
 oracle("system_overview", "d_domains", f"""SELECT *, 'System with ' || files || ' files organized into ' || modules || ' modules across '
   || domains || ' domains' AS overview FROM (SELECT repo, {big('sum(total_files)')} AS files, {big('sum(modules)')} AS modules,
   count(*) AS domains FROM d_domains GROUP BY repo)""")

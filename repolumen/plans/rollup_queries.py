@@ -180,6 +180,31 @@ def _(spark, sf):
         "repo", "domain", "modules", "total_files", bar("languages").alias("languages"), "overview")
 
 
+@query("folder_files")
+def _(spark, sf):
+    return rollup.folder_files(detailed(spark, sf))
+
+
+@query("folder_endpoints")
+def _(spark, sf):
+    return rollup.folder_endpoints(detailed(spark, sf))
+
+
+@query("module_folders")
+def _(spark, sf):
+    return rollup.module_folders(rollup.folder_summary(detailed(spark, sf)))
+
+
+@query("module_components")
+def _(spark, sf):
+    return rollup.module_components(detailed(spark, sf))
+
+
+@query("domain_modules")
+def _(spark, sf):
+    return rollup.domain_modules(rollup.folder_summary(detailed(spark, sf)))
+
+
 @query("system_overview")
 def _(spark, sf):
     return rollup.system_overview(rollup.folder_summary(detailed(spark, sf)))
