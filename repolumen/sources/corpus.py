@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from functools import reduce
 
@@ -13,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..session import materialize, spread
+from .files import open_root
 
 FILE_COLUMNS = ["repo", "file_path", "content"]
+#: Texts that a task gathers before it passes them on: many small files, or one large one.
+BATCH_BYTES, BATCH_FILES = 4 << 20, 1000
 
 
 def decode_text(raw: Column) -> Column:
@@ -23,6 +25,19 @@ def decode_text(raw: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def _bounded(files, columns: list[str]):
+    """Frames of the rows ``files`` yields, of about ``BATCH_BYTES`` and at most ``BATCH_FILES`` files each."""
+    rows, size = [], 0
+    for row in files:
+        rows.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES or len(rows) >= BATCH_FILES:
+            yield pd.DataFrame(rows, columns=columns)
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
 def list_tree(spark: SparkSession, root: str, profile: str = "enhanced") -> DataFrame:
     """Paths below ``root`` with a known extension, as ``(path)`` relative to it.
 
@@ -33,8 +48,7 @@ def list_tree(spark: SparkSession, root: str, profile: str = "enhanced") -> Data
     skip, endings = set(rules.SKIP_DIRS[profile]), tuple(rules.LANGUAGES[profile])
 
     def list_folders(batches):
-        filesystem, base = fs.FileSystem.from_uri(root)
-        base = base.rstrip("/")
+        filesystem, base = open_root(root)
         for batch in batches:
             for folder in batch["path"]:
                 found = filesystem.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
@@ -59,11 +73,14 @@ def scan_corpus(spark: SparkSession, root: str, profile: str = "enhanced") -> Da
     Folder and extension tests run while listing, so other files are never opened.
     """
     def read(batches):
-        filesystem, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for path in batch["path"]:
-                with filesystem.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
-                    yield pd.DataFrame({"path": [path], "raw": [stream.readall()]})
+        filesystem, base = open_root(root)
+
+        def files():
+            for batch in batches:
+                for path in batch["path"]:
+                    with filesystem.open_input_stream(f"{base}/{path}") as stream:
+                        yield path, stream.readall()
+        yield from _bounded(files(), ["path", "raw"])
 
     nested = list_tree(spark, root, profile).where(F.col("path").contains("/")).repartition("path")
     raw = nested.mapInPandas(read, "path string, raw binary")
@@ -72,20 +89,28 @@ def scan_corpus(spark: SparkSession, root: str, profile: str = "enhanced") -> Da
 
 
 def scan_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Members of ``.zip`` archives as files; the archive's name is the repo."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    """Members of the ``.zip`` archives in a folder as files; the archive's name is the repo. Archives are opened in
+    place and members read one by one, so a task holds one member and a batch, never an archive."""
+    def listed(batches):
+        filesystem, base = open_root(path)
+        for _ in batches:
+            found = filesystem.get_file_info(fs.FileSelector(base))
+            yield pd.DataFrame({"archive": [e.base_name for e in found if e.base_name.endswith(".zip")]})
 
     def members(batches):
-        for batch in batches:
-            for name, blob in zip(batch["path"], batch["content"]):
-                repo = name.rsplit("/", 1)[-1].removesuffix(".zip")
-                with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                    for member in archive.infolist():
-                        if not member.is_dir():
-                            yield pd.DataFrame({"repo": [repo], "file_path": [member.filename],
-                                                "raw": [archive.read(member)]})
-
-    rows = raw.mapInPandas(members, "repo string, file_path string, raw binary")
+        filesystem, base = open_root(path)
+
+        def files():
+            for batch in batches:
+                for name in batch["archive"]:
+                    with filesystem.open_input_file(f"{base}/{name}") as stream, zipfile.ZipFile(stream) as archive:
+                        for member in archive.infolist():
+                            if not member.is_dir():
+                                yield name.removesuffix(".zip"), member.filename, archive.read(member)
+        yield from _bounded(files(), ["repo", "file_path", "raw"])
+
+    archives = materialize(spark.createDataFrame([("",)], "path string").mapInPandas(listed, "archive string"), "archives")
+    rows = archives.repartition("archive").mapInPandas(members, "repo string, file_path string, raw binary")
     return rows.select("repo", "file_path", decode_text(F.col("raw")).alias("content"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import write_files
+
 
 def write_results_json(results: DataFrame, path: str) -> None:
     """JSON lines in one folder per repository; ``results`` comes from ``result_json``."""
@@ -16,15 +14,21 @@ def write_results_json(results: DataFrame, path: str) -> None:
         .select("repo", "json").write.partitionBy("repo").text(path)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder per repository and document; rows keep their ``(sec, part)`` order.
+def _named(documents: DataFrame):
+    """Rows of a document's file. ``documents`` has sections (``sec, part``) or one row per document."""
+    order = [F.col(c) for c in ("sec", "part") if c in documents.columns]
+    return documents.select(F.concat_ws("/", "repo", "doc_name").alias("file"), *order, F.lit(None).cast("string").alias("member"),
+                            "content")
 
-    The text writer ends every row with a line end, so the one a section ends with is left out.
-    """
-    order = ["repo", "doc_name", "sec", "part"]
-    documents.repartitionByRange(*order).sortWithinPartitions(*order) \
-        .select("repo", "doc_name", F.regexp_replace("content", r"\n\z", "").alias("content")) \
-        .write.partitionBy("repo", "doc_name").text(path)
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One file ``repo/doc_name`` per document, its rows one after the other in ``(sec, part)`` order. Documents per
+    file (``documents.file_documents``) go to ``repo/files``, and of those that share a name to a file of their path."""
+    if "sharing" in documents.columns:
+        own = F.when(F.col("sharing") > 1, F.concat(F.regexp_replace("file_path", "[^A-Za-z0-9.-]", "~"), F.lit(".md"))) \
+            .otherwise(F.col("doc_name"))
+        documents = documents.select("repo", F.concat(F.lit("files/"), own).alias("doc_name"), "content")
+    write_files(_named(documents), path)
 
 
 def list_documents(documents: DataFrame) -> DataFrame:
@@ -37,22 +41,14 @@ def read_document(documents: DataFrame, repo: str, doc_name: str) -> DataFrame:
         .orderBy("sec", "part").select("content")
 
 
-def bundle_documents(documents: DataFrame, archives: int = 1) -> DataFrame:
-    """Zip archives per repository: ``(repo, bundle, archive)``.
+def write_bundles(documents: DataFrame, path: str, archives: int = 1) -> None:
+    """Zip archives ``repo.zip`` (``repo-0.zip`` and so on if there are several), with a member per document.
 
-    Documents are dealt to ``archives`` archives of a repository by name; a document is one member.
+    Documents are dealt to the ``archives`` of a repository by name. Members are written as they come, section by
+    section, so a task holds no archive and no document.
     """
-    placed = documents.withColumn("bundle", F.pmod(F.xxhash64("doc_name"), F.lit(archives)).cast("int"))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            for name, parts in rows.sort_values(["doc_name", "sec", "part"]).groupby("doc_name", sort=True):
-                with archive.open(name, "w") as member:
-                    for content in parts["content"]:
-                        member.write(content.encode())
-        return pd.DataFrame({"repo": [rows.repo.iloc[0]], "bundle": [rows.bundle.iloc[0]],
-                             "archive": [buffer.getvalue()]})
-
-    return placed.select("repo", "bundle", "doc_name", "sec", "part", "content") \
-        .groupBy("repo", "bundle").applyInPandas(pack, "repo string, bundle int, archive binary")
+    number = F.pmod(F.xxhash64("doc_name"), F.lit(archives)).cast("string")
+    name = F.col("repo") if archives == 1 else F.concat_ws("-", "repo", number)
+    order = [c for c in ("sec", "part") if c in documents.columns]
+    write_files(documents.select(F.concat(name, F.lit(".zip")).alias("file"), "doc_name", *order,
+                                 F.col("doc_name").alias("member"), "content"), path, zipped=True)

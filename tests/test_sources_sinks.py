@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import json
 import zipfile
 
 from repolumen.operators import documents, enrich, facts
 from repolumen.session import materialize, scratch_root
 from repolumen.sources import corpus, sinks
+from repolumen.sources.files import open_root
 
 
 def test_scan_tree_and_decode(spark, tmp_path):
@@ -39,13 +39,53 @@ def test_documents_on_disk(spark, files, tmp_path):
     bundles = facts.file_bundles(files({"a.py": '@app.get("/x")\ndef f(a: int) -> str:\n    """Doc"""', "ui/b.js": "let x = 1"}))
     docs = documents.assemble(documents.api_document(bundles).unionByName(documents.function_document(bundles)))
     sinks.write_documents(docs, str(tmp_path / "docs"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "docs").glob("repo=r/doc_name=FUNCTIONS.md/*.txt")))
+    written = sorted(str(p.relative_to(tmp_path / "docs")) for p in (tmp_path / "docs").rglob("*") if p.is_file())
+    assert written == ["_SUCCESS", "r/API_DOCUMENTATION.md", "r/FUNCTIONS.md"]
+    text = (tmp_path / "docs/r/FUNCTIONS.md").read_text()
     assert "### `f(a)`" in text and "**Returns**: str" in text and "ui/b.js" not in text
     assert text == "".join(r.content for r in sinks.read_document(docs, "r", "FUNCTIONS.md").collect())
+    assert json.loads((tmp_path / "docs/_SUCCESS").read_text())["files"] == 2
     assert {r.path for r in sinks.list_documents(docs).collect()} == {"r/API_DOCUMENTATION.md", "r/FUNCTIONS.md"}
-    blob = sinks.bundle_documents(docs).first().archive
-    assert sorted(zipfile.ZipFile(io.BytesIO(bytes(blob))).namelist()) == ["API_DOCUMENTATION.md", "FUNCTIONS.md"]
-    assert 1 <= sinks.bundle_documents(docs, archives=5).count() <= 2
+    sinks.write_documents(docs, str(tmp_path / "docs"))  # again: the same files
+    assert (tmp_path / "docs/r/FUNCTIONS.md").read_text() == text
+
+
+def test_per_file_documents_on_disk(spark, tmp_path):
+    answers = spark.createDataFrame([("r", "a/b.py", "one"), ("r", "a.b_py", "two"), ("r", "c.js", "é"), ("q", "c.js", None)],
+                                    "repo string, file_path string, response string")
+    sinks.write_documents(documents.file_documents(answers), f"file://{tmp_path}/out")
+    found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*.md")}
+    assert sorted(found) == ["r/files/a.b~py.md", "r/files/a~b.py.md", "r/files/c_js.md"]
+    assert "one" in found["r/files/a~b.py.md"] and "é" in found["r/files/c_js.md"]
+
+
+def test_bundles(spark, tmp_path):
+    rows = [("r", f"D{d}.md", s, f"{k:03d}", f"[{d}-{s}-{k}]") for d in range(6) for s in range(2) for k in range(40)]
+    docs = spark.createDataFrame(rows, "repo string, doc_name string, sec int, part string, content string").repartition(5)
+    sinks.write_bundles(docs, str(tmp_path / "one"))
+    got = {(r.repo, r.file_path): r.content for r in corpus.scan_zip(spark, str(tmp_path / "one")).collect()}
+    assert got == {("r", f"D{d}.md"): "".join(x[4] for x in rows if x[1] == f"D{d}.md") for d in range(6)}
+    sinks.write_bundles(docs, str(tmp_path / "many"), archives=3)
+    names = sorted(p.name for p in (tmp_path / "many").glob("*.zip"))
+    assert 1 < len(names) <= 3 and all(n.startswith("r-") for n in names)
+    assert sum(len(zipfile.ZipFile(tmp_path / "many" / n).namelist()) for n in names) == 6
+
+
+def test_many_and_large_members(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for k in range(2500):
+            archive.writestr(f"d{k % 7}/f{k}.py", f"x = {k}\n")
+        archive.writestr("large.py", "y" * (9 << 20))
+    got = corpus.scan_zip(spark, str(tmp_path)).selectExpr("count(*) n", "max(length(content)) m").first()
+    assert (got.n, got.m) == (2501, 9 << 20)
+
+
+def test_relative_root(spark, tmp_path, monkeypatch):
+    (tmp_path / "tree/one").mkdir(parents=True)
+    (tmp_path / "tree/one/a.py").write_text("x")
+    assert open_root(f"file:{tmp_path}")[1] == open_root(f"file://{tmp_path}/")[1] == str(tmp_path)
+    monkeypatch.chdir(tmp_path)
+    assert open_root("tree")[1] == f"{tmp_path}/tree"
 
 
 def test_result_json(spark, files, tmp_path):
