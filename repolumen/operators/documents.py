@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, rules
 from ..functions.prep import _each, _say
+from ..functions.text import contains_any
 from . import ranking, rollup
 from .unnest import unnest
 
@@ -149,18 +150,21 @@ def project_summary_document(facts: DataFrame, files: int | None = None, depende
 
 def setup_document(facts: DataFrame) -> DataFrame:
     """Set-up steps for the languages that occur."""
-    def block(language, words):
-        return F.when(_speaks(language), F.lit(words)).otherwise("")
+    def block(words, *languages):
+        return F.when(_speaks(*languages), F.lit(words)).otherwise("")
+    script = ("javascript", "typescript")
 
     # fixed values: commands per language
     return sections(rollup.repo_summary(facts), "SETUP.md", (0, None, _say(
         "# Setup Guide\n\nComplete setup instructions for ", F.col("repo"), ".\n\n## Prerequisites\n\n",
         F.array_join("languages", ", "), "\n\n",
-        block("python", "#### Python Requirements\n- Python 3.8 or higher\n\n"),
-        block("javascript", "#### Node.js Requirements\n- Node.js 16.0 or higher\n\n"),
-        "### Install Dependencies\n\n", block("python", "```bash\npip install -r requirements.txt\n```\n"),
-        block("javascript", "```bash\nnpm install\n```\n"), "### Start the Application\n\n",
-        block("python", "```bash\npython app.py\n```\n"), block("javascript", "```bash\nnpm start\n```\n"))))
+        block("#### Python Requirements\n- Python 3.8 or higher\n- pip package manager\n\n", "python"),
+        block("#### Node.js Requirements\n- Node.js 16.0 or higher\n- npm or yarn package manager\n\n", *script),
+        block("#### Java Requirements\n- Java 11 or higher\n- Maven or Gradle build tool\n\n", "java"),
+        "### Install Dependencies\n\n", block("```bash\npip install -r requirements.txt\n```\n", "python"),
+        block("```bash\nnpm install\n```\n", *script), block("```bash\nmvn clean install\n```\n", "java"),
+        "### Start the Application\n\n", block("```bash\npython app.py\n```\n", "python"),
+        block("```bash\nnpm start\n```\n", *script), block("```bash\nmvn spring-boot:run\n```\n", "java"))))
 
 
 # fixed values: rule lists for prerequisites and environment entries
@@ -171,75 +175,117 @@ ENVIRONMENT = [("# AI/ML APIs\nGROQ_API_KEY=your_groq_api_key", "exact", ["groq"
                ("# Firebase Configuration\nFIREBASE_API_KEY=your_firebase_api_key", "exact", ["firebase"])]
 
 
-def _label_sections(bundles: DataFrame, doc: str, lists: list[tuple]) -> DataFrame:
-    """Sections from several rule lists ``(sec, prefix, rules, suffix)``, evaluated in one aggregation."""
-    every = [rule for _, _, rule_list, _ in lists for rule in rule_list]
-    rows, first = [], 0
-    for sec, prefix, rule_list, suffix in lists:
-        mine = (F.col("ord") >= first) & (F.col("ord") < first + len(rule_list))
-        rows.append((sec, numbered(F.col("ord") - first), _say(prefix, F.col("label"), suffix), mine))
-        first += len(rule_list)
-    return sections(rollup.rule_hits(bundles, every), doc, *rows)
+# fixed values: what a README says where script languages occur
+FRONTEND_STACK = ("\n### Frontend (Next.js/React)\n- **Next.js 14**: React framework with App Router\n"
+                  "- **React**: Component-based UI library\n- **Tailwind CSS**: Utility-first CSS framework\n"
+                  "- **Framer Motion**: Animation library\n- **Socket.io**: Real-time communication\n")
+FRONTEND_ROWS = ("| **React** | UI Framework | Component-based user interface |\n"
+                 "| **Next.js** | Full-stack | Server-side rendering & routing |\n"
+                 "| **TypeScript** | Type Safety | Enhanced JavaScript with types |\n"
+                 "| **Tailwind CSS** | Styling | Utility-first CSS framework |\n")
+FRONTEND_START = ("\n2. **Start Frontend Application**\n```bash\n# Development mode\nnpm run dev\n\n# Production build\n"
+                  "npm run build\nnpm start\n```\n")
+#: Rule lists of a README: section, text before and after the label.
+README_RULES = [(1, "![", rules.TECH_BADGES, "]\n"), (5, "- ", rules.BACKEND_TECH, "\n"), (14, "", PREREQUISITES, "\n"),
+                (16, "", ENVIRONMENT, "\n"), (22, "", rules.ACKNOWLEDGEMENTS, "\n")]
+#: First frontend files listed by a word in their path: word, title, section.
+README_LISTS = [("page", "Pages", 9), ("component", "Components", 10)]
+
+
+def _place(n: int) -> Column:
+    return F.lit(str(n).zfill(12))
+
+
+def _readme_totals(bundles: DataFrame) -> DataFrame:
+    """Everything a README says about a repository as a whole: one aggregate, every rule a flag in it."""
+    backend, low = F.col("is_backend"), F.lower(PATH)
+    flags = [F.bool_or(rollup.rule_holds(kind, tokens)).alias(f"r{sec}_{i}")
+             for sec, _, rule_list, _ in README_RULES for i, (_, kind, tokens) in enumerate(rule_list)]
+    listed = [F.count_if(~backend & low.contains(word)).alias(f"{word}_total") for word, _, _ in README_LISTS]
+    techs = [F.count_if(backend & F.array_contains("dependencies", name)).alias(f"t{i}")
+             for i, (name, _, _) in enumerate(rules.MAJOR_TECHS)]
+    features = F.bool_or(backend & contains_any(low, [w for words, _ in rules.FEATURES for w in words]))
+    return bundles.groupBy("repo").agg(
+        *rollup.repo_totals(), *rollup.project_flags(), *flags, *listed, *techs, features.alias("any_feature"),
+        F.count_if(backend & (F.col("language") == "python")).alias("python_services"),
+        F.count_if(~backend).alias("frontend_files"))
 
 
 def readme_document(bundles: DataFrame) -> DataFrame:
-    """Statistics, badges, features, structure, technologies, start commands, endpoints, thanks."""
+    """Statistics, badges, features, structure, technologies, start commands, endpoints, thanks.
+
+    Made from one aggregate per repository, one ranked pass for the lists that show the first of their kind, and the
+    file rows.
+    """
     doc = "README.md"
     path, backend, language = F.col(PATH), F.col("is_backend"), F.col("language")
     apis, functions, services = F.col("total_apis"), F.col("total_functions"), F.col("backend_files")
-    extra = bundles.groupBy("repo").agg(
-        F.count_if(backend & (language == "python")).alias("python_services"), F.count_if(~backend).alias("frontend_files"))
-    totals = rollup.repo_summary(bundles).join(rollup.project_type(bundles), "repo").join(extra, "repo")
+    totals = _readme_totals(bundles)
+    labels = [(sec, _place(i), _say(prefix, label, suffix), F.col(f"r{sec}_{i}"))
+              for sec, prefix, rule_list, suffix in README_RULES for i, (label, _, _) in enumerate(rule_list)]
+    general = [(3, _place(i + 1), _say("### ", line, "\n"), ~F.col("any_feature"))
+               for i, line in enumerate(rollup.general_features())]
+    techs = [(12, _place(i), _say(f"| **{name.capitalize()}** | {kind} | ", F.col(f"t{i}"), f" | {purpose} |\n"), F.col(f"t{i}") > 0)
+             for i, (name, kind, purpose) in enumerate(rules.MAJOR_TECHS)]
+
+    low = F.lower(PATH)
+    entries = F.array_compact(F.array(
+        *[F.when(~backend & low.contains(word), F.struct(F.lit(word).alias("list"), F.lit(0).alias("ord"), path.alias("label")))
+          for word, _, _ in README_LISTS],
+        *[F.when(backend & contains_any(low, words), F.struct(F.lit("feature").alias("list"), F.lit(i).alias("ord"),
+                                                              F.lit(label).alias("label")))
+          for i, (words, label) in enumerate(rules.FEATURES)]))
+    ranked = rollup.first_k(unnest(bundles, ["repo", PATH], entries, "e"), ["repo", "e.list"], [PATH, "e.ord"], 8)
+    shown = ranked.where((F.col("e.list") == "feature") | (F.col("rank") <= 3)) \
+        .join(totals.select("repo", *[f"{word}_total" for word, _, _ in README_LISTS]), "repo")
 
     def listing(word, title, sec):
-        first = F.when(F.col("rank") == 1, _say("│   ├── ", title, " (", F.col("total"), " files)\n")).otherwise("")
-        last = F.when((F.col("rank") == 3) & (F.col("more") > 0),
-                      _say("│   │   └── ... and ", F.col("more"), " more\n")).otherwise("")
-        return sections(ranking.first_n_and_more(bundles, word), doc,
-                        (sec, numbered(F.col("rank")), _say(first, "│   │   ├── ", path, "\n", last)))
+        total, rank = F.col(f"{word}_total"), F.col("rank")
+        first = F.when(rank == 1, _say("│   ├── ", title, " (", total, " files)\n")).otherwise("")
+        last = F.when((rank == 3) & (total > 3), _say("│   │   └── ... and ", total - 3, " more\n")).otherwise("")
+        return (sec, numbered(rank), _say(first, "│   │   ├── ", F.col("e.label"), "\n", last), F.col("e.list") == word)
 
     padded = F.when(F.length(path) < 25, F.rpad(path, 25, " ")).otherwise(path)
-    entries = _each(F.col("apis"), lambda a: _say("- `", a["method"], " ", a["path"], "` - ", a["description"], "\n"))
+    calls = _each(F.col("apis"), lambda a: _say("- `", a["method"], " ", a["path"], "` - ", a["description"], "\n"))
     python = backend & (language == "python")
     serving = F.col("api_count") > 0
+    scripted = _speaks("javascript")
     return stack([
         sections(
-            totals, doc,
+            totals, doc, *labels, *general, *techs,
             (0, None, _say("# ", F.col("repo"), "\n\n")),
             (2, None, _say(
                 "\n## Project Statistics\n\n| Metric | Value |\n|-----------|----------|\n| **Total Files** | ",
                 F.col("total_files"), " |\n| **Backend Services** | ", services, " |\n| **API Endpoints** | ", apis,
                 " |\n| **Functions** | ", functions, " |\n| **Languages** | ", _titles(F.col("languages")),
-                " |\n\n## Overview\n\nA full-stack ", F.lower("project_type"), " with **", apis, " API endpoints** across **",
-                services, " backend services** and **", functions, " functions**.\n\n## Key Features\n\n")),
+                " |\n\n## Overview\n\nA full-stack ", F.lower(rollup.project_kind(apis)), " with **", apis,
+                " API endpoints** across **", services, " backend services** and **", functions,
+                " functions**.\n\n## Key Features\n\n")),
             (4, None, F.lit("\n## Technology Stack\n\n")),
+            (5, F.lit("~"), F.lit(FRONTEND_STACK), scripted),
             (6, None, _say("\n## Project Structure\n\n```\n", F.col("repo"), "/\n├── Backend Services (",
                            F.col("python_services"), ")\n")),
             (8, None, _say("├── Frontend Application (", F.col("frontend_files"), " files)\n"), F.col("frontend_files") > 0),
             (11, None, F.lit("```\n\n| Technology | Purpose | Files | Usage |\n|------------|---------|-------|-------|\n")),
+            (12, F.lit("~"), F.lit("\n### Frontend Technologies\n| Technology | Purpose | Description |\n"
+                                   "|------------|---------|-------------|\n" + FRONTEND_ROWS), _speaks("javascript", "typescript")),
             (13, None, _say("\n### Prerequisites\n\n", F.when(_speaks("python"), "- **Python 3.8+**\n").otherwise(""),
-                            F.when(_speaks("javascript"), "- **Node.js 18+**\n").otherwise(""))),
+                            F.when(scripted, "- **Node.js 18+**\n").otherwise(""))),
             (15, None, F.lit("\n```env\n")),
             (17, None, F.lit("```\n\n### Running the Application\n\n```bash\n")),
-            (19, None, _say("```\n\n## API Documentation\n\nThis project provides ", apis, " API endpoints across ", services,
+            (19, None, _say("```\n", F.when(scripted, FRONTEND_START).otherwise(""),
+                            "\n## API Documentation\n\nThis project provides ", apis, " API endpoints across ", services,
                             " services:\n\n")),
             (21, None, F.lit("\n## Acknowledgments\n\n"))),
-        _label_sections(bundles, doc, [
-            (1, "![", rules.TECH_BADGES, "]\n"), (5, "- ", rules.BACKEND_TECH, "\n"), (14, "", PREREQUISITES, "\n"),
-            (16, "", ENVIRONMENT, "\n"), (22, "", rules.ACKNOWLEDGEMENTS, "\n")]),
-        sections(rollup.detected_features(bundles), doc,
-                 (3, numbered(F.col("rank")), _say("### ", F.col("feature"), "\n"))),
-        listing("page", "Pages", 9), listing("component", "Components", 10),
-        sections(rollup.tech_usage_lookup(bundles), doc,
-                 (12, numbered(F.col("ord")), _say("| **", F.initcap("dependency"), "** | ", F.col("category"), " | ",
-                                                   F.col("files"), " | ", F.col("purpose"), " |\n"))),
+        sections(shown, doc, *[listing(*entry) for entry in README_LISTS],
+                 (3, numbered(F.col("rank")), _say("### ", F.col("e.label"), "\n"), F.col("e.list") == "feature")),
         sections(
             bundles, doc,
             (7, path, _say("│   ├──  ", padded, " # ", F.col("file_purpose"), " (", F.col("api_count"), " APIs, ",
                            F.col("function_count"), " funcs)\n"), python),
             (18, path, _say("# Start the ", F.replace(path, F.lit(".py"), F.lit("")), " service\npython ", path, "\n\n"),
              python & serving),
-            (20, path, _say("#### ", path, "\n**Base URL**: `http://localhost:500X`\n\n**Endpoints**:\n", entries, "\n"),
+            (20, path, _say("#### ", path, "\n**Base URL**: `http://localhost:500X`\n\n**Endpoints**:\n", calls, "\n"),
              backend & serving))])
 
 

@@ -22,11 +22,14 @@ def first_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "r
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def repo_totals() -> list:
+    return [F.count("*").alias("total_files"), F.count_if("is_backend").alias("backend_files"),
+            F.sum("api_count").alias("total_apis"), F.sum("function_count").alias("total_functions"),
+            F.sort_array(F.collect_set("language")).alias("languages")]
+
+
 def repo_summary(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("repo").agg(
-        F.count("*").alias("total_files"), F.count_if("is_backend").alias("backend_files"),
-        F.sum("api_count").alias("total_apis"), F.sum("function_count").alias("total_functions"),
-        F.sort_array(F.collect_set("language")).alias("languages"))
+    return facts.groupBy("repo").agg(*repo_totals())
 
 
 def breakdown(facts: DataFrame, label: str) -> DataFrame:
@@ -214,22 +217,23 @@ def tech_usage_lookup(facts: DataFrame) -> DataFrame:
     return tech_usage(facts).join(F.broadcast(dim), "dependency")
 
 
+def rule_holds(kind: str, tokens: list[str]):
+    """Whether a rule on languages or dependencies holds for a file."""
+    deps, backend = F.col("dependencies"), F.col("is_backend")
+    if kind == "language":
+        return F.col("language").isin(tokens)
+    if kind == "exact":
+        return backend & F.arrays_overlap(deps, F.array(*[F.lit(t) for t in tokens]))
+    return backend & F.exists(deps, lambda d: F.lower(d).contains(tokens[0]))
+
+
 def rule_hits(facts: DataFrame, rule_list) -> DataFrame:
     """Labels whose rule holds for a repository: ``(repo, ord, label)``.
 
     Every rule is a flag that is or-ed while aggregating, so no dependency list is collected
     and no file meets the rule list in a join.
     """
-    deps, backend = F.col("dependencies"), F.col("is_backend")
-
-    def holds(kind, tokens):
-        if kind == "language":
-            return F.col("language").isin(tokens)
-        if kind == "exact":
-            return backend & F.arrays_overlap(deps, F.array(*[F.lit(t) for t in tokens]))
-        return backend & F.exists(deps, lambda d: F.lower(d).contains(tokens[0]))
-
-    flags = facts.groupBy("repo").agg(*[F.bool_or(holds(kind, tokens)).alias(f"r{i}")
+    flags = facts.groupBy("repo").agg(*[F.bool_or(rule_holds(kind, tokens)).alias(f"r{i}")
                                         for i, (_, kind, tokens) in enumerate(rule_list)])
     entries = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), F.col(f"r{i}").alias("on"))
                         for i, (label, _, _) in enumerate(rule_list)])
@@ -237,14 +241,29 @@ def rule_hits(facts: DataFrame, rule_list) -> DataFrame:
         .select("repo", "e.ord", "e.label")
 
 
-def project_type(facts: DataFrame) -> DataFrame:
+def project_flags() -> list:
+    """Aggregates that ``project_kind`` reads."""
     low = F.lower("file_path")
-    flags = facts.groupBy("repo").agg(
-        *[F.bool_or(F.col("is_backend") & contains_any(low, words)).alias(f"p{i}")
-          for i, (words, _) in enumerate(rules.PROJECT_TYPES)], F.sum("api_count").alias("apis"))
-    kind = F.when(F.col("p0"), rules.PROJECT_TYPES[0][1]).when(F.col("p1"), rules.PROJECT_TYPES[1][1]) \
-        .when(F.col("apis") > 10, "API Platform").otherwise("Software Project")
-    return flags.select("repo", kind.alias("project_type"))
+    return [F.bool_or(F.col("is_backend") & contains_any(low, words)).alias(f"p{i}")
+            for i, (words, _) in enumerate(rules.PROJECT_TYPES)]
+
+
+def project_kind(apis):
+    return F.when(F.col("p0"), rules.PROJECT_TYPES[0][1]).when(F.col("p1"), rules.PROJECT_TYPES[1][1]) \
+        .when(apis > 10, "API Platform").otherwise("Software Project")
+
+
+def project_type(facts: DataFrame) -> DataFrame:
+    flags = facts.groupBy("repo").agg(*project_flags(), F.sum("api_count").alias("apis"))
+    return flags.select("repo", project_kind(F.col("apis")).alias("project_type"))
+
+
+def general_features() -> list:
+    """What is said of a repository without a feature of its own, from its totals."""
+    return [F.format_string("**%d Backend Services**: Microservices architecture with specialized functionality", "backend_files"),
+            F.format_string("**%d API Endpoints**: Comprehensive REST API with full documentation", "total_apis"),
+            F.format_string("**High Performance**: Optimized code with %d functions", "total_functions"),
+            F.lit("**Security First**: Built-in security measures and best practices")]
 
 
 def detected_features(facts: DataFrame, k: int = 8) -> DataFrame:
@@ -256,11 +275,7 @@ def detected_features(facts: DataFrame, k: int = 8) -> DataFrame:
     hits = unnest(facts, ["repo", "file_path"], F.when(F.col("is_backend"), entries), "e")
     found = first_k(hits, ["repo"], ["file_path", F.col("e.ord")], k).select("repo", "rank", "e.feature")
     counts = repo_summary(facts).join(found.select("repo").distinct(), "repo", "left_anti")
-    general = [F.format_string("**%d Backend Services**: Microservices architecture with specialized functionality", "backend_files"),
-               F.format_string("**%d API Endpoints**: Comprehensive REST API with full documentation", "total_apis"),
-               F.format_string("**High Performance**: Optimized code with %d functions", "total_functions"),
-               F.lit("**Security First**: Built-in security measures and best practices")]
-    fallback = counts.select("repo", F.posexplode(F.array(*general)).alias("p", "feature")) \
+    fallback = counts.select("repo", F.posexplode(F.array(*general_features())).alias("p", "feature")) \
         .select("repo", (F.col("p") + 1).alias("rank"), "feature")
     return found.unionByName(fallback)
 

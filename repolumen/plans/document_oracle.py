@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import rules
+from ..operators import documents
 from . import inputs
 from .file_oracle import JS, NL, PY, has, strip
 from .registry import ORACLE, oracle, part
@@ -164,9 +165,13 @@ FROM d_facts JOIN short_contexts USING (repo, file_path) LEFT JOIN (
 
 
 def document(name: str, needs: str, doc: str, *sections: tuple) -> None:
-    """Sections are ``(source, key, template)``; they are joined in order of section and key."""
-    rows = " UNION ALL ".join(f"SELECT repo, {i} AS sec, {key or chr(39) * 2} AS key, {text(body)} AS text FROM {source}"
-                              for i, (source, key, body) in enumerate(sections))
+    """Sections are ``(source, key, template)``; they are joined in order of section and key. A source that begins with
+    "+ " adds to the section before."""
+    selects, sec = [], -1
+    for source, key, body in sections:
+        sec += not source.startswith("+ ")
+        selects.append(f"SELECT repo, {sec} AS sec, {key or chr(39) * 2} AS key, {text(body)} AS text FROM {source.removeprefix('+ ')}")
+    rows = " UNION ALL ".join(selects)
     oracle(name, needs, f"""SELECT repo, '{doc}' AS doc_name, sec::INTEGER AS sec, key AS part,
   string_agg(text, '' ORDER BY text) AS content FROM ({rows}) GROUP BY ALL""")
 
@@ -228,16 +233,25 @@ document("doc_project_summary", "facts totals counts_language counts_purpose all
          ("totals", None, "\n## Dependencies\n\n"), ("all_deps", "dependency", "- {dependency}\n"))
 
 
-def speaks(language: str, words: str) -> str:
-    return "{CASE WHEN list_contains(languages, '" + language + "') THEN " + text(words) + " ELSE '' END}"
+def speaks(words: str, *languages: str) -> str:
+    test = " OR ".join(f"list_contains(languages, '{name}')" for name in languages)
+    return "{CASE WHEN " + test + " THEN " + text(words) + " ELSE '' END}"
 
 
+SCRIPT = ("javascript", "typescript")
 _SETUP = ("totals", None, "# Setup Guide\n\nComplete setup instructions for {repo}.\n\n## Prerequisites\n\n{" + LANGS + "}\n\n"
-          + speaks("python", "#### Python Requirements\n- Python 3.8 or higher\n\n")
-          + speaks("javascript", "#### Node.js Requirements\n- Node.js 16.0 or higher\n\n") + "### Install Dependencies\n\n"
-          + speaks("python", "```bash\npip install -r requirements.txt\n```\n") + speaks("javascript", "```bash\nnpm install\n```\n")
-          + "### Start the Application\n\n" + speaks("python", "```bash\npython app.py\n```\n")
-          + speaks("javascript", "```bash\nnpm start\n```\n"))
+          + speaks("#### Python Requirements\n- Python 3.8 or higher\n- pip package manager\n\n", "python")
+          + speaks("#### Node.js Requirements\n- Node.js 16.0 or higher\n- npm or yarn package manager\n\n", *SCRIPT)
+          + speaks("#### Java Requirements\n- Java 11 or higher\n- Maven or Gradle build tool\n\n", "java")
+          + "### Install Dependencies\n\n"
+          + speaks("```bash\npip install -r requirements.txt\n```\n", "python") + speaks("```bash\nnpm install\n```\n", *SCRIPT)
+          + speaks("```bash\nmvn clean install\n```\n", "java") + "### Start the Application\n\n"
+          + speaks("```bash\npython app.py\n```\n", "python") + speaks("```bash\nnpm start\n```\n", *SCRIPT)
+          + speaks("```bash\nmvn spring-boot:run\n```\n", "java"))
+part("kept_core_all", "kept_core kept_java", """SELECT repo, language FROM kept_core WHERE repo < 'repo2'
+  UNION ALL SELECT repo, language FROM kept_java""")
+part("core_totals", "kept_core_all", "SELECT repo, list_sort(list(DISTINCT language)) AS languages FROM kept_core_all GROUP BY repo")
+document("doc_setup_core", "core_totals", "SETUP.md", ("core_totals", *_SETUP[1:]))
 document("doc_setup", "totals", "SETUP.md", _SETUP)
 # What the stand-in for the user's function says to the concise prompt, and how its answer is parsed.
 part("prompts", "facts eps fns", CONCISE)
@@ -293,6 +307,7 @@ document("doc_readme", "facts totals kinds badges features techs listed_files ma
           "## Overview\n\nA full-stack {lower(project_type)} with **{total_apis} API endpoints** across **{backend_files} backend "
           "services** and **{total_functions} functions**.\n\n## Key Features\n\n"),
          ("features", _RANK, "### {feature}\n"), ("totals", None, "\n## Technology Stack\n\n"), ("techs", _ORD, "- {label}\n"),
+         ("+ totals WHERE list_contains(languages, 'javascript')", "'~'", documents.FRONTEND_STACK),
          ("(SELECT repo, count(*) FILTER (is_backend AND language = 'python') AS n FROM facts GROUP BY repo)", None,
           "\n## Project Structure\n\n```\n{repo}/\n├── Backend Services ({n})\n"),
          ("facts WHERE is_backend AND language = 'python'", "file_path",
@@ -302,12 +317,14 @@ document("doc_readme", "facts totals kinds badges features techs listed_files ma
          listing("page", "Pages"), listing("component", "Components"),
          ("totals", None, "```\n\n| Technology | Purpose | Files | Usage |\n|------------|---------|-------|-------|\n"),
          ("major", _ORD, "| **{" + _TITLE.format("dependency") + "}** | {category} | {files} | {purpose} |\n"),
-         ("totals", None, "\n### Prerequisites\n\n" + speaks("python", "- **Python 3.8+**\n") + speaks("javascript", "- **Node.js 18+**\n")),
+         ("+ totals WHERE list_has_any(languages, ['javascript', 'typescript'])", "'~'", "\n### Frontend Technologies\n"
+          "| Technology | Purpose | Description |\n|------------|---------|-------------|\n" + documents.FRONTEND_ROWS),
+         ("totals", None, "\n### Prerequisites\n\n" + speaks("- **Python 3.8+**\n", "python") + speaks("- **Node.js 18+**\n", "javascript")),
          ("needs", _ORD, "{label}\n"), ("totals", None, "\n```env\n"), ("environment", _ORD, "{replace(label, '~', chr(10))}\n"),
          ("totals", None, "```\n\n### Running the Application\n\n```bash\n"),
          ("ports WHERE language = 'python' AND api_count > 0", "file_path",
           "# Start the {replace(file_path, '.py', '')} service\npython {file_path}\n\n"),
-         ("totals", None, "```\n\n## API Documentation\n\nThis project provides {total_apis} API endpoints across {backend_files} services:\n\n"),
+         ("totals", None, "```\n" + speaks(documents.FRONTEND_START, "javascript") + "\n## API Documentation\n\nThis project provides {total_apis} API endpoints across {backend_files} services:\n\n"),
          (API, "file_path", "#### {file_path}\n**Base URL**: `http://localhost:500X`\n\n**Endpoints**:\n{short}\n"),
          ("totals", None, "\n## Acknowledgments\n\n"), ("thanks", _ORD, "{label}\n"))
 

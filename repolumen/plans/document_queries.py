@@ -161,6 +161,13 @@ def _(spark, sf):
     return _content(documents.setup_document(facts.file_facts(inputs.corpus(spark, sf))))
 
 
+@query("doc_setup_core")
+def _(spark, sf):
+    """Set-up steps by the core profile, which knows Java."""
+    files = inputs.corpus(spark, sf).where(F.col("repo") < "repo2").unionByName(inputs.java_corpus(spark, sf))
+    return _content(documents.setup_document(facts.core_facts(files)))
+
+
 @query("doc_per_file")
 def _(spark, sf):
     return documents.file_documents(answered(spark, sf)[1])

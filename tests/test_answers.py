@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from repolumen.operators import documents, enrich, facts, rollup
+from repolumen.session import materialize
 
 FILES = {
     "api/a.py": "@app.get('/x')\ndef read(q):\n    return q\n",
@@ -85,3 +86,26 @@ def test_list_limits_act_on_request_only(files):
     found = facts.detailed_facts(many)
     assert {r.component for r in rollup.folder_components(found).collect()} == {"a", "b", "c"}
     assert [r.component for r in rollup.folder_components(found, per_file=2, k=1).collect()] == ["a"]
+
+
+def test_readme_and_setup_blocks(spark, files):
+    def whole(frame):
+        return "".join(r.text for r in frame.orderBy("sec", "key").collect())
+    python = facts.file_bundles(files({"api/a.py": "import flask\n@app.get('/x')\ndef f():\n    pass\n"}, "p"), code=False)
+    script = facts.file_bundles(files({f"web/page{k}.ts": "let x = 1" for k in range(5)}, "s"), code=False)
+    body = whole(documents.readme_document(python))
+    assert "Frontend" not in body.replace("Frontend Application", "") and "**Flask**" in body and "python api/a.py" in body
+    assert "npm run dev" not in body and "Python 3.8+" in body
+    body = whole(documents.readme_document(script))
+    assert "### Frontend Technologies" in body and "... and 2 more" in body and "npm run dev" not in body
+    assert "├── Pages (5 files)" in body and "**0 Backend Services**" in body
+    setup = whole(documents.setup_document(script))
+    assert "Node.js 16.0" in setup and "Python" not in setup
+    java = facts.core_facts(files({"src/A.java": "class A {}"}, "j"))
+    assert "mvn clean install" in whole(documents.setup_document(java))
+
+
+def test_readme_reads_its_table_four_times(spark, files):
+    stored = materialize(facts.file_bundles(files(FILES), code=False), "bundles")
+    plan = documents.readme_document(stored)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("FileScan parquet") <= 4
