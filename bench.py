@@ -10,13 +10,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from repolumen.plans import QUERIES  # noqa: E402
-from repolumen.session import get_spark  # noqa: E402
+from repolumen.session import drop_scratch, get_spark  # noqa: E402
 
 HEADLINE = [
     "repo_summary", "file_counts", "fastapi_endpoints", "express_endpoints", "python_functions", "js_functions",
     "function_complexity", "python_dependencies", "env_vars", "python_symbols", "folder_summary", "module_summary",
     "hierarchy_rollup", "resolve_imports", "tech_badges", "graph_type_counts", "degree_centrality", "top_files",
-    "service_port_assignment", "rolling_usage", "key_health_fold", "consecutive_errors", "extract_context",
+    "service_port_assignment", "rolling_usage", "key_health_fold", "key_stats", "consecutive_errors", "betweenness_centrality",
+    "centrality_to_nodes", "extract_context",
     "build_prompt_comprehensive", "doc_api", "doc_readme", "result_json",
 ]
 
@@ -37,6 +38,7 @@ def main() -> None:
         print(f"{name} {timings[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(timings.values()), 3), "unit": "sec",
                       "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    drop_scratch(spark)
     spark.stop()
 
 

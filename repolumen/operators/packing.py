@@ -77,20 +77,20 @@ def greedy_slots(df: DataFrame, group: list[str], order: list[str], size: Column
         return pa.table({
             **{c: unit.column(c).take(pa.array(np.zeros(count, np.int64))) for c in group},
             "_rank": pa.array(np.full(count, unit.column("_rank")[0].as_py()), pa.int32()),
-            "upto": lines["upto"][kept], "slots": lines["slots"][kept], "fill": lines["fill"][kept]})
+            "upto": lines["upto"][kept], "at": np.arange(count), "slots": lines["slots"][kept], "fill": lines["fill"][kept]})
 
     # groups within one block need no table
     spanning = ranks.where("_rank > 0").select(*group).distinct()
     ranked = blocked.join(ranks, [*group, "_block"])
     tables = materialize(ranked.join(spanning, group, "left_semi").groupBy(*group, "_block").applyInArrow(
-        table, f"{columns}, _rank int, upto long, slots long, fill long"), f"{label}-tables")
+        table, f"{columns}, _rank int, upto long, at long, slots long, fill long"), f"{label}-tables")
     ends = tables.where("_rank = 0").select(*group, F.lit(1).alias("_rank"), "fill", (F.col("slots") - 1).alias("slot"))
     entries, last = [ends], tables.agg(F.max("_rank")).first()[0] or 0
     for rank in range(1, last):
         open_ = entries[-1].select(*group, F.col("fill").alias("_fill"), F.col("slot").alias("_slot"))
         lines = tables.where(F.col("_rank") == rank).join(open_, group)
         met = lines.where(F.col("upto") > budget - F.col("_fill")).groupBy(*group, "_fill", "_slot").agg(
-            F.min(F.struct("upto", "slots", "fill")).alias("m"))
+            F.min(F.struct("upto", "at", "slots", "fill")).alias("m"))  # rows without size have the sum of the one before
         whole = F.when(F.col("m.slots") == 0, F.col("_fill")).otherwise(0)
         entries.append(materialize(met.select(
             *group, F.lit(rank + 1).alias("_rank"), (F.col("m.fill") + whole).alias("fill"),

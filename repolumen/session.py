@@ -73,9 +73,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread an input that arrives in fewer splits than there are cores.
 
-    Large inputs already have many splits and pass through without a shuffle.
+    Streams and large inputs already have many splits and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)

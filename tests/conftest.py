@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
-    from repolumen.session import get_spark
+    from repolumen.session import drop_scratch, get_spark
 
     session = get_spark("tests", 8, **{
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
@@ -20,6 +20,7 @@ def spark():
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 
