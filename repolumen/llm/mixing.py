@@ -9,8 +9,9 @@ sources and, with a ``boost`` column, within them.
 The cut is found without sorting the corpus: words are added up per source and 65,536 key ranges, and only the range
 in which a source's cut falls is looked at row by row.
 
-Cases: null and blank texts have size 0 and take 0 words; a null source is a source, sorted last; a null id draws a
-number of its own; equal rows share their number and fate; empty tables give empty results; extra columns stay, but for names the result itself needs.
+Cases: null and blank texts have size 0 and take 0 words; a null source is a source, sorted last; a document draws its
+number by its id, and rows that share an id or have none draw by id, text and repetition, each a number of its own;
+empty tables give empty results; extra columns stay, but for names the result itself needs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ordinal
 from ..session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -55,12 +57,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 
 def pareto_key(fraction: Column, seed: int) -> Column:
     """Pareto's ranking variable: odds of a fixed random number over the odds of inclusion."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}"), "_draw").cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), fraction))
     return (u / (1 - u)) / (p / (1 - p))
 
 
+def _drawing(rows: DataFrame, shared: DataFrame | None, label: str) -> DataFrame:
+    """``rows`` with ``_draw``, what a row's number depends on besides its id: nothing, but text and repetition where the
+    id is in ``shared``. Equal rows are numbered in blocks; which of them gets which number makes no difference."""
+    if shared is None:
+        return rows.withColumn("_draw", F.lit(""))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    plain = rows.join(shared, same, "left_anti").withColumn("_draw", F.lit(""))
+    again = rows.join(shared, same, "left_semi").withColumn("_same", F.xxhash64("doc_id", "_text", "source", "size")) \
+        .withColumn("_salt", F.rand(1))
+    numbered = ordinal(again, ["_same"], ["_salt"], "_at", label) \
+        .withColumn("_draw", F.concat_ws("|", F.lit(""), "_text", "_at")).drop("_same", "_salt", "_at")
+    return plain.unionByName(numbered)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17,
         boost: str | None = None) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies`` and ``taken`` (words taken, repeats counted), which
@@ -69,8 +85,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     ``boost`` names a column of relative inclusion weights within a source (default: all alike).
     """
     sized = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"),
-                        (F.col(boost).cast("double") if boost else F.lit(1.0)).alias("boost"))
+                        (F.col(boost).cast("double") if boost else F.lit(1.0)).alias("boost"),
+                        F.xxhash64("text").alias("_text"))
     narrow = materialize(sized.drop("_doc"), "mixing-sizes")
+    shared = materialize(narrow.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+                         .select(F.col("doc_id").alias("_id")), "mixing-shared")
+    shared = None if shared.isEmpty() else shared
     sources = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = materialize(sources.withColumn("whole", F.floor(ratio)).withColumn("fraction", ratio - F.floor(ratio))
@@ -83,7 +103,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
             .withColumn("_key", pareto_key(F.col("fraction") * F.col("boost"), seed))
         return out.withColumn("_range", F.floor(RANGES * F.col("_key") / (1 + F.col("_key"))))
 
-    keys = keyed(narrow, sources)
+    keys = keyed(_drawing(narrow, shared, "mixing-again"), sources)
+    if shared is not None:
+        keys = materialize(keys, "mixing-keys")
     per_range = keys.groupBy("source", "_range").agg(F.sum("size").alias("words"), F.first("owed").alias("owed"))
     ahead = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
     crossing = per_range.withColumn("upto", F.sum("words").over(ahead)) \
@@ -100,7 +122,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
                                                 "cut_key"),
                                     F.col("source").eqNullSafe(F.col("_cs")), "left").drop("_cs")
     facts = materialize(facts, "mixing-cuts")
-    chosen = keyed(sized, facts)
+    chosen = keyed(_drawing(sized, shared, "mixing-chosen"), facts)
     added = ["size", "source_size", "target", "copies", "taken"]
     extra = F.when(F.col("owed") <= 0, 0).when(F.col("cut_range").isNull(), 1) \
         .when(F.col("_range") < F.col("cut_range"), 1) \

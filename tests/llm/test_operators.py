@@ -442,3 +442,24 @@ def test_repeats_match_brute_force(table, shard):
 def test_repeated_rows_are_repeats(table):
     out = suffix_dedup.remove_repeats(table([(1, prose(1, 80)), (1, prose(1, 80)), (None, prose(2, 80))])).collect()
     assert sorted(r.n_removed for r in out) == [0, len(prose(1, 80)), len(prose(1, 80))]
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k // 2, lambda k: None if k % 3 else k])
+@pytest.mark.parametrize("texts", [lambda k: prose(k, 10 + k % 9), lambda k: prose(1, 12)])
+def test_mixing_draws_apart_without_own_ids(table, ids, texts):
+    rows = [(ids(k), texts(k)) for k in range(200)]
+    got = mixing.mix(table(rows, source=lambda i: "only")).collect()
+    sizes = sorted(len(t.split()) for _, t in rows)
+    assert len(got) == 200 and sorted(r.size for r in got) == sizes
+    target = 1.5 * sum(sizes)
+    assert all(abs(r.target - target) < 1e-6 for r in got)
+    assert abs(sum(r.taken for r in got) - target) <= max(sizes) and all(r.taken <= 2 * r.size for r in got)
+
+
+def test_pipeline_stages_with_clashing_names(spark):
+    import corpus_pipeline
+    rows = [(k, prose(k % 3, 60), "x", f"s{k % 2}", 1, k, "k", "d") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _dropped long, "
+                                       "_key string, _doc string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
