@@ -21,7 +21,8 @@ def _without(docs: DataFrame, dropped: DataFrame, label: str, key=None) -> DataF
     dropped = materialize(dropped.distinct().toDF("_dropped"), label)
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, (F.col("doc_id") if key is None else key) == F.col("_dropped"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_doc"), (F.col("doc_id") if key is None else key).alias("_key"))
+    return rows.join(dropped, F.col("_key") == F.col("_dropped"), "left_anti").select("_doc.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
