@@ -66,7 +66,8 @@ def _(spark, sf):
 
 @query("resolve_imports")
 def _(spark, sf):
-    return graph.resolve_imports(stored_detailed(spark, sf)).select("repo", "file_path", "line", "source", "target")
+    imports = materialize(detailed(spark, sf).select("repo", "file_path", "imports"), "imports")
+    return graph.resolve_imports(imports).select("repo", "file_path", "line", "source", "target")
 
 
 @query("endpoint_handler_link")
