@@ -185,38 +185,51 @@ def degree_centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
         .alias("degree_centrality"))
 
 
-def _levels(starts: DataFrame, steps: DataFrame) -> list[DataFrame]:
-    """Breadth-first levels from every start: ``(repo, s, v, paths, leaves)`` of the nodes that many steps away, with the
-    number of shortest paths. Each level is written, and a node is met once per start."""
-    found = [materialize(starts.select("repo", "s", F.col("s").alias("v"), F.lit(1.0).alias("paths"),
-                                       F.lit(0).cast("long").alias("leaves")), "level")]
+def _numbered(core: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(repo, id, v)``, a number for every node of ``core``, and its edges ``(v, w, leaves)`` by number. Numbers hold
+    across repositories, so rows per start and node need neither the repository nor a path."""
+    ends = core.select("repo", F.col("source").alias("id")).unionByName(core.select("repo", F.col("target").alias("id")))
+    numbers = materialize(ends.distinct().withColumn("v", F.monotonically_increasing_id()), "numbers")
+    steps = core.join(numbers.withColumnRenamed("id", "source"), ["repo", "source"]) \
+        .join(numbers.select("repo", F.col("id").alias("target"), F.col("v").alias("w")), ["repo", "target"]) \
+        .join(folded.withColumnRenamed("parent", "target"), ["repo", "target"], "left") \
+        .select("v", "w", F.coalesce("leaves", F.lit(0)).cast("long").alias("leaves"))
+    return numbers, materialize(steps, "steps")
+
+
+def _levels(chosen: DataFrame, steps: DataFrame) -> list[DataFrame]:
+    """Breadth-first levels from the starts of the edges ``chosen``: ``(s, v, paths, leaves)`` of the nodes that many
+    steps away, with the number of shortest paths. The first level is the edges themselves; later ones are written, and
+    a node is met once per start."""
+    found = [chosen.select(F.col("v").alias("s"), F.col("w").alias("v"), F.lit(1.0).alias("paths"), "leaves")]
     while True:
-        reached = found[-1].drop("leaves").join(steps, ["repo", "v"]).groupBy("repo", "s", F.col("w").alias("v")).agg(
-            F.sum("paths").alias("paths"), F.first("leaves").alias("leaves"))
-        before = reduce(DataFrame.unionByName, [level.select("repo", "s", "v") for level in found])
-        fresh = materialize(reached.join(before, ["repo", "s", "v"], "left_anti"), "level")
+        reached = found[-1].drop("leaves").join(steps, "v").where(F.col("w") != F.col("s")) \
+            .groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"), F.first("leaves").alias("leaves"))
+        before = reduce(DataFrame.unionByName, [level.select("s", "v") for level in found])
+        fresh = materialize(reached.join(before, ["s", "v"], "left_anti"), "level")
         if fresh.isEmpty():
             return found
         found.append(fresh)
 
 
 def _passed(levels: list[DataFrame], steps: DataFrame) -> list[DataFrame]:
-    """Per level but the first, ``(repo, v, share)``: the paths from each start that pass through a node, counted by the
-    share of each target's shortest paths. Accumulated from the last level to the first along single edges."""
-    back = steps.select("repo", F.col("v").alias("_v"), F.col("w").alias("v"))
+    """Rows ``(v, share)`` per level: the paths from each start that pass through a node, counted by the share of each
+    target's shortest paths. Accumulated from the last level to the first; every step goes from a node that was reached
+    along its own edges, so a node with very many parents meets only those that the start reaches."""
     shares, deeper = [], None
-    for level in reversed(levels[1:]):
-        own = level.select("repo", "s", "v", "paths", F.col("leaves").cast("double").alias("share"))
+    for number, level in reversed(list(enumerate(levels))):
+        own = level.select("s", "v", "paths", F.col("leaves").cast("double").alias("share"))
         if deeper is not None:
-            stepped = deeper.join(back, ["repo", "v"]).select(
-                "repo", "s", F.col("_v").alias("v"), ((F.col("share") + 1) / F.col("paths")).alias("per_path"))
-            above = level.select("repo", "s", "v", "paths")
-            passed = stepped.join(above, ["repo", "s", "v"]).select(
-                "repo", "s", "v", "paths", (F.col("per_path") * F.col("paths")).alias("share"))
-            own = own.unionByName(passed).groupBy("repo", "s", "v").agg(F.max("paths").alias("paths"),
-                                                                        F.sum("share").alias("share"))
-        deeper = materialize(own, "passed")
-        shares.append(deeper.select("repo", "v", "share"))
+            onward = level.select("s", F.col("v").alias("u"), F.col("paths").alias("to_u")) \
+                .join(steps.select(F.col("v").alias("u"), F.col("w").alias("v")), "u")
+            passed = onward.join(deeper, ["s", "v"]).select(
+                "s", F.col("u").alias("v"), F.col("to_u").alias("paths"),
+                (F.col("to_u") * (F.col("share") + 1) / F.col("paths")).alias("share"))
+            own = own.unionByName(passed)
+        if number:  # nothing lies before the first level, so only its sums by node are read
+            own = materialize(own.groupBy("s", "v").agg(F.max("paths").alias("paths"), F.sum("share").alias("share")), "passed")
+        deeper = own
+        shares.append(deeper.select("v", "share"))
     return shares
 
 
@@ -225,30 +238,28 @@ def betweenness_centrality(nodes: DataFrame, links: DataFrame, blocks: int = 1)
 
     Symbols that hang on one node only can neither be passed through nor start a path, so they are folded into their
     parent as a weight. From every other node, shortest paths are counted forwards level by level and the shares of the
-    nodes they pass accumulated backwards, both along edges: work and tables are the connected pairs times the edges per
-    node, and there are two written rounds per level. ``blocks`` deals the starting nodes into as many runs, which
-    divides the size of the tables.
+    nodes they pass accumulated backwards, both from reached nodes along their edges: work and tables are the connected
+    pairs times the edges that leave a node, as rows of numbers, and there are two written rounds per level. ``blocks``
+    deals the starting nodes into as many runs, which divides the size of the tables.
     """
     links = materialize(links.where(F.col("source") != F.col("target")), "links")
     sources = links.select("repo", F.col("source").alias("target")).distinct()
     fan_in = links.groupBy("repo", "target").agg(F.count("*").alias("parents"))
     hanging = fan_in.where(F.col("parents") == 1).join(sources, ["repo", "target"], "left_anti") \
         .select("repo", "target")
-    folded = links.join(hanging, ["repo", "target"], "left_semi").groupBy("repo", F.col("source").alias("w")) \
+    folded = links.join(hanging, ["repo", "target"], "left_semi").groupBy("repo", F.col("source").alias("parent")) \
         .agg(F.count("*").alias("leaves"))
-    core = links.join(hanging, ["repo", "target"], "left_anti").select(
-        "repo", F.col("source").alias("v"), F.col("target").alias("w"))
-    steps = materialize(core.join(folded, ["repo", "w"], "left").select(
-        "repo", "v", "w", F.coalesce("leaves", F.lit(0)).cast("long").alias("leaves")), "steps")
-    starts = steps.select("repo", F.col("v").alias("s")).distinct()
+    core = links.join(hanging, ["repo", "target"], "left_anti").select("repo", "source", "target")
+    numbers, steps = _numbered(core, folded)
     shares = []
     for block in range(blocks):
-        chosen = starts if blocks == 1 else starts.where(F.pmod(F.xxhash64("repo", "s"), F.lit(blocks)) == block)
+        chosen = steps if blocks == 1 else steps.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == block)
         shares += _passed(_levels(chosen, steps), steps)
     if not shares:
-        shares = [steps.limit(0).select("repo", "v", F.lit(0.0).alias("share"))]
-    summed = reduce(DataFrame.unionByName, shares).groupBy("repo", F.col("v").alias("id")).agg(F.sum("share").alias("share"))
-    return summed.where("share > 0").join(node_totals(nodes, links), "repo").where(F.col("n") > 2).select(
+        shares = [steps.limit(0).select("v", F.lit(0.0).alias("share"))]
+    summed = reduce(DataFrame.unionByName, shares).groupBy("v").agg(F.sum("share").alias("share")).where("share > 0") \
+        .join(numbers, "v").select("repo", "id", "share")
+    return summed.join(node_totals(nodes, links), "repo").where(F.col("n") > 2).select(
         "repo", "id", (F.col("share") / ((F.col("n") - 1) * (F.col("n") - 2))).alias("betweenness_centrality"))
 
 

@@ -171,3 +171,18 @@ def test_large_documents_stay_whole_in_parts(spark):
         whole[p.repo] = whole.get(p.repo, "") + p.content
     assert whole == {"r": "".join(r[4] for r in rows if r[0] == "r"), "q": "tiny"}
     assert len(parts) == 21 and max(len(p.content) for p in parts) == 5
+
+
+def test_betweenness_steps_follow_reached_nodes_only(spark):
+    """A package that many files of other folders use: steps back from it must not meet the files a start cannot reach."""
+    folders, files, package = 30, 20, 9999
+    links = [(d, 100 + files * d + k, 0) for d in range(folders) for k in range(files)] \
+        + [(100 + files * d + k, package, 0) for d in range(folders) for k in range(files)]
+    steps = spark.createDataFrame(links, "v long, w long, leaves long")
+    levels = graph._levels(steps, steps)
+    assert [level.count() for level in levels] == [len(links), folders]
+    shares = graph._passed(levels, steps)[-1]
+    rows = shares.collect()
+    assert len(rows) == len(links) + folders * files  # the edges, and one step per folder and file
+    assert sum(r.share for r in rows) == pytest.approx(folders)  # each package is one target per folder
+    assert "string" not in {f.dataType.simpleString() for f in levels[1].schema}
