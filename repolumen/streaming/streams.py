@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ def minute_usage_stream(requests: DataFrame, lateness: str = "5 minutes") -> Dat
 
 
 def sliding_usage_stream(requests: DataFrame, lateness: str = "5 minutes", seconds: int = 60, step: int = 10) -> DataFrame:
-    """Usage in sliding windows, the bucketed form of the rolling sum."""
+    """Usage in sliding windows, the bucketed form of the rolling sum. A request is in ``seconds / step`` windows, so the
+    open windows are many rows: use the RocksDB state store, which keeps them on disk."""
     window = F.window("ts", f"{seconds} seconds", f"{step} seconds")
     return requests.withWatermark("ts", lateness).groupBy("key", window.alias("w")).agg(
         F.sum("tokens").alias("used")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "used")
@@ -42,16 +44,25 @@ def sliding_usage_stream(requests: DataFrame, lateness: str = "5 minutes", secon
 HEALTH = T.StructType([T.StructField("key", T.LongType()), T.StructField("health", T.LongType()),
                        T.StructField("failures", T.LongType()), T.StructField("requests", T.LongType())])
 
-#: Waiting requests are kept in buckets of so many microseconds; a bucket is folded once the watermark has passed its end.
+#: A request is folded once the watermark has passed the end of its bucket of so many microseconds.
 BUCKET_MICROS = 1_000_000
+#: Waiting requests of a key are kept in chunks of at most so many.
+CHUNK_ROWS = 4096
+WAITING = ["micros", "event_id", "health_step", "failure_step"]
+
+
+def _by_time(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort(rows.T[::-1])]
 
 
 class KeyHealth(StatefulProcessor):
     """Health and failure count per key.
 
-    Clamped additions do not commute, so requests wait in buckets of event time until the watermark has passed the
-    bucket's end and are then folded by microsecond and id. Only due buckets are read; the list of open buckets is as
-    short as the lateness. With ``idle_hours`` a key without requests for so long (in event time) starts anew.
+    Clamped additions do not commute, so requests wait until the watermark has passed their bucket's end and are then
+    folded by microsecond and id. They wait in chunks, each sorted, under a list of chunks with their earliest time: a
+    call of the state store moves a chunk and not a request, and a key has one timer, for its earliest request. Only
+    chunks with due requests are read; they are merged in order of time, so a fold holds the chunks that overlap.
+    With ``idle_hours`` a key without requests for so long (in event time) starts anew.
     """
 
     def __init__(self, idle_hours: int | None = None) -> None:
@@ -60,56 +71,88 @@ class KeyHealth(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.score = handle.getValueState("score", "health long, failures long, requests long, last_ms long")
-        self.open = handle.getValueState("open", "buckets array<long>")
+        self.open = handle.getValueState("open", "firsts array<long>, numbers array<long>")
         self.waiting = handle.getMapState(
-            "waiting", "bucket long", "micros array<long>, ids array<long>, health array<long>, failures array<long>")
-
-    def _open_buckets(self) -> set[int]:
-        return set(self.open.get()[0]) if self.open.exists() else set()
+            "waiting", "chunk long", "micros array<long>, ids array<long>, health array<long>, failures array<long>")
+
+    def _open_chunks(self) -> list[tuple[int, int]]:
+        """Earliest time and number of each chunk."""
+        return list(zip(*(self.open.get() or ()), strict=True))
+
+    def _keep(self, rows: np.ndarray, chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Write ``rows`` as chunks and list them with the others."""
+        rows, chunks = _by_time(rows), list(chunks)
+        number = max((n for _, n in chunks), default=-1) + 1
+        for at in range(0, len(rows), CHUNK_ROWS):
+            part = rows[at:at + CHUNK_ROWS]
+            self.waiting.updateValue((number,), tuple(column.tolist() for column in part.T))
+            chunks.append((int(part[0, 0]), number))
+            number += 1
+        return chunks
+
+    def _wake(self, chunks: list[tuple[int, int]]) -> None:
+        """A timer for the end of the earliest request's bucket."""
+        self.handle.registerTimer((min(chunks)[0] // BUCKET_MICROS + 1) * BUCKET_MICROS // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        known = self._open_buckets()
-        added = set()
+        known = chunks = self._open_chunks()
         for batch in rows:
-            batch = batch[batch["micros"] >= mark]
-            for bucket, part in batch.groupby(batch["micros"] // BUCKET_MICROS):
-                bucket = int(bucket)
-                new = [part[c].tolist() for c in ("micros", "event_id", "health_step", "failure_step")]
-                if bucket in known or bucket in added:
-                    new = [list(old) + more for old, more in zip(self.waiting.getValue((bucket,)), new, strict=True)]
-                self.waiting.updateValue((bucket,), tuple(new))
-                added.add(bucket)
-        if added - known:
-            self.open.update((sorted(known | added),))
-            for bucket in added - known:
-                self.handle.registerTimer((bucket + 1) * BUCKET_MICROS // 1000)
+            chunks = self._keep(batch.loc[batch["micros"] >= mark, WAITING].to_numpy("int64"), chunks)
+        if len(chunks) > len(known):
+            self.open.update(tuple(map(list, zip(*chunks, strict=True))))
+            if not known or min(chunks)[0] < min(known)[0]:
+                self._wake(chunks)
         yield from ()
 
+    def _due(self, due: list[tuple[int, int]], until: int, left: list[np.ndarray]) -> Iterator[list[int]]:
+        """Requests before ``until`` of the chunks ``due`` in order of time; the chunks are removed and their other
+        requests go to ``left``."""
+        pool, size, folded_at = [], 0, CHUNK_ROWS
+        due = sorted(due)
+        for place, (_, number) in enumerate(due):
+            rows = np.array(self.waiting.getValue((number,)), dtype="int64").T
+            self.waiting.removeKey((number,))
+            ready = int(np.searchsorted(rows[:, 0], until))
+            pool.append(rows[:ready])
+            if ready < len(rows):
+                left.append(rows[ready:])
+            size += ready
+            last = place + 1 == len(due)
+            if last or size >= folded_at:  # what is later than the next chunk's start waits for it
+                merged = _by_time(np.concatenate(pool))
+                cut = len(merged) if last else int(np.searchsorted(merged[:, 0], due[place + 1][0]))
+                yield from merged[:cut].tolist()
+                pool, size = [merged[cut:]], len(merged) - cut
+                folded_at = 2 * size + CHUNK_ROWS
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        waiting = self._open_buckets()
-        due = sorted(b for b in waiting if (b + 1) * BUCKET_MICROS // 1000 <= mark)
+        until = mark * 1000 // BUCKET_MICROS * BUCKET_MICROS
+        chunks = self._open_chunks()
+        due = [chunk for chunk in chunks if chunk[0] < until]
         start = (100, 0, 0, None)
-        health, failures, seen, last = self.score.get() if self.score.exists() else start
-        for bucket in due:
-            for micros, _, gain, step in sorted(zip(*self.waiting.getValue((bucket,)), strict=True)):
+        health, failures, seen, last = self.score.get() or start
+        if due:
+            left = []
+            for micros, _, gain, step in self._due(due, until, left):
                 if self.idle_ms is not None and last is not None and micros // 1000 - last >= self.idle_ms:
                     health, failures, seen, _ = start
                 health, failures, seen = max(0, min(100, health + gain)), max(0, failures + step), seen + 1
                 last = micros // 1000
-            self.waiting.removeKey((bucket,))
-        if due:
-            left = sorted(waiting - set(due))
+            chunks = [chunk for chunk in chunks if chunk[0] >= until]
             if left:
-                self.open.update((left,))
+                chunks = self._keep(np.concatenate(left), chunks)
+            if chunks:
+                self.open.update(tuple(map(list, zip(*chunks, strict=True))))
+                self._wake(chunks)
             else:
                 self.open.clear()
             self.score.update((health, failures, seen, last))
             if self.idle_ms is not None:
                 self.handle.registerTimer(last + self.idle_ms)
             yield pd.DataFrame({"key": [key[0]], "health": [health], "failures": [failures], "requests": [seen]})
-        elif not waiting and self.idle_ms is not None and last is not None and last + self.idle_ms <= mark:
+        elif not chunks and self.idle_ms is not None and last is not None and last + self.idle_ms <= mark:
             self.score.clear()
 
     def close(self) -> None:
@@ -118,9 +161,9 @@ class KeyHealth(StatefulProcessor):
 
 def key_health_stream(requests: DataFrame, lateness: str = "5 minutes", idle_hours: int | None = None) -> DataFrame:
     """Health per key after every advance of the watermark; needs the RocksDB state store. Only the columns that the
-    fold reads reach the Python workers."""
-    steps = requestlog.health_steps(requests.withWatermark("ts", lateness)).select(
-        "key", "ts", "event_id", "micros", "health_step", "failure_step")
+    fold reads reach the Python workers; requests without an id come first, as in the batch form."""
+    steps = requestlog.health_steps(requests.withWatermark("ts", lateness)).where(F.col("micros").isNotNull()).select(
+        "key", "ts", F.coalesce("event_id", F.lit(-(1 << 63))).alias("event_id"), "micros", "health_step", "failure_step")
     return steps.groupBy("key").transformWithStateInPandas(
         KeyHealth(idle_hours), HEALTH, outputMode="Update", timeMode="EventTime")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from repolumen.operators import facts, requestlog
@@ -85,6 +89,77 @@ def test_key_health_order_within_a_millisecond(spark, tmp_path):
     assert got == {r.key: (r.health, r.failures) for r in requestlog.key_health(batch).collect()}
 
 
+class _Calls:
+    """State variables and timers of one key in memory, and how often they are called."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getValueState(self, name, *schemas):
+        return _Held(self)
+
+    getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.append(ms)
+
+
+class _Held:
+    def __init__(self, calls):
+        self.calls, self.rows = calls, {}
+
+    def _at(self, key=()):
+        self.calls.calls += 1
+        return key
+
+    def get(self):
+        return self.rows.get(self._at())
+
+    def update(self, value):
+        self.rows[self._at()] = value
+
+    def clear(self):
+        self.rows.pop(self._at(), None)
+
+    def getValue(self, key):
+        return self.rows[self._at(key)]
+
+    def updateValue(self, key, value):
+        self.rows[self._at(key)] = value
+
+    def removeKey(self, key):
+        del self.rows[self._at(key)]
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_key_health_calls_the_store_per_chunk(monkeypatch, chunk):
+    """Requests of many seconds, out of order, in several batches and advances: few calls, and the order of time."""
+    monkeypatch.setattr(streams, "CHUNK_ROWS", chunk)
+    rng, calls = random.Random(5), _Calls()
+    rows = [(rng.randrange(3000) * 500_000, k, *rng.choice([(5, -1), (-25, 2), (-10, 1)])) for k in range(3000)]
+    health = streams.KeyHealth()
+    health.init(calls)
+    frames = [pd.DataFrame(rows[at:at + 500], columns=streams.WAITING) for at in range(0, 3000, 500)]
+    list(health.handleInputRows((1,), iter(frames), _Mark(0)))
+    got = []
+    for mark in (300_250, 300_900, 900_000, 1_500_000):  # the second advance ends no bucket
+        for frame in health.handleExpiredTimer((1,), _Mark(mark), None):
+            got.append(tuple(frame.iloc[0]))
+    want, state = [], (100, 0, 0)
+    for before, until in ((0, 300), (300, 900), (900, 1500)):
+        for micros, _, gain, step in sorted(r for r in rows if before <= r[0] // 1_000_000 < until):
+            state = max(0, min(100, state[0] + gain)), max(0, state[1] + step), state[2] + 1
+        want.append((1, *state))
+    assert got == want and not health.waiting.rows and not health.open.rows
+    assert calls.calls < (100 if chunk == 4096 else 3000)
+
+
 def test_key_health_forgets_idle_keys(spark, tmp_path):
     def at(event, seconds):
         return spark.sql(f"SELECT {event}L AS event_id, 1L AS key, timestamp_seconds({seconds}) AS ts, 1L AS tokens, "
