@@ -79,3 +79,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that stand for much work each, such as names of files, dealt to all tasks.
+
+    The number of partitions is given: adaptive execution merges others by their size in bytes, and names are so small
+    that one task would get all files.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)

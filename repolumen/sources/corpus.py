@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..session import materialize, spread
+from ..session import dealt, materialize, spread
 from .files import open_root
 
 FILE_COLUMNS = ["repo", "file_path", "content"]
 #: Texts that a task gathers before it passes them on: many small files, or one large one.
 BATCH_BYTES, BATCH_FILES = 4 << 20, 1000
+#: Members of an archive that are read at one go, by their size and number; a task opens the archive for each such piece.
+PIECE_BYTES, PIECE_FILES = 64 << 20, 20_000
 
 
 def decode_text(raw: Column) -> Column:
@@ -38,23 +40,19 @@ def _bounded(files, columns: list[str]):
         yield pd.DataFrame(rows, columns=columns)
 
 
-def list_tree(spark: SparkSession, root: str, profile: str = "enhanced") -> DataFrame:
-    """Paths below ``root`` with a known extension, as ``(path)`` relative to it.
+def _walk(spark: SparkSession, root: str, enter, take) -> DataFrame:
+    """Paths ``(path)`` below ``root``, relative to it, of the files whose name ``take`` accepts.
 
-    Spark's own file listing leaves out names that start with ``_`` or ``.``, which would lose
-    files such as ``__init__.py``. The tree is therefore walked level by level: each level is
-    a table of folders, listed by tasks, with skipped folders pruned on the way.
+    The tree is walked level by level: each level is a table of folders, listed by tasks; folders whose name ``enter``
+    refuses are pruned on the way.
     """
-    skip, endings = set(rules.SKIP_DIRS[profile]), tuple(rules.LANGUAGES[profile])
-
     def list_folders(batches):
         filesystem, base = open_root(root)
         for batch in batches:
             for folder in batch["path"]:
                 found = filesystem.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
                 rows = [(e.path[len(base) + 1:], e.type == fs.FileType.Directory, e.base_name) for e in found]
-                rows = [(path, is_dir) for path, is_dir, name in rows
-                        if (name not in skip and not name.startswith(".") if is_dir else name.lower().endswith(endings))]
+                rows = [(path, is_dir) for path, is_dir, name in rows if (enter(name) if is_dir else take(name))]
                 yield pd.DataFrame(rows, columns=["path", "is_dir"])
 
     levels, folders = [], spark.createDataFrame([("",)], "path string")
@@ -64,14 +62,22 @@ def list_tree(spark: SparkSession, root: str, profile: str = "enhanced") -> Data
         folders = level.where("is_dir").select("path")
         if folders.isEmpty():
             return reduce(DataFrame.unionByName, levels)
-        folders = folders.repartition("path")
+        folders = dealt(folders, "path")
 
 
-def scan_corpus(spark: SparkSession, root: str, profile: str = "enhanced") -> DataFrame:
-    """Files below ``root`` as ``(repo, file_path, content)``; the first folder names the repo.
+def list_tree(spark: SparkSession, root: str, profile: str = "enhanced") -> DataFrame:
+    """Paths below ``root`` with a known extension, as ``(path)`` relative to it.
 
-    Folder and extension tests run while listing, so other files are never opened.
+    Spark's own file listing leaves out names that start with ``_`` or ``.``, which would lose
+    files such as ``__init__.py``. Skipped folders are not entered.
     """
+    skip, endings = set(rules.SKIP_DIRS[profile]), tuple(rules.LANGUAGES[profile])
+    return _walk(spark, root, lambda name: name not in skip and not name.startswith("."),
+                 lambda name: name.lower().endswith(endings))
+
+
+def _read(listed: DataFrame, root: str) -> DataFrame:
+    """``(path, raw)`` of the listed files."""
     def read(batches):
         filesystem, base = open_root(root)
 
@@ -82,35 +88,65 @@ def scan_corpus(spark: SparkSession, root: str, profile: str = "enhanced") -> Da
                         yield path, stream.readall()
         yield from _bounded(files(), ["path", "raw"])
 
-    nested = list_tree(spark, root, profile).where(F.col("path").contains("/")).repartition("path")
-    raw = nested.mapInPandas(read, "path string, raw binary")
+    return dealt(listed, "path").mapInPandas(read, "path string, raw binary")
+
+
+def read_texts(spark: SparkSession, root: str, ending: str) -> DataFrame:
+    """Files below ``root`` whose name has that ending, as ``(path, content)``; tasks list and read them, so the driver
+    holds no list of files and a task reads many small ones."""
+    listed = _walk(spark, root, lambda name: True, lambda name: name.endswith(ending))
+    return _read(listed, root).select("path", F.col("raw").cast("string").alias("content"))
+
+
+def scan_corpus(spark: SparkSession, root: str, profile: str = "enhanced") -> DataFrame:
+    """Files below ``root`` as ``(repo, file_path, content)``; the first folder names the repo.
+
+    Folder and extension tests run while listing, so other files are never opened.
+    """
+    raw = _read(list_tree(spark, root, profile).where(F.col("path").contains("/")), root)
     return raw.select(F.substring_index("path", "/", 1).alias("repo"),
                       F.regexp_replace("path", "^[^/]*/", "").alias("file_path"), decode_text(F.col("raw")).alias("content"))
 
 
 def scan_zip(spark: SparkSession, path: str) -> DataFrame:
     """Members of the ``.zip`` archives in a folder as files; the archive's name is the repo. Archives are opened in
-    place and members read one by one, so a task holds one member and a batch, never an archive."""
+    place and dealt to tasks in pieces, so a large one is read by many; members are read one by one, so a task holds one
+    member and a batch, never an archive."""
     def listed(batches):
         filesystem, base = open_root(path)
         for _ in batches:
             found = filesystem.get_file_info(fs.FileSelector(base))
             yield pd.DataFrame({"archive": [e.base_name for e in found if e.base_name.endswith(".zip")]})
 
+    def cut(batches):
+        filesystem, base = open_root(path)
+        for batch in batches:
+            for name in batch["archive"]:
+                with filesystem.open_input_file(f"{base}/{name}") as stream, zipfile.ZipFile(stream) as archive:
+                    sizes = [member.file_size for member in archive.infolist()]
+                rows, first, size = [], 0, 0
+                for place, more in enumerate(sizes):
+                    if place > first and (size + more > PIECE_BYTES or place - first >= PIECE_FILES):
+                        rows.append((name, first, place))
+                        first, size = place, 0
+                    size += more
+                yield pd.DataFrame([*rows, (name, first, len(sizes))], columns=["archive", "first", "end"])
+
     def members(batches):
         filesystem, base = open_root(path)
 
         def files():
             for batch in batches:
-                for name in batch["archive"]:
+                for name, first, end in batch[["archive", "first", "end"]].itertuples(index=False):
                     with filesystem.open_input_file(f"{base}/{name}") as stream, zipfile.ZipFile(stream) as archive:
-                        for member in archive.infolist():
+                        for member in archive.infolist()[first:end]:
                             if not member.is_dir():
                                 yield name.removesuffix(".zip"), member.filename, archive.read(member)
         yield from _bounded(files(), ["repo", "file_path", "raw"])
 
     archives = materialize(spark.createDataFrame([("",)], "path string").mapInPandas(listed, "archive string"), "archives")
-    rows = archives.repartition("archive").mapInPandas(members, "repo string, file_path string, raw binary")
+    pieces = materialize(dealt(archives).mapInPandas(cut, "archive string, first long, end long"), "pieces")
+    rows = dealt(pieces).mapInPandas(members, "repo string, file_path string, raw binary")
     return rows.select("repo", "file_path", decode_text(F.col("raw")).alias("content"))
 
 

@@ -19,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..session import dealt
+
 FORMAT = "repolumen_files"
 
 
@@ -132,5 +134,5 @@ def write_files(rows: DataFrame, path: str, zipped: bool = False) -> None:
     order of the other columns."""
     order = [c for c in rows.columns if c not in ("member", "content")]
     rows.sparkSession.dataSource.register(FileSink)
-    rows.repartition("file").sortWithinPartitions(*order).select("file", "member", "content") \
+    dealt(rows, "file").sortWithinPartitions(*order).select("file", "member", "content") \
         .write.format(FORMAT).option("zipped", str(zipped).lower()).mode("append").save(path)

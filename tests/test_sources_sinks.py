@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import zipfile
 
+from pyspark.sql import functions as F
+
 from repolumen.operators import documents, enrich, facts
 from repolumen.session import materialize, scratch_root
 from repolumen.sources import corpus, sinks
-from repolumen.sources.files import open_root
+from repolumen.sources.files import open_root, write_files
 
 
 def test_scan_tree_and_decode(spark, tmp_path):
@@ -80,6 +82,33 @@ def test_many_and_large_members(spark, tmp_path, monkeypatch):
     assert (got.n, got.m) == (2501, 9 << 20)
 
 
+def _tasks_with_rows(df):
+    return df.groupBy(F.spark_partition_id()).count().count()
+
+
+def test_archives_and_files_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """Their names are a few bytes, which adaptive execution would merge into one partition."""
+    monkeypatch.setattr(corpus, "PIECE_FILES", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        for name in ("one", "two"):
+            with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
+                for k in range(100):
+                    archive.writestr(f"f{k}.md", f"{name} {k}")
+        table = corpus.scan_zip(spark, str(tmp_path))
+        assert sorted((r.repo, r.file_path, r.content) for r in table.collect()) == sorted(
+            (name, f"f{k}.md", f"{name} {k}") for name in ("one", "two") for k in range(100))
+        assert _tasks_with_rows(table) > 2  # an archive is read in pieces
+        rows = spark.createDataFrame([(f"r/files/__f{k}.md", None, f"é {k}") for k in range(200)],
+                                     "file string, member string, content string")
+        write_files(rows, str(tmp_path / "out"))
+        read = corpus.read_texts(spark, str(tmp_path / "out"), ".md")
+        assert {(r.path, r.content) for r in read.collect()} == {(f"r/files/__f{k}.md", f"é {k}") for k in range(200)}
+        assert _tasks_with_rows(read) > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
 def test_relative_root(spark, tmp_path, monkeypatch):
     (tmp_path / "tree/one").mkdir(parents=True)
     (tmp_path / "tree/one/a.py").write_text("x")
