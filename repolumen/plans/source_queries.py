@@ -24,9 +24,7 @@ def _seen(files: DataFrame) -> DataFrame:
 
 def _texts(spark, path: str, depth: int) -> DataFrame:
     """Files below ``path`` with their names relative to it."""
-    rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", "*.md").load(path)
-    return rows.select(F.substring_index(F.col("_metadata.file_path"), "/", -depth).alias("path"), F.col("value").alias("content"))
+    return corpus.read_texts(spark, path, ".md").select(F.substring_index("path", "/", -depth).alias("path"), "content")
 
 
 @query("scan_corpus")
