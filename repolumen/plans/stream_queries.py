@@ -3,7 +3,10 @@ and read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
@@ -11,8 +14,23 @@ from ..streaming import streams
 from . import inputs
 from .registry import query
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on local disk, with one bound on memory for all stores of an executor; the plain store holds all state in the heap.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass":
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+
+
+@contextmanager
+def _on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB."""
+    before = {name: spark.conf.get(name, None) for name in ROCKS}
+    for name, value in ROCKS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _arriving(df: DataFrame, label: str) -> DataFrame:
@@ -26,8 +44,9 @@ def _drained(stream: DataFrame, label: str) -> DataFrame:
     """All that the stream appends, from a restartable run that ends when its input does."""
     spark = stream.sparkSession
     out = scratch_path(spark, label)
-    stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint") \
-        .trigger(availableNow=True).start().awaitTermination()
+    with _on_disk(spark):
+        stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint") \
+            .trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
@@ -63,14 +82,10 @@ def _(spark, sf):
     """Health of every key after the requests that the watermark has passed: each update is kept, the last one counts."""
     requests = _arriving(_requests(spark, sf), "stream-requests")
     out = scratch_path(spark, "stream-health")
-    store = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)
-    try:
+    with _on_disk(spark):
         streams.key_health_stream(requests).writeStream.outputMode("update").foreachBatch(
             lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")) \
             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(STORE, store)
     updates = spark.read.schema(streams.HEALTH).parquet(f"{out}/data")
     return updates.groupBy("key").agg(F.max(F.struct("requests", "health", "failures")).alias("last")) \
         .select("key", "last.health", "last.failures", "last.requests")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolumen.operators import facts, requestlog
+from repolumen.plans import QUERIES, stream_queries
 from repolumen.streaming import streams
 
 REQUEST = "event_id long, key long, ts timestamp, tokens long, ok boolean, error_code int"
@@ -219,3 +220,23 @@ def test_status_upsert_rewrites_touched_buckets_only(spark, tmp_path):
     manifest = spark.read.parquet(f"{path}/manifest/v=4").collect()
     assert len(manifest) == 8 and sorted(r.version for r in manifest) == [1] * 7 + [4]
     assert sorted(p.name for p in (tmp_path / "table" / "data").iterdir() if p.name.startswith("v=")) == ["v=1", "v=3", "v=4"]
+
+
+@pytest.mark.parametrize("name", ["sliding_usage_stream", "minute_usage_stream"])
+def test_usage_queries_keep_state_on_disk(spark, tmp_path, monkeypatch, name):
+    """Open windows outgrow a heap; the session's own store stays as it was."""
+    rows = [(i, 1_700_000_000 + 40 * i, i % 3, "view", 1.5) for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string, value double").select(
+        "event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before, plain = spark.conf.get(store), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda spark, label: str(tmp_path / label))
+    spark.conf.set(store, plain)
+    try:
+        assert QUERIES[name](spark, str(tmp_path)).count() > 0
+        assert spark.conf.get(store) == plain
+    finally:
+        spark.conf.set(store, before)
+    kept = [p.suffix for p in tmp_path.glob("stream-*/checkpoint/state/**/*") if p.is_file()]
+    assert ".zip" in kept and ".delta" not in kept
